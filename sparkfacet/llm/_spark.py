@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,52 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, size: str) -> DataF
     return done.unionByName(rest).select(*rows.columns, *(F.col(f"__of.{c}").alias(c) for c in names))
 
 
+#: Bits in one piece of Spark's bitmap functions (fixed value), and at most in a field (32 MB).
+PIECE, MAX_BITS = 32768, 1 << 28
+
+
+def field_bits(rows: int, max_bits: int = MAX_BITS) -> int:
+    """16 bits a row, up to max_bits."""
+    return min(max_bits, max(PIECE, 1 << (16 * max(rows, 1) - 1).bit_length()))
+
+
+def bit_field(at: DataFrame, bits: int, least: int) -> bytes:
+    """A field in which bit p is 1 if at least `least` rows of at (one column, at: 0 to bits - 1) are p."""
+    often = at.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    pieces = often.groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("map"))
+    field = np.zeros(bits // 8, np.uint8)
+    for piece, chunk in pieces.toLocalIterator():  # bits / PIECE rows at most
+        a = (piece - 1) * PIECE // 8  # buckets count from 1
+        field[a : a + len(chunk)] = np.frombuffer(chunk, np.uint8)[: len(field) - a]
+    return field.tobytes()
+
+
+def marked(heads: DataFrame, least: int, max_bits: int = MAX_BITS) -> tuple[bytes, int]:
+    """The field of the rows' head (a long) modulo its size, and its size."""
+    heads = cut(heads)
+    bits = field_bits(heads.count(), max_bits)
+    return bit_field(heads.select(F.pmod("head", F.lit(bits)).alias("at")), bits, least), bits
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, root) of each end of the edges: root is the smallest id that is reachable.
+
+    Each round takes the smallest root among the neighbours, then the root's own root, until nothing changes. A hub with
+    many edges is a skewed key of plain joins, which adaptive execution splits, and is summed before it is shuffled.
+    """
+    x, y = F.col(a), F.col(b)
+    links = written(edges.select(x.alias("id"), y.alias("to")).union(edges.select(y.alias("id"), x.alias("to"))).distinct())
+    labels = written(links.groupBy("id").agg(F.min("to").alias("root")).select("id", F.least("id", "root").alias("root")))
+    while True:
+        near = links.join(labels.select(F.col("id").alias("to"), "root"), "to").groupBy("id").agg(F.min("root").alias("best"))
+        hooked = written(labels.join(near, "id").select("id", F.least("root", "best").alias("root"), F.col("root").alias("old")))
+        up = hooked.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        jumped = written(hooked.join(up, "root").select("id", F.least("root", "top").alias("root"), "old"))
+        labels = jumped.select("id", "root")
+        if jumped.filter("root != old").isEmpty():
+            return labels
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the session's Python workers, once, as --py-files would."""
     context = spark.sparkContext

@@ -206,7 +206,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The number of ids, and SHA-256 of the comma-joined ids and of the decoded text."""
+def digests(encoded: DataFrame, id_col: str = "doc_id", *keep: str) -> DataFrame:
+    """The number of ids, and SHA-256 of the comma-joined ids and of the decoded text; keep: further columns."""
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
-    return encoded.select(id_col, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encoded.select(id_col, *keep, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

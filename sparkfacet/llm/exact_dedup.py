@@ -23,14 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfacet.llm._arrow import text_buffers
-from sparkfacet.llm._spark import cut, spread_join
+from sparkfacet.llm._spark import MAX_BITS, bit_field, cut, field_bits, spread_join
 
 WHITE = b" \t\n\x0b\x0c\r"
 PROBES = 3
-#: Bits of the field for each row, and at most in all.
-BITS_A_ROW, MAX_BITS = 16, 1 << 28
-#: Bits in one piece of Spark's bitmap functions (fixed value).
-PIECE = 32768
 
 
 def _prints(texts: pa.Array) -> pa.StructArray:
@@ -63,13 +59,7 @@ def positions(head: Column, bits: int) -> list[Column]:
 def repeated_bits(heads: DataFrame, bits: int) -> bytes:
     """The field: bit p is 1 if at least two of the rows' positions are p. heads has one column, head."""
     at = heads.select(F.explode(F.array(*positions(F.col("head"), bits))).alias("at"))
-    twice = at.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pieces = twice.groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("map"))
-    field = np.zeros(bits // 8, np.uint8)
-    for piece, chunk in pieces.toLocalIterator():  # bits / PIECE rows at most
-        a = (piece - 1) * PIECE // 8  # buckets count from 1
-        field[a : a + len(chunk)] = np.frombuffer(chunk, np.uint8)[: len(field) - a]
-    return field.tobytes()
+    return bit_field(at, bits, 2)
 
 
 def maybe_repeated(spark, field: bytes, bits: int):
@@ -88,10 +78,6 @@ def maybe_repeated(spark, field: bytes, bits: int):
     return test
 
 
-def field_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    return min(max_bits, max(PIECE, 1 << (BITS_A_ROW * max(rows, 1) - 1).bit_length()))
-
-
 def _groups(rows: DataFrame) -> DataFrame:
     """sha, group_size, best (of the row that stays) from sha, points, id, tag; partial sums come before the shuffle."""
     order = F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("last"), F.col("id"), F.col("tag"))
