@@ -223,8 +223,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows, sketch = classes_and_sketch(docs, id_col, text_col, words)
     cls = written(prefixes(docs, text_col, sketch, words, percent))
     groups = cls.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("usual").alias("usual"), F.first("prefix").alias("prefix"))
-    tokens = groups.select(F.explode("prefix").alias("t"), "g", "n", "usual", "members")
-    buckets = tokens.groupBy("t").agg(F.sum("members").alias("m"), F.count(F.lit(1)).alias("r"), F.max(F.struct("usual", "g", "n")).alias("lead")).filter("m > 1")
+    tokens = groups.select(F.posexplode("prefix").alias("at", "t"), "g", "n", "usual", "members")
+    room = F.min(F.col("n") - F.col("at")).alias("room")  # at most so many shingles are common if this one is the first
+    buckets = tokens.groupBy("t").agg(F.sum("members").alias("m"), F.count(F.lit(1)).alias("r"), F.max(F.struct("usual", "g", "n")).alias("lead"), F.min("n").alias("least"), F.sum("n").alias("both"), room).filter("m > 1")
+    # two single classes that meet on a shingle alone: their sizes and its places in their order can rule the link out
+    two = (F.col("r") == 2) & (F.col("m") == 2)
+    fits = (F.col("least") * 100 >= (F.col("both") - F.col("least")) * percent) & (F.col("room") * (100 + percent) >= F.col("both") * percent)
+    buckets = buckets.filter(~two | fits).select("t", "r", "lead")
     hits = written(spread_join(tokens.select("t", "g", "n", "members"), written(buckets), "t", "r"))
 
     kept = hits.select("g").distinct()
