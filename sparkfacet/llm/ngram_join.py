@@ -20,6 +20,7 @@ than all others (a component of such rows only has a null id); an empty table gi
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,11 @@ from sparkfacet.llm._arrow import SPACE, list_array, mix, slices, text_buffers,
 from sparkfacet.llm._spark import components, marked, spread_join, written
 
 #: Counters of the sketch, and counters in one of its chunks.
-CELLS, CHUNK = 1 << 19, 1 << 10
+CELLS, CHUNK = 1 << 21, 1 << 12
 #: Bits of a class's bitmap, and classes in one block of a bucket.
 BITMAP, BLOCK = 1024, 512
+#: Groups in a bucket that is sifted before sets are made; larger ones go on whole.
+SMALL = 64
 
 SPACE_FREE = ~SPACE
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -79,27 +82,28 @@ def classes_and_sketch(docs: DataFrame, id_col: str, text_col: str, words: int)
     names = ["id", "n", "k", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, arrow = np.zeros(CELLS, np.int64), None
+        sketch, arrow = np.zeros(CELLS, np.int32), None
         for ids, sets in _sets(batches, 1, words):
             arrow, none = ids.type, [None] * len(ids)
-            sketch += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            sketch += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         chunks = [k for k in range(CELLS // CHUNK) if sketch[k * CHUNK : (k + 1) * CHUNK].any()]
         if chunks:
-            none, parts = [None] * len(chunks), [sketch[k * CHUNK : (k + 1) * CHUNK].astype(np.int32).tobytes() for k in chunks]
+            none, parts = [None] * len(chunks), [sketch[k * CHUNK : (k + 1) * CHUNK].astype(np.int32) for k in chunks]
+            parts = [zlib.compress(p.tobytes(), 1) for p in parts]  # mostly small numbers
             yield pa.RecordBatch.from_arrays([pa.array(none, arrow), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(part, np.int32).astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(part), np.int32).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     both = written(docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, n long, k binary, chunk int, counts binary"))
     summed = both.filter("chunk is not null").select("chunk", "counts").repartition(64, "chunk").mapInArrow(add_up, "chunk int, counts binary")
-    sketch = np.zeros(CELLS, np.int64)
+    sketch = np.zeros(CELLS, np.int64)  # 16 MB
     for k, part in summed.toLocalIterator():  # CELLS numbers in all
         sketch[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(part, np.int64)
     return both.filter("chunk is null").select("id", "n", "k"), sketch
@@ -218,19 +222,34 @@ def open_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return buckets.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def with_partner(met: DataFrame, percent: int) -> DataFrame:
+    """The rows (t, g, n, at, members, r, lead) without those that link with nothing on this shingle.
+
+    If a shingle is the first that two sets share, at most n - at of each are common: sizes and places rule most chance
+    meetings out. Buckets of up to SMALL groups are sifted; larger ones are kept as they are.
+    """
+    small, row = F.col("r") <= SMALL, F.struct("g", "n", "at", "members")
+
+    def meets(x, y):
+        sizes = F.least(x.n, y.n) * 100 >= F.greatest(x.n, y.n) * percent
+        room = F.least(x.n - x.at, y.n - y.at) * (100 + percent) >= (x.n + y.n) * percent
+        return (x.g != y.g) & sizes & room
+
+    lists = met.filter(small).groupBy("t", "lead").agg(F.collect_list(row).alias("all"))
+    left = F.filter("all", lambda x: (x.members > 1) | F.exists("all", lambda y: meets(x, y)))
+    sifted = lists.select("t", F.explode(left).alias("x"), "lead").select("t", "x.g", "x.n", "x.members", "lead")
+    return sifted.unionByName(met.filter(~small).select("t", "g", "n", "members", "lead"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id reachable by links of percent/100 or more) of each row."""
     rows, sketch = classes_and_sketch(docs, id_col, text_col, words)
     cls = written(prefixes(docs, text_col, sketch, words, percent))
     groups = cls.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("usual").alias("usual"), F.first("prefix").alias("prefix"))
     tokens = groups.select(F.posexplode("prefix").alias("at", "t"), "g", "n", "usual", "members")
-    room = F.min(F.col("n") - F.col("at")).alias("room")  # at most so many shingles are common if this one is the first
-    buckets = tokens.groupBy("t").agg(F.sum("members").alias("m"), F.count(F.lit(1)).alias("r"), F.max(F.struct("usual", "g", "n")).alias("lead"), F.min("n").alias("least"), F.sum("n").alias("both"), room).filter("m > 1")
-    # two single classes that meet on a shingle alone: their sizes and its places in their order can rule the link out
-    two = (F.col("r") == 2) & (F.col("m") == 2)
-    fits = (F.col("least") * 100 >= (F.col("both") - F.col("least")) * percent) & (F.col("room") * (100 + percent) >= F.col("both") * percent)
-    buckets = buckets.filter(~two | fits).select("t", "r", "lead")
-    hits = written(spread_join(tokens.select("t", "g", "n", "members"), written(buckets), "t", "r"))
+    buckets = tokens.groupBy("t").agg(F.sum("members").alias("m"), F.count(F.lit(1)).alias("r"), F.max(F.struct("usual", "g", "n")).alias("lead")).filter("m > 1")
+    met = spread_join(tokens.select("t", "g", "n", "at", "members"), written(buckets), "t", "r")
+    hits = written(with_partner(met, percent))
 
     kept = hits.select("g").distinct()
     sets = written(whole_sets(docs, text_col, cls.join(kept, "g", "left_semi").select("k", "g", "n"), words))
