@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfacet.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from sparkfacet.llm import bpe, exact_dedup, mixing, ngram_join, substring_dedup, toxicity
 from sparkfacet.llm._spark import ship
 
 
@@ -34,6 +34,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_severity(docs.select("doc_id", "text"), model).select("doc_id", "severity.*")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_toxicity, op5_exact_dedup, op7_ngram_jaccard_join, op10_bpe)}
+    return {f.__name__: f for f in (op2_mixing, op3_toxicity, op4_suffix_dedup, op5_exact_dedup, op7_ngram_jaccard_join, op10_bpe)}
 
 
 EXACT_SQL = r"""
