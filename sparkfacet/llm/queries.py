@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfacet.llm import bpe, exact_dedup, mixing, ngram_join, substring_dedup, toxicity
+from sparkfacet.llm import bpe, embedding_dedup, exact_dedup, license_scan, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter
 from sparkfacet.llm._spark import ship
 
 
@@ -23,6 +23,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.with_spans(docs, pii.fit_detector(docs))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_mixture(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "mix.topic", "mix.n_tokens", F.round("mix.weight", 6).alias("weight"), F.round("mix.prob", 6).alias("prob"), "mix.selected")
@@ -44,16 +59,36 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    base, spans = F.transform("base", lambda b: b.label), F.transform("spans", lambda s: s.label)
+    names = [F.array_join(F.array_sort(F.array_distinct(c)), ",") for c in (base, F.concat(base, spans))]
+    places = F.transform("base", lambda b: b.word)
+    score = F.greatest(F.when(F.size("base") > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max(F.transform("spans", lambda s: s.cover)), F.lit(0.0)))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), names[0].alias("base_labels"), names[1].alias("labels"), score.alias("score"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filter.with_verdicts(pages, url_filter.fit_bayes(pages))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), F.round("p_block", 6).alias("p_block"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_toxicity, op4_suffix_dedup, op5_exact_dedup, op7_ngram_jaccard_join, op10_bpe)}
+    every = (op1_pii, op2_mixing, op3_toxicity, op4_suffix_dedup, op5_exact_dedup, op6_itq_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_url_filter, op10_bpe)
+    return {f.__name__: f for f in every}
 
 
 EXACT_SQL = r"""

@@ -6,7 +6,8 @@ expected grade, the sum of P(grade > k).
 
 Training takes at most max_rows labelled rows, chosen by a hash of the id. Labels say toxic or not; grades above 1 come
 from the words themselves: among toxic training texts, a text with more of the words that set toxic texts apart has a
-higher grade (tertiles of their number). The words kept as features are the max_words with the highest G-squared score.
+higher grade (tertiles of their number). The words kept as features are at most max_words, those with the
+highest G-squared score, as far as it is beyond what chance gives among so many words.
 
 Cases: a null or empty text has no features and scores as the cuts alone say; long texts are read whole; repeated rows
 score alike; a label that is null or whose document is missing is not used, and of several labels for an id the largest
@@ -66,7 +67,7 @@ def look_up(words: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[
     return pair // len(words), pair % len(words)
 
 
-def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, max_words: int = MAX_WORDS, steps: int = 300, penalty: float = 1e-3) -> Severity:
+def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, max_words: int = MAX_WORDS, steps: int = 300, penalty: float = 2e-4) -> Severity:
     """hashes, counts: distinct words of each training row, one row after another; toxic: 0 or 1 for each row."""
     none = Severity(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0))
     n, ill = len(toxic), int(toxic.sum())
@@ -80,7 +81,8 @@ def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, max_words: in
     gain = np.zeros(len(words))
     for seen, all_ in ((a, ill), (b, n - ill)):
         gain += seen * np.log(np.maximum(seen, 1e-9) / (usual * all_)) + (all_ - seen) * np.log(np.maximum(all_ - seen, 1e-9) / np.maximum((1 - usual) * all_, 1e-9))
-    keep = np.sort(np.lexsort((words, -gain))[:max_words])
+    # words that chance alone would hardly set apart among so many
+    keep = np.sort(np.lexsort((words, -gain))[: min(max_words, int((gain > np.log(len(words)) + 1).sum()))])
     new = np.full(len(words), -1)
     new[keep] = np.arange(len(keep))
     col = new[index]
