@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkfacet.llm._arrow import SPACE, list_array, mix, slices, text_buffers, word_hashes
 from sparkfacet.llm._spark import components, marked, spread_join, written
+from sparkfacet.llm.exact_dedup import maybe_repeated
 
 #: Counters of the sketch, and counters in one of its chunks.
 CELLS, CHUNK = 1 << 21, 1 << 12
@@ -223,32 +224,40 @@ def open_pairs(buckets: DataFrame, percent: int) -> DataFrame:
 
 
 def with_partner(met: DataFrame, percent: int) -> DataFrame:
-    """The rows (t, g, n, at, members, r, lead) without those that link with nothing on this shingle.
+    """Rows (t, g, n, members, lead: the most typical of the bucket) of met (t, at, g, n, usual, members, r),
+    without those that link with nothing on this shingle.
 
     If a shingle is the first that two sets share, at most n - at of each are common: sizes and places rule most chance
     meetings out. Buckets of up to SMALL groups are sifted; larger ones are kept as they are.
     """
-    small, row = F.col("r") <= SMALL, F.struct("g", "n", "at", "members")
+    small, row = F.col("r") <= SMALL, F.struct("usual", "g", "n", "at", "members")
 
     def meets(x, y):
         sizes = F.least(x.n, y.n) * 100 >= F.greatest(x.n, y.n) * percent
         room = F.least(x.n - x.at, y.n - y.at) * (100 + percent) >= (x.n + y.n) * percent
         return (x.g != y.g) & sizes & room
 
-    lists = met.filter(small).groupBy("t", "lead").agg(F.collect_list(row).alias("all"))
+    lists = met.filter(small).groupBy("t").agg(F.collect_list(row).alias("all"))
     left = F.filter("all", lambda x: (x.members > 1) | F.exists("all", lambda y: meets(x, y)))
-    sifted = lists.select("t", F.explode(left).alias("x"), "lead").select("t", "x.g", "x.n", "x.members", "lead")
-    return sifted.unionByName(met.filter(~small).select("t", "g", "n", "members", "lead"))
+    few = lists.select("t", left.alias("left")).select("t", F.explode("left").alias("x"), F.array_max("left").alias("lead")).select("t", "x.g", "x.n", "x.members", "lead")
+    large = met.filter(~small)
+    leads = large.groupBy("t").agg(F.max(row).alias("lead"), F.count(F.lit(1)).alias("many"))
+    many = spread_join(large.select("t", "g", "n", "members"), written(leads), "t", "many").select("t", "g", "n", "members", "lead")
+    return few.unionByName(many)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id reachable by links of percent/100 or more) of each row."""
     rows, sketch = classes_and_sketch(docs, id_col, text_col, words)
     cls = written(prefixes(docs, text_col, sketch, words, percent))
-    groups = cls.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("usual").alias("usual"), F.first("prefix").alias("prefix"))
+    groups = written(cls.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("usual").alias("usual"), F.first("prefix").alias("prefix")))
     tokens = groups.select(F.posexplode("prefix").alias("at", "t"), "g", "n", "usual", "members")
-    buckets = tokens.groupBy("t").agg(F.sum("members").alias("m"), F.count(F.lit(1)).alias("r"), F.max(F.struct("usual", "g", "n")).alias("lead")).filter("m > 1")
-    met = spread_join(tokens.select("t", "g", "n", "at", "members"), written(buckets), "t", "r")
+    counts = groups.select(F.explode("prefix").alias("t"), "members").groupBy("t").agg(F.sum("members").alias("m"), F.count(F.lit(1)).alias("r"))
+    buckets = written(counts.filter("m > 1").select("t", "r"))
+    # most shingles stay alone: a bit field of bounded size drops their rows before they shuffle
+    field, bits = marked(buckets.select(F.col("t").alias("head")), 1)
+    test = maybe_repeated(docs.sparkSession, field, bits)
+    met = spread_join(tokens.filter(test(F.pmod("t", F.lit(bits)))), buckets, "t", "r")
     hits = written(with_partner(met, percent))
 
     kept = hits.select("g").distinct()
