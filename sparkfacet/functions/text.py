@@ -40,15 +40,18 @@ def typo_budget(word: Column) -> Column:
     return F.when(n >= 8, 2).when(n >= 5, 1).otherwise(0)
 
 
-#: Rewrites of a folded Spanish word to how it sounds, in order.
-SOUNDS = (("ch", "1"), ("qu(?=[ei])", "k"), ("gu(?=[ei])", "g"), ("w", "gu"), ("c(?=[ei])", "s"), ("c", "k"), ("g(?=[ei])", "j"), ("z", "s"), ("q", "k"), ("x", "ks"), ("ll", "y"), ("y$", "i"), ("v", "b"), ("h", ""), ("n(?=[bp])", "m"), ("(.)\\1+", "$1"))
+#: Rewrites of a folded Spanish word to how it sounds, in order. Capitals are sounds that later rules leave alone.
+SOUNDS = (
+    ("ch", "X"), ("qu(?=[ei])", "k"), ("gu(?=[ei])", "G"), ("w", "gu"), ("c(?=[ei])", "s"), ("g(?=[ei])", "j"), ("g", "G"), ("z", "s"), ("c", "k"), ("q", "k"),
+    ("x", "ks"), ("ll", "y"), ("y$", "i"), ("v", "b"), ("h", ""), ("n(?=[bp])", "m"), ("(.)\\1+", "$1"),
+)
 
 
 def phonetic_key(word: Column) -> Column:
     out = fold(word)
     for pattern, sound in SOUNDS:
-        out = F.regexp_replace(out, pattern, sound)
-    return out
+        out = F.regexp_replace(out, pattern, F.lit(sound))
+    return F.lower(out)
 
 
 def deletes(word: Column, prefix: int = 8) -> Column:
