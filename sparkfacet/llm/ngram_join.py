@@ -5,9 +5,10 @@
 2. A set of n shingles has a prefix of n - ceil(t n) + 1: two sets that link share a prefix shingle. Classes with the same
    prefix and size form one group; groups, not classes, meet on prefix shingles.
 3. Each group is first verified against the leader of each of its shingles only (the most typical group there), which links
-   most of a family of copies with few comparisons. Components follow from these links.
+   most of a family of copies with few comparisons. A bitmap for each class bounds the overlap from above; whole sets are
+   shuffled only for pairs that it leaves. Components follow from these links.
 4. What the leaders haven't settled: members in different components that share a prefix shingle are compared within the
-   shingle's bucket, by size and by a bitmap that bounds their overlap from above; a large bucket is cut into blocks that
+   shingle's bucket, by size and bitmap; a large bucket is cut into blocks that
    meet pairwise in separate tasks. Pairs that may link are verified on the whole sets.
 
 No link between different components is lost, no pair inside a component has to be made, and only verified pairs link.
@@ -65,6 +66,16 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.nd
     return out
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bitmap of a set: whether an odd number of shingles falls on each bit. Two bitmaps differ in at most as many bits as
+    the sets have shingles that they don't share, also where a long set falls on each bit several times."""
+    return np.packbits(np.bincount((s >> np.uint64(32)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).tobytes()
+
+
+def _maps(bits: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint8).view(np.uint64).reshape(-1, BITMAP // 64)
+
+
 def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -111,7 +122,7 @@ def classes_and_sketch(docs: DataFrame, id_col: str, text_col: str, words: int)
 
 
 def prefixes(docs: DataFrame, text_col: str, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(k, g: key of prefix and size, n, usual: mean estimate of the prefix, prefix) of each class with a shingle."""
+    """(k, g: key of prefix and size, n, usual: mean estimate of the prefix, prefix, bits: parities) of each class with a shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +135,16 @@ def prefixes(docs: DataFrame, text_col: str, sketch: np.ndarray, words: int, per
                     usual = table[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                     first = np.lexsort((s, usual))[: n - (n * percent + 99) // 100 + 1]
                     head = s[first]
-                    rows.append((_key(s), hashlib.blake2b(head.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest(), n, float(usual[first].mean()), head))
+                    rows.append((_key(s), hashlib.blake2b(head.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest(), n, float(usual[first].mean()), head, parities(s)))
             if rows:
-                k, g, n, usual, heads = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(g, pa.binary()), pa.array(n, pa.int64()), pa.array(usual, pa.float64()), list_array(np.concatenate(heads).view(np.int64), np.array([len(h) for h in heads]), pa.int64())], names=["k", "g", "n", "usual", "prefix"])
+                k, g, n, usual, heads, maps = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(g, pa.binary()), pa.array(n, pa.int64()), pa.array(usual, pa.float64()), list_array(np.concatenate(heads).view(np.int64), np.array([len(h) for h in heads]), pa.int64()), pa.array(maps, pa.binary())], names=["k", "g", "n", "usual", "prefix", "bits"])
 
-    return docs.select(text_col).mapInArrow(run, "k binary, g binary, n long, usual double, prefix array<long>").dropDuplicates(["k"])
+    return docs.select(text_col).mapInArrow(run, "k binary, g binary, n long, usual double, prefix array<long>, bits binary").dropDuplicates(["k"])
 
 
 def whole_sets(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
-    """(k, s: the set, bits: its bitmap) of the classes in wanted (k). A bit field of bounded size drops most other texts early."""
+    """(k, s: the set) of the classes in wanted (k, each once). A bit field of bounded size drops most other texts early."""
     spark = docs.sparkSession
     heads = wanted.select(F.conv(F.hex(F.substring("k", 1, 7)), 16, 10).cast("long").alias("head"))
     field, bits = marked(heads, 1)
@@ -147,18 +158,30 @@ def whole_sets(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) ->
                 key = _key(s)
                 at = int.from_bytes(key[:7], "big") % bits
                 if len(s) and marks[at >> 3] >> (at & 7) & 1:
-                    map_ = np.zeros(BITMAP, np.uint8)
-                    map_[(s >> np.uint64(32)).astype(np.int64) % BITMAP] = 1
-                    rows.append((key, s, np.packbits(map_).tobytes()))
+                    rows.append((key, s))
             if rows:
-                k, s, m = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), list_array(np.concatenate(s).view(np.int64), np.array([len(x) for x in s]), pa.int64()), pa.array(m, pa.binary())], names=["k", "s", "bits"])
+                k, s = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), list_array(np.concatenate(s).view(np.int64), np.array([len(x) for x in s]), pa.int64())], names=["k", "s"])
+
+    return docs.select(text_col).mapInArrow(run, "k binary, s array<long>").dropDuplicates(["k"]).join(wanted, "k", "left_semi")
 
-    return docs.select(text_col).mapInArrow(run, "k binary, s array<long>, bits binary").dropDuplicates(["k"]).join(wanted, "k")
 
+def may_link(percent: int):
+    """A function of the columns n, bits of two classes: whether their bitmaps leave room for enough common shingles."""
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
+    @F.arrow_udf("boolean")
+    def room(n: pa.Array, bits: pa.Array, m: pa.Array, others: pa.Array) -> pa.Array:
+        both = n.to_numpy() + m.to_numpy()
+        most = (both - np.bitwise_count(_maps(bits) ^ _maps(others)).sum(axis=1).astype(np.int64)) // 2  # of the intersection
+        return pa.array(100 * most >= percent * (both - most))
+
+    return room
+
+
+def verified(docs: DataFrame, text_col: str, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough."""
+    wanted = written(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct())
+    sets = written(whole_sets(docs, text_col, wanted, words))
     own = sets.select(F.col("k").alias("a"), F.col("s").alias("sa"))
     other = sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -173,7 +196,7 @@ def open_pairs(buckets: DataFrame, percent: int) -> DataFrame:
         k, root = rows.column("k").to_pylist(), np.unique(rows.column("root").to_numpy(zero_copy_only=False).astype(object), return_inverse=True)[1]
         n = rows.column("n").to_numpy()
         block = rows.column("block").to_numpy()
-        maps = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(k), -1)
+        maps = _maps(rows.column("bits"))
         out, mixed = [], rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py()
         for i in range(len(k) - 1):
             rest = np.arange(i + 1, len(k))
@@ -223,9 +246,9 @@ def open_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return buckets.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def with_partner(met: DataFrame, percent: int) -> DataFrame:
-    """Rows (t, g, n, members, lead: the most typical of the bucket) of met (t, at, g, n, usual, members, r),
-    without those that link with nothing on this shingle.
+def with_partner(quiet: DataFrame, busy: DataFrame, percent: int) -> DataFrame:
+    """Rows (t, g, n, members, lead: the most typical of the bucket) of two frames (t, at, g, n, usual, members),
+    without those that link with nothing on this shingle. Buckets in quiet have at most SMALL groups; busy has their number, r.
 
     If a shingle is the first that two sets share, at most n - at of each are common: sizes and places rule most chance
     meetings out. Buckets of up to SMALL groups are sifted; larger ones are kept as they are.
@@ -237,10 +260,10 @@ def with_partner(met: DataFrame, percent: int) -> DataFrame:
         room = F.least(x.n - x.at, y.n - y.at) * (100 + percent) >= (x.n + y.n) * percent
         return (x.g != y.g) & sizes & room
 
-    lists = met.filter(small).groupBy("t").agg(F.collect_list(row).alias("all"))
+    lists = quiet.unionByName(busy.filter(small).select(quiet.columns)).groupBy("t").agg(F.collect_list(row).alias("all"))
     left = F.filter("all", lambda x: (x.members > 1) | F.exists("all", lambda y: meets(x, y)))
     few = lists.select("t", left.alias("left")).select("t", F.explode("left").alias("x"), F.array_max("left").alias("lead")).select("t", "x.g", "x.n", "x.members", "lead")
-    large = met.filter(~small)
+    large = busy.filter(~small)
     leads = large.groupBy("t").agg(F.max(row).alias("lead"), F.count(F.lit(1)).alias("many"))
     many = spread_join(large.select("t", "g", "n", "members"), written(leads), "t", "many").select("t", "g", "n", "members", "lead")
     return few.unionByName(many)
@@ -254,25 +277,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = groups.select(F.posexplode("prefix").alias("at", "t"), "g", "n", "usual", "members")
     counts = groups.select(F.explode("prefix").alias("t"), "members").groupBy("t").agg(F.sum("members").alias("m"), F.count(F.lit(1)).alias("r"))
     buckets = written(counts.filter("m > 1").select("t", "r"))
-    # most shingles stay alone: a bit field of bounded size drops their rows before they shuffle
-    field, bits = marked(buckets.select(F.col("t").alias("head")), 1)
-    test = maybe_repeated(docs.sparkSession, field, bits)
-    met = spread_join(tokens.filter(test(F.pmod("t", F.lit(bits)))), buckets, "t", "r")
-    hits = written(with_partner(met, percent))
-
+    # bit fields of bounded size: most shingles stay alone, and their rows are dropped before they shuffle; of the rest,
+    # few may be in a large bucket, and only their rows have to be joined with the bucket's size
+    spark = docs.sparkSession
+    heads, large = buckets.select(F.col("t").alias("head"), "r"), F.col("r") > SMALL
+    (field, bits), (large_field, large_bits) = marked(heads.select("head"), 1), marked(heads.filter(large).select("head"), 1)
+    shared, crowded = maybe_repeated(spark, field, bits), maybe_repeated(spark, large_field, large_bits)
+    tokens = tokens.filter(shared(F.pmod("t", F.lit(bits))))
+    in_large = crowded(F.pmod("t", F.lit(large_bits)))
+    busy = written(spread_join(tokens.filter(in_large), buckets, "t", "r"))
+    hits = written(with_partner(tokens.filter(~in_large), busy, percent))
     kept = hits.select("g").distinct()
-    sets = written(whole_sets(docs, text_col, cls.join(kept, "g", "left_semi").select("k", "g", "n"), words))
+    light = written(cls.select("k", "g", "n", "bits").join(kept, "g", "left_semi"))
 
     # each member of a group against one member of the leading groups
     alike = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
     stars = hits.filter(alike & ((F.col("g") != F.col("lead.g")) | (F.col("members") > 1))).select("g", F.col("lead.g").alias("of")).distinct()
-    first = sets.groupBy("g").agg(F.min("k").alias("b")).withColumnRenamed("g", "of")
-    pairs = stars.join(sets.select("g", F.col("k").alias("a")), "g").join(first, "of").filter("a != b").select("a", "b")
-    edges = written(verified(pairs, sets, percent))
+    first = light.groupBy(F.col("g").alias("of")).agg(F.min(F.struct("k", "n", "bits")).alias("b"))
+    pairs = stars.join(light.select("g", F.struct("k", "n", "bits").alias("a")), "g").join(first, "of").filter("a.k != b.k")
+    pairs = written(pairs.filter(may_link(percent)("a.n", "a.bits", "b.n", "b.bits")).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")))
+    edges = written(verified(docs, text_col, pairs, words, percent))
     roots = components(edges, "a", "b")
 
     # what is left: classes of different components in one bucket
-    light = written(sets.select("k", "g", "n", "bits").join(roots.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")))
+    light = written(light.join(roots.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")))
     in_bucket = hits.select("t", "g").join(light.select("k", "g", "root"), "g").select("t", "k", "root")
     several = written(in_bucket.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("r")).filter("low != high").select("t", "r"))
     meet = spread_join(in_bucket.select("t", "k"), several, "t", "r").join(light.select("k", "n", "root", "bits"), "k")
@@ -280,7 +308,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     meet = meet.withColumn("block", F.pmod(F.xxhash64("k"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
     meet = meet.select("t", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "k", "n", "root", "bits")
     meet = meet.repartition("t", "lo", "hi").sortWithinPartitions("t", "lo", "hi")
-    more = verified(open_pairs(meet, percent), sets, percent)
+    more = verified(docs, text_col, written(open_pairs(meet, percent)), words, percent)
     every = written(edges.unionByName(more))
     roots = components(every, "a", "b")
 
