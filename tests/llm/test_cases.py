@@ -103,3 +103,44 @@ def test_empty_tables(spark, docs):
     assert mixing.with_mixture(none).count() == license_scan.scan_licenses(none).count() == 0
     assert pii.with_spans(none, pii.fit_detector(none)).count() == bpe.encode_decode(none, tokenizer_path()).count() == 0
     assert embedding_dedup.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_bitmaps_bound_the_difference():
+    import numpy as np
+    from sparkfacet.llm.ngram_join import parities
+
+    rng = np.random.default_rng(5)
+    for n in (1, 50, 1000, 20000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, n // 10).astype(np.uint64)]))
+        x, y = (np.frombuffer(parities(s), np.uint8) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_of_all_lengths(spark):
+    """Families of edited copies, short and long, against every pair's similarity."""
+    import random
+
+    from sparkfacet.llm._spark import ship
+    from sparkfacet.llm.ngram_join import jaccard_components
+
+    ship(spark)
+    rng, texts = random.Random(3), []
+    for length in (8, 30, 120, 600, 3000):
+        for _ in range(3):
+            first = [f"w{rng.randrange(400)}" for _ in range(length)]
+            for edits in (0, 1, 1, 2, 4, length // 40, length // 25):
+                words = list(first)
+                for at in rng.sample(range(length), min(edits, length)):
+                    words[at] = f"x{rng.randrange(10**6)}"
+                texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 100 >= len(sets[a] | sets[b]) * 80 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame).collect()}
+    assert got == {k: (len(s), root[k]) for k, s in enumerate(sets)}
