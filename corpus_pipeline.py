@@ -52,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("mixing", mix), ("bpe", encode)]
 
-#: The ordinal regression and the tokenizer aren't SQL. A brute-force test of run() is still to be written.
+#: The ordinal regression and the tokenizer aren't SQL; tests/llm holds run() against a plain version of all stages.
 ORACLE_SQL = None
 
 
