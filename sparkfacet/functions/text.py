@@ -86,3 +86,47 @@ def luhn32(code: Column) -> Column:
     digits = F.reverse(F.transform(F.split(code, ""), lambda c: F.instr(F.lit(CROCKFORD), c) - 1))
     total = F.aggregate(F.transform(digits, lambda d, k: F.when(k % 2 == 0, F.floor(d * 2 / 32).cast("int") + d * 2 % 32).otherwise(d)), F.lit(0), lambda a, b: a + b)
     return (F.lit(32) - total % 32) % 32
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of the UTF-8 bytes, as a long."""
+    code = F.hex(F.encode(text, "UTF-8"))
+    octets = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("long"))
+    octets = F.when(F.length(code) > 0, octets).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(4294967295)))
+
+
+def looks_like_pn(word: Column) -> Column:
+    """Three characters or more, no year (19xx, 20xx), and four digits, or two digits and a letter among four characters."""
+    digits = F.length(F.regexp_replace(word, "[^0-9]", ""))
+    return (F.length(word) >= 3) & ~word.rlike("^(19|20)[0-9]{2}$") & ((digits >= 4) | ((digits >= 2) & word.rlike("[A-Za-z]") & (F.length(word) >= 4)))
+
+
+#: How a price range is put into words (folded text), lower and upper bounds.
+BETWEEN, BELOW, ABOVE = "entre ([0-9]+) y ([0-9]+)", "(?:menos de|bajo|hasta) ([0-9]+)", "(?:mas de|desde) ([0-9]+)"
+
+
+def price_range(text: Column) -> Column:
+    """struct<lo, hi> (long, null where open) of the first phrase of each kind. Numbers that look like years are no prices."""
+    t = fold(text)
+
+    def number(pattern: str, group: int) -> Column:
+        found = F.regexp_extract(t, pattern, group)
+        return F.when(found.rlike("^(19|20)[0-9]{2}$"), None).otherwise(found.try_cast("long"))
+
+    lo, hi = number(BETWEEN, 1), number(BETWEEN, 2)
+    both = lo.isNotNull() & hi.isNotNull()
+    low, high = F.when(both, F.least(lo, hi)).otherwise(number(ABOVE, 1)), F.when(both, F.greatest(lo, hi)).otherwise(number(BELOW, 1))
+    return F.struct(low.alias("lo"), high.alias("hi"))
+
+
+def slug(text: Column) -> Column:
+    """Words of the folded text joined by -."""
+    return F.array_join(words(text), "-")
+
+
+def warranty_years(text: Column) -> Column:
+    """10 for life, n / 12 for n months, n for n years, 1 if nothing is said."""
+    t = fold(text)
+    n = F.regexp_extract(t, "([0-9]+)", 1).try_cast("double")
+    return F.when(t.contains("vida"), F.lit(10.0)).when(n.isNotNull() & t.rlike("[0-9] *mes"), n / 12).otherwise(F.coalesce(n, F.lit(1.0)))

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from sparkfacet.plans import catalog
+from sparkfacet.plans import assist, catalog  # noqa: F401  (assist adds its queries to catalog's)
 
 SF = "/root/testdata/sf0.001"
 
