@@ -1,9 +1,12 @@
 """URL verdicts: rules first, then naive Bayes on segmented host and path words.
 
-Word counts come from the text of all pages; the max_words most frequent form a unigram model. A Viterbi pass splits each
-part of a host name into the likeliest words (unknown stretches cost UNKNOWN per letter). Tokens are the host's words
-and, marked, the path's. Multinomial naive Bayes is trained on the pages that a rule decides (counts per token and
-verdict over all of them; the max_tokens most frequent tokens are kept) and decides the others.
+Word counts come from the text of all pages and form a unigram model. A Viterbi pass splits each part of a host name into
+the likeliest words (unknown stretches cost UNKNOWN per letter). Tokens are the host's words and, marked, the path's.
+Multinomial naive Bayes is trained on the pages that a rule decides (counts per token and verdict over all of them) and
+decides the others.
+
+All words and tokens count, however rare. They stay in written tables: words are joined to the substrings of distinct
+host parts, hosts' words to distinct URLs and tokens' evidence to these URLs' tokens, each by a join that survives hot keys.
 
 Rules: (verdict, host, path). A rule fits its host and all subdomains if the path starts with the rule's; the longest
 fitting one (host and path together) wins, the first in the list among equals.
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_WORDS, MAX_TOKENS, UNKNOWN, LONGEST = 50_000, 100_000, 12.0, 24
+from sparkfacet.llm._spark import spread_join, written
+
+UNKNOWN = 12.0
 
 #: Fixed values.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-WORDS = re.compile(r"[a-z]{2,24}")
+WORDS = re.compile(r"[a-z]{2,}")
 TAGS = re.compile(r"<[^>]*>")
 
 
@@ -56,10 +61,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def segment(text: str, costs: dict[str, float]) -> list[str]:
     """The words of least total cost that make up the text; letters that no word covers stay together."""
-    best, cut = [0.0], [0]
+    best, cut, longest = [0.0], [0], max(map(len, costs), default=0)
     for end in range(1, len(text) + 1):
         cost, at = best[end - 1] + UNKNOWN, end - 1
-        for a in range(max(0, end - LONGEST), end):
+        for a in range(max(0, end - longest), end):
             c = costs.get(text[a:end])
             if c is not None and best[a] + c < cost:
                 cost, at = best[a] + c, a
@@ -77,22 +82,12 @@ def segment(text: str, costs: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-def tokens(host: str, path: str, costs: dict[str, float], memo: dict[str, list[str]]) -> list[str]:
-    out = []
-    for part in re.split(r"[^a-z]+", host):
-        if part:
-            if part not in memo:
-                if len(memo) > 200_000:
-                    memo.clear()
-                memo[part] = segment(part, costs)
-            out += memo[part]
-    for part in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7F]+", path.lower()):
-        out.append(f"/{part}" if not part[0].isdigit() else f"/0{len(part)}{part[0]}")
-    return out
+def path_tokens(path: str) -> list[str]:
+    return [f"/{part}" if not part[0].isdigit() else f"/0{len(part)}{part[0]}" for part in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7F]+", path.lower())]
 
 
-def word_costs(pages: DataFrame, html_col: str = "html", max_words: int = MAX_WORDS) -> dict[str, float]:
-    """Negative log probability of the most frequent words of all pages."""
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, n) of all words of all pages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -108,22 +103,17 @@ def word_costs(pages: DataFrame, html_col: str = "html", max_words: int = MAX_WO
                 seen = Counter()
         yield rows()
 
-    sums = pages.select(html_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "word").limit(max_words).toArrow().to_pydict()
-    total = sum(top["n"])
-    return {w: math.log(total / n) for w, n in zip(top["word"], top["n"])}
+    return pages.select(html_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Bayes:
-    costs: dict[str, float]
-    ratio: dict[str, float]  # log P(token | block) - log P(token | allow)
+    words: DataFrame  # word, n
+    total: int  # sum of n
+    longest: int  # letters of the longest word
+    ratio: DataFrame | None  # token, ratio: log P(token | block) - log P(token | allow); None without pages of both verdicts
     prior: float
 
-    def score(self, found: list[str]) -> float:
-        z = self.prior + sum(self.ratio.get(t, 0.0) for t in found)
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
-
 
 def with_parts(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     url = F.col(url_col)
@@ -132,54 +122,96 @@ def with_parts(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
     return parts.withColumn("__rule", rule).withColumn("__verdict", verdict)
 
 
-def fit_bayes(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, max_words: int = MAX_WORDS, max_tokens: int = MAX_TOKENS) -> Bayes:
-    costs = word_costs(pages, html_col, max_words)
-    shared = pages.sparkSession.sparkContext.broadcast(costs)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
-        block: Counter[str] = Counter()
-        allow: Counter[str] = Counter()
+def host_words(hosts: DataFrame, words: DataFrame, total: int, longest: int) -> DataFrame:
+    """(host, size, words) of hosts (host, size; unique): the segments of the host's parts."""
 
-        def rows():
-            names = list(block.keys() | allow.keys())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([block[t] for t in names], pa.int64()), pa.array([allow[t] for t in names], pa.int64())], names=["token", "block", "allow"])
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                found = sorted({part[a:b] for a in range(len(part)) for b in range(a + 2, min(len(part), a + longest) + 1)})
+                for k in range(0, len(found), 10_000):
+                    some = found[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), pa.array(some, pa.string())], names=["part", "word"])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, path, verdict in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                own = block if verdict == "block" else allow
-                own.update(tokens(host, path, shared.value, memo))
-                own[""] += 1  # pages
-            if len(block) + len(allow) > 200_000:
-                yield rows()
-                block, allow = Counter(), Counter()
-        yield rows()
+            out = [segment(part, {x["word"]: math.log(total / x["n"]) for x in known or ()}) for part, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["part", "words"])
 
-    ruled = with_parts(pages.select(url_col), url_col, rules).filter("__verdict is not null").select("__host", "__path", "__verdict")
-    sums = ruled.mapInArrow(count, "token string, block long, allow long").groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
-    top = sums.orderBy(F.desc(F.col("token") == ""), F.desc(F.col("block") + F.col("allow")), "token").limit(max_tokens).toArrow().to_pydict()
-    counts = {t: (b, a) for t, b, a in zip(top["token"], top["block"], top["allow"])}
-    b, a = counts.pop("", (0, 0))
-    if not a or not b:
-        return Bayes(costs, {}, -40.0)
-    tb, ta, v = sum(x for x, _ in counts.values()), sum(y for _, y in counts.values()), len(counts)
-    ratio = {t: math.log((x + 1) / (tb + v)) - math.log((y + 1) / (ta + v)) for t, (x, y) in counts.items()}
-    return Bayes(costs, ratio, math.log(b / a))
+    each = F.filter(F.split("host", "[^a-z]+"), lambda x: x != "")
+    placed = hosts.select("host", F.posexplode(each).alias("at", "part"))
+    parts = written(placed.groupBy("part").agg(F.count(F.lit(1)).alias("r")))
+    inside = written(parts.select("part").mapInArrow(substrings, "part string, word string"))
+    often = inside.groupBy("word").agg(F.count(F.lit(1)).alias("r"))
+    known = spread_join(inside, written(often.join(words, "word")), "word", "r")
+    known = known.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    done = parts.join(known, "part", "left").select("part", "known").mapInArrow(split, "part string, words array<string>")
+    joined = spread_join(placed, written(done.join(parts, "part")), "part", "r")
+    of = joined.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x.words)).alias("words"))
+    return hosts.join(of, "host", "left").select("host", "size", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
-def with_verdicts(pages: DataFrame, model: Bayes, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """id_col, host, path, rule, verdict, words (of the host and path) and p_block of each row."""
-    kind = pages.schema[id_col].dataType.simpleString()
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+def _tokens(rows: DataFrame, model: Bayes) -> DataFrame:
+    """(key, verdict, r: rows, words: the tokens) of the distinct URLs of rows (key, host, path, verdict)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bayes, memo = shared.value, {}
         for batch in batches:
-            _, host, path, _, verdict = (batch.column(k).to_pylist() for k in range(5))
-            words = [tokens(h, p, bayes.costs, memo) for h, p in zip(host, path)]
-            score = [bayes.score(w) for w in words]
-            final = [v or ("block" if s > 0.5 else "allow") for v, s in zip(verdict, score)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(final, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(score, pa.float64())], names=["id", "host", "path", "rule", "verdict", "words", "p_block"])
-
-    parts = with_parts(pages.select(id_col, url_col), url_col, rules).select(id_col, "__host", "__path", "__rule", "__verdict")
-    return parts.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, words array<string>, p_block double").withColumnRenamed("id", id_col)
+            found = [[*w, *path_tokens(p)] for w, p in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(found, pa.list_(pa.string()))], names=["key", "verdict", "r", "words"])
+
+    urls = written(rows.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("verdict").alias("verdict"), F.count(F.lit(1)).alias("r")))
+    hosts = written(urls.groupBy("host").agg(F.count(F.lit(1)).alias("size")))
+    known = written(host_words(hosts, model.words, model.total, model.longest))
+    joined = spread_join(urls, known, "host", "size").select("key", "verdict", "r", "path", "words")
+    return written(joined.mapInArrow(run, "key binary, verdict string, r long, words array<string>"))
+
+
+def with_parts(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
+    url = F.col(url_col)
+    parts = pages.withColumn("__host", host_of(url)).withColumn("__path", path_of(url))
+    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
+    return parts.withColumn("__rule", rule).withColumn("__verdict", verdict)
+
+
+def _keyed(parts: DataFrame, *columns: str) -> DataFrame:
+    """columns, key (of host and path: hosts hold no /, paths start with one), host, path, rule, verdict."""
+    key = F.substring(F.unhex(F.sha2(F.concat("__host", "__path").cast("binary"), 256)), 1, 16).alias("key")
+    return parts.select(*columns, key, *(F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+
+
+def fit_bayes(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES) -> Bayes:
+    words = written(word_counts(pages, html_col))
+    all_ = words.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).first()
+    model = Bayes(words, all_["total"] or 0, all_["longest"] or 0, None, -40.0)
+    rows = _keyed(with_parts(pages.select(url_col), url_col, rules).filter("__verdict is not null"))
+    urls = _tokens(rows, model)
+
+    def count(verdict: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("verdict") == verdict, F.col("r"))), F.lit(0)).alias(verdict)
+
+    ruled = urls.agg(count("block"), count("allow")).first()
+    if not ruled["block"] or not ruled["allow"]:
+        return model
+    counts = written(urls.select("verdict", "r", F.explode("words").alias("token")).groupBy("token").agg(count("block"), count("allow")))
+    of = counts.agg(F.count(F.lit(1)).alias("v"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("block", "allow"))).first()
+    log = [F.log((F.col(k) + 1) / F.lit(float(of[k] + of["v"] or 1))) for k in ("block", "allow")]
+    model.ratio, model.prior = counts.select("token", (log[0] - log[1]).alias("ratio")), math.log(ruled["block"] / ruled["allow"])
+    return model
+
+
+def with_verdicts(pages: DataFrame, model: Bayes, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+    """id_col, host, path, rule, verdict, words (of the host and path) and p_block of each row."""
+    rows = written(_keyed(with_parts(pages.select(id_col, url_col), url_col, rules), F.col(id_col).alias("id")))
+    urls = _tokens(rows, model)
+    z = F.lit(model.prior)
+    if model.ratio is not None:
+        each = urls.select("key", F.explode("words").alias("token"))
+        often = each.groupBy("token").agg(F.count(F.lit(1)).alias("r"))
+        evidence = spread_join(each, written(often.join(model.ratio, "token")), "token", "r")
+        sums = evidence.groupBy("key").agg(F.aggregate(F.array_sort(F.collect_list("ratio")), F.lit(0.0), lambda a, x: a + x).alias("sum"))  # sorted: the same sum in each run
+        urls = urls.join(sums, "key", "left")
+        z = z + F.coalesce("sum", F.lit(0.0))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
+    done = spread_join(rows, written(urls.select("key", "r", "words", p.alias("p_block"))), "key", "r")
+    final = F.coalesce("verdict", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")).alias("verdict")
+    return done.select(F.col("id").alias(id_col), "host", "path", "rule", final, "words", "p_block")

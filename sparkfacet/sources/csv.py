@@ -21,9 +21,9 @@ class Dialect:
     encoding: str
 
 
-def sniff(lines: list[bytes]) -> Dialect:
-    """The delimiter that gives most lines the same number of fields, more fields counting for more; the first encoding that fits."""
-    encoding = next(e for e in ENCODINGS if _fits(lines, e))
+def sniff(lines: list[bytes], encoding: str | None = None) -> Dialect:
+    """The delimiter that gives most lines the same number of fields, more fields counting for more; the encoding, or the first that fits."""
+    encoding = encoding or next(e for e in ENCODINGS if _fits(lines, e))
     texts = [t for t in (line.decode(encoding) for line in lines) if t.strip()]
     best, delimiter = -1.0, DELIMITERS[0]
     for d in DELIMITERS:
@@ -41,10 +41,20 @@ def _fits(lines: list[bytes], encoding: str) -> bool:
         return False
 
 
+def encoding_of(lines: DataFrame) -> str:
+    """The first encoding that fits all lines (one column, value: the bytes as Spark reads text), found in one pass."""
+    raw = F.col("value").cast("binary")
+    lacking = F.decode(raw, "ISO-8859-1").rlike(r"[\x81\x8D\x8F\x90\x9D]")  # what cp1252 has no characters for
+    odd = lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("utf8"), F.count_if(lacking).alias("cp1252")).first()
+    return ENCODINGS[0] if not odd["utf8"] else ENCODINGS[1] if not odd["cp1252"] else ENCODINGS[2]
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, by the header. Only the head comes to the driver (HEAD lines); tasks read the rest."""
-    head = spark.read.text(path).select(F.col("value").cast("binary")).limit(HEAD).toArrow().column(0).to_pylist()
-    dialect = sniff(head)
+    """All columns as strings, by the header. All lines decide the encoding, the head (HEAD lines) the delimiter; only the
+    head comes to the driver."""
+    lines = spark.read.text(path)
+    head = lines.select(F.col("value").cast("binary")).limit(HEAD).toArrow().column(0).to_pylist()
+    dialect = sniff(head, encoding_of(lines))
     frame = spark.read.csv(path, sep=dialect.delimiter, header=True, encoding="UTF-8" if dialect.encoding == "utf-8-sig" else "ISO-8859-1", escape='"')
     if dialect.encoding == "cp1252":  # Spark reads no cp1252: it differs from ISO-8859-1 in control codes only
         codes, letters = _cp1252()
