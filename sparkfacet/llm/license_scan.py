@@ -3,7 +3,9 @@
 The automaton accepts every run of words of any template. Words stream through it: after each word it knows the longest
 run, ending there, that occurs in a template (the matching statistics). Maximal runs of at least MIN_RUN words are
 chained per template, in order and with gaps of at most MAX_GAP words, into spans; a span's cover is the part of the template's
-words in it. A span counts from MIN_COVER on. Stretches without MIN_RUN successive known word pairs can't hold a run and are skipped.
+words in it. Templates are opening terms, whole licence texts and short notices; a label may have several. A span of opening
+terms counts from a cover of MIN_COVER on, one of a whole text from MIN_WORDS words or that cover on, so that any paragraph of it
+is found, and one of a notice from a cover of NOTICE_COVER on. Stretches without MIN_RUN successive known word pairs can't hold a run and are skipped.
 
 Besides, phrases (base) are looked up in all places.
 
@@ -22,8 +24,9 @@ import re
 from pyspark.sql import DataFrame
 
 from sparkfacet.llm._arrow import ALNUM, slices, text_buffers, word_hashes
+from sparkfacet.llm.license_texts import NOTICES, TEXTS
 
-MIN_RUN, MAX_GAP, MIN_COVER = 5, 12, 0.3
+MIN_RUN, MAX_GAP, MIN_COVER, MIN_WORDS, NOTICE_COVER = 5, 12, 0.3, 20, 0.8
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -111,16 +114,20 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str], min_run: int = MIN_RUN, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER):
-        self.labels, self.min_run, self.max_gap, self.min_cover = list(templates), min_run, max_gap, min_cover
-        texts = [words_of(t) for t in templates.values()]
+    def __init__(self, templates: dict[str, str], phrases: dict[str, str], min_run: int = MIN_RUN, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER, whole: dict[str, tuple[str, ...]] | None = None, notices: dict[str, tuple[str, ...]] | None = None):
+        self.min_run, self.max_gap = min_run, max_gap
+        every = [(label, words_of(t), 0) for label, t in templates.items()]
+        every += [(label, words_of(t), kind) for kind, of in ((1, whole or {}), (2, notices or {})) for label, ts in of.items() for t in ts]
+        self.labels, texts = [e[0] for e in every], [e[1] for e in every]
         self.sizes = [len(t) for t in texts]
+        #: Words from which on a template's span counts.
+        self.least = [(min_cover * len(t), min(min_cover * len(t), MIN_WORDS), NOTICE_COVER * len(t))[kind] for _, t, kind in every]
         vocabulary = sorted({w for t in texts for w in t})
         hashes = hashes_of(vocabulary)
         order = np.argsort(hashes)
         self.known, number = hashes[order], {vocabulary[k]: n for n, k in enumerate(order.tolist())}
         sequences = [[number[w] for w in t] for t in texts]
-        self.automaton = Automaton(sequences)
+        self.automaton, self.sequences = Automaton(sequences), sequences
         self.pairs = np.zeros((len(number) + 1, len(number) + 1), bool)
         for s in sequences:
             self.pairs[s[:-1], s[1:]] = True
@@ -147,11 +154,18 @@ class Scanner:
         return base, self._chain(runs)
 
     def _runs(self, words: list[int], start: int) -> list[tuple[int, int, int, int]]:
-        out, before = [], (0, 0)
-        for k, now in enumerate([*self.automaton.statistics(words), (0, 0)]):
-            if before[1] >= self.min_run and now[1] <= before[1]:  # the run ended with the word before
-                out += [(t, end - before[1] + 1, start + k - before[1], before[1]) for t, end in self.automaton.ends[before[0]]]
-            before = now
+        """The maximal runs of each place of a template, also those that end within a longer run of another one."""
+        out, auto = [], self.automaton
+        for k, (state, n) in enumerate(auto.statistics(words)):
+            after, seen = words[k + 1] if k + 1 < len(words) else None, set()
+            while n >= self.min_run:
+                for t, end in auto.ends[state]:
+                    if (t, end) not in seen:
+                        seen.add((t, end))
+                        if end + 1 == self.sizes[t] or self.sequences[t][end + 1] != after:
+                            out.append((t, end - n + 1, start + k + 1 - n, n))
+                state = auto.link[state]
+                n = auto.length[state]
         return out
 
     def _chain(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
@@ -162,26 +176,31 @@ class Scanner:
                 chains.append([first, first + n, place, n])
             chains.sort()
             done: list[list[int]] = []
+            near: list[list[int]] = []  # those that may go on
             for first, end, place, n in chains:
-                last = done[-1] if done else None
-                if last and first - last[1] <= self.max_gap and place >= last[2] - self.max_gap and first >= last[0]:
+                near = [c for c in near if first - c[1] <= self.max_gap]
+                last = max((c for c in near if place >= c[2] - self.max_gap), key=lambda c: c[3], default=None)
+                if last:
                     fresh = max(0, end - max(first, last[1]))
                     last[1], last[2], last[3] = max(last[1], end), max(last[2], place + n), last[3] + fresh
                 else:
                     done.append([first, end, place + n, n])
-            out += [(self.labels[t], a, b, min(1.0, n / self.sizes[t])) for a, b, _, n in done if n / self.sizes[t] >= self.min_cover]
+                    near.append(done[-1])
+            out += [(self.labels[t], a, b, min(1.0, n / self.sizes[t])) for a, b, _, n in done if n >= self.least[t]]
         return out
 
 
 @lru_cache(4)
-def _scanner(templates: tuple, phrases: tuple) -> Scanner:
-    return Scanner(dict(templates), dict(phrases))
+def _scanner(templates: tuple, phrases: tuple, whole: tuple, notices: tuple) -> Scanner:
+    return Scanner(dict(templates), dict(phrases), whole=dict(whole), notices=dict(notices))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
-    """id_col, n_words, base (array of struct<label, word>) and spans (array of struct<label, start, end, cover>, in words)."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, whole: dict[str, tuple[str, ...]] | None = None, notices: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """id_col, n_words, base (array of struct<label, word>) and spans (array of struct<label, start, end, cover>, in words).
+    templates, whole and notices: opening terms, whole texts and short notices of each label. Given templates alone stand by themselves."""
     kind = docs.schema[id_col].dataType.simpleString()
-    key = tuple((templates or TEMPLATES).items()), tuple((phrases or PHRASES).items())
+    rest = ({}, {}) if templates else (TEXTS, NOTICES)
+    key = tuple(tuple(of.items()) for of in (templates or TEMPLATES, phrases or PHRASES, rest[0] if whole is None else whole, rest[1] if notices is None else notices))
     base_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
     span_type = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))
 

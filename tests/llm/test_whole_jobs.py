@@ -35,3 +35,40 @@ def test_url_filter_counts_all_words(spark):
         assert got[i].words == [w for part in re.findall("[a-z]+", got[i].host) for w in segment(part, costs)] + [f"/{w}" for w in re.findall("[a-z]+", got[i].path)]
         z = math.log(1 / 40) + sum(math.log((counts["block"][t] + 1) / (sums["block"] + v)) - math.log((counts["allow"][t] + 1) / (sums["allow"] + v)) for t in got[i].words if counts["block"][t] or counts["allow"][t])
         assert abs(got[i].p_block - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_license_lines_and_later_paragraphs(spark):
+    """No phrase of the base occurs in any of these."""
+    from sparkfacet.llm.license_scan import scan_licenses
+    from sparkfacet.llm.license_texts import TEXTS
+
+    def part(label, start, words):
+        text = TEXTS[label][0]
+        return " ".join(text[text.index(start) :].split()[:words])
+
+    cases = {
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc"}, "Text. Licensed under CC BY 4.0, see above": {"cc-by"}, "Licensed under CC BY-NC-SA 4.0.": {"cc-by-nc-sa"},
+        "Released under the Mozilla Public License, version 2.0": {"mpl"}, "Licensed under the BSD 3-Clause License": {"bsd"},
+        part("mit", "THE SOFTWARE IS PROVIDED", 60): {"mit", "unlicense"}, part("bsd", "THIS SOFTWARE IS PROVIDED BY", 70): {"bsd"}, part("gpl", "Basic Permissions", 60): {"gpl"},
+        part("apache", "Grant of Patent License", 60): {"apache"}, part("mpl", "Fair Use", 40): {"mpl"}, "The weather was good and we went to the sea under the terms of the day": set(),
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: {s.label for s in r.spans} for r in scan_licenses(docs).collect()}
+    for k, (text, want) in enumerate(cases.items()):
+        assert got[k] >= want and bool(got[k]) == bool(want), (text, got[k], want)
+
+
+def test_given_license_lines(spark):
+    """All four licence lines of the documents are found by spans, the one without a base phrase too."""
+    from sparkfacet.llm.queries import op8_license_scan, table
+
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache"}
+    seen = Counter()
+    for r in op8_license_scan(spark, sf).collect():
+        for line, label in lines.items():
+            if line in text[r.doc_id]:
+                assert label in r.labels.split(",") and r.score == 1.0
+                seen[label] += 1
+    assert seen["cc-by-nc"]
