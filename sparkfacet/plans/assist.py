@@ -109,7 +109,5 @@ def csv_round_trip(spark, sf):
 @query("""WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL)
 SELECT start, event_type, n FROM e WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def stream_windows(spark, sf):
-    schema = table(spark, sf, "events").schema
-    events = windows.file_stream(spark, sf, "events*.parquet", schema)
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return windows.run_available(windows.window_counts(events, "1 hour", "1 day"), _shared_folder(spark))
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.run_table(events, "1 hour", "1 day", _shared_folder(spark))
