@@ -1,6 +1,15 @@
 """Sources in which an operator once did less than its whole job."""
 
 
+def test_encoding_after_the_head(spark, tmp_path):
+    from sparkfacet.sources import csv
+
+    for k, (last, raw) in enumerate([("ñ €", "ñ €".encode("cp1252")), ("ñ €", "ñ €".encode()), ("ñ\x81", b"\xf1\x81")]):
+        (tmp_path / f"{k}.csv").write_bytes(b"a;b\n" + b"x;1\n" * 500 + raw + b";2\n")
+        rows = csv.read_csv(spark, f"{tmp_path}/{k}.csv").collect()
+        assert len(rows) == 501 and rows[-1].a == last
+
+
 def test_stream_of_a_folder(spark, tmp_path):
     """events.parquet as a folder of files in mixed order gives what the single file gives, in one part or in many."""
     from pyspark.sql import functions as F
