@@ -1,11 +1,11 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation is learned on at most max_fit vectors (chosen by a hash of the id): principal components, then alternating
-between signs and the orthogonal map closest to them, so that each bit of the code is balanced. Every vector gets a code of
-as many bits as it has components (64 at most). Tables index parts of the code; vectors of one label that agree on
-a part are candidates and are reranked by cosine in double precision on the original vectors. The part's width follows
-the number of vectors, and the number of tables follows from it, so that a pair whose codes differ in
-an eighth of the bits is met with a probability of 95 % or more.
+between signs and the orthogonal map closest to them, so that each bit of the code is balanced. Vectors of fewer than BITS
+components get further bits from drawn rotations, so every code has BITS bits. Tables index parts of the code; vectors of one
+label that agree on a part are candidates and are reranked by cosine in double precision on the original vectors. The
+part's width follows the number of vectors. Pairs at the cosine threshold itself are planted beside other vectors of the sample, towards
+drawn directions and towards other vectors; tables are drawn until the share RECALL of each kind meets, whatever the width.
 
 Equal vectors are one class. A large bucket is cut into blocks that meet pairwise in separate tasks. A pair that several
 tables find counts in the first one only. What leaves a task is, for each vector, its number of links and one edge to the
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from sparkfacet.llm._spark import components, spread_join, written
 
 MAX_FIT, ROUNDS, BLOCK, BITS = 20_000, 30, 512, 64
+#: Least share of the pairs at the threshold that meet, and of those planted to see it (more, as they are a sample); these pairs and the most tables of a width.
+RECALL, PLANTED_RECALL, PLANTED, MOST = 0.95, 0.965, 4000, 128
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -38,21 +40,63 @@ def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tup
     _, _, basis = np.linalg.svd(x - mean, full_matrices=False)
     basis = basis[:bits].T
     low = (x - mean) @ basis
-    turn = np.linalg.qr(np.random.default_rng(7).standard_normal((low.shape[1],) * 2))[0]
+    draw = np.random.default_rng(7)
+
+    def drawn() -> np.ndarray:
+        return np.linalg.qr(draw.standard_normal((low.shape[1],) * 2))[0]
+
+    turn = drawn()
     for _ in range(rounds):
         u, _, v = np.linalg.svd(np.sign(low @ turn).T @ low)
         turn = (u @ v).T
-    return mean, basis @ turn
-
-
-def tables(rows: int, bits: int) -> list[np.ndarray]:
-    """The bits of each table's part: disjoint bytes for few rows, else drawn parts that cover the same distance."""
+    turns = [turn, *(drawn() for _ in range(-(-bits // low.shape[1]) - 1))]
+    return mean, basis @ np.concatenate(turns, axis=1)[:, :bits]
+
+
+def planted(u: np.ndarray, model: tuple[np.ndarray, np.ndarray], least: float) -> list[np.ndarray]:
+    """For pairs of cosine least, which bits of the code differ: u (unit vectors) with partners towards drawn directions, and towards each other."""
+    mean, turn = model
+    draw = np.random.default_rng(5)
+    at = draw.integers(0, len(u), PLANTED)
+    one, out = u[at], []
+    for to in (draw.standard_normal(one.shape), u[draw.integers(0, len(u), PLANTED)]):
+        side = to - (to * one).sum(axis=1, keepdims=True) * one
+        size = np.sqrt((side * side).sum(axis=1, keepdims=True))
+        ok = size[:, 0] > 1e-6  # none beside a vector of one component, or towards itself
+        if ok.any():
+            other = least * one[ok] + np.sqrt(1 - least * least) * side[ok] / size[ok]
+            out.append(((one[ok] - mean) @ turn > 0) != ((other - mean) @ turn > 0))
+    return out
+
+
+def tables(rows: int, bits: int, least: float = 0.93, differ: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """The bits of each table's part, drawn until PLANTED_RECALL of each kind of pairs meets. differ: the bits in which
+    pairs of cosine least differ; by default those of drawn hyperplanes. If MOST tables don't do, parts get narrower."""
+    if differ is None:
+        differ = [np.random.default_rng(3).random((PLANTED, bits)) < math.acos(least) / math.pi]
     width = min(max(8, math.ceil(math.log2(max(rows, 1) / 64))), 24, bits)
-    if width == 8:
-        return [np.arange(k, k + 8) for k in range(0, bits - 7, 8)]
-    meet = np.prod([(bits - bits // 8 - k) / (bits - k) for k in range(width)])
-    draw = np.random.default_rng(11)
-    return [np.sort(draw.choice(bits, width, replace=False)) for _ in range(math.ceil(math.log(0.05) / math.log1p(-meet)))]
+    while True:
+        draw = np.random.default_rng(11)
+        out, open_, order = [], list(differ), draw.permutation(bits)
+        short = lambda: any(len(o) > (1 - PLANTED_RECALL) * len(d) for o, d in zip(open_, differ))
+        while not out or short() and len(out) < MOST:
+            if len(order) < width:  # parts of one permutation share no bits
+                order = draw.permutation(bits)
+            out.append(np.sort(order[:width]))
+            order = order[width:]
+            open_ = [o[o[:, out[-1]].any(axis=1)] for o in open_]
+        if not short():
+            return out
+        width -= 1
+
+
+def fit(units: np.ndarray, rows: int, least: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(mean, map, tables). Pairs are planted beside vectors that the map wasn't learned on: it suits its own ones better."""
+    own = np.arange(len(units)) % 5 == 0 if len(units) >= 50 else None
+    model = learn_rotation(units if own is None else units[~own])
+    if rows <= BLOCK:
+        return *model, [np.zeros(0, np.int64)]  # all meet
+    return *model, tables(rows, model[1].shape[1], least, planted(units if own is None else units[own], model, least))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -92,8 +136,8 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     dim = int(main["dim"])
     sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("k"), "k").limit(max_fit).select("v").toArrow().column("v").to_pylist()
-    mean, turn = learn_rotation(unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim)))
-    parts = tables(n, turn.shape[1]) if turn.shape[1] >= 8 else [np.arange(turn.shape[1])]
+    units = unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim))
+    mean, turn, parts = fit(units, n, least)
     model = spark.sparkContext.broadcast((mean, turn, parts))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
