@@ -13,7 +13,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
 
-#: Odd multiplier of the polynomial word hash, and the two of the final mixing (fixed values; any others would do).
+#: Odd multiplier of polynomial hashes, and the two of the final mixing (fixed values; any others would do).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
@@ -36,22 +36,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = powers(1 << 12)
-
-
-def pow_table(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        _POW = powers(1 << int(n - 1).bit_length())
-    return _POW
-
-
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, nulls as empty, and the n + 1 offsets of its rows in them."""
     if isinstance(arr, pa.ChunkedArray):
@@ -75,28 +59,45 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+#: The lowest k bytes of a 64-bit number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (maximal runs of is_word bytes inside a row, A-Z lower-cased), and the number in each row."""
+    """Hashes of all words (maximal runs of is_word bytes inside a row, A-Z lower-cased), and the number in each row.
+
+    A word is read as numbers of eight bytes. Each is mixed with its place in the word before they are summed, so that no
+    pattern of letters cancels out, as it can in a polynomial; work and memory go with the number of words, not bytes."""
     n = len(offsets) - 1
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     inside = is_word[raw]
-    first = np.empty(len(raw), bool)
-    first[0] = inside[0]
+    first, last = np.empty(len(raw), bool), np.empty(len(raw), bool)
+    first[0], last[-1] = inside[0], inside[-1]
     np.logical_and(inside[1:], ~inside[:-1], out=first[1:])
+    np.logical_and(inside[:-1], ~inside[1:], out=last[:-1])
     cut = offsets[1:-1]
-    cut = cut[cut < len(raw)]
+    cut = cut[(cut < len(raw)) & (cut > 0)]
     first[cut] |= inside[cut]  # a word ends where its row ends
-    starts = np.flatnonzero(first)
+    last[cut - 1] |= inside[cut - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    at = np.flatnonzero(inside)
-    begin = np.searchsorted(at, starts)
-    lengths = np.diff(np.append(begin, len(at)))
-    within = np.arange(len(at)) - np.repeat(begin, lengths)
-    codes = LOWER[raw[at]].astype(np.uint64) + np.uint64(1)
-    codes *= pow_table(int(lengths.max()))[within]
-    return mix(np.add.reduceat(codes, begin)), np.diff(np.searchsorted(starts, offsets))
+    letters = np.zeros(len(raw) + 8, np.uint8)
+    np.take(LOWER, raw, out=letters[:-8])
+    eights = np.ndarray(len(raw), "<u8", letters, strides=(1,))  # from each byte on
+    lengths = stops - starts
+    parts = (lengths + 7) // 8
+    if parts.max() == 1:
+        chunk, begin, place = eights[starts] & LOW_BYTES[lengths], None, np.uint64(0)
+    else:
+        begin = np.cumsum(parts) - parts
+        nth = np.arange(int(parts.sum())) - np.repeat(begin, parts)
+        chunk = eights[np.repeat(starts, parts) + 8 * nth] & LOW_BYTES[np.minimum(np.repeat(lengths, parts) - 8 * nth, 8)]
+        place = mix(nth.astype(np.uint64) * BASE)
+    mixed = mix((chunk + BASE) ^ place)
+    total = mixed if begin is None else np.add.reduceat(mixed, begin)
+    return mix(total + lengths.astype(np.uint64) * MIX1), np.diff(np.searchsorted(starts, offsets))
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

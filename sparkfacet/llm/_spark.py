@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +18,41 @@ HOT = 2000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the session names none, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. A local session may have none (as in tests) and
+    gets its own; anywhere else a machine's folder would be lost on the others, so it must be named."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkfacet-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkfacet-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that this session has written, for clean().
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that written() has made so far. Results that haven't been consumed need them: call it after them."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder: computed once, and safe from lost executors."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
-def written(frame: DataFrame) -> DataFrame:
+def written(frame: DataFrame, *by: str) -> DataFrame:
     """The rows as a Parquet table in the checkpoint folder. Unlike cut(), the plan starts anew with the table's true size,
-    so that loops of joins don't multiply size estimates."""
+    so that loops of joins don't multiply size estimates. by: columns with a folder for each value."""
     path = f"{checkpoint_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    _WRITTEN.append(path)
+    frame.write.parquet(path, partitionBy=list(by) or None)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -53,7 +72,7 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, size: str) -> DataF
     return done.unionByName(rest).select(*rows.columns, *(F.col(f"__of.{c}").alias(c) for c in names))
 
 
-#: Bits in one piece of Spark's bitmap functions (fixed value), and at most in a field (32 MB).
+#: Bits in one piece of a field, and at most in a field (32 MB).
 PIECE, MAX_BITS = 32768, 1 << 28
 
 
@@ -62,13 +81,47 @@ def field_bits(rows: int, max_bits: int = MAX_BITS) -> int:
     return min(max_bits, max(PIECE, 1 << (16 * max(rows, 1) - 1).bit_length()))
 
 
-def bit_field(at: DataFrame, bits: int, least: int) -> bytes:
-    """A field in which bit p is 1 if at least `least` rows of at (one column, at: 0 to bits - 1) are p."""
-    often = at.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    pieces = often.groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("map"))
+def bit_field(heads: DataFrame, bits: int, least: int, positions: Callable[[np.ndarray], np.ndarray] | None = None) -> bytes:
+    """A field in which bit p is 1 if at least `least` positions of heads (one column of longs) are p; by default a head's
+    position is its value modulo bits.
+
+    Each task packs its positions by pieces of the field, two bytes each and none more than `least` times for some CHUNK
+    of them, before they shuffle; pieces are then counted apart from each other.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            at = np.repeat(at, np.minimum(n, least))
+            held.clear()
+            first = np.flatnonzero(np.diff(at // PIECE, prepend=-1))
+            low, ends = (at % PIECE).astype(np.uint16).tobytes(), [*(2 * first[1:]).tolist(), 2 * len(at)]
+            return pa.RecordBatch.from_arrays([pa.array((at[first] // PIECE).astype(np.int32)), pa.array([low[a:b] for a, b in zip((2 * first).tolist(), ends)], pa.binary())], names=["piece", "low"])
+
+        for batch in batches:
+            h = batch.column(0).drop_null().to_numpy()
+            if len(h):
+                held.append(h % bits if positions is None else positions(h))
+                if sum(map(len, held)) > 2_000_000:
+                    yield packed()
+        if held:
+            yield packed()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.bincount(np.frombuffer(low, np.uint16), minlength=PIECE)
+                counts[k] = np.minimum(counts.get(k, 0) + found, least).astype(np.uint8)
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([np.packbits(c == least, bitorder="little").tobytes() for c in counts.values()], pa.binary())], names=["piece", "map"])
+
+    packed_ = heads.mapInArrow(pack, "piece int, low binary").repartition(min(64, max(1, bits // PIECE)), "piece")
     field = np.zeros(bits // 8, np.uint8)
-    for piece, chunk in pieces.toLocalIterator():  # bits / PIECE rows at most
-        a = (piece - 1) * PIECE // 8  # buckets count from 1
+    for piece, chunk in packed_.mapInArrow(add_up, "piece int, map binary").toLocalIterator():  # bits / PIECE rows at most
+        a = piece * PIECE // 8
         field[a : a + len(chunk)] = np.frombuffer(chunk, np.uint8)[: len(field) - a]
     return field.tobytes()
 
@@ -77,7 +130,7 @@ def marked(heads: DataFrame, least: int, max_bits: int = MAX_BITS) -> tuple[byte
     """The field of the rows' head (a long) modulo its size, and its size."""
     heads = cut(heads)
     bits = field_bits(heads.count(), max_bits)
-    return bit_field(heads.select(F.pmod("head", F.lit(bits)).alias("at")), bits, least), bits
+    return bit_field(heads, bits, least), bits
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
