@@ -47,7 +47,7 @@ def _prints(texts: pa.Array) -> tuple[list[str], np.ndarray, list[int]]:
 def _positions(heads: np.ndarray, bits: int) -> np.ndarray:
     """The PROBES positions (rows) of hashes in a field of bits bits."""
     h = heads.view(np.uint64)
-    return np.stack([mix(h + BASE * np.uint64(k)) % np.uint64(bits) for k in range(1, PROBES + 1)]).astype(np.int64)
+    return np.stack([mix(h + step) % np.uint64(bits) for step in np.arange(1, PROBES + 1, dtype=np.uint64) * BASE]).astype(np.int64)
 
 
 def _all_marked(field: bytes, at: np.ndarray) -> np.ndarray:

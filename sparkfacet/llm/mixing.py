@@ -1,16 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame operations only.
 
 Token counts are summed by cell (source, language, topic) once. Each round scales the cells to the target shares of
-sources, then of languages, then of topics; the factors of a cell's source, language and topic give its weight. A
+sources, then of languages, then of topics; the factors of a cell's source, language and topic give its weight. Rounds go on
+until no marginal is off by more than TOLERANCE (ROUNDS at most); residuals() tells how far off they are at the end. A
 document's probability is min(1, c * weight), where c is solved so that the expected tokens meet the budget. A document
 is taken when a hash of its id, as a number in [0, 1), is below its probability, so the draw can be repeated.
 
+The topic is a column expression that the caller may give; by default it is the kind of text by its marks (topic_of).
+
 Targets default to tempered shares: a value with the share s of all tokens aims at s**alpha, rescaled to sum to 1.
 Values that a given target doesn't name aim at 0 and are never taken.
 
 Cases: a null source or language is a value of its own; a null text has no tokens; documents without tokens have
 their cell's probability; a null id counts as an empty one in the draw; repeated rows are taken or left together; an
-empty table gives an empty result; extra columns pass through.
+empty table gives an empty result; extra columns pass through, but for one named as the result, which is replaced.
+Targets that can't be met together (a value whose cells all have a goal of 0) leave residuals, which are reported.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import types as T
 from sparkfacet.llm._spark import written
 
 DIMS = ("source", "lang", "topic")
-ROUNDS, ALPHA, BUDGET, SOLVE = 6, 0.7, 0.5, 6
+ROUNDS, TOLERANCE, ALPHA, BUDGET, SOLVE = 30, 1e-12, 0.7, 0.5, 12
 #: Cells up to this number are broadcast (some 100 bytes each); more are joined by a salted shuffle.
 MAX_BROADCAST, SALTS = 50_000, 64
 
@@ -55,15 +59,32 @@ def _targets(cells: DataFrame, dim: str, alpha: float, given: dict[str, float] |
     return sums.select(dim, (F.col("goal") / F.lit(float(whole))).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, n) with w: the product of the three factors after some rounds."""
-    now = cells.withColumn("w", F.lit(1.0))
+def _with_goals(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """cells with the goal of each of their values (g_source, ...)."""
+    for dim in DIMS:
+        cells = cells.join(targets[dim].withColumnRenamed("goal", f"g_{dim}"), dim)
+    return cells
+
+
+def residuals(cells: DataFrame) -> float:
+    """The largest relative distance of a marginal of cells (with w and goals) from its goal."""
+    each = F.array(*(F.struct(F.lit(dim).alias("dim"), F.col(dim).alias("value"), F.col(f"g_{dim}").alias("goal")) for dim in DIMS))
+    sums = cells.select(F.explode(each).alias("m"), (F.col("n") * F.col("w")).alias("t")).groupBy("m").agg(F.sum("t").alias("have"))
+    off = F.when(F.col("m.goal") > 0, F.abs(F.col("have") / F.nullif(F.col("m.goal"), F.lit(0.0)) - 1)).otherwise(F.col("have"))
+    return sums.agg(F.max(off)).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (source, lang, topic, n) with their goals and w: the product of the three factors. Cells are written after each
+    dimension, so that plans stay small."""
+    now = written(_with_goals(cells, targets).withColumn("w", F.lit(1.0)))
     for _ in range(rounds):
         for dim in DIMS:
             sums = now.groupBy(dim).agg(F.sum(F.col("n") * F.col("w")).alias("have"))
-            factor = sums.join(targets[dim], dim).select(dim, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("f"))
-            now = now.join(factor, dim).select(*DIMS, "n", (F.col("w") * F.col("f")).alias("w"))
-        now = written(now)
+            factor = F.when(F.col("have") > 0, F.col(f"g_{dim}") / F.col("have")).otherwise(0.0)
+            now = written(now.join(sums, dim).select(*DIMS, "n", *(f"g_{d}" for d in DIMS), (F.col("w") * factor).alias("w")))
+        if residuals(now) <= tolerance:
+            break
     return now
 
 
@@ -75,7 +96,9 @@ def scale(cells: DataFrame, budget: float) -> float:
         row = cells.agg(F.sum(n).alias("all"), F.sum(F.when(full, n).otherwise(0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(n * w)).alias("open")).first()
         if not row["open"]:
             break
-        c = max(c, (budget * row["all"] - row["taken"]) / row["open"])
+        c, before = max(c, (budget * row["all"] - row["taken"]) / row["open"]), c
+        if c == before:
+            break
     return c
 
 
@@ -86,7 +109,7 @@ def draw(id_col: str = "doc_id", seed: str = "mix") -> Column:
 
 def with_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix", topic: Column | None = None, into: str = "mix") -> DataFrame:
     """docs and a struct column: topic, n_tokens, weight, prob, selected."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != into]
     tokens, kind = token_count(text_col), topic if topic is not None else topic_of(text_col)
     cell = [_key(F.col("source")).alias("source"), _key(F.col("lang")).alias("lang"), _key(kind).alias("topic")]
     cells = written(docs.select(*cell, tokens.alias("n")).groupBy(*DIMS).agg(F.sum("n").alias("n")))
@@ -94,8 +117,8 @@ def with_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     raked = rake(cells, goals, rounds)
     c = scale(raked, budget)
     average = float(cells.agg(F.sum("n")).first()[0] or 1)
-    of = raked.select(F.concat_ws("\t", *DIMS).alias("__cell"), F.struct((F.col("w") * F.lit(average)).alias("weight"), F.least(F.lit(1.0), F.col("w") * F.lit(c)).alias("prob")).alias("__of"))
-    rows = docs.select(F.struct(*columns).alias("__row"), F.concat_ws("\t", *cell).alias("__cell"), draw(id_col, seed).alias("__u"), tokens.alias("__n"), kind.alias("__topic"))
+    of = raked.select(F.struct(*DIMS).alias("__cell"), F.struct((F.col("w") * F.lit(average)).alias("weight"), F.least(F.lit(1.0), F.col("w") * F.lit(c)).alias("prob")).alias("__of"))
+    rows = docs.select(F.struct(*columns).alias("__row"), F.struct(*cell).alias("__cell"), draw(id_col, seed).alias("__u"), tokens.alias("__n"), kind.alias("__topic"))
     if cells.count() <= MAX_BROADCAST:
         rows = rows.join(F.broadcast(of), "__cell", "left")
     else:
