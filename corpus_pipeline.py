@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfacet.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from sparkfacet.llm._spark import checkpoint_dir, ship
+from sparkfacet.llm._spark import checkpoint_dir, ship, written
 from sparkfacet.llm.queries import table, tokenizer_path
 
 
@@ -31,11 +31,15 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group, and every row whose id is null."""
+    """Keeps the smallest id of each group, a null id coming last. Rows are told apart even if they share an id: each has a
+    tag, by which of rows with the smallest id the first stays, and unlike rows of one id are decided apart."""
     ship(spark)
-    groups = ngram_join.jaccard_components(docs)
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    columns = docs.columns
+    tag = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("tag"))
+    rows = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), tag.alias("tag"), F.col("text")))
+    groups = ngram_join.jaccard_components(rows, id_col="tag")
+    gone = groups.filter("component_id < tag").select(F.col("tag.tag").alias("gone"))
+    return rows.join(gone, F.col("tag.tag") == F.col("gone"), "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
