@@ -52,7 +52,7 @@ def written(frame: DataFrame, *by: str) -> DataFrame:
     so that loops of joins don't multiply size estimates. by: columns with a folder for each value."""
     path = f"{checkpoint_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    frame.write.parquet(path, partitionBy=list(by) or None)
+    frame.write.parquet(path, partitionBy=list(by) or None, compression="zstd")
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
