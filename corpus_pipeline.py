@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfacet.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from sparkfacet.llm._spark import checkpoint_dir, ship, written
+from sparkfacet.llm._spark import checkpoint_dir, clean, ship, written
 from sparkfacet.llm.queries import table, tokenizer_path
 
 
@@ -31,15 +31,21 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group, a null id coming last. Rows are told apart even if they share an id: each has a
-    tag, by which of rows with the smallest id the first stays, and unlike rows of one id are decided apart."""
+    """Keeps the smallest id of each group, a null id coming last. Rows are told apart by id and text: unlike rows of one id are
+    decided apart, and of rows with equal id and text one stays. Only keys are written and joined, never texts."""
     ship(spark)
     columns = docs.columns
-    tag = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("tag"))
-    rows = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), tag.alias("tag"), F.col("text")))
-    groups = ngram_join.jaccard_components(rows, id_col="tag")
-    gone = groups.filter("component_id < tag").select(F.col("tag.tag").alias("gone"))
-    return rows.join(gone, F.col("tag.tag") == F.col("gone"), "left_anti").select("row.*")
+    text = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), text.alias("text"))
+    groups = written(ngram_join.jaccard_components(docs.select(key.alias("key"), "text"), id_col="key").select("key", "component_id"))
+    gone = groups.filter("component_id < key").select(F.col("key").alias("__gone")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), key.alias("key"))
+    stay = rows.join(gone, F.col("key") == F.col("__gone"), "left_anti")
+    again = written(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("__again")))
+    if again.isEmpty():
+        return stay.select("row.*")
+    twice = F.col("key") == F.col("__again")
+    return stay.join(again, twice, "left_anti").select("row").unionByName(stay.join(again, twice, "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        clean(spark)  # what the stage wrote on its way
         docs = spark.read.parquet(path)
     return docs
