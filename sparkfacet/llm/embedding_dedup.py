@@ -7,9 +7,11 @@ label that agree on a part are candidates and are reranked by cosine in double p
 part's width follows the number of vectors. Pairs at the cosine threshold itself are planted beside other vectors of the sample, towards
 drawn directions and towards other vectors; tables are drawn until the share RECALL of each kind meets, whatever the width.
 
-Equal vectors are one class. A large bucket is cut into blocks that meet pairwise in separate tasks. A pair that several
-tables find counts in the first one only. What leaves a task is, for each vector, its number of links and one edge to the
-smallest member it is connected with there: never the pairs themselves.
+Equal vectors are one class. Tables hold keys and codes only. A large bucket is cut into blocks that meet pairwise in separate
+tasks; there codes are compared first, and only members with another one within the Hamming radius (that of nearly all planted
+pairs) fetch their vectors, as they came (float or double), and are reranked. A pair that several tables find counts in the
+first one only. What leaves a task is, for each vector, its number of links and one edge to the smallest member it is
+connected with there: never the pairs themselves.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and those without label, link with
 nothing; vectors of different lengths never link; equal vectors link if valid; repeated rows (same id too) count as
@@ -32,6 +34,8 @@ from sparkfacet.llm._spark import components, spread_join, written
 MAX_FIT, ROUNDS, BLOCK, BITS = 20_000, 30, 512, 64
 #: Least share of the pairs at the threshold that meet, and of those planted to see it (more, as they are a sample); these pairs and the most tables of a width.
 RECALL, PLANTED_RECALL, PLANTED, MOST = 0.95, 0.965, 4000, 128
+#: Share of planted pairs that the Hamming radius takes in.
+NEAR = 0.998
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +94,17 @@ def tables(rows: int, bits: int, least: float = 0.93, differ: list[np.ndarray] |
         width -= 1
 
 
-def fit(units: np.ndarray, rows: int, least: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(mean, map, tables). Pairs are planted beside vectors that the map wasn't learned on: it suits its own ones better."""
+def fit(units: np.ndarray, rows: int, least: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], int]:
+    """(mean, map, tables, radius). Pairs are planted beside vectors that the map wasn't learned on: it suits its own ones better."""
     own = np.arange(len(units)) % 5 == 0 if len(units) >= 50 else None
     model = learn_rotation(units if own is None else units[~own])
-    if rows <= BLOCK:
-        return *model, [np.zeros(0, np.int64)]  # all meet
-    return *model, tables(rows, model[1].shape[1], least, planted(units if own is None else units[own], model, least))
+    bits = model[1].shape[1]
+    if len(units) < 50:
+        return *model, [np.zeros(0, np.int64)] if rows <= BLOCK else tables(rows, bits, least), bits
+    differ = planted(units if own is None else units[own], model, least)
+    radius = max((int(np.quantile(d.sum(axis=1), NEAR)) + 1 for d in differ), default=bits)
+    near = [d[d.sum(axis=1) <= radius] for d in differ]
+    return *model, [np.zeros(0, np.int64)] if rows <= BLOCK else tables(rows, bits, least, near), radius  # up to BLOCK all meet
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -106,82 +114,122 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _keyed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, k: key of label and vector or null if it links with nothing, label, v: the components as bytes of doubles)."""
+    """(id, k: key of label and vector or null if it links with nothing, label, v: the components' bytes, float or double as given)."""
     kind = vectors.schema[id_col].dataType.simpleString()
+    number = _number(vectors, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, values = [], []
-            for vector, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                v = None
-                if vector and label is not None and None not in vector:
-                    v = np.array(vector, np.float64) + 0.0  # no negative zeros
-                    v = v if np.isfinite(v).all() and v.any() else None
-                keys.append(None if v is None else hashlib.blake2b(v.tobytes() + b"|" + label.encode(), digest_size=16).digest())
-                values.append(None if v is None else v.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(2), pa.array(values, pa.binary())], names=["id", "k", "label", "v"])
+            lists, labels = batch.column(1), batch.column(2)
+            flat, off = lists.values.to_numpy(zero_copy_only=False).astype(number) + number(0), lists.offsets.to_numpy()  # nulls as NaN, no negative zeros
+            ends = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+            some = np.concatenate([[0], np.cumsum(flat != 0)])
+            good = (ends[off[1:]] == ends[off[:-1]]) & (some[off[1:]] > some[off[:-1]]) & np.array(lists.is_valid()) & np.array(labels.is_valid())
+            keys: list[bytes | None] = [None] * len(good)
+            values: list[bytes | None] = [None] * len(good)
+            for i, label in zip(np.flatnonzero(good).tolist(), labels.filter(pa.array(good)).to_pylist()):
+                values[i] = flat[off[i] : off[i + 1]].tobytes()
+                keys[i] = hashlib.blake2b(values[i] + b"|" + label.encode(), digest_size=16).digest()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), labels, pa.array(values, pa.binary())], names=["id", "k", "label", "v"])
 
     return vectors.select(id_col, vector_col, F.col(label_col).cast("string").alias("label")).mapInArrow(run, f"id {kind}, k binary, label string, v binary")
 
 
+def _number(vectors: DataFrame, vector_col: str) -> type:
+    return np.float32 if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else np.float64
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int = 5000) -> Iterator[pa.Table]:
+    """The rows of sorted batches, a table for each value of the column."""
+    held: list[pa.RecordBatch] = []
+
+    def groups(last: bool) -> Iterator[pa.Table]:
+        nonlocal held
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table.column(column).to_numpy(zero_copy_only=False).astype(object)
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        stop = len(edges) - 1 if last else len(edges) - 2
+        held = table.slice(edges[stop]).to_batches()
+        for a, b in zip(edges[:stop], edges[1 : stop + 1]):
+            yield table.slice(a, b - a)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > rows:
+                yield from groups(False)
+    if held:
+        yield from groups(True)
+
+
 def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, max_fit: int = MAX_FIT) -> DataFrame:
     """id_col, n_links, component_id and kept of each row."""
-    spark = vectors.sparkSession
+    spark, number = vectors.sparkSession, _number(vectors, vector_col)
+    width = np.dtype(number).itemsize
     rows = written(_keyed(vectors, id_col, vector_col, label_col))
     valid = rows.filter("k is not null")
-    classes = written(valid.groupBy("k").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).withColumn("dim", F.length("v") / 8))
+    classes = written(valid.groupBy("k").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).withColumn("dim", (F.length("v") / width).cast("int")))
     n = classes.count()
     main = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if main is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = int(main["dim"])
+    dim = main["dim"]
     sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("k"), "k").limit(max_fit).select("v").toArrow().column("v").to_pylist()
-    units = unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim))
-    mean, turn, parts = fit(units, n, least)
-    model = spark.sparkContext.broadcast((mean, turn, parts))
+    units = unit(np.frombuffer(b"".join(sample), number).reshape(-1, dim))
+    model = spark.sparkContext.broadcast(fit(units, n, least))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, turn, parts = model.value
+        mean, turn, parts, _ = model.value
+        powers = [np.left_shift(1, np.arange(len(p))[::-1]) for p in parts]
         for batch in batches:
-            for i in range(batch.num_rows):
-                v = unit(np.frombuffer(batch.column(2)[i].as_py(), np.float64)[None, :])[0]
-                code = (np.resize(v, len(mean)) - mean) @ turn > 0
-                packed = np.packbits(code).tobytes()
-                at = [int.from_bytes(np.packbits(code[p]).tobytes(), "big") for p in parts]
-                m = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(k)[i].as_py()] * m, batch.column(k).type) for k in range(4)] + [pa.array(range(m), pa.int32()), pa.array(at, pa.int64()), pa.array([packed] * m, pa.binary())], names=["k", "label", "v", "size", "part", "at", "code"])
+            dims = batch.column(2).to_numpy()
+            for d in np.unique(dims).tolist():
+                own = pa.array(np.flatnonzero(dims == d))
+                u = unit(np.frombuffer(b"".join(batch.column(1).take(own).to_pylist()), number).reshape(-1, d))
+                u = u[:, np.arange(len(mean)) % d]  # as long as the model's
+                code = (u - mean) @ turn > 0
+                packed = np.packbits(code, axis=1)
+                at = np.stack([code[:, p] @ w for p, w in zip(parts, powers)], axis=1)
+                m, size = len(parts), len(own)
+                many = pa.array(np.repeat(own.to_numpy(), m))
+                codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), size, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(many), batch.column(3).take(many), batch.column(2).take(many), pa.array(np.tile(np.arange(m, dtype=np.int32), size)), pa.array(at.ravel().astype(np.int64)), codes.take(pa.array(np.repeat(np.arange(size), m)))], names=["k", "label", "dim", "part", "at", "code"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a bucket with another one (of another block, where two meet) within the radius."""
+        radius = model.value[3]
+        for table in whole_groups(batches, "bucket"):
+            if table.num_rows < 2:
+                continue
+            code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            close = np.zeros((len(code), len(code)), np.uint16)
+            for byte in code.T:
+                close += np.bitwise_count(byte[:, None] ^ byte[None, :])
+            meets = close <= radius
+            np.fill_diagonal(meets, False)
+            if table.column("mixed")[0].as_py():
+                block = table.column("block").to_numpy()
+                meets &= block[:, None] != block[None, :]
+            yield from table.filter(pa.array(meets.any(axis=1))).to_batches()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def groups(last: bool):
-            nonlocal held
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table.column("bucket").to_numpy(zero_copy_only=False).astype(object)
-            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            stop = len(edges) - 1 if last else len(edges) - 2
-            found = [_links(table.slice(a, b - a), model.value[2], least) for a, b in zip(edges[:stop], edges[1 : stop + 1]) if b - a > 1]
-            held = table.slice(edges[stop]).to_batches()
-            return [f for f in found if f is not None]
+        for table in whole_groups(batches, "bucket"):
+            found = _links(table, number, model.value[2], model.value[3], least) if table.num_rows > 1 else None
+            if found is not None:
+                yield found
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                if sum(b.num_rows for b in held) > 5000:
-                    yield from groups(False)
-        if held:
-            yield from groups(True)
-
-    indexed = classes.select("k", "label", "v", "size").mapInArrow(index, "k binary, label string, v binary, size long, part int, at long, code binary")
-    indexed = written(indexed.withColumn("bucket", F.concat_ws("|", "part", "at", F.length("v"), "label")))
+    indexed = classes.select("k", "v", "dim", "label").mapInArrow(index, "k binary, label string, dim int, part int, at long, code binary")
+    indexed = written(indexed.select("k", "part", "code", F.concat_ws("|", "part", "at", "dim", "label").alias("bucket")))
     sizes = indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("r")).filter("r > 1")
     meet = spread_join(indexed, written(sizes), "bucket", "r")
     blocks = F.ceil(F.col("r") / BLOCK).cast("int")
     meet = meet.withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     pair = F.concat_ws("|", F.least("block", "with"), F.greatest("block", "with"), "bucket")
-    meet = meet.select(pair.alias("bucket"), (F.least("block", "with") != F.greatest("block", "with")).alias("mixed"), "block", "k", "v", "size", "part", "code")
+    meet = meet.select(pair.alias("bucket"), (F.least("block", "with") != F.greatest("block", "with")).alias("mixed"), "block", "k", "part", "code")
     meet = meet.repartition("bucket").sortWithinPartitions("bucket")
-    links = written(meet.mapInArrow(compare, "k binary, links long, root binary"))
+    close = written(meet.mapInArrow(near, "bucket string, mixed boolean, block int, k binary, part int, code binary"))
+    close = close.join(classes.select("k", "v", "size"), "k").select("bucket", "mixed", "block", "k", "v", "size", "part", "code")
+    links = written(close.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "k binary, links long, root binary"))
     roots = components(links.filter("k != root"), "k", "root")
     counts = links.groupBy("k").agg(F.sum("links").alias("links"))
 
@@ -195,17 +243,16 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return both.withColumnRenamed("id", id_col)
 
 
-def _links(rows: pa.Table, parts: list[np.ndarray], least: float) -> pa.RecordBatch | None:
+def _links(rows: pa.Table, number: type, parts: list[np.ndarray], radius: int, least: float) -> pa.RecordBatch | None:
     """(k, links: rows linked with it here, root: smallest key connected with it here) of a bucket's members that link."""
     k = rows.column("k").to_pylist()
     block, size = rows.column("block").to_numpy(), rows.column("size").to_numpy()
     mixed, part = bool(rows.column("mixed")[0].as_py()), rows.column("part")[0].as_py()
-    v = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(len(k), -1)
-    u = unit(v)
+    u = unit(np.frombuffer(b"".join(rows.column("v").to_pylist()), number).reshape(len(k), -1))
     code = np.unpackbits(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(k), -1), axis=1)
     i, j = np.nonzero(np.triu(u @ u.T >= least - 1e-9, 1))
     if len(i):
-        keep = (u[i] * u[j]).sum(axis=1) >= least
+        keep = ((u[i] * u[j]).sum(axis=1) >= least) & ((code[i] != code[j]).sum(axis=1) <= radius)
         if mixed:
             keep &= block[i] != block[j]
         for t in range(part):  # a pair counts in the first table that finds it

@@ -2,7 +2,7 @@
 
 The automaton accepts every run of words of any template. Words stream through it: after each word it knows the longest
 run, ending there, that occurs in a template (the matching statistics). Maximal runs of at least MIN_RUN words are
-chained per template, in order and with gaps of at most MAX_GAP words, into spans; a span's cover is the part of the template's
+chained per template, in order and with gaps of at most MAX_GAP words in the document and in the template, into spans; a span's cover is the part of the template's
 words in it. Templates are opening terms, whole licence texts and short notices; a label may have several. A span of opening
 terms counts from a cover of MIN_COVER on, one of a whole text from MIN_WORDS words or that cover on, so that any paragraph of it
 is found, and one of a notice from a cover of NOTICE_COVER on. Stretches without MIN_RUN successive known word pairs can't hold a run and are skipped.
@@ -179,7 +179,7 @@ class Scanner:
             near: list[list[int]] = []  # those that may go on
             for first, end, place, n in chains:
                 near = [c for c in near if first - c[1] <= self.max_gap]
-                last = max((c for c in near if place >= c[2] - self.max_gap), key=lambda c: c[3], default=None)
+                last = max((c for c in near if abs(place - c[2]) <= self.max_gap), key=lambda c: c[3], default=None)
                 if last:
                     fresh = max(0, end - max(first, last[1]))
                     last[1], last[2], last[3] = max(last[1], end), max(last[2], place + n), last[3] + fresh

@@ -11,7 +11,8 @@ highest G-squared score, as far as it is beyond what chance gives among so many
 
 Cases: a null or empty text has no features and scores as the cuts alone say; long texts are read whole; repeated rows
 score alike; a label that is null or whose document is missing is not used, and of several labels for an id the largest
-counts; without both toxic and other labels nothing is toxic and severity is 0; extra columns pass through.
+counts; without both toxic and other labels nothing is toxic and severity is 0; an empty table gives an empty result; extra columns
+pass through, but for one named as the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def look_up(words: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[
     return pair // len(words), pair % len(words)
 
 
-def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, max_words: int = MAX_WORDS, steps: int = 300, penalty: float = 2e-4) -> Severity:
+def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, max_words: int = MAX_WORDS, steps: int = 300, penalty: float = 1e-5) -> Severity:
     """hashes, counts: distinct words of each training row, one row after another; toxic: 0 or 1 for each row."""
     none = Severity(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0))
     n, ill = len(toxic), int(toxic.sum())
@@ -131,7 +132,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())], names=["toxic", "words"])
 
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select("__toxic", text_col).mapInArrow(words, "toxic int, words array<long>")
-    table = rows.limit(max_rows).toArrow().combine_chunks()  # an id may repeat in docs
+    table = rows.orderBy(F.xxhash64("words"), "toxic").limit(max_rows).toArrow().combine_chunks()  # an id may repeat in docs: the same rows in each run
     lists = table.column("words").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64()))
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     counts = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
