@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-ACCENTED, PLAIN = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+#: Latin letters with marks, by Unicode's decomposition, and the letters that are left without them.
+_MARKED = {c: base[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if (base := unicodedata.normalize("NFD", c)) != c and "a" <= base[0] <= "z" and all(map(unicodedata.combining, base[1:]))}
+ACCENTED, PLAIN = "".join(_MARKED), "".join(_MARKED.values())
+COMBINING = "[\u0300-\u036f]"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents (Latin letters)."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents and combining marks (Latin letters)."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), COMBINING, "")
+
+
+def index_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Words, decimals whole (1.6), and words joined by - or / once more as one, without stop words, stemmed."""
+    t, point = fold(text), "\u0001"
+    single = F.split(F.regexp_replace(t, "([a-z0-9])[.]([0-9]+)", f"$1{point}$2"), f"[^a-z0-9{point}]+")
+    single = F.transform(single, lambda w: F.translate(w, point, "."))
+    joined = F.transform(F.split(t, "[^a-z0-9/-]+|[/-]{2,}"), lambda w: F.regexp_replace(w, "^[/-]|[/-]$", ""))
+    joined = F.transform(F.filter(joined, lambda w: w.rlike("[/-]")), lambda w: F.translate(w, "-/", ""))
+    every = F.filter(F.concat(single, joined), lambda w: (w != "") & ~w.isin(*(stop or ("",))))
+    return F.transform(every, stem)
 
 
 def stem(word: Column) -> Column:
@@ -89,11 +104,9 @@ def luhn32(code: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """The 32-bit FNV-1a hash of the UTF-8 bytes, as a long."""
-    code = F.hex(F.encode(text, "UTF-8"))
-    octets = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("long"))
-    octets = F.when(F.length(code) > 0, octets).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(4294967295)))
+    """The 32-bit FNV-1a hash of the characters' code points, as a long."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(4294967295)))
 
 
 def looks_like_pn(word: Column) -> Column:

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from sparkfacet.functions import text as X
 from sparkfacet.operators import ranking, spelling, workshop
 from sparkfacet.plans.catalog import _FOLD, _WORDS, query
+from sparkfacet.plans.store import shared_folder
 from sparkfacet.sources import csv
 from sparkfacet.sources.adapters import products, table
 from sparkfacet.streaming import windows
 
 
-def _shared_folder(spark) -> str:
-    """A new folder under the cluster's shared one; a local one only where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkfacet-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
-@query("SELECT p_partkey, list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS hash FROM part")
+@query("SELECT doc_id, list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(list_filter(string_split(split_part(coalesce(text, ''), chr(10), 1), ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS hash FROM documents")
 def fnv_hash(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", X.fnv1a(F.col("p_name")).alias("hash"))
+    """Of each document's first line, accents and all."""
+    return table(spark, sf, "documents").select("doc_id", X.fnv1a(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("hash"))
 
 
 @query(f"""SELECT doc_id, count(*) AS n, min(w) AS first FROM ({_WORDS}) WHERE length(w) >= 3 AND NOT regexp_full_match(w, '(19|20)[0-9][0-9]')
@@ -101,7 +94,7 @@ def mmr_picks(spark, sf):
 
 @query("SELECT i, brand, round(price, 2) AS price, s0 || '; ' || s1 || '; ' || s2 AS stock FROM p ")
 def csv_round_trip(spark, sf):
-    path = _shared_folder(spark)
+    path = shared_folder(spark)
     csv.write_csv(products(spark, sf).select("i", "brand", "price", "stock"), path, ";")
     return csv.read_csv(spark, path).select(F.col("i").cast("long").alias("i"), "brand", F.col("price").cast("double").alias("price"), "stock")
 
@@ -110,4 +103,4 @@ def csv_round_trip(spark, sf):
 SELECT start, event_type, n FROM e WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def stream_windows(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windows.run_table(events, "1 hour", "1 day", _shared_folder(spark))
+    return windows.run_table(events, "1 hour", "1 day", shared_folder(spark))

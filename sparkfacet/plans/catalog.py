@@ -149,7 +149,7 @@ def rrf_fusion(spark, sf):
     return search.rrf(pool, {"quality": (F.desc("rating"), 0.35), "stock": (F.desc("stock_total"), 0.2)}, "i").select("i", F.round("score", 10).alias("score"))
 
 
-_FOLD = f"translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}')"
+_FOLD = f"regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), '{X.COMBINING}', '', 'g')"
 
 
 @query(f"SELECT doc_id, len(list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda w: w <> '')) AS n_words, list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda w: w <> '')[1] AS first_word FROM documents")
