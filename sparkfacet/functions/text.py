@@ -18,15 +18,28 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), COMBINING, "")
 
 
+#: Marks inside raw terms: a decimal point, and the start of a term that was joined by - or /.
+POINT, JOINED = "\u0001", "\u0002"
+
+
+def raw_terms(text: Column) -> Column:
+    """The runs that index terms are made from, by term_of. What can be done once for each distinct run isn't done here."""
+    t = fold(text)
+    single = F.split(F.regexp_replace(t, "([a-z0-9])[.]([0-9]+)", f"$1{POINT}$2"), f"[^a-z0-9{POINT}]+")
+    rest = F.regexp_replace(t, "(?<![a-z0-9/-])[a-z0-9]+(?![a-z0-9/-])", " ")  # few words are joined
+    return F.concat(single, F.transform(F.split(rest, "[^a-z0-9/-]+|[/-]{2,}"), lambda w: F.concat(F.lit(JOINED), w)))
+
+
+def term_of(raw: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Words, decimals whole (1.6), and words joined by - or / once more as one, stemmed; null for stop words and remains."""
+    joined = F.regexp_replace(raw, f"^{JOINED}[/-]?|[/-]$", "")
+    word = F.when(raw.startswith(JOINED), F.when(joined.rlike("[/-]"), F.translate(joined, "-/", ""))).otherwise(F.translate(raw, POINT, "."))
+    return F.when((word != "") & ~word.isin(*(stop or ("",))), stem(word))
+
+
 def index_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Words, decimals whole (1.6), and words joined by - or / once more as one, without stop words, stemmed."""
-    t, point = fold(text), "\u0001"
-    single = F.split(F.regexp_replace(t, "([a-z0-9])[.]([0-9]+)", f"$1{point}$2"), f"[^a-z0-9{point}]+")
-    single = F.transform(single, lambda w: F.translate(w, point, "."))
-    joined = F.transform(F.split(t, "[^a-z0-9/-]+|[/-]{2,}"), lambda w: F.regexp_replace(w, "^[/-]|[/-]$", ""))
-    joined = F.transform(F.filter(joined, lambda w: w.rlike("[/-]")), lambda w: F.translate(w, "-/", ""))
-    every = F.filter(F.concat(single, joined), lambda w: (w != "") & ~w.isin(*(stop or ("",))))
-    return F.transform(every, stem)
+    """The array of a short text's terms."""
+    return F.array_compact(F.transform(raw_terms(text), lambda w: term_of(w, stop)))
 
 
 def stem(word: Column) -> Column:
@@ -43,7 +56,7 @@ def stem(word: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of a-z and digits of the folded text. (Splitting is linear; extracting all matches isn't.)"""
-    return F.filter(F.split(fold(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(fold(text), "[^a-z0-9]+"), "")
 
 
 def norm_pn(text: Column) -> Column:

@@ -12,14 +12,17 @@ K1, B = 1.2, 0.75
 EXACT, PREFIX = 1.0, 0.8
 
 
-def postings(documents: DataFrame, boosts: dict[str, float], analyzer: Callable[[Column], Column]) -> DataFrame:
+def postings(documents: DataFrame, boosts: dict[str, float], cut: Callable[[Column], Column], term: Callable[[Column], Column]) -> DataFrame:
     """(term, doc, tf) of documents (doc and a text column for each field): tf sums the boosts of the fields that a term
-    occurs in, once for each place. Terms are counted within a document before anything shuffles."""
-    def boosted(c: str, boost: float) -> Column:
-        return F.transform(analyzer(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(float(boost)).alias("w")))
-
-    one = F.flatten(F.array(*(boosted(c, w) for c, w in boosts.items())))
-    return documents.select("doc", F.explode(one).alias("x")).groupBy("x.term", "doc").agg(F.sum("x.w").alias("tf"))
+    occurs in, once for each place. cut makes an array of raw runs, term a run's term (null: none): it is called once for
+    each distinct run of a document, after they are counted."""
+    out = None
+    for c, boost in boosts.items():
+        runs = documents.select("doc", F.explode(cut(F.col(c))).alias("raw")).groupBy("doc", "raw").agg(F.count(F.lit(1)).alias("n"))
+        runs = runs.select("doc", "raw", (F.col("n") * float(boost)).alias("w"))
+        out = runs if out is None else out.unionByName(runs)
+    terms = out.select("doc", term(F.col("raw")).alias("term"), "w").filter("term is not null")
+    return terms.groupBy("term", "doc").agg(F.sum("w").alias("tf"))
 
 
 def lengths(index: DataFrame) -> DataFrame:

@@ -71,22 +71,19 @@ def page(frame: DataFrame, order: list[Column], number: int, size: int) -> DataF
     return frame.orderBy(*order).offset(number * size).limit(size)
 
 
-def rrf(frame: DataFrame, signals: dict[str, tuple[Column, float]], key: str, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion: (key, score), the sum of weight / (k + rank); ties rank by key.
-
-    Ranks are dense positions of whole lists, so each list is sorted once by Spark's range partitioning through
-    a window over one partition; callers pass a candidate list, not a corpus.
-    """
+def rrf(frame: DataFrame, signals: dict[str, tuple[Column, float]], key: str, within: str, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion: (key, within, score), the sum of weight / (k + rank) in each list; ties rank by key. Lists are
+    those of the values of within (a query, a category), which are ranked apart from each other."""
     from pyspark.sql import Window
 
-    score = sum((F.lit(w) / (k + F.row_number().over(Window.orderBy(c, key))) for c, w in signals.values()), F.lit(0.0))
-    return frame.select(key, score.alias("score"))
+    score = sum((F.lit(w) / (k + F.row_number().over(Window.partitionBy(within).orderBy(c, key))) for c, w in signals.values()), F.lit(0.0))
+    return frame.select(key, within, score.alias("score"))
 
 
 def bm25f(documents: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score, hits) of documents (doc_id, terms: array of stemmed words) for the query's words. N, average length
+    """(doc_id, score, hits) of documents (doc_id, dl: number of words, terms: stemmed words, at least those of the query). N, average length
     and document frequencies are taken over all documents in one aggregation; only matching documents are scored."""
-    base = documents.select("doc_id", F.size("terms").alias("dl"), *(_tf(q).alias(f"tf{k}") for k, q in enumerate(query)))
+    base = documents.select("doc_id", "dl", *(_tf(q).alias(f"tf{k}") for k, q in enumerate(query)))
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(query))))
     joined = base.filter(" or ".join(f"tf{k} > 0" for k in range(len(query)))).join(F.broadcast(stats))  # one row
     score, hits = F.lit(0.0), F.lit(0)

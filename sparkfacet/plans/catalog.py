@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfacet.functions import text as X
-from sparkfacet.operators import fitment, orders, search, trust
-from sparkfacet.sources.adapters import PRODUCTS_SQL, products, table, tier_rank
+from sparkfacet.operators import fitment, orders, search, service, trust
+from sparkfacet.plans.store import stored
+from sparkfacet.sources.adapters import PRODUCTS_SQL, dealt, products, table, tier_rank
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,12 +82,6 @@ def deals(spark, sf):
     return search.page(products(spark, sf).filter("on_sale AND stock_total > 0").select("i", "rating"), [F.desc("rating"), F.col("i")], 0, 10)
 
 
-@query("SELECT variant, category, count(DISTINCT tier) AS tiers, min(struct_pack(price, i)).i AS cheapest FROM p GROUP BY variant, category HAVING count(DISTINCT tier) = 4")
-def tier_showcase(spark, sf):
-    g = products(spark, sf).groupBy("variant", "category").agg(F.count_distinct("tier").alias("tiers"), F.min_by("i", F.struct("price", "i")).alias("cheapest"))
-    return g.filter("tiers = 4")
-
-
 _PRIOR = "(SELECT sum(rating * reviews) / sum(reviews) FROM p )"
 
 
@@ -122,7 +117,8 @@ def value_index(spark, sf):
 
 @query("SELECT i, rank() OVER (PARTITION BY part_type, tier ORDER BY price) - 1 AS below, count(*) OVER (PARTITION BY part_type, tier) AS market FROM p ")
 def fair_price(spark, sf):
-    return trust.fair_price(products(spark, sf)).select("i", F.col("below").cast("long").alias("below"), "market")
+    p = products(spark, sf).select("i", "part_type", "tier", "price")
+    return p.join(service.market(p), ["part_type", "tier", "price"]).select("i", "below", F.col("n").alias("market"))
 
 
 @query("SELECT variant, category, arg_max(i, struct_pack(s := rating, i := -i)) AS i, count(*) AS members FROM p GROUP BY variant, category HAVING count(*) >= 3")
@@ -141,12 +137,10 @@ def quality_prior(spark, sf):
     return products(spark, sf).select("i", F.round(F.col("rating") * F.log1p(F.col("reviews") + 1), 6).alias("quality"))
 
 
-@query("""SELECT i, round(0.35::DOUBLE / (60 + row_number() OVER (ORDER BY rating DESC, i)) + 0.2::DOUBLE / (60 + row_number() OVER (ORDER BY stock_total DESC, i)), 10) AS score FROM p WHERE category = (SELECT min(category) FROM p ) ORDER BY i""")
+@query("""SELECT i, category, round(0.35::DOUBLE / (60 + row_number() OVER (PARTITION BY category ORDER BY rating DESC, i)) + 0.2::DOUBLE / (60 + row_number() OVER (PARTITION BY category ORDER BY stock_total DESC, i)), 10) AS score FROM p """)
 def rrf_fusion(spark, sf):
-    p = products(spark, sf)
-    first = p.agg(F.min("category").alias("category"))
-    pool = p.join(F.broadcast(first), "category", "left_semi")  # one row
-    return search.rrf(pool, {"quality": (F.desc("rating"), 0.35), "stock": (F.desc("stock_total"), 0.2)}, "i").select("i", F.round("score", 10).alias("score"))
+    """Fused ranks of every product within its category."""
+    return search.rrf(products(spark, sf), {"quality": (F.desc("rating"), 0.35), "stock": (F.desc("stock_total"), 0.2)}, "i", "category").select("i", "category", F.round("score", 10).alias("score"))
 
 
 _FOLD = f"regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), '{X.COMBINING}', '', 'g')"
@@ -154,7 +148,7 @@ _FOLD = f"regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), '{
 
 @query(f"SELECT doc_id, len(list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda w: w <> '')) AS n_words, list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda w: w <> '')[1] AS first_word FROM documents")
 def fold_tokens(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
+    w = document_words(spark, sf).select("doc_id", F.col("words").alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.get("w", F.lit(0)).alias("first_word"))
 
 
@@ -162,9 +156,15 @@ _STEM = """CASE WHEN length(w) <= 3 OR regexp_matches(w, '[0-9]') THEN w WHEN w
 _WORDS = f"SELECT doc_id, unnest(list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents"
 
 
+def document_words(spark, sf):
+    """(doc_id, words) of all documents, cut into words once for all queries."""
+    return stored(spark, sf, "document-words", lambda: dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.words(F.col("text")).alias("words")))
+
+
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, {_STEM} AS term FROM ({_WORDS})) GROUP BY term")
 def postings_stats(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("w")).groupBy("doc_id", X.stem(F.col("w")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    words = document_words(spark, sf).select("doc_id", F.explode("words").alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))  # words are counted before they are stemmed
+    t = words.groupBy("doc_id", X.stem(F.col("w")).alias("term")).agg(F.sum("n").alias("tf"))
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
@@ -172,8 +172,10 @@ def postings_stats(spark, sf):
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (c > 0) AS dc FROM d)
 SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - dc + 0.5) / (dc + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score, CAST(CAST(a > 0 AS INTEGER) + CAST(c > 0 AS INTEGER) AS INTEGER) AS hits FROM d, s WHERE a > 0 OR c > 0""")
 def bm25f(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.transform(X.words(F.col("text")), X.stem).alias("terms"))
-    return search.bm25f(docs, ["the", "und"]).select("doc_id", F.round("score", 6).alias("score"), "hits")
+    query = ["the", "und"]
+    may = F.array(*map(F.lit, query), *(F.lit(q + end) for q in query for end in ("s", "es")))  # what can be stemmed to a query's word
+    docs = document_words(spark, sf).select("doc_id", F.size("words").alias("dl"), F.transform(F.filter("words", lambda w: F.array_contains(may, w)), X.stem).alias("terms"))
+    return search.bm25f(docs, query).select("doc_id", F.round("score", 6).alias("score"), "hits")
 
 
 @query("SELECT DISTINCT term FROM (SELECT lower(p_name) AS name FROM part), unnest(string_split(name, ' ')) AS t(term) WHERE term LIKE 'b%' ORDER BY term LIMIT 48")
@@ -194,15 +196,12 @@ def phonetic_index(spark, sf):
     return w.select("word", X.phonetic_key(F.col("word")).alias("key"))
 
 
-@query("SELECT variant, category, list_sort(list(i))[1] AS first, count(*) AS members FROM p GROUP BY variant, category")
+@query("SELECT x.i, y.i AS other FROM p x JOIN p y ON x.variant = y.variant AND x.category = y.category AND x.part_type = y.part_type AND x.tier = y.tier AND x.brand = y.brand AND x.i <> y.i")
 def group_equivalents(spark, sf):
-    return products(spark, sf).groupBy("variant", "category").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("members"))
-
-
-@query("SELECT i, part_type, rn FROM (SELECT i, part_type, row_number() OVER (PARTITION BY part_type ORDER BY rating DESC, i) AS rn FROM p ) WHERE rn <= 2")
-def related_products(spark, sf):
-    w = Window.partitionBy("part_type").orderBy(F.desc("rating"), "i")
-    return products(spark, sf).select("i", "part_type", F.row_number().over(w).cast("long").alias("rn")).filter("rn <= 2")
+    """The other members of each product's group."""
+    keys = ["variant", "category", "part_type", "tier", "brand"]
+    p = products(spark, sf).select("i", *keys)
+    return p.join(p.withColumnRenamed("i", "other"), keys).filter("i <> other").select("i", "other")
 
 
 _LINES = "SELECT l_orderkey AS cart, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents, CAST(l_quantity AS BIGINT) AS qty FROM lineitem JOIN part ON p_partkey = l_partkey"
@@ -218,10 +217,11 @@ def cart_totals(spark, sf):
     return orders.cart_totals(_lines(spark, sf))
 
 
-@query("SELECT o_orderkey AS cart FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)")
+@query("SELECT l_orderkey AS cart, l_linenumber AS line, l_partkey + l_partkey % 7 * 100000000 AS asked FROM lineitem WHERE l_partkey + l_partkey % 7 * 100000000 NOT IN (SELECT p_partkey FROM part)")
 def cart_missing(spark, sf):
-    big = table(spark, sf, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("cart"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("cart")).join(big, "cart", "left_anti")
+    """Lines that ask for what isn't in the inventory (here, ids that six in seven parts don't have)."""
+    asked = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("cart"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") + F.col("l_partkey") % 7 * 100000000).alias("asked"))
+    return asked.join(table(spark, sf, "part").select(F.col("p_partkey").alias("asked")), "asked", "left_anti").select("cart", "line", "asked")
 
 
 @query("""SELECT cart, CASE WHEN bool_and(s0 >= q) THEN '0' WHEN bool_and(s2 >= q) THEN '2' WHEN bool_and(s1 >= q) THEN '1' WHEN bool_and(greatest(s0, s2) >= q) THEN '02' WHEN bool_and(greatest(s0, s1) >= q) THEN '01' WHEN bool_and(greatest(s1, s2) >= q) THEN '12' WHEN bool_and(greatest(s0, s1, s2) >= q) THEN '012' END AS warehouses
@@ -270,11 +270,16 @@ _COVER = "c AS (SELECT DISTINCT l_suppkey AS item, n_regionkey AS gen, CAST(year
 
 
 def _covered(spark, sf):
+    return stored(spark, sf, "covered-by-supplier", lambda: _cover(spark, sf))
+
+
+def _cover(spark, sf):
     customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("gen"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderpriority").alias("engine"))
     of = o.join(customer, "o_custkey").join(nation, "n_nationkey")
-    return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("item")).join(of, "l_orderkey").select("item", "gen", "year", "engine").distinct()
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("item")).distinct()  # fewer rows before they shuffle
+    return lines.join(of.select("l_orderkey", "gen", "year", "engine"), "l_orderkey").select("item", "gen", "year", "engine").distinct()
 
 
 @query(f"""WITH {_COVER}, u AS (SELECT gen, count(DISTINCT year) AS years, count(DISTINCT engine) AS engines FROM c GROUP BY gen),
@@ -285,9 +290,9 @@ def fit_compact(spark, sf):
     return fitment.compact(c, c.select("gen", "year", "engine").distinct())
 
 
-@query(f"WITH {_COVER} SELECT item, gen, min(year) AS first, max(year) AS last FROM (SELECT *, year - row_number() OVER (PARTITION BY item, gen ORDER BY year) AS run FROM (SELECT DISTINCT item, gen, year FROM c WHERE engine = '1-URGENT')) GROUP BY item, gen, run")
+@query(f"WITH {_COVER} SELECT item, gen, min(year) AS first, max(year) AS last FROM (SELECT *, year - row_number() OVER (PARTITION BY item, gen ORDER BY year) AS run FROM (SELECT DISTINCT item, gen, year FROM c)) GROUP BY item, gen, run")
 def year_islands(spark, sf):
-    return fitment.islands(_covered(spark, sf).filter("engine = '1-URGENT'"))
+    return fitment.islands(_covered(spark, sf))
 
 
 @query(f"""WITH {_COVER}, s AS (SELECT item, gen, year, string_agg(engine, '+' ORDER BY engine) AS engines FROM c GROUP BY ALL),
@@ -303,22 +308,12 @@ def fit_assess(spark, sf):
     return fitment.assess(c, c.select("gen", "year", "engine").distinct(), 1)
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 12")
-def issues_summary(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(12)
-
-
 @query("SELECT i, first_value(i) OVER (PARTITION BY brand, category, variant ORDER BY i) AS first, row_number() OVER (PARTITION BY brand, category, variant ORDER BY i) > 1 AS duplicate FROM p ")
 def dedupe_rows(spark, sf):
     w = Window.partitionBy("brand", "category", "variant").orderBy("i")
     return products(spark, sf).select("i", F.first("i").over(w).alias("first"), (F.row_number().over(w) > 1).alias("duplicate"))
 
 
-@query("SELECT brand, list_sort(list_distinct(list(part_type)))[1] AS first_type, count(DISTINCT part_type) AS types FROM p GROUP BY brand")
-def brand_inherit(spark, sf):
-    return products(spark, sf).groupBy("brand").agg(F.min("part_type").alias("first_type"), F.count_distinct("part_type").alias("types"))
-
-
 @query("SELECT DISTINCT part_type AS cause, symptom FROM (SELECT part_type, category AS symptom FROM p WHERE stock_total > 0)")
 def symptom_causes(spark, sf):
     return products(spark, sf).filter("stock_total > 0").select(F.col("part_type").alias("cause"), F.col("category").alias("symptom")).distinct()

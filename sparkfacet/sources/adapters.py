@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(frame: DataFrame) -> DataFrame:
+    """The rows, dealt out anew if they lie in fewer parts than there are cores (a small file of one row group is read by one
+    task); large tables have more parts and aren't moved."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def tier_of(size: Column) -> Column:
     return F.when(size <= 12, TIERS[0]).when(size <= 25, TIERS[1]).when(size <= 38, TIERS[2]).otherwise(TIERS[3])
 
