@@ -97,9 +97,9 @@ def types_by_fit(spark, sf):
 
 @query(f"""{ALL}, t AS (SELECT vehicle, count(*) AS configs FROM vc GROUP BY vehicle), h AS (SELECT vehicle, item, count(*) AS fitting FROM (SELECT DISTINCT vehicle, item, gen, year, engine FROM (SELECT vehicle, gen, year, engine, {KEYS_OF} AS key FROM vc) JOIN f USING (key)) GROUP BY ALL)
 SELECT vehicle, item, fitting, configs, CASE WHEN fitting = configs THEN 'confirmed' ELSE 'conditional' END AS verdict, CASE WHEN fitting = configs THEN 1.0::DOUBLE ELSE floor(fitting * 100::DOUBLE / configs + 0.5) / 100 END AS share, CASE WHEN fitting = configs THEN 'fits all ' || configs ELSE 'fits ' || fitting || ' of ' || configs END || ' configurations' AS reason FROM h JOIN t USING (vehicle)
-UNION ALL SELECT NULL, item, 0, 0, 'universal', 0.7::DOUBLE, 'fits any vehicle' FROM f WHERE key = '*'""")
+UNION ALL SELECT -1, item, 0, 0, 'universal', 0.7::DOUBLE, 'fits any vehicle' FROM f WHERE key = '*'""")
 def fit_verdicts(spark, sf):
-    return vehicles.assess(fits(spark, sf), garage(spark, sf), universe(spark, sf))
+    return vehicles.assess(fits(spark, sf), garage(spark, sf), universe(spark, sf)).fillna(-1, ["vehicle"])  # -1: any
 
 
 @query(f"WITH {FITS} SELECT item, CASE WHEN bool_or(key = '*') THEN 'universal' WHEN bool_or(split_part(key, ':', 1) IN ('y', 'ye')) THEN 'by year' ELSE 'by generation' END AS summary, string_agg(key, '+' ORDER BY key) AS fit_id FROM f GROUP BY item")

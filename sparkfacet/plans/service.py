@@ -151,9 +151,9 @@ def client_keys(spark, sf):
     return table(spark, sf, "events").select("event_id", service.client_key(header, F.concat(F.lit("192.168.1."), u)).alias("client"))
 
 
-@query("SELECT i, CASE WHEN s0 > 0 THEN 0 WHEN s2 > 0 THEN 2 WHEN s1 > 0 THEN 1 END AS warehouse, stock_total < 5 AS low, CASE WHEN s0 > 0 THEN 'in 1 days' WHEN s2 > 0 THEN 'in 2 days' WHEN s1 > 0 THEN 'in 4 days' ELSE 'out of stock' END AS text FROM p ")
+@query("SELECT i, CASE WHEN s0 > 0 THEN 0 WHEN s2 > 0 THEN 2 WHEN s1 > 0 THEN 1 ELSE -1 END AS warehouse, stock_total < 5 AS low, CASE WHEN s0 > 0 THEN 'in 1 days' WHEN s2 > 0 THEN 'in 2 days' WHEN s1 > 0 THEN 'in 4 days' ELSE 'out of stock' END AS text FROM p ")
 def availability(spark, sf):
-    return products(spark, sf).select("i", service.availability(F.col("stock"), [1, 4, 2]).alias("a")).select("i", "a.*")
+    return products(spark, sf).select("i", service.availability(F.col("stock"), [1, 4, 2]).alias("a")).select("i", "a.*").fillna(-1, ["warehouse"])  # -1: none
 
 
 _RELATED = "ty AS (SELECT x.p_type AS part_type, y.p_type AS related FROM (SELECT DISTINCT p_type FROM part) x JOIN (SELECT DISTINCT p_type FROM part) y ON x.p_type <> y.p_type AND (ascii(x.p_type) + ascii(y.p_type)) % 2 = 0)"
