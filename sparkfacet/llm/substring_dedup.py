@@ -6,16 +6,21 @@ A string of LENGTH bytes that also starts earlier (in a document of smaller id,
    35 positions or so is an anchor. Their hashes are counted over the corpus; those that occur twice go into a bit
    field of bounded size (when a corpus outgrows it, more windows are looked at, and the result is the same).
 2. The windows of one anchor, next to each other, form a block. Equal blocks: all but the first are removed whole.
-3. First blocks meet by their anchor's Q-gram, the initial bucket. There the windows' Q-gram buckets are refined by sorting on
-   pairs of bucket identifiers: those at offsets 0 and Q give buckets of 2Q bytes, and these in turn, at offsets 0 and
-   LENGTH - 2Q, those of whole windows. In each last bucket all windows but the first are removed.
+3. First blocks meet by their anchor's Q-gram, the initial bucket. There every position points to the bucket of its first START
+   bytes, and buckets are refined by sorting on the pair of bucket pointers at a position and at a later offset; the pointers
+   that this gives are used again, for strings of twice the length, until whole windows are told apart. Positions alone in
+   their bucket drop out. In each last bucket all windows but the first are removed. Bytes decide, not hashes.
+4. An anchor with more than HEAVY places, as at the edges of a passage that many documents share, isn't gathered: its blocks
+   are written as they are, their windows get the bucket identifiers of their Q-grams as a key, keys that can't occur twice
+   are sieved out by a bit field, and the others are grouped, so that such an anchor spreads over all tasks.
 
 A task sends a block's bytes only when it is new to the task or starts earlier than what was sent, so a passage that many
 documents share meets in one place as often as there are tasks, not as there are documents.
 
 Cases: a null text is an empty text; texts shorter than LENGTH lose nothing; equal rows (same id and text) count as one
 document and get equal results; rows of one id but different texts are ordered by a hash of the text; a null id comes
-after all others; an empty table gives an empty result; positions are those of the UTF-8 bytes.
+after all others; an empty table gives an empty result; positions are those of the UTF-8 bytes;
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,9 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfacet.llm._arrow import BASE, gather, mix, slices, text_buffers
-from sparkfacet.llm._spark import marked, spread_join, written
+from sparkfacet.llm._spark import bit_field, field_bits, marked, spread_join, written
 
 LENGTH, Q = 100, 32
+#: Length of the strings of the first buckets: a 64-bit number.
+START = 8
+#: Places of an anchor up to which its blocks meet in one task: 1.7 MB of blocks.
+HEAVY = 10_000
 #: Q-grams in a window.
 WIDE = LENGTH - Q + 1
 SLICE = 500_000
@@ -86,16 +95,20 @@ def _texts(batches: Iterator[pa.RecordBatch]):
             yield batch.column(0)[a:b], ids[a:b], x, part, off
 
 
+def _marked(heads: np.ndarray, field: bytes, bits: int) -> np.ndarray:
+    """Whether the field holds the heads (longs)."""
+    at, marks = heads % bits, np.frombuffer(field, np.uint8)  # as pmod
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _flagged(batches: Iterator[pa.RecordBatch], field: bytes, bits: int):
     """(d, x, first window in its document, bytes, anchor's hash, two hashes of the block, start in part, part) of marked blocks."""
-    marks = np.frombuffer(field, np.uint8)
     for _, d, x, part, off in _texts(batches):
         row, first, last, anchor, h = blocks(part, off)
         if not len(row):
             continue
         head = h[anchor]
-        at = head.view(np.int64) % bits  # as pmod
-        keep = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        keep = _marked(head.view(np.int64), field, bits)
         row, first, last, head, anchor = row[keep], first[keep], last[keep], head[keep], anchor[keep]
         one, two = (anchor - first).astype(np.uint64), (last - first).astype(np.uint64) + _B
         for k in range(0, WIDE + LENGTH, Q):  # Q-grams that cover the block
@@ -106,18 +119,47 @@ def _flagged(batches: Iterator[pa.RecordBatch], field: bytes, bits: int):
 
 def repeated_windows(starts: np.ndarray, lengths: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Which windows of blocks (in order of their place) occur in an earlier window of them: a flag for each window of each block."""
-    h = gram_hashes(raw)
-    # buckets of 2Q bytes: pairs of Q-gram buckets
-    wide = lengths - 2 * Q + 1
-    at = gather(np.arange(len(raw)), starts, wide)
-    _, pair = np.unique(mix(h[at] * _A + h[at + Q]), return_inverse=True)
-    # buckets of LENGTH bytes: pairs of these
+    room = np.repeat(starts + lengths, lengths) - np.arange(len(raw))  # bytes from a position to the end of its block
+    at, span, first = np.flatnonzero(room >= START), START, np.zeros(0, np.int64)
+    key = np.ndarray(len(raw) - START + 1, "<u8", raw, strides=(1,))[at]
+    pointer = np.full(len(raw), -1)  # to the position's bucket; -1: no other string of the block is equal
+    while True:
+        _, first, bucket, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        pointer[:] = -1
+        shared = size[bucket] > 1
+        pointer[at[shared]] = bucket[shared]
+        if span == LENGTH:
+            break
+        step = min(span, LENGTH - span)
+        at = at[shared]
+        at = at[room[at] >= span + step]
+        at = at[pointer[at + step] >= 0]
+        key = pointer[at] << 32 | pointer[at + step]
+        span += step
+    later = pointer >= 0
+    later[at[first]] = False
+    return later[gather(np.arange(len(raw)), starts, lengths - LENGTH + 1)]
+
+
+def window_keys(block: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, start in it, two keys) of each window of the blocks: the keys mix the identifiers of the Q-grams that cover it."""
+    parts = block.to_pylist()
+    lengths = np.array([len(p) for p in parts], np.int64)
     many = lengths - LENGTH + 1
-    own = np.cumsum(wide) - wide
-    at = gather(np.arange(len(pair)), own, many)
-    key = pair[at].astype(np.uint64) << np.uint64(32) | pair[at + LENGTH - 2 * Q].astype(np.uint64)
-    _, index, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return index[inverse] != np.arange(len(key))
+    h = gram_hashes(np.frombuffer(b"".join(parts), np.uint8))
+    at = gather(np.arange(int(lengths.sum())), np.cumsum(lengths) - lengths, many)
+    one, two = np.zeros(len(at), np.uint64), np.full(len(at), _B)
+    for k in (*range(0, LENGTH - Q, Q), LENGTH - Q):
+        one, two = mix(one * _A + h[at + k]), mix(two * _B + h[at + k])
+    own = np.repeat(np.arange(len(parts)), many)
+    return own, np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many), one.view(np.int64), two.view(np.int64)
+
+
+def _later(rows: DataFrame) -> DataFrame:
+    """(d, x, s, e) of the strings that equal an earlier one. Rows: one and two (the string's keys), d, x, s (its place), n (its length)."""
+    rows = rows.select(F.struct("one", "two").alias("block"), "d", "x", "s", "n")
+    firsts = rows.groupBy("block").agg(F.min(F.struct("d", "x", "s")).alias("first"), F.count(F.lit(1)).alias("r")).filter("r > 1")
+    return spread_join(rows, written(firsts), "block", "r").filter(F.struct("d", "x", "s") != F.col("first")).select("d", "x", "s", (F.col("s") + F.col("n")).alias("e"))
 
 
 def _runs(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,8 +196,11 @@ def _refine(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"d": c["d"][own], "x": c["x"][own], "s": s, "e": s + (last - first) + LENGTH})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes, spans (array of struct<start, end>: maximal removed runs of bytes) and kept (binary) of each row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """id_col, n_bytes, spans (array of struct<start, end>: maximal removed runs of bytes) and kept (binary) of each row.
+
+    heavy: anchors with more places spread over tasks; the result is the same.
+    """
     spark, two = docs.sparkSession, docs.select(id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     send = spark.sparkContext.broadcast
@@ -165,19 +210,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _, _, _, anchor, h = blocks(part, off)
             yield pa.RecordBatch.from_arrays([pa.array(h[anchor].view(np.int64))], names=["h"])
 
-    twice = two.mapInArrow(anchors, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    field, bits = marked(twice.select(F.col("h").alias("head")), 1)
-    marks = send(field)
+    twice = written(two.mapInArrow(anchors, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot = twice.filter(F.col("n") > heavy)
+    known, hot_anchors, hot_places = twice.agg(F.count("n"), F.count(F.when(F.col("n") > heavy, 1)), F.coalesce(F.sum(F.when(F.col("n") > heavy, F.col("n"))), F.lit(0))).first()
+    bits, hot_bits = field_bits(known), field_bits(hot_anchors)
+    marks = send(bit_field(twice.select("h"), bits, 1))
+    hot_marks = send(bit_field(hot.select("h"), hot_bits, 1))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, x, s, n, _, one, other, _, _ in _flagged(batches, marks.value, bits):
             yield pa.RecordBatch.from_pydict({"one": one.view(np.int64), "two": other.view(np.int64), "d": d, "x": x, "s": s, "n": n})
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contents(batches: Iterator[pa.RecordBatch], spread: bool) -> Iterator[pa.RecordBatch]:
         sent: dict[tuple[int, int], tuple[int, int, int]] = {}
         for d, x, s, n, h, one, other, first, part in _flagged(batches, marks.value, bits):
+            own = np.flatnonzero(_marked(h.view(np.int64), hot_marks.value, hot_bits) == spread)
             keep, text = [], part.tobytes()
-            for k, (key, place) in enumerate(zip(zip(one.tolist(), other.tolist()), zip(d.tolist(), x.tolist(), s.tolist()))):
+            for k, key, place in zip(own.tolist(), zip(one[own].tolist(), other[own].tolist()), zip(d[own].tolist(), x[own].tolist(), s[own].tolist())):
                 before = sent.get(key)
                 if before is None or place < before:
                     if len(sent) < 500_000 or before is not None:  # beyond, equal blocks are sent again: slower, not different
@@ -203,12 +252,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield _refine(pa.Table.from_batches(held))
 
     # blocks that equal an earlier one go whole; the first of each goes through the refinement
-    rows = two.mapInArrow(places, "one long, two long, d long, x long, s long, n long")
-    rows = rows.select(F.struct("one", "two").alias("block"), "d", "x", "s", "n")
-    firsts = rows.groupBy("block").agg(F.min(F.struct("d", "x", "s")).alias("first"), F.count(F.lit(1)).alias("r")).filter("r > 1")
-    again = spread_join(rows, written(firsts), "block", "r").filter(F.struct("d", "x", "s") != F.col("first")).select("d", "x", "s", (F.col("s") + F.col("n")).alias("e"))
-    met = two.mapInArrow(contents, "h long, one long, two long, d long, x long, s long, block binary").repartition("h").sortWithinPartitions("h")
+    again = _later(two.mapInArrow(places, "one long, two long, d long, x long, s long, n long"))
+    fields = "h long, one long, two long, d long, x long, s long, block binary"
+    met = two.mapInArrow(lambda batches: contents(batches, False), fields).repartition("h").sortWithinPartitions("h")
     gone = again.unionByName(met.mapInArrow(refine, "d long, x long, s long, e long"))
+    if hot_anchors:
+        spread = written(two.mapInArrow(lambda batches: contents(batches, True), fields).select("d", "x", "s", "block"))
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(window_keys(batch.column(3))[2])], names=["one"])
+
+        window_bits = field_bits(WIDE * hot_places)
+        met_twice = send(bit_field(spread.mapInArrow(keys, "one long"), window_bits, 2))
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    own, start, one, other = window_keys(batch.column(3))
+                    k = np.flatnonzero(_marked(one, met_twice.value, window_bits))
+                    d, x, s = (batch.column(c).to_numpy()[own[k]] for c in range(3))
+                    yield pa.RecordBatch.from_pydict({"one": one[k], "two": other[k], "d": d, "x": x, "s": s + start[k], "n": np.full(len(k), LENGTH)})
+
+        gone = gone.unionByName(_later(spread.mapInArrow(windows, "one long, two long, d long, x long, s long, n long")))
     cuts = written(gone.groupBy("d", "x").agg(F.collect_list(F.struct("s", "e")).alias("cuts")))
 
     # texts that lose nothing pass straight through; the others meet their cuts
@@ -217,19 +284,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result = f"id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def loses(x: np.ndarray) -> np.ndarray:
-        at, m = x % size, np.frombuffer(losers.value, np.uint8)
-        return (m[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, x, part, off in _texts(batches):
-            k = np.flatnonzero(~loses(x))
+            k = np.flatnonzero(~_marked(x, losers.value, size))
             text, n = part.tobytes(), off[k + 1] - off[k]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), pa.array(n), pa.array([[]] * len(k), pa.list_(span)), pa.array([text[a:b] for a, b in zip(off[k].tolist(), off[k + 1].tolist())], pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
     def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, d, x, part, off in _texts(batches):
-            k = np.flatnonzero(loses(x))
+            k = np.flatnonzero(_marked(x, losers.value, size))
             text = part.tobytes()
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), pa.array(d[k]), pa.array(x[k]), pa.array([text[a:b] for a, b in zip(off[k].tolist(), off[k + 1].tolist())], pa.binary())], names=["id", "d", "x", "bytes"])
 

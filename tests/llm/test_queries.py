@@ -57,19 +57,63 @@ def test_pii(spark, docs):
         assert set(joined) <= set(r.spans.split(","))  or not joined
 
 
-def test_suffix_dedup(spark, docs):
-    got, seen = rows(spark, "op4_suffix_dedup"), set()
-    for i in sorted(docs):
-        b = docs[i].encode()
+def without_repeats(texts):
+    """(kept bytes, removed bytes, removed runs) of each text, by a set of all strings of 100 bytes before it."""
+    out, seen = {}, set()
+    for i in sorted(texts):
+        b = texts[i].encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
             if b[p : p + 100] in seen:
                 gone[p : p + 100] = b"\1" * 100
             seen.add(b[p : p + 100])
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        runs = len(re.findall(rb"\x01+", bytes(gone)))
+        out[i] = bytes(x for x, g in zip(b, gone) if not g), sum(gone), len(re.findall(rb"\x01+", bytes(gone)))
+    return out
+
+
+def test_suffix_dedup(spark, docs):
+    got = rows(spark, "op4_suffix_dedup")
+    for i, (kept, removed, runs) in without_repeats(docs).items():
         r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), runs, sha(kept))
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(docs[i].encode()), removed, runs, sha(kept))
+
+
+def test_passages_of_many_documents(spark):
+    """A passage in each document, between words of its own: anchors at its edges spread over tasks, or none does."""
+    import random
+
+    from sparkfacet.llm.substring_dedup import remove_repeats
+
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(40))
+
+    def own():
+        return " ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30)))
+
+    texts = {i: f"{own()} {passage[rng.randrange(40) if i % 3 else 0:]} {own()}" for i in range(60)} | {60: "ab" * 300, 61: "x" + "ab" * 300, 62: "", 63: passage}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = without_repeats(texts)
+    for heavy in (1, 8, 10_000):
+        got = {r.doc_id: r for r in remove_repeats(frame, heavy=heavy).collect()}
+        assert {i: (bytes(r.kept), sum(s.end - s.start for s in r.spans), len(r.spans)) for i, r in got.items()} == want
+
+
+def test_refinement_of_buckets():
+    """The flags of windows in blocks, against a set of their bytes; few letters, so that strings repeat and overlap."""
+    import numpy as np
+
+    from sparkfacet.llm.substring_dedup import repeated_windows
+
+    rng = np.random.default_rng(4)
+    for letters in (1, 2, 250):
+        stock = rng.integers(0, letters, 400).astype(np.uint8)
+        parts = [stock[a : a + n].tobytes() for a, n in zip(rng.integers(0, 250, 50).tolist(), rng.integers(100, 151, 50).tolist())]
+        lengths, seen, want = np.array([len(p) for p in parts]), set(), []
+        for p in parts:
+            for k in range(len(p) - 99):
+                want.append(p[k : k + 100] in seen)
+                seen.add(p[k : k + 100])
+        assert repeated_windows(np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(parts), np.uint8)).tolist() == want
 
 
 def test_itq_dedup(spark):
