@@ -175,11 +175,12 @@ def _runs(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _refine(rows: pa.Table) -> pa.RecordBatch:
-    """(d, x, s, e) of the removed strings of first blocks. Rows of whole anchors: h, one, two, d, x, s, block."""
-    c = {n: rows.column(n).to_numpy() for n in ("h", "one", "two", "d", "x", "s")}
-    order = np.lexsort((c["s"], c["x"], c["d"], c["two"], c["one"], c["h"]))
-    h, one, two = c["h"][order], c["one"][order], c["two"][order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    """(d, x, s, e) of the removed strings of first blocks. Rows of whole anchors: h, d, x, s, block."""
+    c = {n: rows.column(n).to_numpy() for n in ("h", "d", "x", "s")}
+    same = rows.column("block").combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.lexsort((c["s"], c["x"], c["d"], same, c["h"]))
+    h, same = c["h"][order], same[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (same[1:] != same[:-1])])
     order, h = order[new], h[new]  # the first of equal blocks
     edge = np.concatenate([[True], h[1:] != h[:-1]])
     alone = edge & np.append(edge[1:], True)
@@ -234,7 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     keep.append(k)
             if keep:
                 k = np.array(keep)
-                yield pa.RecordBatch.from_pydict({"h": h[k].view(np.int64), "one": one[k].view(np.int64), "two": other[k].view(np.int64), "d": d[k], "x": x[k], "s": s[k], "block": pa.array([text[a:b] for a, b in zip(first[k].tolist(), (first[k] + n[k]).tolist())], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"h": h[k].view(np.int64), "d": d[k], "x": x[k], "s": s[k], "block": pa.array([text[a:b] for a, b in zip(first[k].tolist(), (first[k] + n[k]).tolist())], pa.binary())})
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -253,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # blocks that equal an earlier one go whole; the first of each goes through the refinement
     again = _later(two.mapInArrow(places, "one long, two long, d long, x long, s long, n long"))
-    fields = "h long, one long, two long, d long, x long, s long, block binary"
+    fields = "h long, d long, x long, s long, block binary"
     met = two.mapInArrow(lambda batches: contents(batches, False), fields).repartition("h").sortWithinPartitions("h")
     gone = again.unionByName(met.mapInArrow(refine, "d long, x long, s long, e long"))
     if hot_anchors:
