@@ -11,8 +11,9 @@ A string of LENGTH bytes that also starts earlier (in a document of smaller id,
    that this gives are used again, for strings of twice the length, until whole windows are told apart. Positions alone in
    their bucket drop out. In each last bucket all windows but the first are removed. Bytes decide, not hashes.
 4. An anchor with more than HEAVY places, as at the edges of a passage that many documents share, isn't gathered: its blocks
-   are written as they are, their windows get the bucket identifiers of their Q-grams as a key, keys that can't occur twice
-   are sieved out by a bit field, and the others are grouped, so that such an anchor spreads over all tasks.
+   are written as they are, their windows get the bucket identifiers of their Q-grams as a key, and windows whose key can't
+   occur twice are sieved out by a bit field. Runs of the others that equal an earlier run go whole; the windows of the first
+   of each are grouped by their keys. So such an anchor spreads over all tasks.
 
 A task sends a block's bytes only when it is new to the task or starts earlier than what was sent, so a passage that many
 documents share meets in one place as often as there are tasks, not as there are documents.
@@ -268,15 +269,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         window_bits = field_bits(WIDE * hot_places)
         met_twice = send(bit_field(spread.mapInArrow(keys, "one long"), window_bits, 2))
 
+        def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    parts = batch.column(3).to_pylist()
+                    _, _, one, _ = window_keys(batch.column(3))
+                    own, first, last = _runs(_marked(one, met_twice.value, window_bits), np.array([len(p) - LENGTH + 1 for p in parts]))
+                    strings = [parts[i][a : b + LENGTH] for i, a, b in zip(own.tolist(), first.tolist(), last.tolist())]
+                    keys = np.array([xxhash.xxh3_128_intdigest(p).to_bytes(16, "little") for p in strings], "S16").view(np.int64).reshape(-1, 2) if strings else np.zeros((0, 2), np.int64)
+                    d, x, s = (batch.column(c).to_numpy()[own] for c in range(3))
+                    yield pa.RecordBatch.from_pydict({"one": keys[:, 0].copy(), "two": keys[:, 1].copy(), "d": d, "x": x, "s": s + first, "n": last - first + LENGTH, "block": pa.array(strings, pa.binary())})
+
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     own, start, one, other = window_keys(batch.column(3))
-                    k = np.flatnonzero(_marked(one, met_twice.value, window_bits))
-                    d, x, s = (batch.column(c).to_numpy()[own[k]] for c in range(3))
-                    yield pa.RecordBatch.from_pydict({"one": one[k], "two": other[k], "d": d, "x": x, "s": s + start[k], "n": np.full(len(k), LENGTH)})
+                    d, x, s = (batch.column(c).to_numpy()[own] for c in range(3))
+                    yield pa.RecordBatch.from_pydict({"one": one, "two": other, "d": d, "x": x, "s": s + start, "n": np.full(len(own), LENGTH)})
 
-        gone = gone.unionByName(_later(spread.mapInArrow(windows, "one long, two long, d long, x long, s long, n long")))
+        # as with whole blocks: runs of such windows that equal an earlier run go whole, and the first of each is looked at by windows
+        runs = written(spread.mapInArrow(trimmed, "one long, two long, d long, x long, s long, n long, block binary"))
+        kinds = runs.groupBy("one", "two").agg(F.min_by(F.struct("d", "x", "s", "block"), F.struct("d", "x", "s")).alias("first")).select("first.*")
+        gone = gone.unionByName(_later(runs)).unionByName(_later(kinds.mapInArrow(windows, "one long, two long, d long, x long, s long, n long")))
     cuts = written(gone.groupBy("d", "x").agg(F.collect_list(F.struct("s", "e")).alias("cuts")))
 
     # texts that lose nothing pass straight through; the others meet their cuts
