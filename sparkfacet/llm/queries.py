@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfacet.llm import bpe, embedding_dedup, exact_dedup, license_scan, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter
+from sparkfacet.llm import bpe, conversation_trie, embedding_dedup, exact_dedup, license_scan, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter, whitening
 from sparkfacet.llm._spark import ship
 
 
@@ -86,8 +86,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.with_shared_starts(turns))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    done = whitening.with_whitened(vectors, whitening.fit_whitening(vectors)).filter("whitening is not null").select("vec_id", "whitening.*")
+    each = done.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of"), "n", "deviation", "identity_error")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pii, op2_mixing, op3_toxicity, op4_suffix_dedup, op5_exact_dedup, op6_itq_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_url_filter, op10_bpe)
+    every = (op1_pii, op2_mixing, op3_toxicity, op4_suffix_dedup, op5_exact_dedup, op6_itq_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_url_filter, op10_bpe, op12_conversation_trie, op13_whitening)
     return {f.__name__: f for f in every}
 
 
