@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfacet.llm import bpe, conversation_trie, embedding_dedup, exact_dedup, license_scan, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter, whitening
+from sparkfacet.llm import bpe, conversation_trie, embedding_dedup, exact_dedup, license_scan, mixing, ngram_join, pii, quality, substring_dedup, toxicity, url_filter, whitening
 from sparkfacet.llm._spark import ship
 
 
@@ -86,6 +86,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")), into="score")
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     return conversation_trie.prefix_trie(*conversation_trie.with_shared_starts(turns))
@@ -99,7 +105,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pii, op2_mixing, op3_toxicity, op4_suffix_dedup, op5_exact_dedup, op6_itq_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_url_filter, op10_bpe, op12_conversation_trie, op13_whitening)
+    every = (op1_pii, op2_mixing, op3_toxicity, op4_suffix_dedup, op5_exact_dedup, op6_itq_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_url_filter, op10_bpe, op11_mil_quality, op12_conversation_trie, op13_whitening)
     return {f.__name__: f for f in every}
 
 
@@ -121,5 +127,22 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS comp
 """
 
 
+TRIE_SQL = r"""
+WITH RECURSIVE crc(i, v, k) AS (SELECT range::BIGINT, range::BIGINT, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8),
+own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, l, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 6 AS h FROM own, tab),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.l[1:o.h], []), o.l[o.h + 1:]) AS l FROM heads o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+place AS (SELECT conv_id, depth, l[1:depth] AS prefix, len(l) = depth AS ends FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS depth FROM rebuilt)),
+node AS MATERIALIZED (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends) AS e FROM place GROUP BY prefix, depth),
+path AS MATERIALIZED (SELECT a.conv_id AS member, a.depth, n.conv_id FROM place a JOIN node n ON n.depth = a.depth AND n.prefix = a.prefix),
+up AS (SELECT n.*, p.conv_id AS parent_conv_id, CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.prefix[n.depth].t) END AS saved FROM node n LEFT JOIN path p ON p.member = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM up WHERE depth > 0 GROUP BY ALL),
+every AS (SELECT up.*, coalesce(kids.n, 0) AS n_children FROM up LEFT JOIN kids USING (conv_id, depth)),
+below AS (SELECT p.conv_id, p.depth, sum((u.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(u.saved)::BIGINT AS saved_tokens FROM every u JOIN path p ON p.member = u.conv_id AND p.depth <= u.depth GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(e, '')) AS ends_sha256 FROM every JOIN below USING (conv_id, depth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(), "op5_exact_dedup": EXACT_SQL, "op7_ngram_jaccard_join": NGRAM_SQL}
+    return {"op2_mixing": mixing.oracle(), "op5_exact_dedup": EXACT_SQL, "op7_ngram_jaccard_join": NGRAM_SQL, "op12_conversation_trie": TRIE_SQL}
