@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -29,16 +31,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-#: Tables that this session has written, for clean().
-_WRITTEN: list[str] = []
+#: The list that tables are noted in, while own_tables() is open.
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete the tables that written() has made so far. Results that haven't been consumed need them: call it after them."""
-    paths, _WRITTEN[:] = list(_WRITTEN), []
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what written() makes inside, and nothing else: tables of other results stay. What is made inside
+    must be consumed inside."""
+    paths: list[str] = []
+    token = _OWNER.set(paths)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+        for path in paths:
+            delete(spark, path)
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -51,7 +64,9 @@ def written(frame: DataFrame, *by: str) -> DataFrame:
     """The rows as a Parquet table in the checkpoint folder. Unlike cut(), the plan starts anew with the table's true size,
     so that loops of joins don't multiply size estimates. by: columns with a folder for each value."""
     path = f"{checkpoint_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.append(path)
     frame.write.parquet(path, partitionBy=list(by) or None, compression="zstd")
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
@@ -81,9 +96,9 @@ def field_bits(rows: int, max_bits: int = MAX_BITS) -> int:
     return min(max_bits, max(PIECE, 1 << (16 * max(rows, 1) - 1).bit_length()))
 
 
-def bit_field(heads: DataFrame, bits: int, least: int, positions: Callable[[np.ndarray], np.ndarray] | None = None) -> bytes:
-    """A field in which bit p is 1 if at least `least` positions of heads (one column of longs) are p; by default a head's
-    position is its value modulo bits.
+def bit_field(heads: DataFrame, bits: int, least: int, positions: Callable[[np.ndarray], np.ndarray] | None = None, of: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> bytes:
+    """A field in which bit p is 1 if at least `least` positions of heads are p; by default a head's position is its value
+    modulo bits. heads: one column of longs, or any rows of which `of` makes longs in the task, so that these are no rows.
 
     Each task packs its positions by pieces of the field, two bytes each and none more than `least` times for some CHUNK
     of them, before they shuffle; pieces are then counted apart from each other.
@@ -101,7 +116,7 @@ def bit_field(heads: DataFrame, bits: int, least: int, positions: Callable[[np.n
             return pa.RecordBatch.from_arrays([pa.array((at[first] // PIECE).astype(np.int32)), pa.array([low[a:b] for a, b in zip((2 * first).tolist(), ends)], pa.binary())], names=["piece", "low"])
 
         for batch in batches:
-            h = batch.column(0).drop_null().to_numpy()
+            h = batch.column(0).drop_null().to_numpy() if of is None else of(batch)
             if len(h):
                 held.append(h % bits if positions is None else positions(h))
                 if sum(map(len, held)) > 2_000_000:

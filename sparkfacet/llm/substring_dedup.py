@@ -261,13 +261,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if hot_anchors:
         spread = written(two.mapInArrow(lambda batches: contents(batches, True), fields).select("d", "x", "s", "block"))
 
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(window_keys(batch.column(3))[2])], names=["one"])
+        def keys(batch: pa.RecordBatch) -> np.ndarray:
+            return window_keys(batch.column(3))[2] if batch.num_rows else np.zeros(0, np.int64)
 
         window_bits = field_bits(WIDE * hot_places)
-        met_twice = send(bit_field(spread.mapInArrow(keys, "one long"), window_bits, 2))
+        met_twice = send(bit_field(spread, window_bits, 2, of=keys))  # packed where they are made
 
         def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
