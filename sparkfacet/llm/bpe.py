@@ -7,7 +7,7 @@ before it followed by t encodes to just these two tokens. So a node's state come
 prefix that many pieces share is encoded once.
 
 Cases: a null text is an empty text; an empty text has no tokens; a text of any length is encoded whole; repeated rows
-are encoded alike; an empty table gives an empty result; other columns are left alone.
+are encoded alike; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ is found, and one of a notice from a cover of NOTICE_COVER on. Stretches without
 Besides, phrases (base) are looked up in all places.
 
 Cases: a null text is an empty text; an empty text has no words, spans or phrases; texts are read whole; repeated rows
-get equal results; a run that occurs in several templates counts for each of them; other columns are left alone.
+get equal results; a run that occurs in several templates counts for each of them; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ expected grade, the sum of P(grade > k).
 
 Training takes at most max_rows labelled rows, chosen by a hash of the id. Labels say toxic or not; grades above 1 come
 from the words themselves: among toxic training texts, a text with more of the words that set toxic texts apart has a
-higher grade (tertiles of their number). The words kept as features are at most max_words, those with the
-highest G-squared score, as far as it is beyond what chance gives among so many words.
+higher grade (tertiles of their number). The words kept as features are all those whose G-squared score is beyond what chance gives
+among so many words.
 
 Cases: a null or empty text has no features and scores as the cuts alone say; long texts are read whole; repeated rows
 score alike; a label that is null or whose document is missing is not used, and of several labels for an id the largest
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from sparkfacet.llm._arrow import ALNUM, list_array, slices, text_buffers, word_hashes
 
-#: Labelled rows that a model is fitted on at most, and words that it has weights for at most.
-MAX_ROWS, MAX_WORDS = 8000, 2000
+#: Labelled rows that a model is fitted on at most.
+MAX_ROWS = 8000
 GRADES = 4
 
 
@@ -68,7 +68,7 @@ def look_up(words: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[
     return pair // len(words), pair % len(words)
 
 
-def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, max_words: int = MAX_WORDS, steps: int = 300, penalty: float = 1e-5) -> Severity:
+def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, steps: int = 300, penalty: float = 1e-5) -> Severity:
     """hashes, counts: distinct words of each training row, one row after another; toxic: 0 or 1 for each row."""
     none = Severity(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0))
     n, ill = len(toxic), int(toxic.sum())
@@ -83,7 +83,7 @@ def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, max_words: in
     for seen, all_ in ((a, ill), (b, n - ill)):
         gain += seen * np.log(np.maximum(seen, 1e-9) / (usual * all_)) + (all_ - seen) * np.log(np.maximum(all_ - seen, 1e-9) / np.maximum((1 - usual) * all_, 1e-9))
     # words that chance alone would hardly set apart among so many
-    keep = np.sort(np.lexsort((words, -gain))[: min(max_words, int((gain > np.log(len(words)) + 1).sum()))])
+    keep = np.flatnonzero(gain > np.log(len(words)) + 1)
     new = np.full(len(words), -1)
     new[keep] = np.arange(len(keep))
     col = new[index]
@@ -117,7 +117,7 @@ def fit(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, max_words: in
     return Severity(words[keep], theta[:k], cuts)
 
 
-def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Severity:
+def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Severity:
     """A model from docs and labels (id_col, label_col: 0 or 1)."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__toxic"))
     lot = F.xxhash64(F.col(id_col), F.lit("toxicity"))
@@ -138,7 +138,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     counts = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
     toxic = table.column("toxic").to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
     hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(lists) else np.zeros(0, np.uint64)
-    return fit(hashes, counts, toxic, max_words)
+    return fit(hashes, counts, toxic)
 
 
 def with_severity(docs: DataFrame, model: Severity, text_col: str = "text", into: str = "severity", threshold: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ fitting one (host and path together) wins, the first in the list among equals.
 
 Cases: a null URL or one without :// has an empty host and path, fits no rule and is decided by the prior; empty and very
 long URLs are handled whole; repeated rows get equal verdicts; without pages of both verdicts every other page is allowed;
-an empty table gives an empty result; null page texts add no words; extra columns are left alone.
+an empty table gives an empty result; null page texts add no words; other columns are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,13 +62,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def segment(text: str, costs: dict[str, float]) -> list[str]:
     """The words of least total cost that make up the text; letters that no word covers stay together."""
-    best, cut, longest = [0.0], [0], max(map(len, costs), default=0)
+    best, cut, lengths = [0.0], [0], sorted({len(w) for w in costs}, reverse=True)
     for end in range(1, len(text) + 1):
         cost, at = best[end - 1] + UNKNOWN, end - 1
-        for a in range(max(0, end - longest), end):
-            c = costs.get(text[a:end])
-            if c is not None and best[a] + c < cost:
-                cost, at = best[a] + c, a
+        for n in lengths:
+            c = costs.get(text[end - n : end]) if n <= end else None
+            if c is not None and best[end - n] + c < cost:
+                cost, at = best[end - n] + c, end - n
         best.append(cost)
         cut.append(at)
     out: list[str] = []
@@ -108,30 +109,52 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 @dataclass
 class Bayes:
-    words: DataFrame  # word, n
+    words: DataFrame  # word, n, mark
     total: int  # sum of n
-    longest: int  # letters of the longest word
+    lengths: list[int]  # lengths of the words: few, as k of them take k * k / 2 letters
     ratio: DataFrame | None  # token, ratio: log P(token | block) - log P(token | allow); None without pages of both verdicts
     prior: float
 
 
-def with_parts(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
-    url = F.col(url_col)
-    parts = pages.withColumn("__host", host_of(url)).withColumn("__path", path_of(url))
-    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
-    return parts.withColumn("__rule", rule).withColumn("__verdict", verdict)
+#: Odd base of the marks of words, and its inverse modulo 2**64.
+BASE_MARK = 0x9E3779B97F4A7C15
+INVERSE_MARK = pow(BASE_MARK, -1, 1 << 64)
+
+
+def marks(text: str, lengths: list[int]) -> Iterator[np.ndarray]:
+    """The distinct marks of all runs of letters of each length: sums of letters times powers of a base, as differences of
+    running sums. Equal words have equal marks; others with the same one are told apart by their letters afterwards."""
+    letters = np.frombuffer(text.encode("ascii"), np.uint8).astype(np.uint64)
+
+    def powers(base: int) -> np.ndarray:
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(letters), base, np.uint64)]))[: len(letters)]
+
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers(BASE_MARK))])
+    back = powers(INVERSE_MARK)
+    for n in lengths:
+        if n <= len(letters):
+            yield np.unique((sums[n:] - sums[:-n]) * back[: len(letters) - n + 1]).view(np.int64)
+
+
+def mark_of(word: Column) -> Column:
+    @F.arrow_udf("long")
+    def of(words: pa.Array) -> pa.Array:
+        return pa.array([int(next(marks(w, [len(w)]))[0]) for w in words.to_pylist()], pa.int64())
+
+    return of(word)
 
 
-def host_words(hosts: DataFrame, words: DataFrame, total: int, longest: int) -> DataFrame:
-    """(host, size, words) of hosts (host, size; unique): the segments of the host's parts."""
+def host_words(hosts: DataFrame, words: DataFrame, total: int, lengths: list[int]) -> DataFrame:
+    """(host, size, words) of hosts (host, size; unique): the segments of the host's parts. A part sends one number for each
+    run of letters as long as some word, not the letters themselves, so parts and words of any length go through."""
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch.column(0).to_pylist():
-                found = sorted({part[a:b] for a in range(len(part)) for b in range(a + 2, min(len(part), a + longest) + 1)})
-                for k in range(0, len(found), 10_000):
-                    some = found[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), pa.array(some, pa.string())], names=["part", "word"])
+            for key, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for found in marks(part, lengths):
+                    for k in range(0, len(found), 100_000):
+                        some = found[k : k + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.binary()), pa.array(some)], names=["part_key", "mark"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,13 +163,15 @@ def host_words(hosts: DataFrame, words: DataFrame, total: int, longest: int) ->
 
     each = F.filter(F.split("host", "[^a-z]+"), lambda x: x != "")
     placed = hosts.select("host", F.posexplode(each).alias("at", "part"))
-    parts = written(placed.groupBy("part").agg(F.count(F.lit(1)).alias("r")))
-    inside = written(parts.select("part").mapInArrow(substrings, "part string, word string"))
-    often = inside.groupBy("word").agg(F.count(F.lit(1)).alias("r"))
-    known = spread_join(inside, written(often.join(words, "word")), "word", "r")
-    known = known.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    done = parts.join(known, "part", "left").select("part", "known").mapInArrow(split, "part string, words array<string>")
-    joined = spread_join(placed, written(done.join(parts, "part")), "part", "r")
+    part_key = F.substring(F.unhex(F.sha2(F.col("part").cast("binary"), 256)), 1, 16)
+    parts = written(placed.groupBy("part").agg(F.count(F.lit(1)).alias("r")).withColumn("part_key", part_key))
+    inside = written(parts.select("part_key", "part").mapInArrow(substrings, "part_key binary, mark long"))
+    often = inside.groupBy("mark").agg(F.count(F.lit(1)).alias("r"))
+    of_mark = words.groupBy("mark").agg(F.collect_list(F.struct("word", "n")).alias("of"))  # one word, but for rare equal marks
+    known = spread_join(inside, written(often.join(of_mark, "mark")), "mark", "r")
+    known = known.groupBy("part_key").agg(F.flatten(F.collect_list("of")).alias("known"))
+    done = parts.join(known, "part_key", "left").select("part", "known").mapInArrow(split, "part string, words array<string>")
+    joined = spread_join(placed, written(done.join(parts.select("part", "r"), "part")), "part", "r")
     of = joined.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x.words)).alias("words"))
     return hosts.join(of, "host", "left").select("host", "size", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
@@ -161,7 +186,7 @@ def _tokens(rows: DataFrame, model: Bayes) -> DataFrame:
 
     urls = written(rows.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("verdict").alias("verdict"), F.count(F.lit(1)).alias("r")))
     hosts = written(urls.groupBy("host").agg(F.count(F.lit(1)).alias("size")))
-    known = written(host_words(hosts, model.words, model.total, model.longest))
+    known = written(host_words(hosts, model.words, model.total, model.lengths))
     joined = spread_join(urls, known, "host", "size").select("key", "verdict", "r", "path", "words")
     return written(joined.mapInArrow(run, "key binary, verdict string, r long, words array<string>"))
 
@@ -180,9 +205,10 @@ def _keyed(parts: DataFrame, *columns: str) -> DataFrame:
 
 
 def fit_bayes(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES) -> Bayes:
-    words = written(word_counts(pages, html_col))
-    all_ = words.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).first()
-    model = Bayes(words, all_["total"] or 0, all_["longest"] or 0, None, -40.0)
+    words = written(word_counts(pages, html_col).withColumn("mark", mark_of(F.col("word"))))
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model = Bayes(words, total, lengths, None, -40.0)
     rows = _keyed(with_parts(pages.select(url_col), url_col, rules).filter("__verdict is not null"))
     urls = _tokens(rows, model)
 
