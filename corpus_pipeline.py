@@ -15,14 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfacet.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from sparkfacet.llm._spark import checkpoint_dir, clean, ship, written
+from sparkfacet.llm._spark import checkpoint_dir, delete, own_tables, ship, written
 from sparkfacet.llm.queries import table, tokenizer_path
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or name with as many _ as it takes to be none of the columns'."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = toxicity.fit_severity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_severity(docs, model, into="__severity").filter("not __severity.toxic").drop("__severity")
+    into = free_name(docs, "severity")
+    return toxicity.with_severity(docs, model, into=into).filter(~F.col(f"{into}.toxic")).drop(into)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +59,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return mixing.with_mixture(docs, into="__mix").filter("__mix.selected").drop("__mix")
+    into = free_name(docs, "mix")
+    return mixing.with_mixture(docs, into=into).filter(F.col(f"{into}.selected")).drop(into)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +77,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's output goes once the next one is written, and what a stage writes on its way with it.
+
+    Cases: null, empty and long texts, null ids, repeated rows and an empty table as each operator states; columns of
+    documents pass all stages but the last, whatever their names (stages look up free names for their own)."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        clean(spark)  # what the stage wrote on its way
-        docs = spark.read.parquet(path)
+        with own_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
