@@ -11,14 +11,20 @@ from sparkfacet.functions.text import deletes, fold, parse_number, typo_budget,
 from sparkfacet.operators.spelling import osa, osa_distance
 
 YES, NO = ("si", "s", "yes", "y", "true", "1", "x"), ("no", "n", "false", "0", "")
-YEAR = "((?:19|20)[0-9]{2}|[0-9]{2})"
-#: How spans of years are put, in the order in which they are looked for; what one has taken is blank for the next. first, last: groups.
+YEAR = "((?:19|20)[0-9]{2})"
+_FREE, _ENDS, _DASH = "(?<![0-9.,])", "(?![0-9.,])", "(?:-|–|—)"
+#: How spans of years are put (folded text), in the order in which they are looked for; what one has taken is blank for the
+#: next. Kinds: both years; the second in two digits, of the first one's century; open at the end; at the start; before the
+#: year; two digits each, 40 and above of the last century; one year.
 YEAR_SPANS = (
-    (f"(?<![0-9]){YEAR} ?(?:-|–|/|a|al|to) ?{YEAR}(?![0-9])", 1, 2),
-    (f"(?:desde|from) ?{YEAR}(?![0-9])", 1, 0),
-    (f"(?<![0-9]){YEAR} ?[+]", 1, 0),
-    (f"(?:hasta|antes de|until) ?{YEAR}(?![0-9])", 0, 1),
-    ("(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])", 1, 1),
+    (f"{_FREE}{YEAR}\\s*(?:{_DASH}|/|\\ba\\b|\\bal\\b|\\bhasta\\b|\\bto\\b)\\s*{YEAR}{_ENDS}", "both"),
+    (f"{_FREE}{YEAR}\\s*{_DASH}\\s*([0-9]{{2}}){_ENDS}", "century"),
+    (f"{_FREE}{YEAR}\\s*(?:[+]|en adelante|y posteriores|o posterior|onwards|and up)", "from"),
+    (f"\\b(?:desde|a partir de|from)\\s*{YEAR}{_ENDS}", "from"),
+    (f"\\b(?:hasta|until|up to)\\s*{YEAR}{_ENDS}", "to"),
+    (f"\\bantes de\\s*{YEAR}{_ENDS}", "before"),
+    (f"(?<![\\w.,])([0-9]{{2}})\\s*{_DASH}\\s*([0-9]{{2}})(?![\\w.,])", "short"),
+    (f"{_FREE}{YEAR}{_ENDS}", "one"),
 )
 
 
@@ -45,23 +51,31 @@ def specs_of(text: Column, dropped: tuple[str, ...] = ()) -> Column:
 
 
 def year_spans(text: Column, oldest: int, newest: int) -> Column:
-    """array<struct<first, last>> of the spans of years that a text names; open ends reach oldest or newest."""
+    """array<struct<first, last>> of the spans of years that a text names, distinct and in order; open ends reach oldest or
+    newest. Spans written the wrong way round are turned; short ones that can't be years of vehicles are no spans; what
+    lies before the oldest year only is an empty span and left out."""
     rest, out = fold(text), None
 
-    def full(y: Column) -> Column:
-        n = y.cast("int")
-        return F.when(F.length(y) == 4, n).when(n > 30, n + 1900).otherwise(n + 2000)
-
-    def spans(rest: Column, pattern: str, a: int, b: int) -> Column:
-        found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        end = lambda x, g, other: full(F.regexp_extract(x, pattern, g)) if g else F.lit(other)
-        return F.transform(found, lambda x: F.struct(end(x, a, oldest).alias("p"), end(x, b, newest).alias("q")))
-
-    for pattern, a, b in YEAR_SPANS:
-        own = spans(rest, pattern, a, b)
+    def spans(rest: Column, pattern: str, kind: str) -> Column:
+        def span(x: Column) -> Column:
+            a, b = (F.regexp_extract(x, pattern, g).try_cast("int") for g in (1, 2)) if kind in ("both", "century", "short") else (F.regexp_extract(x, pattern, 1).try_cast("int"), F.lit(None).cast("int"))
+            if kind == "century":
+                b = a - a % 100 + b
+            if kind == "short":
+                a, b = (F.when(y < 40, 2000 + y).otherwise(1900 + y) for y in (a, b))
+                fine = (a >= oldest - 30) & (a <= b) & (b <= newest + 1)
+                return F.when(fine, F.struct(a.alias("first"), b.alias("last")))
+            first, last = {"from": (a, F.lit(newest)), "to": (F.lit(oldest), a), "before": (F.lit(oldest), a - 1), "one": (a, a)}.get(kind, (F.least(a, b), F.greatest(a, b)))
+            return F.when(first <= last, F.struct(first.alias("first"), last.alias("last")))
+
+        return F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), span)
+
+    for pattern, kind in YEAR_SPANS:
+        own = spans(rest, pattern, kind)
         out = own if out is None else F.concat(out, own)
-        rest = F.regexp_replace(rest, pattern, " ")
-    return F.array_sort(F.array_distinct(F.transform(out, lambda s: F.struct(F.least(s.p, s.q).alias("first"), F.greatest(s.p, s.q).alias("last")))))
+        # short spans that can't be years stay, as their digits may mean something else
+        rest = F.regexp_replace(rest, pattern, " ") if kind != "short" else rest
+    return F.array_sort(F.array_distinct(F.array_compact(out)))
 
 
 def application_configs(rows: DataFrame, universe: DataFrame) -> DataFrame:
@@ -95,11 +109,19 @@ def resolve_brands(names: DataFrame, brands: DataFrame) -> DataFrame:
     return asked.join(found, "name", "left").select("name", F.coalesce("brand", slug).alias("brand"), F.coalesce("how", F.lit("new")).alias("how"))
 
 
-def part_type_of(text: Column, title: Column, types: list[str]) -> Column:
-    """The type that the type column names, else the first one that the title names."""
-    t, u = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(words(title), " "), F.lit(" "))
-    named = [F.when(t == f" {x.lower()} ", x) for x in types] + [F.when(F.contains(u, F.lit(f" {x.lower()} ")), x) for x in types]
-    return F.coalesce(*named)
+def resolve_types(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """(row, type, sure) of rows (row, said, title; unique): the type (types: type) that the type column names (sure), else the
+    longest one whose words stand together in the title, of equals the first by name (a guess), else null. Runs of a title's
+    words meet the types by equality, whatever their number."""
+    known = types.select("type", F.array_join(words(F.col("type")), " ").alias("key"), F.size(words(F.col("type"))).alias("n")).filter("key != ''")
+    named = rows.select("row", F.array_join(words(F.col("said")), " ").alias("key")).filter("key != ''").join(known, "key").groupBy("row").agg(F.min("type").alias("named"))
+    longest = known.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    w = words(F.col("title"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda k: F.array_join(F.slice("w", k, n), " "))))
+    inside = rows.select("row", w.alias("w")).select("row", F.explode(F.array_distinct(runs)).alias("key")).join(known, "key")
+    guessed = inside.groupBy("row").agg(F.min(F.struct((-F.col("n")).alias("less"), "type")).alias("g"))
+    joined = rows.select("row").join(named, "row", "left").join(guessed, "row", "left")
+    return joined.select("row", F.coalesce("named", "g.type").alias("type"), F.col("named").isNotNull().alias("sure"))
 
 
 def map_headers(headers: list[str], synonyms: dict[str, tuple[str, ...]]) -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,20 +20,44 @@ def cart_totals(lines: DataFrame) -> DataFrame:
     return sums.select("cart", "cents", F.when(F.col("cents") >= free, 0).otherwise(int(FEE * 100)).cast("long").alias("fee"), F.greatest(F.lit(0), free - F.col("cents")).alias("missing_for_free"))
 
 
+def warehouse_sets(etas: list[int]) -> list[tuple[int, ...]]:
+    """All sets of warehouses: the smallest first, of equals the one whose last parcel comes soonest, then by all their days."""
+    sets = [c for n in range(1, len(etas) + 1) for c in combinations(range(len(etas)), n)]
+    return sorted(sets, key=lambda c: (len(c), max(etas[k] for k in c), sum(etas[k] for k in c)))
+
+
+def back_ordered(stock: Column, qty: Column) -> Column:
+    """Whether all warehouses together hold less than a line asks for: it is left for later, whole."""
+    return F.aggregate(stock, F.lit(0).cast("long"), lambda a, x: a + x) < qty
+
+
 def ship_from(lines: DataFrame, etas: list[int]) -> DataFrame:
-    """(cart, warehouses): the smallest, then soonest set of warehouses that can serve every line alone; null if none can.
+    """(cart, warehouses): the first of warehouse_sets() whose stock, summed, serves every line of the cart that isn't back
+    ordered; null if all lines are.
 
-    lines: cart, stock (array, one entry per warehouse), qty. The 2^W - 1 subsets are columns of one aggregation.
+    lines: cart, stock (array, one entry per warehouse), qty. The 2^W - 1 sets are columns of one aggregation.
     """
-    w = len(etas)
-    subsets = [c for n in range(1, w + 1) for c in combinations(range(w), n)]
-    subsets.sort(key=lambda c: (len(c), max(etas[k] for k in c), sum(etas[k] for k in c), c))
+    sets = warehouse_sets(etas)
+    back = back_ordered(F.col("stock"), F.col("qty"))
 
     def serves(c: tuple[int, ...]) -> Column:
-        return F.bool_and(F.greatest(*(F.get("stock", F.lit(k)) for k in c), F.lit(0)) >= F.col("qty"))
+        return F.bool_and(F.when(~back, sum((F.get("stock", F.lit(k)) for k in c), F.lit(0)) >= F.col("qty")))
+
+    covers = lines.groupBy("cart").agg(*(serves(c).alias(f"c{j}") for j, c in enumerate(sets)))
+    return covers.select("cart", F.coalesce(*(F.when(F.col(f"c{j}"), "".join(map(str, c))) for j, c in enumerate(sets))).alias("warehouses"))
+
+
+def shipments(lines: DataFrame, soonest: list[int], latest: list[int]) -> DataFrame:
+    """(cart, warehouses, units: array by warehouse, back_lines, eta_from, eta_to) of allocated lines (cart, warehouses, parts,
+    short): what each warehouse sends, the lines left for later, and the days until the last parcel of those used."""
+
+    def of(w: int) -> Column:
+        return F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + F.when(x.warehouse == w, x.units).otherwise(0)))
 
-    covers = lines.groupBy("cart").agg(*(serves(c).alias(f"c{j}") for j, c in enumerate(subsets)))
-    return covers.select("cart", F.coalesce(*(F.when(F.col(f"c{j}"), "".join(map(str, c))) for j, c in enumerate(subsets))).alias("warehouses"))
+    sent = [of(w) for w in range(len(latest))]
+    each = lines.groupBy("cart").agg(F.first("warehouses").alias("warehouses"), F.array(*sent).alias("units"), F.count_if(F.col("short") > 0).alias("back_lines"))
+    eta = lambda days: F.greatest(*(F.when(F.col("units")[w] > 0, d) for w, d in enumerate(days)), F.lit(None).cast("int"))
+    return each.select("cart", "warehouses", "units", "back_lines", eta(soonest).alias("eta_from"), eta(latest).alias("eta_to"))
 
 
 def transitions(events: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
@@ -51,26 +76,54 @@ def add_business_days(day: Column, n: int) -> Column:
     return F.element_at(days, n)
 
 
-def token_bucket(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
-    """(key, id, allowed): each key's requests in order of time refill rate tokens a second up to capacity and take one each.
-
-    The recurrence is sequential per key. Each key's state is two numbers, so batches of a key stream through one task.
-    """
+def best_bundles(costs: list[int], values: list[int], budget: int) -> list[bool]:
+    """Which bundles give the highest total value within budget; a later one replaces earlier ones only if that is worth more."""
+    best = np.zeros(budget + 1, np.int64 if sum(values) < 1 << 62 else object)
+    keep = []
+    for cost, value in zip(costs, values):
+        taken = np.zeros(budget + 1, bool)
+        if cost <= budget:
+            with_it = best[: budget + 1 - cost] + value
+            taken[cost:] = with_it > best[cost:]
+            best[cost:] = np.where(taken[cost:], with_it, best[cost:])
+        keep.append(taken)
+    out, room = [], budget
+    for cost, taken in zip(reversed(costs), reversed(keep)):
+        out.append(bool(taken[room]))
+        room -= cost * out[-1]
+    return out[::-1]
+
+
+def fit_budget(lines: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(plan, bundle, cost, priority, now) of each bundle of each plan: whether it is done within the plan's budget.
+
+    lines: plan, bundle, nth (order in the plan), cents, priority; budgets: plan, budget (whole units). The lines of a bundle
+    are done together or not at all; it costs their sum in whole units, half to even, one at least. With n lines in the plan a
+    line of priority p is worth (n + 1) ** p, more than all lines of lower priorities, so these come strictly after. Values are
+    whole numbers of any size. Sums per bundle are made before plans meet in a task; a plan has few bundles (tens)."""
+    sums = lines.groupBy("plan", "bundle").agg(F.min("nth").alias("nth"), F.sum("cents").alias("cents"), F.sum("priority").alias("priority"), F.collect_list("priority").alias("priorities"))
+    ready = sums.join(budgets, "plan").select("plan", "nth", "bundle", "cents", "priority", "priorities", "budget")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tokens, last = None, capacity, 0.0
+        def done(plan: list) -> pd.DataFrame:
+            n = sum(len(r[5]) for r in plan)
+            costs, values = [max(1, round(r[3] / 100)) for r in plan], [sum((n + 1) ** int(p) for p in r[5]) for r in plan]
+            now = best_bundles(costs, values, max(0, int(plan[0][6])))
+            return pd.DataFrame({"plan": [r[0] for r in plan], "bundle": [r[2] for r in plan], "cost": costs, "priority": [r[4] for r in plan], "now": now})
+
+        held: list = []
         for batch in batches:
-            out = []
-            for k, now in zip(batch["key"], batch["at"]):
-                if k != key:
-                    key, tokens, last = k, capacity, now
-                tokens, last = min(capacity, tokens + (now - last) * rate), now
-                out.append(tokens >= 1)
-                tokens -= 1.0 * out[-1]
-            yield batch[["key", "id"]].assign(allowed=out)
+            for row in batch.itertuples(index=False, name=None):
+                if held and held[0][0] != row[0]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
 
-    ordered = requests.select("key", "id", "at").repartition("key").sortWithinPartitions("key", "at", "id")
-    return ordered.mapInPandas(run, f"key {requests.schema['key'].dataType.simpleString()}, id {requests.schema['id'].dataType.simpleString()}, allowed boolean")
+    ordered = ready.repartition("plan").sortWithinPartitions("plan", "nth", "bundle")
+    types = {f.name: f.dataType.simpleString() for f in ready.schema.fields}
+    return ordered.mapInPandas(run, f"plan {types['plan']}, bundle {types['bundle']}, cost long, priority long, now boolean")
 
 
 def knapsack(bundles: DataFrame, budget: int) -> DataFrame:
@@ -106,19 +159,6 @@ def knapsack(bundles: DataFrame, budget: int) -> DataFrame:
     return ordered.mapInPandas(run, f"plan {bundles.schema['plan'].dataType.simpleString()}, chosen array<long>, value long")
 
 
-def naive_bayes(causes: DataFrame, symptoms: list[str], epsilon: float = 0.03) -> DataFrame:
-    """(cause, p): the normalised product over the symptoms of their weight for the cause, epsilon where none is known.
-
-    causes: symptom, cause, weight, distance, eta, beta (Weibull wear of the cause). One aggregation per cause.
-    """
-    named = causes.filter(F.col("symptom").isin(*symptoms))
-    known = named.groupBy("cause").agg(F.product("weight").alias("product"), F.count(F.lit(1)).alias("n"), F.first("distance").alias("km"), F.first("eta").alias("eta"), F.first("beta").alias("beta"))
-    wear = 1 - F.exp(-F.pow(F.col("km") / F.col("eta"), F.col("beta")))
-    likely = known.select("cause", (F.col("product") * F.pow(F.lit(epsilon), F.lit(len(symptoms)) - F.col("n")) * (0.25 + 0.75 * wear)).alias("p"))
-    total = likely.agg(F.sum("p").alias("total"))
-    return likely.join(F.broadcast(total)).select("cause", (F.col("p") / F.col("total")).alias("p"))  # one row is broadcast
-
-
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, start, end, n) by Spark's session windows; the same call works on a stream with a watermark."""
     return events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")

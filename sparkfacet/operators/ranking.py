@@ -39,3 +39,28 @@ def mmr(frame: DataFrame, group: str, key: str, relevance: Column, top: int, tra
 
     types = {f.name: f.dataType.simpleString() for f in frame.schema.fields}
     return pool.groupBy(group).applyInPandas(run, f"`{group}` {types[group]}, `{key}` {types[key]}, place int")
+
+
+def pages(frame: DataFrame, group: str, key: str, relevance: Column, numbers: tuple[int, ...], size: int, trade: float = 0.5) -> DataFrame:
+    """(group, page, key, place from 1): diversified pages of each group's rows in order of relevance. Page n is what comes
+    after n * size picks: the first (n + 1) * size of them out of the first 3 (n + 1) * size rows, and no more than (n + 3) * size,
+    so that later pages diversify among fewer rows than their picks could reach. Rows that aren't picked follow in their old
+    order, after all picks; a page within the picks never needs them. Only the rows of the last page's pool leave the window."""
+    order = Window.partitionBy(group).orderBy(F.desc("__r"), F.asc(key))
+    most = max((n + 3) * size for n in numbers)
+    pool = frame.select(group, key, *SIMILARITY, relevance.cast("double").alias("__r")).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__n", ignore_index=True)
+        codes, rank = np.stack([pd.factorize(rows[c])[0] for c in SIMILARITY], axis=1), rows["__r"].to_numpy()
+        out = []
+        for n in numbers:
+            top = (n + 1) * size
+            among = min(len(rows), 3 * top, (n + 3) * size)
+            at = pick(rank[:among], codes[:among], np.array(list(SIMILARITY.values())), top, trade) if among else []
+            at = (at + [i for i in range(len(rows)) if i not in set(at)])[n * size : top]
+            out.append(pd.DataFrame({group: rows[group].iloc[at], "page": n, key: rows[key].iloc[at], "place": np.arange(1, len(at) + 1)}))
+        return pd.concat(out)
+
+    types = {f.name: f.dataType.simpleString() for f in frame.schema.fields}
+    return pool.groupBy(group).applyInPandas(run, f"`{group}` {types[group]}, page int, `{key}` {types[key]}, place int")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfacet.operators.language import EXACT, PREFIX, prefixed
+
 K1, B = 1.2, 0.75
-#: Weights of a query word's exact term and of terms that its last word begins.
-EXACT, PREFIX = 1.0, 0.8
 
 
 def postings(documents: DataFrame, boosts: dict[str, float], cut: Callable[[Column], Column], term: Callable[[Column], Column]) -> DataFrame:
@@ -38,10 +38,10 @@ def statistics(index: DataFrame, n: DataFrame) -> DataFrame:
 
 def variants(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query, place, term, weight) of words (query, place, word, last): the word itself, and for a query's last word the
-    terms that it begins. Terms meet words on their first two letters."""
+    first terms that it begins."""
     exact = words.join(vocabulary, words["word"] == vocabulary["term"]).select("query", "place", "term", F.lit(EXACT).alias("weight"))
-    begin = words.filter(F.col("last") & (F.length("word") >= 2)).withColumn("two", F.substring("word", 1, 2))
-    more = begin.join(vocabulary.withColumn("two", F.substring("term", 1, 2)), "two").filter(F.col("term").startswith(F.col("word")) & (F.col("term") != F.col("word")))
+    begin = words.filter(F.col("last") & (F.length("word") >= 2))
+    more = begin.join(prefixed(begin.select("word").distinct(), vocabulary), "word").filter("term != word")
     return exact.unionByName(more.select("query", "place", "term", F.lit(PREFIX).alias("weight")))
 
 
@@ -65,9 +65,19 @@ def search(index: DataFrame, words: DataFrame) -> DataFrame:
     return kept.join(top, "query").select("query", "doc", (F.col("raw") / F.col("top")).alias("score"), "hits", (F.col("most") < F.col("asked")).alias("relaxed"))
 
 
-def fused(candidates: DataFrame, signals: dict[str, tuple[list[Column], float]], key: str = "doc", k: int = 60) -> DataFrame:
-    """candidates (query, key, ...) with rrf: the sum of weight / (k + rank) in the query's list of each signal, ties by key."""
-    total = sum((F.lit(w) / (k + F.row_number().over(Window.partitionBy("query").orderBy(*order, key))) for order, w in signals.values()), F.lit(0.0))
+def in_both(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(query, i, score): what both ways of searching (query, i, score) have found, with the sum of their scores."""
+    return one.join(other.withColumnRenamed("score", "__more"), ["query", "i"]).select("query", "i", (F.col("score") + F.col("__more")).alias("score"))
+
+
+def fused(candidates: DataFrame, signals: dict[str, tuple[list[Column], float]], key: str = "doc", k: int = 60, only: dict[str, Column] | None = None) -> DataFrame:
+    """candidates (query, key, ...) with rrf: the sum of weight / (k + rank) in the query's list of each signal, ties by key.
+    only: signals that count for a query only if some candidate of it meets a condition."""
+    of = Window.partitionBy("query")
+    total = F.lit(0.0)
+    for name, (order, w) in signals.items():
+        part = F.lit(w) / (k + F.row_number().over(of.orderBy(*order, key)))
+        total = total + (F.when(F.bool_or(only[name]).over(of), part).otherwise(0.0) if name in (only or {}) else part)
     return candidates.withColumn("rrf", total)
 
 
@@ -80,12 +90,12 @@ def number_index(numbers: DataFrame) -> DataFrame:
 
 
 def partial_numbers(queries: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(query, i, weight) of products with a number that contains the query's (query, part: three characters or more):
-    1.0 if it begins the product's own number, else 0.7. They meet on the query's first three characters."""
-    grams = numbers.select("i", "key", "kind", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - 2), lambda k: F.substring("key", k, F.lit(3))))).alias("gram"))
-    met = queries.withColumn("gram", F.substring("part", 1, 3)).join(grams, "gram").filter(F.col("key").contains(F.col("part")))
-    weight = F.when((F.col("kind") == "pn") & F.col("key").startswith(F.col("part")), 1.0).otherwise(0.7)
-    return met.groupBy("query", "i").agg(F.max(weight).alias("weight"))
+    """(query, i, weight) of products with a number of any kind that contains one of the query's (query, parts: array, each of
+    three characters or more): 1.0 if it begins with the query's first one, else 0.7. They meet on the first three characters."""
+    grams = numbers.select("i", "key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - 2), lambda k: F.substring("key", k, F.lit(3))))).alias("gram"))
+    asked = queries.select("query", F.get("parts", F.lit(0)).alias("first"), F.explode("parts").alias("part"))
+    met = asked.withColumn("gram", F.substring("part", 1, 3)).join(grams, "gram").filter(F.col("key").contains(F.col("part")))
+    return met.groupBy("query", "i").agg(F.max(F.when(F.col("key").startswith(F.col("first")), 1.0).otherwise(0.7)).alias("weight"))
 
 
 def number_windows(texts: DataFrame, index: DataFrame, norm: Callable[[Column], Column], most: int = 4) -> DataFrame:
@@ -105,13 +115,19 @@ def number_windows(texts: DataFrame, index: DataFrame, norm: Callable[[Column],
 
 
 def complete(queries: DataFrame, texts: DataFrame, most: int = 5) -> DataFrame:
-    """(query, text, score, nth): the best completions of each query (query, words: array). texts: text, weight. The last two
-    words count if they match anything, else the last one: twice the weight at the start of a text, once inside."""
+    """(query, text, score, nth): the best completions of each query (query, words: array). texts: text, weight (unique).
+    The last two words count if they complete to anything, else the last one, of two letters at least: twice the weight if a
+    text begins with them, once if they stand after a blank in it; what was said in full already is no completion. The words
+    before are put back in front. Texts are indexed by the first two letters of each of their words."""
     last = lambda n: F.array_join(F.slice("words", F.greatest(F.lit(1), F.size("words") - (n - 1)), F.lit(n)), " ")
-    asked = queries.filter(F.size("words") > 0).select("query", F.explode(F.array(F.struct(F.lit(2).alias("n"), last(2).alias("said")), F.struct(F.lit(1).alias("n"), last(1).alias("said")))).alias("a")).select("query", "a.*")
-    met = asked.join(texts, F.col("text").contains(F.col("said")))
-    scored = met.select("query", "n", "text", F.when(F.col("text").startswith(F.col("said")), F.col("weight") * 2).otherwise(F.col("weight")).alias("s"))
+    head = lambda n: F.array_join(F.slice("words", F.lit(1), F.greatest(F.lit(0), F.size("words") - n)), " ")
+    asked = queries.select("query", F.explode(F.filter(F.array(*(F.when(F.size("words") >= n, F.struct(F.lit(n).alias("n"), head(n).alias("head"), last(n).alias("said"))) for n in (2, 1))), lambda x: x.isNotNull())).alias("a")).select("query", "a.*").filter(F.length("said") >= 2)
+    cut = F.split("text", " ")
+    tails = F.transform(F.sequence(F.lit(1), F.size(cut)), lambda k: F.struct((k == 1).alias("whole"), F.array_join(F.slice(cut, k, F.size(cut)), " ").alias("tail")))
+    index = texts.select("text", "weight", F.explode(tails).alias("t")).select("text", "weight", "t.*").withColumn("two", F.substring("tail", 1, 2))
+    met = asked.withColumn("two", F.substring("said", 1, 2)).join(index, "two").filter(F.startswith("tail", "said") & (F.col("text") != F.col("said")))
+    full = F.trim(F.concat_ws(" ", "head", "text"))
+    scored = met.groupBy("query", "n", full.alias("text")).agg(F.max(F.when(F.col("whole"), F.col("weight") * 2).otherwise(F.col("weight"))).alias("score"))
     widest = scored.groupBy("query").agg(F.max("n").alias("n"))
-    best = scored.join(widest, ["query", "n"]).groupBy("query", "text").agg(F.max("s").alias("score"))
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "text"))
-    return best.withColumn("nth", nth).filter(F.col("nth") <= most)
+    return scored.join(widest, ["query", "n"]).select("query", "text", "score", nth.alias("nth")).filter(F.col("nth") <= most)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfacet.functions.text import CROCKFORD, luhn32
+from sparkfacet.operators.orders import back_ordered
 
 
 def due(vehicles: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -18,26 +19,31 @@ def due(vehicles: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def picks(products: DataFrame, better: tuple[str, ...]) -> DataFrame:
-    """(task, cheapest, value, best) of products (task, i, tier, price, rating, score, in_stock): ids of the cheapest, of the
-    best value, and of the best rated of the better tiers (of all if there is none of these); in stock, or all if nothing is."""
+    """(task, cheapest, value, best) of products (task, i, tier, price, adjusted, score, in_stock): ids of the cheapest, of the
+    best value, and of the best rated (adjusted rating, then the higher price) of the better tiers, or of all if there is none
+    of these; in stock, or all if nothing is. Of equals the lowest id."""
     has = products.groupBy("task").agg(F.bool_or("in_stock").alias("any"), F.bool_or(F.col("in_stock") & F.col("tier").isin(*better)).alias("fine"), F.bool_or(F.col("tier").isin(*better)).alias("finer"))
-    pool = products.join(F.broadcast(has), "task").filter(F.col("in_stock") | ~F.col("any"))  # a row for each task
+    pool = products.join(has, "task").filter(F.col("in_stock") | ~F.col("any"))
     top = F.when(F.col("any"), F.col("fine")).otherwise(F.col("finer"))
-    fine = F.when(F.col("tier").isin(*better) | ~top, F.struct(F.col("rating"), (-F.col("price")).alias("p"), (-F.col("i")).alias("i")))
+    fine = F.when(F.col("tier").isin(*better) | ~top, F.struct("adjusted", "price", (-F.col("i")).alias("i")))
     return pool.groupBy("task").agg(F.min(F.struct("price", "i")).alias("c"), F.max(F.struct("score", (-F.col("i")).alias("i"))).alias("v"), F.max(fine).alias("b")).select("task", F.col("c.i").alias("cheapest"), (-F.col("v.i")).alias("value"), (-F.col("b.i")).alias("best"))
 
 
 def allocate(lines: DataFrame) -> DataFrame:
-    """lines with parts (array of struct<warehouse, units>) and short (units on back order). lines: qty, stock (array by warehouse).
-    The fullest warehouse serves a line alone if it can; else the line is split over warehouses, fullest first."""
-    by_size = F.array_sort(F.transform("stock", lambda s, k: F.struct((-s).alias("less"), k.cast("int").alias("warehouse"))))
+    """lines with parts (array of struct<warehouse, units>) and short (units on back order). lines: qty, stock (array by
+    warehouse), warehouses (digits of those that may serve). A line that all warehouses together can't serve is back ordered
+    whole. Else the fullest of its warehouses serves it alone if it can, or it is split over them, the fullest first."""
+    may = F.transform(F.filter(F.split(F.coalesce("warehouses", F.lit("")), ""), lambda c: c != ""), lambda c: c.cast("int"))
+    by_size = F.array_sort(F.transform(may, lambda w: F.struct((-F.get("stock", w)).alias("less"), w.alias("warehouse"))))
 
     def take(state: Column, x: Column) -> Column:
         units = F.least(state.open, -x.less)
         return F.struct((state.open - units).alias("open"), F.when(units > 0, F.array_append(state.parts, F.struct(x.warehouse.alias("warehouse"), units.alias("units")))).otherwise(state.parts).alias("parts"))
 
-    start = F.struct(F.col("qty").cast("long").alias("open"), F.array().cast("array<struct<warehouse: int, units: bigint>>").alias("parts"))
-    return lines.withColumn("__done", F.aggregate(by_size, start, take)).withColumn("parts", F.col("__done.parts")).withColumn("short", F.col("__done.open")).drop("__done")
+    qty = F.col("qty").cast("long")
+    start = F.struct(qty.alias("open"), F.array().cast("array<struct<warehouse: int, units: bigint>>").alias("parts"))
+    served = F.when(back_ordered(F.col("stock"), qty), start).otherwise(F.aggregate(by_size, start, take))
+    return lines.withColumn("__done", served).withColumn("parts", F.col("__done.parts")).withColumn("short", F.col("__done.open")).drop("__done")
 
 
 def order_code(key: Column, prefix: str = "OC-") -> Column:
@@ -89,6 +95,20 @@ def availability(stock: Column, etas: list[int]) -> Column:
     return F.struct(soon.warehouse.alias("warehouse"), (total < 5).alias("low"), text.alias("text"))
 
 
+def related_by_fit(products: DataFrame, types: DataFrame, keys: DataFrame, score: Column, each: int = 2, most: int = 4) -> DataFrame:
+    """(vehicle, i, other, nth): what belongs to a product for a vehicle: the best each of every related type (part_type,
+    related, nth: the order of a type's related ones) among what fits the vehicle, first most in all, type after type.
+    keys: vehicle, item, the items that fit each vehicle. What is best for a vehicle and type is the same for all products
+    that aim at it, so it is ranked once."""
+    fitting = keys.select("vehicle", F.col("item").alias("i")).join(products.withColumn("__s", score).select("i", "part_type", "__s"), "i")
+    per_type = F.row_number().over(Window.partitionBy("vehicle", "part_type").orderBy(F.desc("__s"), "i"))
+    best = fitting.withColumn("n", per_type).filter(F.col("n") <= each)
+    aims = types.join(best.select("vehicle", F.col("part_type").alias("related"), F.col("i").alias("other"), "n"), "related")
+    lists = aims.groupBy("vehicle", "part_type").agg(F.slice(F.array_sort(F.collect_list(F.struct("nth", "n", "other"))), 1, most).alias("others"))  # each x related types
+    met = fitting.select("vehicle", "i", "part_type").join(lists, ["vehicle", "part_type"])
+    return met.select("vehicle", "i", F.posexplode(F.transform("others", lambda x: x.other)).alias("nth", "other")).withColumn("nth", F.col("nth") + 1)
+
+
 def related(products: DataFrame, types: DataFrame, score: Column, each: int = 2, most: int = 4) -> DataFrame:
     """(i, other, nth): for products (i, part_type, price, ...) the best each of every related type (part_type, related), most in
     all. The best of a type are the same for all products that aim at it, so they are ranked once."""
@@ -121,7 +141,7 @@ def market(products: DataFrame) -> DataFrame:
     w = Window.partitionBy("part_type", "tier")
     before = F.coalesce(F.sum("c").over(w.orderBy("price").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = prices.select("part_type", "tier", "price", before.alias("below"), F.sum("c").over(w).alias("n"))
-    percent = F.least(F.lit(100), F.floor(F.col("below") * 100 / F.greatest(F.lit(1), F.col("n") - 1) + 0.5)).cast("long")
+    percent = F.least(F.lit(100), F.bround(F.col("below") * 100 / F.greatest(F.lit(1), F.col("n") - 1))).cast("long")
     return rows.withColumn("percent", percent).withColumn("label", F.when(percent <= 35, "low").when(percent <= 70, "fair").otherwise("high"))
 
 

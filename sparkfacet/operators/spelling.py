@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from sparkfacet.functions.text import deletes, typo_budget
 
 
-def osa(a: str, b: str) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours, no substring edited twice."""
+def osa(a: str, b: str, most: int | None = None) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours, no substring edited twice. With most, counting stops as
+    soon as the result is beyond it, and some number beyond it is returned."""
+    if most is not None and abs(len(a) - len(b)) > most:
+        return most + 1
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -19,14 +22,18 @@ def osa(a: str, b: str) -> int:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 best = min(best, before[j - 2] + 1)
             row.append(best)
+        if most is not None and min(row) > most:
+            return most + 1
         before, last = last, row
     return last[-1]
 
 
-def osa_distance(a: str, b: str) -> Column:
+def osa_distance(a: str, b: str, most: int = 2) -> Column:
+    """Beyond most, the largest typo budget, some number beyond it."""
+
     @F.arrow_udf("int")
     def distance(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else osa(x, y) for x, y in zip(xs.to_pylist(), ys.to_pylist())], pa.int32())
+        return pa.array([None if x is None or y is None else osa(x, y, most) for x, y in zip(xs.to_pylist(), ys.to_pylist())], pa.int32())
 
     return distance(F.col(a), F.col(b))
 

@@ -76,7 +76,7 @@ def assess(fits: DataFrame, vehicles: DataFrame, universe: DataFrame) -> DataFra
     each = configs.select("vehicle", F.struct(*PARTS).alias("config"), F.explode(config_keys(*map(F.col, PARTS))).alias("key"))
     hits = each.join(fits.filter(F.col("key") != UNIVERSAL), "key").select("vehicle", "item", "config").distinct()
     counted = hits.groupBy("vehicle", "item").agg(F.count(F.lit(1)).alias("fitting")).join(total, "vehicle")
-    share = F.floor(F.col("fitting") * 100 / F.col("configs") + 0.5) / 100
+    share = F.bround(F.col("fitting") / F.col("configs"), 2)
     verdict = F.when(F.col("fitting") == F.col("configs"), "confirmed").otherwise("conditional")
     reason = F.when(F.col("fitting") == F.col("configs"), F.concat(F.lit("fits all "), F.col("configs"), F.lit(" configurations"))).otherwise(F.concat(F.lit("fits "), F.col("fitting"), F.lit(" of "), F.col("configs"), F.lit(" configurations")))
     pairs = counted.select("vehicle", "item", "fitting", "configs", verdict.alias("verdict"), F.when(verdict == "confirmed", 1.0).otherwise(share).alias("share"), reason.alias("reason"))
@@ -85,10 +85,11 @@ def assess(fits: DataFrame, vehicles: DataFrame, universe: DataFrame) -> DataFra
 
 
 def summary(fits: DataFrame) -> DataFrame:
-    """(item, summary) by the kinds of the item's keys: universal, by engine, by generation or by year."""
-    kinds = fits.groupBy("item").agg(F.collect_set(F.split("key", ":")[0]).alias("kinds"))
-    has = lambda *k: F.arrays_overlap("kinds", F.array(*map(F.lit, k)))
-    return kinds.select("item", F.when(has(UNIVERSAL), "universal").when(has("y", "ye"), "by year").when(has("g", "ge"), "by generation").otherwise("by engine").alias("summary"))
+    """(item, summary, n: keys) by the kinds of all of the item's keys: universal if it has that key; by engine or by
+    generation if it has keys of that kind only; else exact."""
+    kinds = fits.groupBy("item").agg(F.array_sort(F.collect_set(F.split("key", ":")[0])).alias("kinds"), F.count(F.lit(1)).alias("n"))
+    only = lambda k: F.col("kinds") == F.array(F.lit(k))
+    return kinds.select("item", F.when(F.array_contains("kinds", UNIVERSAL), "universal").when(only("e"), "by engine").when(only("g"), "by generation").otherwise("exact").alias("summary"), "n")
 
 
 def described(islands: DataFrame) -> DataFrame:

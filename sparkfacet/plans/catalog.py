@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkfacet.functions import text as X
 from sparkfacet.operators import fitment, orders, search, service, trust
-from sparkfacet.plans.store import stored
+from sparkfacet.plans.store import shared_folder, stored
 from sparkfacet.sources.adapters import PRODUCTS_SQL, dealt, products, table, tier_rank
+from sparkfacet.streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,11 +104,11 @@ def wilson_bound(spark, sf):
 
 
 _ADJ = f"q AS (SELECT *, (reviews * rating + 25 * {_PRIOR}) / (reviews + 25) AS adjusted FROM p )"
-_VALUE = "pow(adjusted / 5, 2.0::DOUBLE) * sqrt(2.0::DOUBLE) * CASE WHEN stock_total > 0 THEN 1.0 ELSE 0.8 END::DOUBLE / pow(price, 0.7::DOUBLE)"
+_VALUE = "pow(adjusted / 5, 2.0::DOUBLE) * sqrt(warranty) * CASE WHEN stock_total > 0 THEN 1.0 ELSE 0.8 END::DOUBLE / pow(price, 0.7::DOUBLE)"
 
 
 def _value():
-    return trust.value(F.col("adjusted"), F.col("price"), F.lit(2.0), F.col("stock_total") > 0)
+    return trust.value(F.col("adjusted"), F.col("price"), F.col("warranty"), F.col("stock_total") > 0)
 
 
 @query(f", {_ADJ} SELECT i, round({_VALUE}, 8) AS value FROM q -- from p ")
@@ -126,10 +127,14 @@ def best_rated_in_group(spark, sf):
     return trust.best_value(products(spark, sf), F.col("rating"), ["variant", "category"]).select("variant", "category", "i", "members")
 
 
-@query(f""", {_ADJ}, b AS (SELECT brand, count(*) AS refs, avg(adjusted) AS adjusted, avg(CASE WHEN stock_total > 0 THEN 1.0 ELSE 0.0 END) AS stocked FROM q GROUP BY brand)
-SELECT brand, refs, round(45 * greatest(0, least(1, (adjusted - 3.8) / 0.7)) + 10 + 20 * stocked + 5 * ln(1 + refs) / (SELECT ln(1 + max(refs)) FROM b), 6) AS score FROM b -- from p """)
+_POINTS = "45 * greatest(0, least(1, (adjusted - 3.8) / 0.7)) + 20 * least(1.0, warranty / 2) + 20 * stocked + CASE WHEN oem THEN 10 ELSE 0 END + 5 * ln(1 + refs) / (SELECT ln(1 + max(refs)) FROM b)"
+
+
+@query(f""", b AS (SELECT brand, count(*) AS refs, CAST(sum(reviews) AS BIGINT) AS reviews, sum(rating * reviews) AS rn, avg(warranty) AS warranty, avg(CASE WHEN stock_total > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS stocked, bool_or(tier = 'oem') AS oem FROM p GROUP BY brand),
+a AS (SELECT *, (reviews * CASE WHEN reviews > 0 THEN rn / reviews ELSE {_PRIOR} END + 25 * {_PRIOR}) / (reviews + 25) AS adjusted FROM b), s AS (SELECT *, CAST(greatest(0, least(100, round_even(round({_POINTS}, 9), 0))) AS BIGINT) AS score FROM a)
+SELECT brand, refs, reviews, round_even(adjusted, 2) AS adjusted, CAST(round_even(100 * stocked, 0) AS BIGINT) AS in_stock_pct, oem, score, CASE WHEN score >= 85 THEN 'A+' WHEN score >= 75 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 55 THEN 'C' ELSE 'D' END AS grade FROM s -- from p """)
 def brand_trust(spark, sf):
-    return trust.brands(products(spark, sf)).select("brand", "refs", F.round("score", 6).alias("score"))
+    return trust.brands(products(spark, sf))
 
 
 @query("SELECT i, round(rating * ln(1 + reviews + 1), 6) AS quality FROM p ")
@@ -224,12 +229,20 @@ def cart_missing(spark, sf):
     return asked.join(table(spark, sf, "part").select(F.col("p_partkey").alias("asked")), "asked", "left_anti").select("cart", "line", "asked")
 
 
-@query("""SELECT cart, CASE WHEN bool_and(s0 >= q) THEN '0' WHEN bool_and(s2 >= q) THEN '2' WHEN bool_and(s1 >= q) THEN '1' WHEN bool_and(greatest(s0, s2) >= q) THEN '02' WHEN bool_and(greatest(s0, s1) >= q) THEN '01' WHEN bool_and(greatest(s1, s2) >= q) THEN '12' WHEN bool_and(greatest(s0, s1, s2) >= q) THEN '012' END AS warehouses
-FROM (SELECT l_orderkey AS cart, s0, s1, s2, CAST(l_quantity AS BIGINT) % 12 AS q FROM lineitem JOIN p ON i = l_partkey) GROUP BY cart""")
-def set_cover(spark, sf):
+#: Days until a parcel of each warehouse comes: from, to.
+SOONEST, LATEST = [1, 3, 1], [1, 4, 2]
+_SETS = "CASE " + " ".join(f"WHEN bool_and({' + '.join(f's{k}' for k in c)} >= q) FILTER (s0 + s1 + s2 >= q) THEN '{''.join(map(str, c))}'" for c in ((0,), (2,), (1,), (0, 2), (0, 1), (1, 2), (0, 1, 2))) + " END"
+
+
+def cart_lines(spark, sf):
+    """(cart, line, qty, stock) of each order's lines."""
     stock = products(spark, sf).select(F.col("i").alias("l_partkey"), "stock")
-    lines = table(spark, sf, "lineitem").join(stock, "l_partkey").select(F.col("l_orderkey").alias("cart"), "stock", (F.col("l_quantity").cast("long") % 12).alias("qty"))
-    return orders.ship_from(lines, [1, 4, 2])
+    return table(spark, sf, "lineitem").join(stock, "l_partkey").select(F.col("l_orderkey").alias("cart"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("qty"), "stock")
+
+
+@query(f"SELECT cart, {_SETS} AS warehouses FROM (SELECT l_orderkey AS cart, s0, s1, s2, CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN p ON i = l_partkey) GROUP BY cart")
+def set_cover(spark, sf):
+    return orders.ship_from(cart_lines(spark, sf), LATEST)
 
 
 @query("SELECT user_id, event_id, before, event_type, before IS NULL OR (before = 'view' AND event_type IN ('click', 'view')) OR (before = 'click' AND event_type = 'purchase') AS valid FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)")
@@ -253,17 +266,58 @@ def tumbling_windows(spark, sf):
     return g.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-@query()
+_REQUESTS = "e AS MATERIALIZED (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+_BUCKET = f"""WITH RECURSIVE {_REQUESTS}, r(key, id, k, sec, got, tokens) AS (SELECT key, id, k, sec, true, 2.0::DOUBLE FROM e WHERE k = 1 UNION ALL SELECT key, id, k, sec, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END FROM (SELECT e.*, least(3.0::DOUBLE, r.tokens + (e.sec - r.sec) * (1 / 3600::DOUBLE)) AS t FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1))
+SELECT key, id, got AS allowed, CAST(floor(tokens) AS INTEGER) AS remaining, round(CASE WHEN got THEN 0 ELSE (1 - tokens) * 3600 END, 3) AS retry, round((3 - tokens) * 3600, 3) AS reset FROM r"""
+_STATES = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS key, event_id AS id, event_type AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r(key, id, k, before, valid, after) AS (SELECT key, id, k, NULL::VARCHAR, true, v FROM e WHERE k = 1 UNION ALL
+SELECT e.key, e.id, e.k, r.after, (r.after = 'view' AND e.v IN ('click', 'view')) OR (r.after = 'click' AND e.v = 'purchase'), CASE WHEN (r.after = 'view' AND e.v IN ('click', 'view')) OR (r.after = 'click' AND e.v = 'purchase') THEN e.v ELSE r.after END FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1) SELECT key, id, before, valid, after FROM r"""
+#: Which state of an order may follow which.
+FLOW = {"view": ("click", "view"), "click": ("purchase",)}
+
+
+def requests(spark, sf):
+    """(key, id, ts, value) of all events."""
+    return table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("value"))
+
+
+def _rounded(decisions):
+    return decisions.select("key", "id", "allowed", "remaining", F.round("retry", 3).alias("retry"), F.round("reset", 3).alias("reset"))
+
+
+@query(_BUCKET)
 def token_bucket(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return orders.token_bucket(e, 3.0, 1 / 3600)
+    return _rounded(keyed.fold_table(requests(spark, sf), keyed.token_bucket(3.0, 1 / 3600)))
 
 
-@query()
+@query(_BUCKET)
+def token_bucket_stream(spark, sf):
+    """The same by a stream that keeps each key's bucket between its batches."""
+    return _rounded(keyed.run_table(requests(spark, sf), keyed.token_bucket(3.0, 1 / 3600), shared_folder(spark)))
+
+
+@query(_STATES)
+def order_states(spark, sf):
+    """Each event as an order's next state: refused ones leave the state as it is."""
+    return keyed.fold_table(requests(spark, sf), keyed.state_machine(FLOW))
+
+
+@query(_STATES)
+def order_states_stream(spark, sf):
+    return keyed.run_table(requests(spark, sf), keyed.state_machine(FLOW), shared_folder(spark))
+
+
+_BUNDLES = "l AS (SELECT l_orderkey AS plan, p_type AS bundle, l_linenumber AS nth, CAST(round(l_extendedprice) AS BIGINT) AS cents, 1 + l_linenumber % 3 AS priority, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN part ON p_partkey = l_partkey), g AS (SELECT plan, bundle, min(nth) AS nth, CAST(greatest(1, round_even(sum(cents) / 100.0::DOUBLE, 0)) AS BIGINT) AS cost, CAST(sum(priority) AS BIGINT) AS priority, CAST(sum(pow(n + 1, priority)) AS BIGINT) AS worth FROM l GROUP BY plan, bundle), b AS (SELECT plan, CAST(floor(sum(cents) / 200.0::DOUBLE) AS BIGINT) AS budget FROM l GROUP BY plan)"
+
+
+@query(f"""WITH {_BUNDLES}, k AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY nth, bundle) - 1 AS k FROM g), a AS (SELECT plan, list(cost ORDER BY k) AS c, list(worth ORDER BY k) AS w, count(*) AS n FROM k GROUP BY plan),
+m AS (SELECT plan, c, w, n, unnest(range(1::BIGINT << CAST(n AS INTEGER))) AS mask FROM a), s AS (SELECT plan, mask, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (mask >> CAST(i AS INTEGER)) & 1 = 1 THEN c[i + 1] ELSE 0 END)) AS cost, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (mask >> CAST(i AS INTEGER)) & 1 = 1 THEN w[i + 1] ELSE 0 END)) AS worth FROM m),
+o AS (SELECT plan, arg_max(mask, (worth, -mask)) AS mask FROM s JOIN b USING (plan) WHERE cost <= budget GROUP BY plan) SELECT plan, bundle, cost, priority, (mask >> CAST(k AS INTEGER)) & 1 = 1 AS now FROM k JOIN o USING (plan)""")
 def plan_knapsack(spark, sf):
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").cast("long").alias("id"), F.greatest(F.lit(1), F.col("l_quantity").cast("long")).alias("cost"), (F.col("l_discount") * 100 + 1).cast("long").alias("value"))
-    first = lines.groupBy("plan", "id").agg(F.min("cost").alias("cost"), F.max("value").alias("value"))
-    return orders.knapsack(first, 60)
+    """Orders as plans: lines of one type are a bundle, and half of what all cost is the budget."""
+    types = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("bundle"))
+    lines = table(spark, sf, "lineitem").join(types, "l_partkey").select(F.col("l_orderkey").alias("plan"), "bundle", F.col("l_linenumber").cast("long").alias("nth"), F.round("l_extendedprice").cast("long").alias("cents"), (1 + F.col("l_linenumber") % 3).cast("long").alias("priority"))
+    budgets = lines.groupBy("plan").agg(F.floor(F.sum("cents") / 200).alias("budget"))
+    return orders.fit_budget(lines, budgets)
 
 
 _COVER = "c AS (SELECT DISTINCT l_suppkey AS item, n_regionkey AS gen, CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS engine FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"

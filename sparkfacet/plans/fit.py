@@ -96,15 +96,18 @@ def types_by_fit(spark, sf):
 
 
 @query(f"""{ALL}, t AS (SELECT vehicle, count(*) AS configs FROM vc GROUP BY vehicle), h AS (SELECT vehicle, item, count(*) AS fitting FROM (SELECT DISTINCT vehicle, item, gen, year, engine FROM (SELECT vehicle, gen, year, engine, {KEYS_OF} AS key FROM vc) JOIN f USING (key)) GROUP BY ALL)
-SELECT vehicle, item, fitting, configs, CASE WHEN fitting = configs THEN 'confirmed' ELSE 'conditional' END AS verdict, CASE WHEN fitting = configs THEN 1.0::DOUBLE ELSE floor(fitting * 100::DOUBLE / configs + 0.5) / 100 END AS share, CASE WHEN fitting = configs THEN 'fits all ' || configs ELSE 'fits ' || fitting || ' of ' || configs END || ' configurations' AS reason FROM h JOIN t USING (vehicle)
+SELECT vehicle, item, fitting, configs, CASE WHEN fitting = configs THEN 'confirmed' ELSE 'conditional' END AS verdict, CASE WHEN fitting = configs THEN 1.0::DOUBLE ELSE round_even(fitting::DOUBLE / configs, 2) END AS share, CASE WHEN fitting = configs THEN 'fits all ' || configs ELSE 'fits ' || fitting || ' of ' || configs END || ' configurations' AS reason FROM h JOIN t USING (vehicle)
 UNION ALL SELECT -1, item, 0, 0, 'universal', 0.7::DOUBLE, 'fits any vehicle' FROM f WHERE key = '*'""")
 def fit_verdicts(spark, sf):
     return vehicles.assess(fits(spark, sf), garage(spark, sf), universe(spark, sf)).fillna(-1, ["vehicle"])  # -1: any
 
 
-@query(f"WITH {FITS} SELECT item, CASE WHEN bool_or(key = '*') THEN 'universal' WHEN bool_or(split_part(key, ':', 1) IN ('y', 'ye')) THEN 'by year' ELSE 'by generation' END AS summary, string_agg(key, '+' ORDER BY key) AS fit_id FROM f GROUP BY item")
+@query(f"WITH {FITS}, g AS (SELECT item, key FROM f WHERE item % 7 <> 0 UNION SELECT item, 'g:' || gen FROM c WHERE item % 7 = 0 AND item % 2 = 0 UNION SELECT item, 'e:' || engine FROM c WHERE item % 7 = 0 AND item % 2 = 1 UNION SELECT item, 'y:' || gen || ':' || year FROM c WHERE item % 21 = 0) SELECT item, CASE WHEN bool_or(key = '*') THEN 'universal' WHEN bool_and(starts_with(key, 'e:')) THEN 'by engine' WHEN bool_and(starts_with(key, 'g:')) THEN 'by generation' ELSE 'exact' END AS summary, count(*) AS n, string_agg(key, '+' ORDER BY key) AS fit_id FROM g GROUP BY item")
 def fitment_summary(spark, sf):
-    f = fits(spark, sf)
+    """What kind of keys an item has. Every seventh has generations or engines instead of its own keys, some of these a year too."""
+    k, c = F.col("item"), covered(spark, sf)
+    more = F.array_compact(F.array(F.when(k % 2 == 0, F.concat_ws(":", F.lit("g"), "gen")).otherwise(F.concat_ws(":", F.lit("e"), "engine")), F.when(k % 21 == 0, F.concat_ws(":", F.lit("y"), "gen", "year"))))
+    f = fits(spark, sf).filter(k % 7 != 0).unionByName(c.filter(k % 7 == 0).select("item", F.explode(more).alias("key")).distinct())
     ids = f.groupBy("item").agg(F.array_join(F.array_sort(F.collect_list("key")), "+").alias("fit_id"))
     return vehicles.summary(f).join(ids, "item")
 

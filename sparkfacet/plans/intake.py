@@ -56,12 +56,16 @@ def issue_report(spark, sf):
     return csv.read_csv(spark, path).select(F.col("row").cast("long").alias("row"), "column")
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 5 THEN 1990 WHEN 4 THEN 1990 WHEN 1 THEN y ELSE y END AS first, CASE o_orderkey % 6 WHEN 0 THEN y + 3 WHEN 1 THEN y WHEN 2 THEN y + 2 WHEN 3 THEN 2010 WHEN 4 THEN y ELSE y END AS last FROM (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)")
+@query("""SELECT o_orderkey, first, last FROM (SELECT o_orderkey, CASE o_orderkey % 10 WHEN 4 THEN 1990 WHEN 5 THEN 1990 ELSE y END AS first, CASE o_orderkey % 10 WHEN 0 THEN y + 3 WHEN 2 THEN y + 1 WHEN 3 THEN 2010 WHEN 5 THEN y - 1 WHEN 6 THEN CASE WHEN y + 1 < 2000 THEN y + 1 ELSE y END WHEN 7 THEN 2010 WHEN 8 THEN y + 2 ELSE y END AS last
+FROM (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)) WHERE first <= last""")
 def year_texts(spark, sf):
-    """Spans of years as texts put them, read back."""
-    k, y = F.col("o_orderkey") % 6, F.year("o_orderdate")
+    """Spans of years as texts put them, read back: in full, one year, in two digits, open at either end, before a year (which
+    isn't meant itself), the second year cut to two digits, and the wrong way round."""
+    k, y = F.col("o_orderkey") % 10, F.year("o_orderdate")
     two = lambda n: F.lpad((n % 100).cast("string"), 2, "0")
-    said = F.when(k == 0, F.concat(F.lit("Sedán "), y, F.lit(" a "), y + 3)).when(k == 1, F.concat(F.lit("mod. "), y, F.lit(" 4 cil"))).when(k == 2, F.concat(two(y), F.lit("-"), two(y + 2))).when(k == 3, F.concat(F.lit("desde "), y)).when(k == 4, F.concat(F.lit("hasta "), y)).otherwise(F.concat(F.lit("Antes de "), y))
+    cut = F.concat(y, F.lit("–"), two(F.when(y + 1 < 2000, y + 1).otherwise(y)))  # of the same century
+    said = F.when(k == 0, F.concat(F.lit("Sedán "), y, F.lit(" a "), y + 3)).when(k == 1, F.concat(F.lit("mod. "), y, F.lit(" 4 cil"))).when(k == 2, F.concat(two(y), F.lit("-"), two(y + 1))).when(k == 3, F.concat(F.lit("A partir de "), y))
+    said = said.when(k == 4, F.concat(F.lit("hasta "), y)).when(k == 5, F.concat(F.lit("Antes de "), y)).when(k == 6, cut).when(k == 7, F.concat(y, F.lit(" en adelante"))).when(k == 8, F.concat(y + 2, F.lit("/"), y)).otherwise(F.concat(F.lit("motor 1.6 "), y))
     rows = table(spark, sf, "orders").select("o_orderkey", F.explode(intake.year_spans(said, 1990, 2010)).alias("s"))
     return rows.select("o_orderkey", "s.first", "s.last")
 
@@ -88,10 +92,10 @@ def brand_resolution(spark, sf):
 def part_type_resolution(spark, sf):
     """Types named in their own column, else in the title, else unknown."""
     part, k = table(spark, sf, "part"), F.col("p_partkey") % 3
-    types = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").limit(200).collect()]  # a small set of names
     said = F.when(k == 0, F.lower("p_type")).otherwise("")
     title = F.when(k == 1, F.concat_ws(" ", F.lit("Pieza"), F.initcap("p_type"), "p_name")).otherwise(F.col("p_name"))
-    return part.select("p_partkey", intake.part_type_of(said, title, types).alias("part_type"))
+    rows = part.select(F.col("p_partkey").alias("row"), said.alias("said"), title.alias("title"))
+    return intake.resolve_types(rows, part.select(F.col("p_type").alias("type")).distinct()).select(F.col("row").alias("p_partkey"), F.col("type").alias("part_type"))
 
 
 @query("SELECT brand, list_filter(['economico', 'diario', 'desempeno', 'oem'], lambda t: list_contains(list(tier), t))[1] AS lowest, len(list_distinct(list(tier))) AS tiers, arg_min(part_type, i) AS first_type, string_agg(DISTINCT category, '+' ORDER BY category) AS categories FROM p GROUP BY brand")

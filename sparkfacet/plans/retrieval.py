@@ -29,7 +29,7 @@ def _index_sql(source: str, doc: str, fields: dict[str, tuple[str, float]]) -> s
     return f"pst AS MATERIALIZED (SELECT {_STEM} AS term, doc, sum(b) AS tf FROM ({each}) GROUP BY ALL), len AS MATERIALIZED (SELECT doc, sum(tf) AS dl FROM pst GROUP BY doc), df AS MATERIALIZED (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM len) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM pst GROUP BY term)"
 
 
-SEARCH_SQL = """var AS MATERIALIZED (SELECT query, place, word AS term, 1.0::DOUBLE AS weight FROM qw WHERE word IN (SELECT term FROM df) UNION ALL SELECT query, place, term, 0.8::DOUBLE FROM qw JOIN df ON starts_with(term, word) AND term <> word WHERE last AND length(word) >= 2),
+SEARCH_SQL = """var AS MATERIALIZED (SELECT query, place, word AS term, 1.0::DOUBLE AS weight FROM qw WHERE word IN (SELECT term FROM df) UNION ALL SELECT query, place, term, 0.8::DOUBLE FROM qw JOIN (SELECT word, term FROM (SELECT word, term, row_number() OVER (PARTITION BY word ORDER BY term) AS k FROM (SELECT DISTINCT word FROM qw WHERE last AND length(word) >= 2) JOIN df ON starts_with(term, word)) WHERE k <= 48) USING (word) WHERE last AND term <> word),
 best AS (SELECT query, doc, place, max(weight * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avg(dl) FROM len)))) AS s FROM var JOIN df USING (term) JOIN pst USING (term) JOIN len USING (doc) GROUP BY ALL),
 hit AS MATERIALIZED (SELECT query, doc, list_sum(list_sort(list(s))) AS raw, count(*) AS hits FROM best GROUP BY query, doc), mo AS (SELECT query, max(hits) AS most FROM hit GROUP BY query), ask AS (SELECT query, count(DISTINCT place) AS asked FROM qw GROUP BY query),
 kept AS MATERIALIZED (SELECT query, doc, raw, hits, most < asked AS relaxed FROM hit JOIN mo USING (query) JOIN ask USING (query) WHERE most < asked OR hits = asked), found AS MATERIALIZED (SELECT query, doc, raw / max(raw) OVER (PARTITION BY query) AS score, hits, relaxed FROM kept)"""
@@ -106,11 +106,8 @@ def search_batch(spark, sf):
 _NAMES = "qw AS MATERIALIZED (SELECT query, place, word, place = 1 AS last FROM (SELECT query, unnest([0, 1]) AS place, unnest([split_part(name, ' ', 2), left(split_part(name, ' ', 1), 3)]) AS word FROM (SELECT row_number() OVER (ORDER BY p_name) AS query, p_name AS name FROM (SELECT DISTINCT p_name FROM part))))"
 
 
-@query(f"""{PRODUCTS_INDEX_SQL}, {_NAMES}, {SEARCH_SQL}, cand AS (SELECT query, i AS doc, score, rating * ln(reviews + 2) AS quality, stock_total, i % 11 = 0 AS free FROM found JOIN p ON i = doc WHERE price >= 920 AND price <= 990),
-r AS (SELECT query, doc, round(0.35::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY quality DESC, doc)) + 0.2::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY stock_total <= 0, stock_total DESC, doc)) + 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc)) + 0.5::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY free, doc)), 10) AS rrf FROM cand)
-SELECT query, doc, rrf, nth FROM (SELECT query, doc, rrf, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, doc) AS nth FROM r) WHERE nth <= 24 -- from p """.replace("pst AS MATERIALIZED", ", pst AS MATERIALIZED", 1))
-def search_pages(spark, sf):
-    """The search pipeline for a query on each product name: text hits under filters, fused by quality, stock, text and fitment; first page."""
+def fused_results(spark, sf) -> DataFrame:
+    """(query, doc, rrf): text hits under filters for a query on each product name, fused by quality, stock, text and fitment."""
     from pyspark.sql import Window
 
     names = table(spark, sf, "part").select("p_name").distinct()
@@ -120,7 +117,17 @@ def search_pages(spark, sf):
     pool = products(spark, sf).filter("price >= 920 and price <= 990").select(F.col("i").alias("doc"), (F.col("rating") * F.log1p(F.col("reviews") + 1)).alias("quality"), "stock_total")
     found = retrieval.search(product_index(spark, sf), queries).join(pool, "doc")
     signals = {"quality": ([F.desc("quality")], 0.35), "stock": ([F.col("stock_total") <= 0, F.desc("stock_total")], 0.2), "text": ([F.round("score", 6).desc()], 1.0), "fitment": ([F.col("doc") % 11 == 0], 0.5)}
-    ranked = retrieval.fused(found, signals).select("query", "doc", F.round("rrf", 10).alias("rrf"))
+    return retrieval.fused(found, signals, only={"fitment": F.col("doc") % 11 != 0}).select("query", "doc", F.round("rrf", 10).alias("rrf"))
+
+
+@query(f"""{PRODUCTS_INDEX_SQL}, {_NAMES}, {SEARCH_SQL}, cand AS (SELECT query, i AS doc, score, rating * ln(reviews + 2) AS quality, stock_total, i % 11 = 0 AS free FROM found JOIN p ON i = doc WHERE price >= 920 AND price <= 990),
+r AS (SELECT query, doc, round(0.35::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY quality DESC, doc)) + 0.2::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY stock_total <= 0, stock_total DESC, doc)) + 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc)) + CASE WHEN bool_and(free) OVER (PARTITION BY query) THEN 0 ELSE 0.5::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY free, doc)) END, 10) AS rrf FROM cand)
+SELECT query, doc, rrf, nth FROM (SELECT query, doc, rrf, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, doc) AS nth FROM r) WHERE nth <= 24 -- from p """.replace("pst AS MATERIALIZED", ", pst AS MATERIALIZED", 1))
+def search_pages(spark, sf):
+    """The search pipeline for a query on each product name: text hits under filters, fused by quality, stock, text and fitment; first page."""
+    from pyspark.sql import Window
+
+    ranked = fused_results(spark, sf)
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rrf"), "doc"))
     return ranked.withColumn("nth", nth.cast("long")).filter("nth <= 24")
 
@@ -141,10 +148,10 @@ def number_lookup(spark, sf):
     return retrieval.number_index(numbers(spark, sf))
 
 
-@query(f"WITH {_NUM} SELECT n_nationkey AS query, i, max(CASE WHEN kind = 'pn' AND starts_with(key, part) THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END) AS weight FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'PN' ELSE '' END || (100 + n_nationkey * 13) AS part FROM nation) JOIN num ON contains(key, part) GROUP BY ALL")
+@query(f"WITH {_NUM} SELECT n_nationkey AS query, i, max(CASE WHEN starts_with(key, a) THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END) AS weight FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'PN' ELSE '' END || (100 + n_nationkey * 13) AS a, CAST(900 - n_nationkey * 11 AS VARCHAR) AS b FROM nation) JOIN num ON contains(key, a) OR contains(key, b) GROUP BY ALL")
 def number_partial(spark, sf):
     k = F.col("n_nationkey")
-    asked = table(spark, sf, "nation").select(k.alias("query"), F.concat(F.when(k % 2 == 0, "PN").otherwise(""), 100 + k * 13).alias("part"))
+    asked = table(spark, sf, "nation").select(k.alias("query"), F.array(F.concat(F.when(k % 2 == 0, "PN").otherwise(""), 100 + k * 13), (900 - k * 11).cast("string")).alias("parts"))
     return retrieval.partial_numbers(asked, numbers(spark, sf))
 
 
@@ -158,7 +165,7 @@ def number_windows(spark, sf):
 
 @query("""w AS (SELECT lower(brand) AS text, count(*) AS weight FROM p GROUP BY ALL UNION ALL SELECT lower(variant || ' ' || category), count(*) FROM p GROUP BY ALL UNION ALL SELECT lower(part_type), count(*) FROM p GROUP BY ALL),
 q AS (SELECT DISTINCT category AS query, ['x', left(category, 3)] AS words FROM p UNION ALL SELECT DISTINCT variant || ' ' || left(category, 2), [variant, left(category, 2)] FROM p ),
-a AS (SELECT query, 2 AS n, words[1] || ' ' || words[2] AS said FROM q UNION ALL SELECT query, 1, words[2] FROM q), m AS (SELECT query, n, text, CASE WHEN starts_with(text, said) THEN 2 * weight ELSE weight END AS s FROM a JOIN w ON contains(text, said)),
+a AS (SELECT query, 2 AS n, '' AS head, words[1] || ' ' || words[2] AS said FROM q UNION ALL SELECT query, 1, words[1], words[2] FROM q), m AS (SELECT query, n, trim(head || ' ' || text) AS text, CASE WHEN starts_with(text, said) THEN 2 * weight ELSE weight END AS s FROM a JOIN w ON text <> said AND (starts_with(text, said) OR contains(text, ' ' || said))),
 b AS (SELECT query, text, max(s) AS score FROM m WHERE n = (SELECT max(n) FROM m y WHERE y.query = m.query) GROUP BY query, text) SELECT query, text, score, nth FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, text) AS nth FROM b) WHERE nth <= 5""".replace("w AS (SELECT", ", w AS (SELECT", 1))
 def autocomplete(spark, sf):
     p = products(spark, sf).select("brand", "variant", "category", "part_type")

@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkfacet.functions import text as X
-from sparkfacet.operators import codes, service, trust, workshop
-from sparkfacet.plans.catalog import _ADJ, _VALUE, _value, query
+from sparkfacet.operators import codes, orders, service, trust, workshop
+from sparkfacet.plans.catalog import _ADJ, _SETS, _VALUE, LATEST, SOONEST, _value, cart_lines, query
 from sparkfacet.sources.adapters import TIERS, products, table, tier_rank
 
 _TASKS = "t AS (SELECT p_type AS task, 10000 * row_number() OVER (ORDER BY p_type) AS every FROM (SELECT DISTINCT p_type FROM part))"
@@ -35,10 +35,10 @@ def due_tasks(spark, sf):
 
 def _task_products(spark, sf):
     rated = trust.with_bayes(products(spark, sf))
-    return rated.select(F.col("part_type").alias("task"), "i", "tier", "price", "rating", F.round(_value(), 8).alias("score"), (F.col("stock_total") > 20).alias("in_stock"))
+    return rated.select(F.col("part_type").alias("task"), "i", "tier", "price", "adjusted", F.round(_value(), 8).alias("score"), (F.col("stock_total") > 20).alias("in_stock"))
 
 
-_POOL = f"{_ADJ}, s AS (SELECT part_type AS task, i, tier, price, rating, round({_VALUE}, 8) AS score, stock_total > 20 AS in_stock FROM q), pool AS (SELECT * FROM s x WHERE in_stock OR NOT EXISTS (SELECT 1 FROM s y WHERE y.task = x.task AND y.in_stock)), fine AS (SELECT * FROM pool x WHERE tier IN ('desempeno', 'oem') OR NOT EXISTS (SELECT 1 FROM pool y WHERE y.task = x.task AND y.tier IN ('desempeno', 'oem'))), pk AS (SELECT task, arg_min(i, (price, i)) AS cheapest, arg_max(i, (score, -i)) AS value FROM pool GROUP BY task), pb AS (SELECT task, arg_max(i, (rating, -price, -i)) AS best FROM fine GROUP BY task)"
+_POOL = f"{_ADJ}, s AS (SELECT part_type AS task, i, tier, price, adjusted, round({_VALUE}, 8) AS score, stock_total > 20 AS in_stock FROM q), pool AS (SELECT * FROM s x WHERE in_stock OR NOT EXISTS (SELECT 1 FROM s y WHERE y.task = x.task AND y.in_stock)), fine AS (SELECT * FROM pool x WHERE tier IN ('desempeno', 'oem') OR NOT EXISTS (SELECT 1 FROM pool y WHERE y.task = x.task AND y.tier IN ('desempeno', 'oem'))), pk AS (SELECT task, arg_min(i, (price, i)) AS cheapest, arg_max(i, (score, -i)) AS value FROM pool GROUP BY task), pb AS (SELECT task, arg_max(i, (adjusted, price, -i)) AS best FROM fine GROUP BY task)"
 
 
 @query(f", {_POOL} SELECT task, cheapest, value, best FROM pk JOIN pb USING (task) -- from p ")
@@ -58,14 +58,28 @@ def plan_totals(spark, sf):
     return rows.groupBy("vehicle").agg(F.count(F.lit(1)).alias("tasks"), *(F.sum(F.col(f"{n}_cents") * qty).alias(f"{n}_cents") for n in ("cheapest", "value", "best")))
 
 
-@query("""l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS qty, unnest([{'w': 0, 's': s0}, {'w': 1, 's': s1}, {'w': 2, 's': s2}]) AS x FROM lineitem JOIN p ON i = l_partkey), r AS (SELECT l_orderkey, l_linenumber, l_partkey, qty, x.w AS w, x.s AS s, coalesce(sum(x.s) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, qty ORDER BY x.s DESC, x.w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT DISTINCT * FROM l)),
-u AS (SELECT *, CAST(greatest(0, least(s, qty - before)) AS BIGINT) AS units FROM r) SELECT l_orderkey, l_linenumber, l_partkey, qty, coalesce(string_agg(w || 'x' || units, '+' ORDER BY s DESC, w) FILTER (units > 0), '') AS parts, CAST(qty - sum(units) AS BIGINT) AS short FROM u GROUP BY l_orderkey, l_linenumber, l_partkey, qty""".replace("l AS (SELECT l_orderkey", ", l AS (SELECT l_orderkey", 1) + " -- from p ")
+_SHIPPED = f"""l AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey AS cart, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS q, s0, s1, s2 FROM lineitem JOIN p ON i = l_partkey), c AS (SELECT cart, {_SETS} AS warehouses FROM l GROUP BY cart),
+w AS (SELECT id, cart, line, q, coalesce(warehouses, '') AS warehouses, s0 + s1 + s2 < q AS back, unnest([{{'w': 0, 's': s0}}, {{'w': 1, 's': s1}}, {{'w': 2, 's': s2}}]) AS x FROM l JOIN c USING (cart)), r AS (SELECT id, cart, line, q, warehouses, back, x.w AS w, CASE WHEN back OR NOT contains(warehouses, CAST(x.w AS VARCHAR)) THEN 0 ELSE x.s END AS s FROM w),
+u AS MATERIALIZED (SELECT *, CAST(greatest(0, least(s, q - coalesce(sum(s) OVER (PARTITION BY id ORDER BY s DESC, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS units FROM r)"""
+
+
+def _allocated(spark, sf):
+    lines = cart_lines(spark, sf)
+    return service.allocate(lines.join(orders.ship_from(lines, LATEST), "cart"))
+
+
+@query(f", {_SHIPPED} SELECT cart, line, q AS qty, warehouses, coalesce(string_agg(w || 'x' || units, '+' ORDER BY s DESC, w) FILTER (units > 0), '') AS parts, CAST(q - sum(units) AS BIGINT) AS short FROM u GROUP BY id, cart, line, q, warehouses -- from p ")
 def allocation(spark, sf):
-    stock = products(spark, sf).select(F.col("i").alias("l_partkey"), "stock")
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("qty")).distinct().join(stock, "l_partkey")
-    done = service.allocate(lines)
+    """What each warehouse of the cart's set sends of each line; lines that can't be served at all are left for later."""
     parts = F.array_join(F.transform("parts", lambda x: F.concat_ws("x", x.warehouse.cast("string"), x.units.cast("string"))), "+")
-    return done.select("l_orderkey", "l_linenumber", "l_partkey", "qty", parts.alias("parts"), "short")
+    return _allocated(spark, sf).select("cart", "line", "qty", F.coalesce("warehouses", F.lit("")).alias("warehouses"), parts.alias("parts"), "short")
+
+
+@query(f", {_SHIPPED}, t AS (SELECT cart, warehouses, CAST(sum(units) FILTER (w = 0) AS BIGINT) AS n0, CAST(sum(units) FILTER (w = 1) AS BIGINT) AS n1, CAST(sum(units) FILTER (w = 2) AS BIGINT) AS n2, count(DISTINCT id) FILTER (back) AS back_lines FROM u GROUP BY cart, warehouses) SELECT cart, warehouses, n0 || '/' || n1 || '/' || n2 AS units, back_lines, greatest(CASE WHEN n0 > 0 THEN 1 END, CASE WHEN n1 > 0 THEN 3 END, CASE WHEN n2 > 0 THEN 1 END, -1) AS eta_from, greatest(CASE WHEN n0 > 0 THEN 1 END, CASE WHEN n1 > 0 THEN 4 END, CASE WHEN n2 > 0 THEN 2 END, -1) AS eta_to FROM t -- from p ")
+def cart_shipments(spark, sf):
+    """One row for each cart: its warehouses, what each sends, lines left for later, and when the last parcel comes."""
+    done = orders.shipments(_allocated(spark, sf), SOONEST, LATEST)
+    return done.select("cart", F.coalesce("warehouses", F.lit("")).alias("warehouses"), F.array_join(F.col("units").cast("array<string>"), "/").alias("units"), "back_lines", "eta_from", "eta_to").fillna(-1, ["eta_from", "eta_to"])  # -1: nothing is sent
 
 
 _DIGITS = f"'{X.CROCKFORD}'"
@@ -180,7 +194,7 @@ def sample_product(spark, sf):
     return service.first_match(products(spark, sf), conditions, [F.desc("rating"), F.col("i")]).select("priority", "i", "rating")
 
 
-_MARKET = "mk AS (SELECT i, part_type, tier, price, rank() OVER (PARTITION BY part_type, tier ORDER BY price) - 1 AS below, count(*) OVER (PARTITION BY part_type, tier) AS n FROM p ), mp AS (SELECT *, CAST(least(100, floor(below * 100::DOUBLE / greatest(1, n - 1) + 0.5)) AS BIGINT) AS percent FROM mk)"
+_MARKET = "mk AS (SELECT i, part_type, tier, price, rank() OVER (PARTITION BY part_type, tier ORDER BY price) - 1 AS below, count(*) OVER (PARTITION BY part_type, tier) AS n FROM p ), mp AS (SELECT *, CAST(least(100, round_even(below * 100::DOUBLE / greatest(1, n - 1), 0)) AS BIGINT) AS percent FROM mk)"
 
 
 @query(f", {_MARKET} SELECT i, percent, CASE WHEN percent <= 35 THEN 'low' WHEN percent <= 70 THEN 'fair' ELSE 'high' END AS label FROM mp -- from p ")
@@ -217,14 +231,14 @@ def catalogue_tree(spark, sf):
     return r.filter("category is not null").select("category", "part_type", "brand", "tier", "n", "stocked", level.alias("level"))
 
 
-@query("SELECT i, CAST(floor((s0 + 5) * 100 / (s0 + 5 + 10 * s1 + 1) + 0.5) AS BIGINT) AS discount, brand || ' / ' || tier_rank || ' / ' || category AS card FROM p ")
+@query("SELECT i, CAST(round_even((1 - price / (price + 5 * s1)) * 100, 0) AS BIGINT) AS discount, CAST(round_even(reviews * (rating / 5) + CASE WHEN stock_total > 0 THEN 40 ELSE 0 END + CASE WHEN tier = 'diario' THEN 25 ELSE 0 END, 0) AS BIGINT) AS popularity, brand || ' / ' || tier_rank || ' / ' || category AS card FROM p ")
 def product_cards(spark, sf):
     """The wide projection: dimensions looked up, a discount in whole percent, a label."""
     p = products(spark, sf)
     tiers = spark.range(len(TIERS)).select((F.col("id") + 1).alias("rank"), F.element_at(F.array(*map(F.lit, TIERS)), (F.col("id") + 1).cast("int")).alias("tier"))
-    was = F.col("stock")[0] + 5 + 10 * F.col("stock")[1] + 1
-    discount = F.floor((F.col("stock")[0] + 5) * 100 / was + 0.5).cast("long")
-    return p.join(F.broadcast(tiers), "tier").select("i", discount.alias("discount"), F.concat_ws(" / ", "brand", F.col("rank").cast("string"), "category").alias("card"))  # four tiers
+    discount = F.bround((1 - F.col("price") / (F.col("price") + 5 * F.col("stock")[1])) * 100).cast("long")
+    popularity = F.bround(F.col("reviews") * (F.col("rating") / 5) + F.when(F.col("stock_total") > 0, 40).otherwise(0) + F.when(F.col("tier") == "diario", 25).otherwise(0)).cast("long")
+    return p.join(F.broadcast(tiers), "tier").select("i", discount.alias("discount"), popularity.alias("popularity"), F.concat_ws(" / ", "brand", F.col("rank").cast("string"), "category").alias("card"))  # four tiers
 
 
 _BITS = "SELECT tier, count(*) AS n, count(*) FILTER (brand < 'Brand#2') AS both FROM p GROUP BY tier"

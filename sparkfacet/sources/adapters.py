@@ -29,7 +29,7 @@ def tier_rank(tier: Column) -> Column:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """i, brand, part_type, category, variant, tier, price, stock (3 warehouses), stock_total, reviews, rating, on_sale.
+    """i, brand, part_type, category, variant, tier, price, stock (3 warehouses), stock_total, reviews, rating, on_sale, warranty (years).
 
     The lines are summed per part before the join, so the fact table shuffles as partial sums only.
     """
@@ -44,7 +44,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         F.col("p_partkey").alias("i"), F.col("p_brand").alias("brand"), F.col("p_type").alias("part_type"), F.get(words, F.lit(1)).alias("category"), F.get(words, F.lit(0)).alias("variant"),
         tier_of(F.col("p_size")).alias("tier"), F.col("p_retailprice").alias("price"), F.array(*levels).alias("stock"), (levels[0] + levels[1] + levels[2]).alias("stock_total"),
-        n.alias("reviews"), F.when(n > 0, F.lit(5.0) - F.col("cents") / (F.lit(5.0) * F.col("n"))).otherwise(0.0).alias("rating"), (F.col("p_partkey") % 7 == 0).alias("on_sale"),
+        n.alias("reviews"), F.when(n > 0, F.lit(5.0) - F.col("cents") / (F.lit(5.0) * F.col("n"))).otherwise(0.0).alias("rating"), (F.col("p_partkey") % 7 == 0).alias("on_sale"), (0.5 + F.col("p_partkey") % 6 * 0.5).cast("double").alias("warranty"),
     )
 
 
@@ -53,5 +53,5 @@ PRODUCTS_SQL = """p AS (SELECT p_partkey AS i, p_brand AS brand, p_type AS part_
  CASE WHEN p_size <= 12 THEN 'economico' WHEN p_size <= 25 THEN 'diario' WHEN p_size <= 38 THEN 'desempeno' ELSE 'oem' END AS tier,
  CASE WHEN p_size <= 12 THEN 1 WHEN p_size <= 25 THEN 2 WHEN p_size <= 38 THEN 3 ELSE 4 END AS tier_rank,
  p_retailprice AS price, coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, coalesce(s0 + s1 + s2, 0) AS stock_total, coalesce(n, 0) AS reviews,
- CASE WHEN n > 0 THEN 5.0::DOUBLE - cents / (5.0::DOUBLE * n) ELSE 0.0::DOUBLE END AS rating, p_partkey % 7 = 0 AS on_sale
+ CASE WHEN n > 0 THEN 5.0::DOUBLE - cents / (5.0::DOUBLE * n) ELSE 0.0::DOUBLE END AS rating, p_partkey % 7 = 0 AS on_sale, CAST(0.5 + p_partkey % 6 * 0.5 AS DOUBLE) AS warranty
  FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) FILTER (l_suppkey % 3 = 0) AS s0, count(*) FILTER (l_suppkey % 3 = 1) AS s1, count(*) FILTER (l_suppkey % 3 = 2) AS s2 FROM lineitem GROUP BY ALL) ON l_partkey = p_partkey)"""

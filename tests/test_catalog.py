@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from sparkfacet.plans import assist, catalog, fit, intake, retrieval, service  # noqa: F401  (the others add their queries to catalog's)
+from sparkfacet.plans import assist, catalog, fit, intake, language, retrieval, service  # noqa: F401  (the others add their queries to catalog's)
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,18 +77,37 @@ def test_vin(spark):
 
 
 def test_token_bucket(spark):
-    from sparkfacet.operators.orders import token_bucket
+    from sparkfacet.streaming.keyed import fold_table, token_bucket
 
-    rows = spark.createDataFrame([("a", k, float(t)) for k, t in enumerate([0, 0, 0, 1, 10])], "key string, id int, at double")
-    assert [r.allowed for r in token_bucket(rows, 2.0, 0.5).orderBy("id").collect()] == [True, True, False, False, True]
+    rows = spark.createDataFrame([("a", k, t, None) for k, t in enumerate([0, 0, 0, 1, 10])] + [(None, 9, 0, None), ("a", 9, None, None)], "key string, id int, s int, value string")
+    from pyspark.sql import functions as F
 
+    done = fold_table(rows.withColumn("ts", F.timestamp_seconds("s")), token_bucket(2.0, 0.5)).orderBy("id").collect()
+    assert [(r.allowed, r.remaining, r.retry, r.reset) for r in done] == [(True, 1, 0.0, 2.0), (True, 0, 0.0, 4.0), (False, 0, 2.0, 4.0), (False, 0, 1.0, 3.0), (True, 1, 0.0, 2.0)]
 
-def test_knapsack_against_all_subsets(spark):
-    from itertools import combinations
 
-    from sparkfacet.operators.orders import knapsack
+def test_budget_against_all_subsets(spark):
+    """Bundles are atomic, priorities strict, and one plan has values beyond 64 bits."""
+    import random
+    from itertools import combinations
 
-    items = [(1, 7, 9), (2, 5, 6), (3, 4, 5), (4, 3, 3)]
-    rows = spark.createDataFrame([("p", *x) for x in items], "plan string, id long, cost long, value long")
-    best = max(sum(x[2] for x in c) for n in range(5) for c in combinations(items, n) if sum(x[1] for x in c) <= 12)
-    assert knapsack(rows, 12).first().value == best
+    from sparkfacet.operators.orders import fit_budget
+
+    rng, rows, budgets = random.Random(4), [], {}
+    for plan in range(12):
+        n = rng.randrange(1, 8)
+        rows += [(plan, rng.choice("abcde"), k, rng.randrange(0, 900), rng.randrange(1, 4) if plan else 30) for k in range(n)]
+        budgets[plan] = rng.randrange(0, 20)
+    got = {}
+    frame = spark.createDataFrame(rows, "plan long, bundle string, nth long, cents long, priority long")
+    for r in fit_budget(frame, spark.createDataFrame(list(budgets.items()), "plan long, budget long")).collect():
+        got.setdefault(r.plan, {})[r.bundle] = (r.now, r.cost)
+    for plan, budget in budgets.items():
+        own = [r for r in rows if r[0] == plan]
+        names = list(dict.fromkeys(r[1] for r in own))
+        cost = {b: max(1, round(sum(r[3] for r in own if r[1] == b) / 100)) for b in names}
+        worth = {b: sum((len(own) + 1) ** r[4] for r in own if r[1] == b) for b in names}
+        sets = [c for n in range(len(names) + 1) for c in combinations(names, n) if sum(cost[b] for b in c) <= budget]
+        now = {b for b, (yes, _) in got[plan].items() if yes}
+        assert {b: c for b, (_, c) in got[plan].items()} == cost and sum(cost[b] for b in now) <= budget
+        assert sum(worth[b] for b in now) == max(sum(worth[b] for b in c) for c in sets)
