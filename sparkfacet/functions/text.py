@@ -94,15 +94,33 @@ def deletes(word: Column, prefix: int = 8) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(head), one, two)))
 
 
+def _number_parts(text: Column) -> tuple[Column, Column, Column]:
+    """The digits and separators of a text without its sign; that cut at its one kind of separator; whether the separator is
+    for thousands: it stands several times, or once before three digits that a number other than 0 comes before."""
+    s = F.replace(F.regexp_replace(text, "[^0-9,.-]", ""), F.lit("-"), F.lit(""))
+    parts = F.split(s, F.when(s.contains(","), ",").otherwise("[.]"))
+    groups = F.size(parts) - 1
+    return s, parts, (groups > 1) | ((groups == 1) & (F.length(F.get(parts, F.lit(1))) == 3) & ~F.get(parts, F.lit(0)).isin("", "0"))
+
+
 def parse_number(text: Column) -> Column:
-    """A number written with , or . for decimals or thousands: of both, the last is decimal; one alone with three digits after it (or repeated) is thousands."""
-    t = F.regexp_replace(text, "[^0-9,.-]", "")
-    comma, dot = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
-    no_comma, no_dot = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit("."), F.lit(""))
-    last_comma = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
-    both = F.when(last_comma, F.replace(no_dot, F.lit(","), F.lit("."))).otherwise(no_comma)
-    one = F.when(comma > 0, F.when((comma > 1) | t.rlike(",[0-9]{3}$"), no_comma).otherwise(F.replace(t, F.lit(","), F.lit(".")))).when(dot > 0, F.when((dot > 1) | t.rlike("[.][0-9]{3}$"), no_dot).otherwise(t)).otherwise(t)
-    return F.when((comma > 0) & (dot > 0), both).otherwise(one).try_cast("double")
+    """A number written with , or . for decimals or thousands: of both, the last is decimal; one alone is for thousands if it
+    stands several times, or once before three digits (but 0,500 is a half). A minus in front counts, other signs don't."""
+    s, parts, thousands = _number_parts(text)
+    last_comma = F.instr(F.reverse(s), ",") < F.instr(F.reverse(s), ".")
+    both = F.when(last_comma, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), F.lit("")))
+    head = F.get(parts, F.lit(0))
+    one = F.when(thousands, F.array_join(parts, "")).when(F.size(parts) > 1, F.concat(F.when(head == "", "0").otherwise(head), F.lit("."), F.get(parts, F.lit(1)))).otherwise(s)
+    value = F.when(s.contains(",") & s.contains("."), both).otherwise(one).try_cast("double")
+    sign = F.when(F.startswith(F.regexp_replace(text, "[^0-9,.-]", ""), F.lit("-")), -1.0).otherwise(1.0)
+    return F.when(s.rlike("[0-9]"), value * sign)
+
+
+def thousands_note(text: Column) -> Column:
+    """How a number was read whose only separator might have been decimal, else null."""
+    s, parts, thousands = _number_parts(text)
+    alone = thousands & (F.size(parts) == 2) & ~(s.contains(",") & s.contains("."))
+    return F.when(alone, F.concat(F.trim(text), F.lit(" read as "), F.array_join(parts, "").try_cast("long").cast("string")))
 
 
 #: Fixed value: the 32 digits of Crockford's base 32.
@@ -128,22 +146,27 @@ def looks_like_pn(word: Column) -> Column:
     return (F.length(word) >= 3) & ~word.rlike("^(19|20)[0-9]{2}$") & ((digits >= 4) | ((digits >= 2) & word.rlike("[A-Za-z]") & (F.length(word) >= 4)))
 
 
-#: How a price range is put into words (folded text), lower and upper bounds.
-BETWEEN, BELOW, ABOVE = "entre ([0-9]+) y ([0-9]+)", "(?:menos de|bajo|hasta) ([0-9]+)", "(?:mas de|desde) ([0-9]+)"
+#: How a price range is put into words (folded text), lower and upper bounds; and the years that are no prices.
+_SUM = r"\$?\s*([0-9]+(?:[.,][0-9]+)?)"
+BETWEEN = rf"\bentre\s*{_SUM}\s*y\s*{_SUM}"
+BELOW = rf"(?:\bmenos de|\bpor debajo de|\bbajo|\bhasta|\bmaximo|\bmax|<)\s*{_SUM}"
+ABOVE = rf"(?:\bmas de|\bdesde|\bminimo|\barriba de|>)\s*{_SUM}"
+NO_PRICE = "^(19[89][0-9]|20[0-3][0-9])([.,].*)?$"
 
 
 def price_range(text: Column) -> Column:
-    """struct<lo, hi> (long, null where open) of the first phrase of each kind. Numbers that look like years are no prices."""
+    """struct<lo, hi> (double, null where open) of the last phrase of each kind; bounds of their own go before those of a
+    range. Numbers that look like years are no prices."""
     t = fold(text)
 
-    def number(pattern: str, group: int) -> Column:
-        found = F.regexp_extract(t, pattern, group)
-        return F.when(found.rlike("^(19|20)[0-9]{2}$"), None).otherwise(found.try_cast("long"))
+    def last(pattern: str, groups: int) -> Column:
+        """The numbers of the last phrase in which none is a year."""
+        all_ = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.array(*(F.regexp_extract(m, pattern, g) for g in range(1, groups + 1))))
+        fine = F.filter(all_, lambda n: ~F.exists(n, lambda x: x.rlike(NO_PRICE)))
+        return F.transform(F.get(F.reverse(fine), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
 
-    lo, hi = number(BETWEEN, 1), number(BETWEEN, 2)
-    both = lo.isNotNull() & hi.isNotNull()
-    low, high = F.when(both, F.least(lo, hi)).otherwise(number(ABOVE, 1)), F.when(both, F.greatest(lo, hi)).otherwise(number(BELOW, 1))
-    return F.struct(low.alias("lo"), high.alias("hi"))
+    both, above, below = last(BETWEEN, 2), last(ABOVE, 1), last(BELOW, 1)
+    return F.struct(F.coalesce(F.get(above, F.lit(0)), F.array_min(both)).alias("lo"), F.coalesce(F.get(below, F.lit(0)), F.array_max(both)).alias("hi"))
 
 
 def slug(text: Column) -> Column:

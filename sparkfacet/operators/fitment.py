@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def compact(covered: DataFrame, universe: DataFrame) -> DataFrame:
-    """The fewest keys for (item, gen, year, engine): g: whole generation, ge: an engine in all years, y: a year with all engines, ye: else."""
+    """The fewest keys for (item, gen, year, engine): g: whole generation, ge: an engine in all years, y: a year with all
+    engines, ye: else. One shuffle gathers an item's configurations of a generation, of which there are as many as the
+    generation has; how a configuration is covered is counted within them."""
     size = universe.groupBy("gen").agg(F.count_distinct("year").alias("years"), F.count_distinct("engine").alias("engines"))
-    one = covered.select("item", "gen", "year", "engine").distinct()
-    whole = one.groupBy("item", "gen").agg(F.count(F.lit(1)).alias("n"))
-    engine = one.groupBy("item", "gen", "engine").agg(F.count(F.lit(1)).alias("of_engine"))
-    year = one.groupBy("item", "gen", "year").agg(F.count(F.lit(1)).alias("of_year"))
-    rows = one.join(whole, ["item", "gen"]).join(engine, ["item", "gen", "engine"]).join(year, ["item", "gen", "year"]).join(size, "gen")
-    g, e, y = F.col("gen").cast("string"), F.col("engine"), F.col("year").cast("string")
-    key = (
-        F.when(F.col("n") == F.col("years") * F.col("engines"), F.concat(F.lit("g:"), g))
-        .when(F.col("of_engine") == F.col("years"), F.concat_ws(":", F.lit("ge"), g, e))
-        .when(F.col("of_year") == F.col("engines"), F.concat_ws(":", F.lit("y"), g, y))
-        .otherwise(F.concat_ws(":", F.lit("ye"), g, y, e))
-    )
-    return rows.select("item", key.alias("key")).distinct()
+    sets = covered.groupBy("item", "gen").agg(F.collect_set(F.struct("year", "engine")).alias("own")).join(size, "gen")
+    g = F.col("gen").cast("string")
+
+    def key(x: Column) -> Column:
+        of_engine, of_year = F.size(F.filter("own", lambda y: y.engine == x.engine)), F.size(F.filter("own", lambda y: y.year == x.year))
+        year = x.year.cast("string")
+        return F.when(of_engine == F.col("years"), F.concat_ws(":", F.lit("ge"), g, x.engine)).when(of_year == F.col("engines"), F.concat_ws(":", F.lit("y"), g, year)).otherwise(F.concat_ws(":", F.lit("ye"), g, year, x.engine))
+
+    whole = F.size("own") == F.col("years") * F.col("engines")
+    keys = F.when(whole, F.array(F.concat(F.lit("g:"), g))).otherwise(F.array_distinct(F.transform("own", key)))
+    return sets.select("item", F.explode(keys).alias("key"))
 
 
 def islands(covered: DataFrame) -> DataFrame:

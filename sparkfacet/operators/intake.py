@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,14 +94,16 @@ def application_configs(rows: DataFrame, universe: DataFrame) -> DataFrame:
 
 def resolve_brands(names: DataFrame, brands: DataFrame) -> DataFrame:
     """(name, brand, how) of names (name) against brands (brand): alias (equal letters and digits), fuzzy (the one nearest
-    within the typo budget) or new (its slug). Distinct names only; near ones meet on strings left by deletions."""
+    within the typo budget; of names of three or four letters only those with two neighbours swapped) or new (its slug). Distinct
+    names only; near ones meet on strings left by deletions."""
     asked = names.select("name", alnum_key(F.col("name")).alias("key")).distinct()
     known = brands.select("brand", alnum_key(F.col("brand")).alias("bkey"))
     same = asked.join(known, F.col("key") == F.col("bkey")).groupBy("name").agg(F.min("brand").alias("brand"))
-    open_ = asked.join(same, "name", "left_anti").withColumn("k", typo_budget(F.col("key")))
-    left = open_.filter("k > 0").select("name", "key", "k", F.explode(deletes(F.col("key"))).alias("part"))
+    open_ = asked.join(same, "name", "left_anti").withColumn("long", typo_budget(F.col("key"))).withColumn("k", F.when(F.col("long") > 0, F.col("long")).when(F.length("key") >= 3, 1).otherwise(0))
+    left = open_.filter("k > 0").select("name", "key", "k", "long", F.explode(deletes(F.col("key"))).alias("part"))
     right = known.select("brand", "bkey", F.explode(deletes(F.col("bkey"))).alias("part"))
-    near = left.join(right, "part").filter(F.levenshtein("key", "bkey") <= 2 * F.col("k")).select("name", "key", "k", "brand", "bkey").distinct()
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    near = left.join(right, "part").filter(F.levenshtein("key", "bkey") <= 2 * F.col("k")).filter((F.col("long") > 0) | (letters("key") == letters("bkey"))).select("name", "key", "k", "brand", "bkey").distinct()
     near = near.withColumn("d", osa_distance("key", "bkey")).filter("d <= k")
     best = near.groupBy("name").agg(F.min("d").alias("d"))
     fuzzy = near.join(best, ["name", "d"]).groupBy("name").agg(F.min("brand").alias("brand"), F.count_distinct("brand").alias("n")).filter("n = 1")
@@ -124,18 +127,29 @@ def resolve_types(rows: DataFrame, types: DataFrame) -> DataFrame:
     return joined.select("row", F.coalesce("named", "g.type").alias("type"), F.col("named").isNotNull().alias("sure"))
 
 
-def map_headers(headers: list[str], synonyms: dict[str, tuple[str, ...]]) -> dict[str, str]:
-    """header -> field: equal letters and digits first, then the nearest synonym within the typo budget; each field once,
-    but for stock columns, of which there may be one for each warehouse."""
-    key = lambda s: re.sub("[^a-z0-9]", "", s.lower())
+def map_headers(headers: list[str], synonyms: dict[str, tuple[str, ...]], warehouses: tuple[str, ...] = ()) -> dict[str, str]:
+    """header -> field: equal folded words first, then the nearest synonym within the typo budget (one at least, from four
+    letters on); each field once, the first column that names it. A column whose first word names the stock and whose others
+    name a warehouse is stock:n, its stock."""
+
+    def plain(text: str) -> str:
+        marks = unicodedata.normalize("NFD", text.lower())
+        return " ".join(re.findall("[a-z0-9]+", "".join(c for c in marks if not unicodedata.combining(c))))
+
+    known = {plain(n): f for f, names in synonyms.items() for n in names}
     out: dict[str, str] = {}
     for header in headers:
-        h = key(header)
-        exact = [f for f, names in synonyms.items() if h in map(key, names)]
-        budget = 2 if len(h) >= 8 else 1 if len(h) >= 5 else 0
-        near = sorted((osa(h, key(n)), f) for f, names in synonyms.items() for n in names if osa(h, key(n)) <= budget)
-        field = exact[0] if exact else near[0][1] if near else "stock" if h.startswith("stock") else None
-        if field and (field == "stock" or field not in out.values()):
+        h = plain(header)
+        first, *rest = h.split() or [""]
+        place = "".join(w for w in rest if w not in ("almacen", "bodega"))
+        if rest and known.get(first) == "stock" and place in warehouses:
+            out[header] = f"stock:{warehouses.index(place)}"
+            continue
+        field = known.get(h)
+        if field is None and len(h) >= 4:
+            budget = 2 if len(h) >= 8 else 1
+            field = min(((d, n, f) for n, f in known.items() if (d := osa(h, n, budget)) <= budget), default=(0, "", None))[2]
+        if field and field not in out.values():
             out[header] = field
     return out
 

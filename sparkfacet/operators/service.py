@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkfacet.functions.text import CROCKFORD, luhn32
 from sparkfacet.operators.orders import back_ordered
+from sparkfacet.sources.adapters import TIERS
 
 
 def due(vehicles: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -121,6 +122,15 @@ def related(products: DataFrame, types: DataFrame, score: Column, each: int = 2,
     return met.withColumn("k", in_type).filter(F.col("k") <= each).withColumn("nth", nth).filter(F.col("nth") <= most).select("i", "other", "nth")
 
 
+def best_of_groups(products: DataFrame, group: list[str], most: int) -> DataFrame:
+    """(group columns, members, first: ids) of products (i, tier, price, group columns): the first `most` of each group by tier, price
+    and id. Windows are limited before they shuffle, so no group is gathered."""
+    place = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(place, "price", "i"))
+    top = products.withColumn("__n", nth).filter(F.col("__n") <= most).groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "i"))), lambda x: x.i).alias("first"))
+    return products.groupBy(*group).agg(F.count(F.lit(1)).alias("members")).join(top, group)
+
+
 def showcase(products: DataFrame, tiers: int = 4) -> DataFrame:
     """(group, tier, i, price): the cheapest of each tier of the first group that has all tiers, else of the one with the most."""
     sizes = products.groupBy("group").agg(F.count_distinct("tier").alias("n"))

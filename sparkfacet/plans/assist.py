@@ -13,10 +13,10 @@ from sparkfacet.sources.adapters import products, table
 from sparkfacet.streaming import windows
 
 
-@query("SELECT doc_id, list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(list_filter(string_split(split_part(coalesce(text, ''), chr(10), 1), ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS hash FROM documents")
+@query("SELECT doc_id, list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS hash FROM documents")
 def fnv_hash(spark, sf):
-    """Of each document's first line, accents and all."""
-    return table(spark, sf, "documents").select("doc_id", X.fnv1a(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("hash"))
+    """Of each document's text, accents and all."""
+    return table(spark, sf, "documents").select("doc_id", X.fnv1a(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
 @query(f"""SELECT doc_id, count(*) AS n, min(w) AS first FROM ({_WORDS}) WHERE length(w) >= 3 AND NOT regexp_full_match(w, '(19|20)[0-9][0-9]')
@@ -29,13 +29,26 @@ def part_number_words(spark, sf):
 _X = "CAST(floor(p_retailprice) AS BIGINT)"
 
 
-@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN least({_X}, p_size) WHEN p_partkey % 4 = 2 AND {_X} NOT BETWEEN 1900 AND 2099 THEN {_X} ELSE -1 END AS lo,
-CASE WHEN p_partkey % 4 = 0 THEN greatest({_X}, p_size) WHEN p_partkey % 4 = 1 AND {_X} NOT BETWEEN 1900 AND 2099 THEN {_X} ELSE -1 END AS hi FROM part WHERE p_partkey % 4 <> 0 OR {_X} NOT BETWEEN 1900 AND 2099""")
+@query(f"""WITH r AS (SELECT p_partkey, p_partkey % 9 AS k, {_X}::DOUBLE AS x, p_size::DOUBLE AS s, {_X} BETWEEN 1980 AND 2039 AS y FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN CASE WHEN y THEN -1 ELSE least(x, s) END WHEN 2 THEN CASE WHEN y THEN -1 ELSE x END WHEN 4 THEN 3 WHEN 6 THEN 10 WHEN 7 THEN s ELSE -1 END AS lo,
+CASE k WHEN 0 THEN CASE WHEN y THEN -1 ELSE greatest(x, s) END WHEN 1 THEN CASE WHEN y THEN -1 ELSE x + 0.5 END WHEN 4 THEN 12.5 WHEN 5 THEN 40 WHEN 6 THEN s WHEN 8 THEN -1 ELSE -1 END AS hi FROM r""")
 def price_phrases(spark, sf):
-    x, k = F.floor("p_retailprice"), F.col("p_partkey") % 4
-    said = F.when(k == 0, F.concat(F.lit("Filtro ENTRE "), x, F.lit(" y "), F.col("p_size"))).when(k == 1, F.concat(F.lit("menos de "), x)).when(k == 2, F.concat(F.lit("Más de "), x)).otherwise("frenos")
-    rows = table(spark, sf, "part").filter((k != 0) | ~x.between(1900, 2099))
-    return rows.select("p_partkey", X.price_range(said).alias("r")).select("p_partkey", *(F.coalesce(f"r.{c}", F.lit(-1)).cast("long").alias(c) for c in ("lo", "hi")))
+    """Ranges in nine ways: with signs and decimals, either bound, two of a kind, a range with a bound of its own, and a year."""
+    x, s, k = F.floor("p_retailprice"), F.col("p_size"), F.col("p_partkey") % 9
+    forms = ["ENTRE $", x, " y ", s], ["menos de ", x, ",5"], ["Más de $ ", x], ["frenos"], ["por debajo de $12,5 o mínimo 3"], ["max 50 max 40"], ["entre 10 y 20 hasta ", s], ["> ", s], ["desde 2015"]
+    said = F.lit("")
+    for n, form in enumerate(forms):
+        said = F.when(k == n, F.concat(*(F.lit(f) if isinstance(f, str) else f for f in form))).otherwise(said)
+    return table(spark, sf, "part").select("p_partkey", X.price_range(said).alias("r")).select("p_partkey", *(F.coalesce(f"r.{c}", F.lit(-1.0)).alias(c) for c in ("lo", "hi")))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_partkey % 6 AS k, CAST(1 + p_partkey % 900 AS BIGINT) AS a, CAST(100 + p_size AS BIGINT) AS b FROM part) SELECT p_partkey, round(CASE k WHEN 0 THEN a * 1000 + b WHEN 1 THEN a + b / 1000.0::DOUBLE WHEN 2 THEN b / 1000.0::DOUBLE WHEN 3 THEN -(a + 0.5::DOUBLE) WHEN 4 THEN (a * 1000 + b) * 1000 + b ELSE -1 END, 3) AS value, CASE WHEN k = 0 THEN a || '.' || b || ' read as ' || (a * 1000 + b) ELSE '' END AS note FROM t""")
+def written_numbers(spark, sf):
+    """Numbers as people write them, with a note where a separator might have been meant otherwise."""
+    k, a, b = F.col("p_partkey") % 6, 1 + F.col("p_partkey") % 900, 100 + F.col("p_size")
+    said = F.when(k == 0, F.concat(a, F.lit("."), b)).when(k == 1, F.concat(a, F.lit("."), b, F.lit("0"))).when(k == 2, F.concat(F.lit("0,"), b)).when(k == 3, F.concat(F.lit("-"), a, F.lit(",5"))).when(k == 4, F.concat(a, F.lit(","), b, F.lit(","), b)).otherwise("n/a")
+    rows = table(spark, sf, "part").select("p_partkey", said.alias("said"))
+    return rows.select("p_partkey", F.round(F.coalesce(X.parse_number(F.col("said")), F.lit(-1.0)), 3).alias("value"), F.coalesce(X.thousands_note(F.col("said")), F.lit("")).alias("note"))
 
 
 @query("SELECT p_partkey, replace(lower(p_name), ' ', '-') AS slug FROM part")

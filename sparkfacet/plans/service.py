@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkfacet.functions import text as X
-from sparkfacet.operators import codes, orders, service, trust, workshop
+from sparkfacet.operators import codes, orders, service, trust, vehicles, workshop
 from sparkfacet.plans.catalog import _ADJ, _SETS, _VALUE, LATEST, SOONEST, _value, cart_lines, query
+from sparkfacet.plans.fit import ALL as _ALL_FITS
+from sparkfacet.plans.fit import fits, garage, universe
 from sparkfacet.sources.adapters import TIERS, products, table, tier_rank
 
 _TASKS = "t AS (SELECT p_type AS task, 10000 * row_number() OVER (ORDER BY p_type) AS every FROM (SELECT DISTINCT p_type FROM part))"
@@ -259,12 +261,43 @@ _VIN = "v AS (SELECT c_custkey, upper(substr(md5('vin' || c_custkey), 1, 17)) AS
 _SUM = " + ".join(f"{w} * instr('0123456789', CASE WHEN substr(vin, {k + 1}, 1) BETWEEN 'A' AND 'F' THEN CAST(instr('ABCDEF', substr(vin, {k + 1}, 1)) AS VARCHAR) ELSE substr(vin, {k + 1}, 1) END) - {w}" for k, w in enumerate(codes.VIN_WEIGHTS) if w)
 
 
-@query(f"WITH {_VIN}, {_WMI} SELECT c_custkey, substr(vin, 9, 1) = CASE WHEN s % 11 = 10 THEN 'X' ELSE CAST(s % 11 AS VARCHAR) END AS valid, (SELECT arg_min(maker, place) FROM w WHERE starts_with(vin, prefix)) AS maker FROM (SELECT *, {_SUM} AS s FROM v)")
+_REGION = "CASE WHEN contains('12345', f) THEN 'Norteamérica' WHEN contains('67', f) THEN 'Oceanía' WHEN contains('89', f) THEN 'Sudamérica' WHEN contains('ABCDEFGH', f) THEN 'África' ELSE '' END"
+
+
+@query(f"""WITH {_VIN}, {_WMI}, y AS (SELECT *, {_SUM} AS s, substr(vin, 1, 1) AS f, CASE WHEN substr(vin, 10, 1) BETWEEN '1' AND '9' THEN 2000 + CAST(substr(vin, 10, 1) AS INTEGER) WHEN substr(vin, 10, 1) BETWEEN 'A' AND 'F' THEN 2009 + instr('ABCDEF', substr(vin, 10, 1)) ELSE 0 END AS year FROM v)
+SELECT c_custkey, substr(vin, 9, 1) = CASE WHEN s % 11 = 10 THEN 'X' ELSE CAST(s % 11 AS VARCHAR) END AS valid, (SELECT arg_min(maker, place) FROM w WHERE starts_with(vin, prefix)) AS maker, {_REGION} AS region, CAST(CASE WHEN year > 2012 THEN year - 30 ELSE year END AS INTEGER) AS year, CASE WHEN c_custkey % 13 = 0 THEN 'length' WHEN c_custkey % 17 = 0 THEN 'letters' ELSE '' END AS error FROM y""")
 def vin_decode(spark, sf):
-    """Check digits of numbers made from the customers, and the first maker whose prefix they begin with."""
-    k = F.col("n_nationkey")
+    """Check digits of numbers made from the customers, the first maker whose prefix they begin with, region and model year as
+    of 2011; and what is wrong with some that were typed too short or with an O."""
+    k, c = F.col("n_nationkey"), F.col("c_custkey")
     makers = table(spark, sf, "nation").select(k.alias("place"), F.upper(F.substring(F.md5(F.col("n_name").cast("binary")), F.lit(1), F.when(k % 2 == 0, 1).otherwise(2))).alias("prefix"), F.col("n_name").alias("maker"))
     vins = table(spark, sf, "customer").select("c_custkey", F.upper(F.substring(F.md5(F.concat(F.lit("vin"), "c_custkey").cast("binary")), 1, 17)).alias("vin"))
     begins = vins.select("c_custkey", "vin", F.explode(F.array(F.substring("vin", 1, 1), F.substring("vin", 1, 2))).alias("prefix")).join(makers, "prefix")
     first = begins.groupBy("c_custkey").agg(F.min_by("maker", "place").alias("maker"))
-    return vins.join(first, "c_custkey", "left").select("c_custkey", codes.vin_valid(F.col("vin")).alias("valid"), "maker")
+    typed = codes.vin_clean(F.lower(F.when(c % 13 == 0, F.substring("vin", 1, 16)).when(c % 17 == 0, F.concat(F.substring("vin", 1, 16), F.lit("o"))).otherwise(F.concat_ws("-", F.substring("vin", 1, 3), F.substring("vin", 4, 14)))))
+    vin = F.col("vin")
+    return vins.join(first, "c_custkey", "left").select("c_custkey", codes.vin_valid(vin).alias("valid"), "maker", F.coalesce(codes.vin_region(vin), F.lit("")).alias("region"), F.coalesce(codes.vin_year(vin, F.lit(2011)), F.lit(0)).cast("int").alias("year"), F.coalesce(codes.vin_error(typed), F.lit("")).alias("error"))
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_type AS type, valid, CASE WHEN valid THEN p_brand || ' / ' || p_type ELSE '' END AS label FROM (SELECT *, p_partkey % 3 <> 0 AS valid FROM part)")
+def token_payloads(spark, sf):
+    """Tokens read back: what they say, whether they are genuine (every third is forged), and the label made of it."""
+    k = F.col("p_partkey")
+    body = F.to_json(F.struct(F.col("p_brand").alias("brand"), k.alias("id"), F.col("p_type").alias("type")))
+    rows = table(spark, sf, "part").select("p_partkey", codes.issue(SECRET, body).alias("token"))
+    rows = rows.withColumn("token", F.when(k % 3 == 0, F.concat(F.col("token"), F.lit("x"))).otherwise(F.col("token")))
+    read = rows.select("p_partkey", codes.verify(SECRET, F.col("token")).alias("valid"), codes.payload_of(F.col("token"), "brand string, id long, type string").alias("p"), codes.short_code(F.col("token")).alias("code"))
+    return read.select("p_partkey", "p.brand", "p.type", "valid", F.when(F.col("valid") & (F.length("code") == 9), F.concat_ws(" / ", "p.brand", "p.type")).otherwise("").alias("label"))
+
+
+@query(f""", {_ALL_FITS[5:]}, ty AS (SELECT DISTINCT p_type AS part_type FROM part), rl AS (SELECT x.part_type, y.part_type AS related, row_number() OVER (PARTITION BY x.part_type ORDER BY y.part_type) AS nth FROM ty x JOIN ty y ON x.part_type <> y.part_type), {_ADJ}, s AS (SELECT i, part_type, round({_VALUE}, 8) AS value FROM q),
+fi AS MATERIALIZED (SELECT DISTINCT vehicle, item AS i FROM f JOIN vk USING (key)), b AS (SELECT vehicle, part_type AS related, i AS other, row_number() OVER (PARTITION BY vehicle, part_type ORDER BY value DESC, i) AS n FROM fi JOIN s USING (i)), a AS (SELECT fi.vehicle, fi.i, other, row_number() OVER (PARTITION BY fi.vehicle, fi.i ORDER BY rl.nth, b.n) AS nth FROM fi JOIN s USING (i) JOIN rl USING (part_type) JOIN b ON b.vehicle = fi.vehicle AND b.related = rl.related AND b.n <= 2) SELECT vehicle, i, other, nth FROM a WHERE nth <= 4 -- from p """)
+def related_for_vehicles(spark, sf):
+    """What belongs to each product that fits a vehicle, among what fits it too."""
+    types = table(spark, sf, "part").select("p_type").distinct()
+    names = types.agg(F.array_sort(F.collect_list("p_type")).alias("all"))  # a handful of types
+    pairs = types.join(F.broadcast(names)).select(F.col("p_type").alias("part_type"), F.posexplode(F.filter("all", lambda x: x != F.col("p_type"))).alias("nth", "related"))  # one row
+    keys = vehicles.fitting(fits(spark, sf), vehicles.vehicle_keys(garage(spark, sf), universe(spark, sf)))
+    rated = trust.with_bayes(products(spark, sf)).withColumn("value", F.round(_value(), 8))
+    out = service.related_by_fit(rated, pairs, keys, F.col("value"))
+    return out.select("vehicle", "i", "other", F.col("nth").cast("long").alias("nth"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkfacet.plans.store import stored
+
 #: Fixed value: tiers from cheapest to best.
 TIERS = ("economico", "diario", "desempeno", "oem")
 
@@ -29,6 +31,11 @@ def tier_rank(tier: Column) -> Column:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of a catalogue, made once for each state of the tables and session."""
+    return stored(spark, sf_dir, "products", lambda: _products(spark, sf_dir))
+
+
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """i, brand, part_type, category, variant, tier, price, stock (3 warehouses), stock_total, reviews, rating, on_sale, warranty (years).
 
     The lines are summed per part before the join, so the fact table shuffles as partial sums only.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,13 +23,15 @@ class Dialect:
 
 
 def sniff(lines: list[bytes], encoding: str | None = None) -> Dialect:
-    """The delimiter that gives most lines the same number of fields, more fields counting for more; the encoding, or the first that fits."""
+    """The delimiter that gives most lines the same number of fields, more fields counting for more (those within quotes are
+    none); the encoding, or the first that fits."""
     encoding = encoding or next(e for e in ENCODINGS if _fits(lines, e))
     texts = [t for t in (line.decode(encoding) for line in lines) if t.strip()]
     best, delimiter = -1.0, DELIMITERS[0]
     for d in DELIMITERS:
-        fields, often = Counter(t.count(d) + 1 for t in texts).most_common(1)[0] if texts else (0, 0)
-        score = often / len(texts) * (fields > 1) * (1 + min(fields, 30) / 100) if texts else 0.0
+        rows = sum(1 for _ in csv.reader(texts, delimiter=d))
+        fields, often = Counter(len(fields) for fields in csv.reader(texts, delimiter=d)).most_common(1)[0] if texts else (0, 0)
+        score = often / rows * (fields > 1) * (1 + min(fields, 30) / 100) if texts else 0.0
         if score > best:
             best, delimiter = score, d
     return Dialect(delimiter, encoding)
@@ -41,21 +44,23 @@ def _fits(lines: list[bytes], encoding: str) -> bool:
         return False
 
 
-def encoding_of(lines: DataFrame) -> str:
-    """The first encoding that fits all lines (one column, value: the bytes as Spark reads text), found in one pass."""
+def encoding_of(lines: DataFrame) -> tuple[str, bool]:
+    """The first encoding that fits all lines (one column, value: the bytes as Spark reads text), and whether quoted fields go
+    over several lines; found in one pass."""
     raw = F.col("value").cast("binary")
     lacking = F.decode(raw, "ISO-8859-1").rlike(r"[\x81\x8D\x8F\x90\x9D]")  # what cp1252 has no characters for
-    odd = lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("utf8"), F.count_if(lacking).alias("cp1252")).first()
-    return ENCODINGS[0] if not odd["utf8"] else ENCODINGS[1] if not odd["cp1252"] else ENCODINGS[2]
+    odd = lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("utf8"), F.count_if(lacking).alias("cp1252"), F.count_if(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("open")).first()
+    return ENCODINGS[0] if not odd["utf8"] else ENCODINGS[1] if not odd["cp1252"] else ENCODINGS[2], odd["open"] > 0
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, by the header. All lines decide the encoding, the head (HEAD lines) the delimiter; only the
-    head comes to the driver."""
+    head comes to the driver. Files are read in parts unless some quoted field goes over several lines."""
     lines = spark.read.text(path)
     head = lines.select(F.col("value").cast("binary")).limit(HEAD).toArrow().column(0).to_pylist()
-    dialect = sniff(head, encoding_of(lines))
-    frame = spark.read.csv(path, sep=dialect.delimiter, header=True, encoding="UTF-8" if dialect.encoding == "utf-8-sig" else "ISO-8859-1", escape='"')
+    encoding, folded = encoding_of(lines)
+    dialect = sniff(head, encoding)
+    frame = spark.read.csv(path, sep=dialect.delimiter, header=True, multiLine=folded, encoding="UTF-8" if dialect.encoding == "utf-8-sig" else "ISO-8859-1", escape='"')
     if dialect.encoding == "cp1252":  # Spark reads no cp1252: it differs from ISO-8859-1 in control codes only
         codes, letters = _cp1252()
         frame = frame.select(*(F.translate(F.col(f"`{c}`"), codes, letters).alias(c.translate(str.maketrans(codes, letters))) for c in frame.columns))

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from sparkfacet.plans import assist, catalog, fit, intake, language, retrieval, service  # noqa: F401  (the others add their queries to catalog's)
+from sparkfacet.plans import assist, catalog, fit, imports, intake, language, retrieval, service  # noqa: F401  (the others add their queries to catalog's)
 
 SF = "/root/testdata/sf0.001"
 
