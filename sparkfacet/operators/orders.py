@@ -105,21 +105,23 @@ def fit_budget(lines: DataFrame, budgets: DataFrame) -> DataFrame:
     ready = sums.join(budgets, "plan").select("plan", "nth", "bundle", "cents", "priority", "priorities", "budget")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(plan: list) -> pd.DataFrame:
+        def done(plan: list) -> list[tuple]:
             n = sum(len(r[5]) for r in plan)
             costs, values = [max(1, round(r[3] / 100)) for r in plan], [sum((n + 1) ** int(p) for p in r[5]) for r in plan]
             now = best_bundles(costs, values, max(0, int(plan[0][6])))
-            return pd.DataFrame({"plan": [r[0] for r in plan], "bundle": [r[2] for r in plan], "cost": costs, "priority": [r[4] for r in plan], "now": now})
+            return [(r[0], r[2], cost, r[4], yes) for r, cost, yes in zip(plan, costs, now)]
 
         held: list = []
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
+            out: list[tuple] = []
+            for row in zip(*(batch[c].tolist() for c in batch.columns)):
                 if held and held[0][0] != row[0]:
-                    yield done(held)
+                    out += done(held)
                     held = []
                 held.append(row)
+            yield pd.DataFrame(out, columns=["plan", "bundle", "cost", "priority", "now"])
         if held:
-            yield done(held)
+            yield pd.DataFrame(done(held), columns=["plan", "bundle", "cost", "priority", "now"])
 
     ordered = ready.repartition("plan").sortWithinPartitions("plan", "nth", "bundle")
     types = {f.name: f.dataType.simpleString() for f in ready.schema.fields}

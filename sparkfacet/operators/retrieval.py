@@ -45,24 +45,33 @@ def variants(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return exact.unionByName(more.select("query", "place", "term", F.lit(PREFIX).alias("weight")))
 
 
-def search(index: DataFrame, words: DataFrame) -> DataFrame:
+#: Terms of a batch of queries that are broadcast to the postings; of more, both sides are shuffled.
+MAX_TERMS = 200_000
+
+
+def search(index: DataFrame, words: DataFrame, terms: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, hits, relaxed) for a batch of queries (query, place, word, last). A word counts with its best
     variant. Documents with all words are kept; if none has them, those with any, relaxed. Scores are divided by the query's highest.
 
-    Query words, few against the index, meet it by term; only their postings are scored."""
-    docs = lengths(index)
-    one = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = statistics(index, one.select("n"))
-    found = variants(words, terms.select("term"))
-    scored = found.join(terms, "term").join(index, "term").join(docs, "doc").join(F.broadcast(one.select("avgdl")))  # one row
+    index: term, doc, tf; with dl (the document's length), terms (term, idf) and size (one row: avgdl) from written tables
+    nothing is summed over the index. The terms of a batch, few against the index, are broadcast if there are MAX_TERMS at
+    most, so that only their postings leave the scan; one shuffle then brings a query's document together."""
+    if terms is None:
+        docs = lengths(index)
+        size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        terms, index = statistics(index, size.select("n")), index.join(docs, "doc")
+    found = variants(words, terms.select("term")).join(terms.select("term", "idf"), "term")
+    few = found.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+    scored = index.join(F.broadcast(found) if few else found, "term").join(F.broadcast(size.select("avgdl")))  # one row
     part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    best = scored.groupBy("query", "doc", "place").agg(F.max(part).alias("s"))
+    best = scored.select("query", "doc", "place", part.alias("s")).repartition("query", "doc").groupBy("query", "doc", "place").agg(F.max("s").alias("s"))
     hits = best.groupBy("query", "doc").agg(F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda a, x: a + x).alias("raw"), F.count(F.lit(1)).alias("hits"))
     asked = words.groupBy("query").agg(F.count_distinct("place").alias("asked"))
-    most = hits.groupBy("query").agg(F.max("hits").alias("most")).join(asked, "query")
-    kept = hits.join(most, "query").filter((F.col("most") < F.col("asked")) | (F.col("hits") == F.col("asked")))
-    top = kept.groupBy("query").agg(F.max("raw").alias("top"))
-    return kept.join(top, "query").select("query", "doc", (F.col("raw") / F.col("top")).alias("score"), "hits", (F.col("most") < F.col("asked")).alias("relaxed"))
+    # of each query the most words that a document has, and the highest score of those with as many and of all
+    tops = hits.groupBy("query", "hits").agg(F.max("raw").alias("raw")).groupBy("query").agg(F.max(F.struct("hits", "raw")).alias("most"), F.max("raw").alias("any")).join(asked, "query")
+    whole = F.col("most.hits") >= F.col("asked")
+    tops = tops.select("query", "asked", F.when(whole, F.col("most.raw")).otherwise(F.col("any")).alias("top"), (~whole).alias("relaxed"))
+    return hits.join(tops, "query").filter(F.col("relaxed") | (F.col("hits") == F.col("asked"))).select("query", "doc", (F.col("raw") / F.col("top")).alias("score"), "hits", "relaxed")
 
 
 def in_both(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from sparkfacet.functions import text as X
 from sparkfacet.operators import language, ranking, retrieval, vehicles, workshop
 from sparkfacet.plans.catalog import _FOLD, _STEM, document_words, query
 from sparkfacet.plans.fit import ALL, fits, garage, universe
-from sparkfacet.plans.retrieval import _NUM, DOCS_SQL, PRODUCTS_INDEX_SQL, SEARCH_SQL, STOP, document_index, fused_results, numbers, product_index, query_words
+from sparkfacet.plans.retrieval import _NUM, DOCS_SQL, PRODUCTS_INDEX_SQL, SEARCH_SQL, STOP, document_index, fused_results, numbers, product_index, query_words, search_tables
 from sparkfacet.plans.store import stored
 from sparkfacet.sources.adapters import products, table
 
@@ -202,7 +202,8 @@ def text_and_number(spark, sf):
     part = table(spark, sf, "part").select((F.col("p_partkey") - 1).alias("n_nationkey"), F.split("p_name", " ")[1].alias("w"))
     words = query_words(table(spark, sf, "nation").join(part, "n_nationkey").select(k.alias("query"), F.array("w").alias("words")))
     asked = table(spark, sf, "nation").select(k.alias("query"), F.array(F.concat(F.lit("PN"), 1 + k % 9, F.lit("0"))).alias("parts"))
-    text = retrieval.search(product_index(spark, sf), words).select("query", F.col("doc").alias("i"), "score")
+    rows, terms, size = search_tables(spark, sf, "products", product_index(spark, sf))
+    text = retrieval.search(rows, words, terms, size).select("query", F.col("doc").alias("i"), "score")
     return retrieval.in_both(text, retrieval.partial_numbers(asked, numbers(spark, sf)).withColumnRenamed("weight", "score")).select("query", "i", F.round("score", 6).alias("score"))
 
 

@@ -58,6 +58,16 @@ def document_index(spark, sf) -> DataFrame:
     return stored(spark, sf, "document-index", make)
 
 
+def search_tables(spark, sf, name: str, index) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings with their documents' lengths (in order of terms, so that a file holds few of them), the terms' statistics, and
+    the collection's size: what a search needs, each written once."""
+    dl = stored(spark, sf, f"{name}-lengths", lambda: retrieval.lengths(index))
+    size = stored(spark, sf, f"{name}-size", lambda: dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    terms = stored(spark, sf, f"{name}-terms", lambda: retrieval.statistics(index, size.select("n")))
+    rows = stored(spark, sf, f"{name}-postings", lambda: index.join(dl, "doc").repartitionByRange("term").sortWithinPartitions("term", "doc"))
+    return rows, terms, size
+
+
 def product_index(spark, sf) -> DataFrame:
     def make():
         part = table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
@@ -82,9 +92,8 @@ def postings(spark, sf):
 
 @query(f"WITH {DOCS_SQL} SELECT term, df, round(idf, 9) AS idf FROM df")
 def term_statistics(spark, sf):
-    index = document_index(spark, sf)
-    n = retrieval.lengths(index).agg(F.count(F.lit(1)).alias("n"))
-    return retrieval.statistics(index, n).select("term", "df", F.round("idf", 9).alias("idf"))
+    _, terms, _ = search_tables(spark, sf, "documents", document_index(spark, sf))
+    return terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def benchmark_queries(spark, sf) -> DataFrame:
@@ -99,7 +108,8 @@ _QW = f"qw AS MATERIALIZED (SELECT query, place, w AS raw, CASE WHEN true THEN (
 @query(f"WITH {DOCS_SQL}, {_QW}, {SEARCH_SQL} SELECT query, doc, round(score, 6) AS score, hits, relaxed FROM found")
 def search_batch(spark, sf):
     """Every benchmark text's first terms against all documents: BM25F, all words required or relaxed, scores divided by the highest."""
-    found = retrieval.search(document_index(spark, sf), benchmark_queries(spark, sf))
+    rows, terms, size = search_tables(spark, sf, "documents", document_index(spark, sf))
+    found = retrieval.search(rows, benchmark_queries(spark, sf), terms, size)
     return found.select("query", "doc", F.round("score", 6).alias("score"), "hits", "relaxed")
 
 
@@ -115,7 +125,8 @@ def fused_results(spark, sf) -> DataFrame:
     words = F.split("p_name", " ")
     queries = query_words(names.select(number.alias("query"), F.array(words[1], F.substring(words[0], 1, 3)).alias("words")))
     pool = products(spark, sf).filter("price >= 920 and price <= 990").select(F.col("i").alias("doc"), (F.col("rating") * F.log1p(F.col("reviews") + 1)).alias("quality"), "stock_total")
-    found = retrieval.search(product_index(spark, sf), queries).join(pool, "doc")
+    rows, terms, size = search_tables(spark, sf, "products", product_index(spark, sf))
+    found = retrieval.search(rows, queries, terms, size).join(pool, "doc")
     signals = {"quality": ([F.desc("quality")], 0.35), "stock": ([F.col("stock_total") <= 0, F.desc("stock_total")], 0.2), "text": ([F.round("score", 6).desc()], 1.0), "fitment": ([F.col("doc") % 11 == 0], 0.5)}
     return retrieval.fused(found, signals, only={"fitment": F.col("doc") % 11 != 0}).select("query", "doc", F.round("rrf", 10).alias("rrf"))
 

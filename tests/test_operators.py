@@ -20,7 +20,7 @@ def test_bool_list_specs(spark):
     assert got == ['[{"k":"k","v":"v"},{"k":"k","v":"w"}]', "[]"]
 
 
-@pytest.mark.parametrize("text, want", [("1998-2002 y 2005", [(1998, 2002), (2005, 2005)]), ("98-02", [(1998, 2002)]), ("desde 2001", [(2001, 2020)]), ("2001+", [(2001, 2020)]), ("hasta 1999", [(1980, 1999)]), ("motor 4 cil", []), ("2002 a 1999", [(1999, 2002)]), (None, None)])
+@pytest.mark.parametrize("text, want", [("1998-2002 y 2005", [(1998, 2002), (2005, 2005)]), ("98-02", [(1998, 2002)]), ("desde 2001", [(2001, 2020)]), ("2001+", [(2001, 2020)]), ("hasta 1999", [(1980, 1999)]), ("motor 4 cil", []), ("2002 a 1999", [(1999, 2002)]), ("antes de 2001", [(1980, 2000)]), ("antes de 1980", []), ("1999-02", []), ("1999–03 y 97-98", [(1903, 1999), (1997, 1998)]), ("2001 en adelante", [(2001, 2020)]), ("45-50", []), ("39-40", []), ("a partir de 2015, 1.6", [(2015, 2020)]), (None, None)])
 def test_year_spans(spark, text, want):
     from sparkfacet.operators.intake import year_spans
 
@@ -45,13 +45,6 @@ def test_mulberry32(spark):
         assert values(spark, lambda c: mulberry32(c, F.lit(n)), seeds, "long") == [stream(s, n)[-1] for s in seeds]
 
 
-def test_headers():
-    from sparkfacet.operators.intake import map_headers
-
-    fields = {"price": ("precio", "price"), "brand": ("marca", "brand"), "title": ("titulo", "descripcion")}
-    assert map_headers(["Precio ", "MARCA", "Descripcoin", "Stock Norte", "stock sur", "otro", "precio"], fields) == {"Precio ": "price", "MARCA": "brand", "Descripcoin": "title", "Stock Norte": "stock", "stock sur": "stock"}
-
-
 def test_codes_catch_single_errors(spark):
     from sparkfacet.functions.text import CROCKFORD
     from sparkfacet.operators.service import normal_code, order_code, valid_code
@@ -67,9 +60,9 @@ def test_codes_catch_single_errors(spark):
 def test_allocation(spark):
     from sparkfacet.operators.service import allocate
 
-    rows = [(5, [2, 9, 1]), (10, [2, 9, 1]), (20, [2, 9, 1]), (1, [0, 0, 0]), (0, [1, 1, 1])]
-    got = allocate(spark.createDataFrame(rows, "qty long, stock array<long>")).collect()
-    assert [([tuple(p) for p in r.parts], r.short) for r in got] == [([(1, 5)], 0), ([(1, 9), (0, 1)], 0), ([(1, 9), (0, 2), (2, 1)], 8), ([], 1), ([], 0)]
+    rows = [(5, [2, 9, 1], "1"), (10, [2, 9, 1], "01"), (20, [2, 9, 1], "012"), (1, [0, 0, 0], "012"), (0, [1, 1, 1], "0"), (12, [2, 9, 1], "012"), (3, [1, 2, 9], "01"), (2, [1, 2, 9], None)]
+    got = allocate(spark.createDataFrame(rows, "qty long, stock array<long>, warehouses string")).collect()
+    assert [([tuple(p) for p in r.parts], r.short) for r in got] == [([(1, 5)], 0), ([(1, 9), (0, 1)], 0), ([], 20), ([], 1), ([], 0), ([(1, 9), (0, 2), (2, 1)], 0), ([(1, 2), (0, 1)], 0), ([], 2)]
 
 
 def test_index_terms(spark):
