@@ -161,6 +161,14 @@ def knapsack(bundles: DataFrame, budget: int) -> DataFrame:
     return ordered.mapInPandas(run, f"plan {bundles.schema['plan'].dataType.simpleString()}, chosen array<long>, value long")
 
 
+def insert_once(existing: DataFrame, asked: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The rows of asked to add: of each key that existing lacks, the first in order. Repeated requests add nothing. Rows of
+    one key are reduced before they shuffle."""
+    columns = [c for c in asked.columns if c != key]
+    first = asked.groupBy(key).agg(F.min(F.struct(*(c.alias(f"__{k}") for k, c in enumerate(order)), F.struct(*columns).alias("__row"))).alias("__first"))
+    return first.join(existing.select(key), key, "left_anti").select(key, "__first.__row.*")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, start, end, n) by Spark's session windows; the same call works on a stream with a watermark."""
     return events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")

@@ -84,6 +84,28 @@ def assess(fits: DataFrame, vehicles: DataFrame, universe: DataFrame) -> DataFra
     return pairs.unionByName(free.select(F.lit(None).cast(pairs.schema["vehicle"].dataType).alias("vehicle"), "item", F.lit(0).cast("long").alias("fitting"), F.lit(0).cast("long").alias("configs"), F.lit("universal").alias("verdict"), F.lit(0.7).alias("share"), F.lit("fits any vehicle").alias("reason")))
 
 
+def verdicts(pairs: DataFrame, fits: DataFrame, vehicles: DataFrame, universe: DataFrame) -> DataFrame:
+    """(vehicle, item, verdict, share, reason) of each pair asked for (vehicle, item; unique): no-vehicle if nothing is known of
+    it, universal, no, confirmed if all of its configurations fit, else conditional with the share that does. The reason of a
+    conditional one says what would decide it: the years, if none is known; else the engines, if none is known and not all of
+    those fit; else the generations."""
+    known_ = vehicles.select("vehicle", "year", "engine", known().alias("known"))
+    configs = vehicle_configs(pairs.select("vehicle").distinct().join(vehicles, "vehicle"), universe)
+    total = configs.groupBy("vehicle").agg(F.count(F.lit(1)).alias("configs"), F.count_distinct("engine").alias("engines"))
+    own = fits.join(pairs.select("item").distinct(), "item", "left_semi")
+    keyed = configs.select("vehicle", F.struct(*PARTS).alias("config"), F.explode(config_keys(*map(F.col, PARTS))).alias("key"))
+    hits = keyed.join(own.filter(F.col("key") != UNIVERSAL), "key").join(pairs, ["vehicle", "item"], "left_semi").groupBy("vehicle", "item").agg(F.collect_set("config").alias("fitting"))
+    free = own.filter(F.col("key") == UNIVERSAL).select("item").distinct().withColumn("free", F.lit(True))
+    rows = pairs.join(known_, "vehicle", "left").join(total, "vehicle", "left").join(hits, ["vehicle", "item"], "left").join(free, "item", "left")
+    n = F.coalesce(F.size("fitting"), F.lit(0))
+    verdict = F.when(F.coalesce("known", F.lit("empty")) == "empty", "no-vehicle").when(F.col("free"), "universal").when(n <= 0, "no").when(n == F.col("configs"), "confirmed").otherwise("conditional")
+    share = F.when(verdict == "universal", 0.7).when(verdict.isin("no", "no-vehicle"), 0.0).otherwise(F.bround(n / F.col("configs"), 2))
+    of = lambda what: F.array_join(F.array_sort(F.array_distinct(F.transform("fitting", lambda x: x[what]))).cast("array<string>"), "+")
+    engines = F.size(F.array_distinct(F.transform("fitting", lambda x: x.engine)))
+    reason = F.when(F.col("year").isNull(), F.concat(F.lit("years "), of("year"))).when(F.col("engine").isNull() & (engines < F.col("engines")), F.concat(F.lit("engines "), of("engine"))).otherwise(F.concat(F.lit("generations "), of("gen")))
+    return rows.select("vehicle", "item", verdict.alias("verdict"), share.alias("share"), F.when(verdict == "conditional", reason).otherwise("").alias("reason"))
+
+
 def summary(fits: DataFrame) -> DataFrame:
     """(item, summary, n: keys) by the kinds of all of the item's keys: universal if it has that key; by engine or by
     generation if it has keys of that kind only; else exact."""

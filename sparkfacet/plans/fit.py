@@ -156,3 +156,38 @@ def fit_groups(spark, sf):
     key = F.concat_ws("|", "fit_id", "part_type", F.lit(""), "variant")
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.col("p_type").alias("part_type"), F.split("p_name", " ")[0].alias("variant"))
     return part.join(ids, "i").groupBy(key.alias("group_key")).agg(F.count(F.lit(1)).alias("members"), F.min("i").alias("first"), F.max("i").alias("last"))
+
+
+@query(f"""{ALL}, pr AS (SELECT p_partkey % 25 AS vehicle, p_partkey AS item FROM part), ic AS MATERIALIZED (SELECT DISTINCT vehicle, item, gen, year, engine FROM (SELECT vehicle, gen, year, engine, {KEYS_OF} AS key FROM vc) JOIN f USING (key) SEMI JOIN pr USING (vehicle, item)), t AS (SELECT vehicle, count(*) AS configs, count(DISTINCT engine) AS engines FROM vc GROUP BY vehicle),
+h AS (SELECT vehicle, item, count(*) AS n, count(DISTINCT engine) AS ne, string_agg(DISTINCT CAST(year AS VARCHAR), '+' ORDER BY CAST(year AS VARCHAR)) AS ys, string_agg(DISTINCT engine, '+' ORDER BY engine) AS es, string_agg(DISTINCT CAST(gen AS VARCHAR), '+' ORDER BY CAST(gen AS VARCHAR)) AS gs FROM ic GROUP BY ALL),
+a AS (SELECT pr.*, v.year, v.engine, coalesce(n, 0) AS n, configs, engines, ne, ys, es, gs, CASE WHEN configs IS NULL AND coalesce(CAST(v.gen AS VARCHAR), CAST(v.year AS VARCHAR), v.engine) IS NULL THEN 'no-vehicle' WHEN pr.item IN (SELECT item FROM f WHERE key = '*') THEN 'universal' WHEN coalesce(n, 0) = 0 THEN 'no' WHEN n = configs THEN 'confirmed' ELSE 'conditional' END AS verdict FROM pr LEFT JOIN v USING (vehicle) LEFT JOIN t USING (vehicle) LEFT JOIN h USING (vehicle, item))
+SELECT vehicle, item, verdict, CASE verdict WHEN 'universal' THEN 0.7::DOUBLE WHEN 'no' THEN 0 WHEN 'no-vehicle' THEN 0 ELSE round_even(n::DOUBLE / configs, 2) END AS share, CASE WHEN verdict <> 'conditional' THEN '' WHEN year IS NULL THEN 'years ' || ys WHEN engine IS NULL AND ne < engines THEN 'engines ' || es ELSE 'generations ' || gs END AS reason FROM a""")
+def pair_verdicts(spark, sf):
+    """Whether each part fits one of the vehicles, with the reason where it depends."""
+    pairs = table(spark, sf, "part").select((F.col("p_partkey") % 25).cast("int").alias("vehicle"), F.col("p_partkey").alias("item"))
+    return vehicles.verdicts(pairs, fits(spark, sf), garage(spark, sf), universe(spark, sf))
+
+
+_TREE = f"WITH {FITS}, ic AS (SELECT item, gen, year, engine FROM f JOIN (SELECT gen, year, engine, {KEYS_OF} AS key FROM u) k USING (key) UNION SELECT item, gen, year, engine FROM (SELECT DISTINCT item FROM f WHERE key = '*'), u), x AS MATERIALIZED (SELECT lower(r_name) AS make, year, gen, engine, split_part(p_name, ' ', 2) AS category, p_type AS part_type FROM ic JOIN part ON p_partkey = item JOIN region ON r_regionkey = gen)"
+
+
+@query(f"""{_TREE} SELECT level, make, year, model, engine, category, part_type, n FROM (SELECT 1 AS level, make, -1 AS year, '' AS model, '' AS engine, '' AS category, '' AS part_type, 0 AS n FROM x GROUP BY make UNION ALL SELECT 2, make, year, '', '', '', '', 0 FROM x GROUP BY ALL UNION ALL SELECT 3, make, year, 'gen ' || gen, '', '', '', 0 FROM x GROUP BY ALL
+UNION ALL SELECT 4, make, year, 'gen ' || gen, engine, '', '', 0 FROM x GROUP BY ALL UNION ALL SELECT 5, make, year, 'gen ' || gen, engine, category, '', count(*) FROM x GROUP BY ALL UNION ALL SELECT 6, make, year, 'gen ' || gen, engine, category, part_type, count(*) FROM x GROUP BY ALL)""")
+def catalogue_drilldown(spark, sf):
+    """The tree from makes by years, models and engines to categories and types, with what fits counted at the last two levels.
+    Items that fit anything are counted once and added, not repeated for each configuration."""
+    u, f = universe(spark, sf), fits(spark, sf)
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.split("p_name", " ")[1].alias("category"), F.col("p_type").alias("part_type"))
+    free = f.filter("key = '*'").select("item").distinct()
+    own = f.join(free, "item", "left_anti").join(vehicles.key_configs(f.select("key").distinct(), u), "key").select("item", "gen", "year", "engine").distinct()
+    counts = own.join(part, "item").groupBy("gen", "year", "engine", "category", "part_type").agg(F.count(F.lit(1)).alias("n"))
+    anywhere = free.join(part, "item").groupBy("category", "part_type").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("category", "part_type", "n")).alias("all"))  # one row: kinds of parts
+    more = u.join(F.broadcast(anywhere)).select("gen", "year", "engine", F.explode("all").alias("x")).select("gen", "year", "engine", "x.*")
+    types = counts.unionByName(more).groupBy("gen", "year", "engine", "category", "part_type").agg(F.sum("n").alias("n"))
+    region = table(spark, sf, "region").select(F.col("r_regionkey").alias("gen"), F.lower("r_name").alias("make"))
+    tree = types.join(region, "gen").withColumn("model", F.concat(F.lit("gen "), "gen"))
+    r = tree.rollup("make", "year", "model", "engine", "category", "part_type").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    level = F.when(F.col("g") == 0, 6).when(F.col("g") == 1, 5).when(F.col("g") == 3, 4).when(F.col("g") == 7, 3).when(F.col("g") == 15, 2).when(F.col("g") == 31, 1)
+    kept = r.withColumn("level", level).filter("level is not null")
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("model", "engine", "category", "part_type")]
+    return kept.select("level", "make", F.coalesce("year", F.lit(-1)).alias("year"), *text, F.when(F.col("level") >= 5, F.col("n")).otherwise(0).alias("n"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from sparkfacet.functions import text as X
-from sparkfacet.operators import language, ranking, retrieval, vehicles, workshop
+from sparkfacet.operators import language, ranking, retrieval, search, vehicles, workshop
 from sparkfacet.plans.catalog import _FOLD, _STEM, document_words, query
 from sparkfacet.plans.fit import ALL, fits, garage, universe
 from sparkfacet.plans.retrieval import _NUM, DOCS_SQL, PRODUCTS_INDEX_SQL, SEARCH_SQL, STOP, document_index, fused_results, numbers, product_index, query_words, search_tables
@@ -243,3 +243,31 @@ def available_causes(spark, sf):
     causes = part.select("part_type").distinct().filter(F.length("part_type") % 2 == 1)
     return own.unionByName(every).distinct().join(causes, "part_type", "left_semi")
 
+
+
+_ONE = "qw AS MATERIALIZED (SELECT 1 AS query, 0 AS place, split_part(p_name, ' ', 2) AS word, true AS last FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part))"
+_TIERS, _ANY = "tier IN ('diario', 'oem')", "stock_total > 5"
+_FACETS = " UNION ALL ".join(f"SELECT 'facet' AS section, '{d}' AS name, {d} AS value, count(*) FILTER ({_ANY if d == 'tier' else f'{_TIERS} AND {_ANY}'}) AS n FROM c GROUP BY {d}" for d in ("brand", "part_type", "category", "tier", "variant"))
+
+
+@query(f"""{PRODUCTS_INDEX_SQL}, {_ONE}, {SEARCH_SQL}, c AS MATERIALIZED (SELECT * FROM p JOIN found ON doc = i), z AS (SELECT min(price) AS a, max(price) AS b FROM c WHERE {_TIERS} AND {_ANY}), k AS (SELECT * FROM c WHERE {_TIERS} AND {_ANY} AND price <= 1500)
+SELECT section, name, value, n FROM ({_FACETS.replace('> 5', '> 5 AND price <= 1500')}) WHERE n > 0 OR (name = 'tier' AND value IN ('diario', 'oem')) UNION ALL SELECT 'total', 'hits', '', count(*) FROM k UNION ALL SELECT 'total', 'on_sale', '', count(*) FILTER (on_sale) FROM k UNION ALL
+SELECT 'price', CAST(bin AS VARCHAR), '', count(*) FROM (SELECT least(15, CAST(floor((price - a) / CASE WHEN b > a THEN b - a ELSE 1 END * 16) AS INTEGER)) AS bin FROM c, z WHERE {_TIERS} AND {_ANY}) GROUP BY bin UNION ALL SELECT 'hit', CAST(row_number() OVER (ORDER BY round(score, 6) DESC, i) AS VARCHAR), CAST(i AS VARCHAR), 1 FROM k QUALIFY row_number() OVER (ORDER BY round(score, 6) DESC, i) <= 24 -- from p """.replace("pst AS MATERIALIZED", ", pst AS MATERIALIZED", 1))
+def full_search(spark, sf):
+    """One request answered whole: words and filters together, with facets, totals, prices and the first hits."""
+    from pyspark.sql import Window
+
+    request = search.Request({"tier": ("diario", "oem")}, price_max=1500.0)
+    first = table(spark, sf, "part").agg(F.min_by("p_name", "p_partkey").alias("name"))
+    words = query_words(first.select(F.lit(1).alias("query"), F.array(F.split("name", " ")[1]).alias("words")))
+    rows, terms, size = search_tables(spark, sf, "products", product_index(spark, sf))
+    found = retrieval.search(rows, words, terms, size).select(F.col("doc").alias("i"), F.round("score", 6).alias("score"))
+    pool = products(spark, sf).filter("stock_total > 5").join(found, "i")
+    row = lambda section, name, value, n: (F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"), n.cast("long").alias("n"))
+    facets = search.facets(pool, request).select(*row("facet", F.col("dim"), F.col("value"), F.col("n")))
+    kept = search.select(pool, request)
+    totals = kept.agg(F.count(F.lit(1)).alias("hits"), F.count_if("on_sale").alias("on_sale")).select(F.explode(F.create_map(F.lit("hits"), "hits", F.lit("on_sale"), "on_sale")).alias("name", "n"))
+    prices = search.histogram(pool, request).filter("n > 0")
+    best = search.page(kept, [F.desc("score"), F.col("i")], 0, 24)
+    hits = best.select("i", F.row_number().over(Window.orderBy(F.desc("score"), "i")).alias("nth"))  # one page
+    return facets.unionByName(totals.select(*row("total", F.col("name"), F.lit(""), F.col("n")))).unionByName(prices.select(*row("price", F.col("bin"), F.lit(""), F.col("n")))).unionByName(hits.select(*row("hit", F.col("nth"), F.col("i"), F.lit(1))))

@@ -301,3 +301,14 @@ def related_for_vehicles(spark, sf):
     rated = trust.with_bayes(products(spark, sf)).withColumn("value", F.round(_value(), 8))
     out = service.related_by_fit(rated, pairs, keys, F.col("value"))
     return out.select("vehicle", "i", "other", F.col("nth").cast("long").alias("nth"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_orderkey % 3 <> 0")
+def inserted_orders(spark, sf):
+    """Orders asked for twice, some of which are there already, inserted once each; their JSON is read back to equal rows."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    asked = o.withColumn("nth", F.lit(1)).unionByName(o.select("o_orderkey", "o_custkey", F.lit("again").alias("status"), "cents").withColumn("nth", F.lit(2)))
+    new = orders.insert_once(o.filter("o_orderkey % 3 = 0"), asked, "o_orderkey", [F.col("nth")])
+    payload = F.to_json(F.struct("o_custkey", "status", "cents"))
+    read = new.select("o_orderkey", F.from_json(payload, "o_custkey long, status string, cents long").alias("p"))
+    return read.select("o_orderkey", "p.o_custkey", "p.status", "p.cents")
