@@ -60,13 +60,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new folder in the checkpoint folder, of the open own_tables() if there is one."""
+    path, owner = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}", _OWNER.get()
+    if owner is not None:
+        owner.append(path)
+    return path
+
+
 def written(frame: DataFrame, *by: str) -> DataFrame:
     """The rows as a Parquet table in the checkpoint folder. Unlike cut(), the plan starts anew with the table's true size,
     so that loops of joins don't multiply size estimates. by: columns with a folder for each value."""
-    path = f"{checkpoint_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
-    owner = _OWNER.get()
-    if owner is not None:
-        owner.append(path)
+    path = table_path(frame.sparkSession)
     frame.write.parquet(path, partitionBy=list(by) or None, compression="zstd")
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

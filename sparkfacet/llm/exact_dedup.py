@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfacet.llm._arrow import BASE, mix, text_buffers
-from sparkfacet.llm._spark import MAX_BITS, bit_field, cut, field_bits, spread_join, written
+from sparkfacet.llm._spark import MAX_BITS, bit_field, cut, field_bits, spread_join, table_path, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 PROBES = 3
@@ -102,15 +102,20 @@ def ranges_of(rows: int, max_bits: int) -> int:
 
 
 def _by_range(rows: DataFrame, heads: DataFrame, ranges: int, max_bits: int) -> DataFrame:
-    """rows (with head) and maybe, a range of hashes at a time. heads: all hashes. Each range reads its own folders only."""
+    """rows (with head) and maybe, a range of hashes at a time, each appended to one table. heads: all hashes. Each range reads
+    its own folders only; one field is held at a time, and plans don't grow with the ranges."""
+    spark = rows.sparkSession
     of = F.pmod(F.xxhash64("head", F.lit("range")), F.lit(ranges)).cast("int")
     heads, rows = (written(x.withColumn(RANGE, of), RANGE) for x in (heads, rows))
-    out = None
+    path, schema = table_path(spark), None
     for k in range(ranges):
-        test = in_field(rows.sparkSession, repeated_bits(heads.filter(F.col(RANGE) == k).select("head"), max_bits), max_bits)
-        part = rows.filter(F.col(RANGE) == k).drop(RANGE).withColumn("maybe", _tester(test)("head"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        shared = spark.sparkContext.broadcast(repeated_bits(heads.filter(F.col(RANGE) == k).select("head"), max_bits))
+        test = _tester(lambda h, shared=shared: _all_marked(shared.value, _positions(h, max_bits)))
+        part = rows.filter(F.col(RANGE) == k).drop(RANGE).withColumn("maybe", test("head"))
+        part.write.mode("append").parquet(path, compression="zstd")
+        shared.unpersist()
+        schema = part.schema
+    return spark.read.schema(schema).parquet(path)
 
 
 def _groups(rows: DataFrame) -> DataFrame:

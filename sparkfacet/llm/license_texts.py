@@ -1,4 +1,9 @@
-"""Whole licence texts as their authors publish them, and short notices that name a licence in a line."""
+"""Whole licence texts as their authors publish them, and short notices that name a licence in a line.
+
+Fixed values: a scanner needs the texts word by word. Publishers: mit and bsd, the Massachusetts Institute of Technology and the Regents of
+the University of California (as listed by the Open Source Initiative); apache, the Apache Software Foundation; gpl, the Free
+Software Foundation; mpl, the Mozilla Foundation; isc, the Internet Systems Consortium; unlicense, unlicense.org; notices of cc,
+Creative Commons."""
 
 TEXTS = {
     "mit": (
