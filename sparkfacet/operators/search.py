@@ -78,22 +78,3 @@ def rrf(frame: DataFrame, signals: dict[str, tuple[Column, float]], key: str, wi
 
     score = sum((F.lit(w) / (k + F.row_number().over(Window.partitionBy(within).orderBy(c, key))) for c, w in signals.values()), F.lit(0.0))
     return frame.select(key, within, score.alias("score"))
-
-
-def bm25f(documents: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score, hits) of documents (doc_id, dl: number of words, terms: stemmed words, at least those of the query). N, average length
-    and document frequencies are taken over all documents in one aggregation; only matching documents are scored."""
-    base = documents.select("doc_id", "dl", *(_tf(q).alias(f"tf{k}") for k, q in enumerate(query)))
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(query))))
-    joined = base.filter(" or ".join(f"tf{k} > 0" for k in range(len(query)))).join(F.broadcast(stats))  # one row
-    score, hits = F.lit(0.0), F.lit(0)
-    for k in range(len(query)):
-        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
-        idf = F.log1p((F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        hits = hits + (tf > 0).cast("int")
-    return joined.select("doc_id", score.alias("score"), hits.alias("hits"))
-
-
-def _tf(word: str) -> Column:
-    return F.size(F.filter("terms", lambda t: t == word))

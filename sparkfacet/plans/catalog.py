@@ -173,16 +173,6 @@ def postings_stats(spark, sf):
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-@query(f"""WITH t AS MATERIALIZED (SELECT doc_id, {_STEM} AS term FROM ({_WORDS})), d AS (SELECT d.doc_id, count(term) AS dl, count(*) FILTER (term = 'the') AS a, count(*) FILTER (term = 'queción') AS b, count(*) FILTER (term = 'und') AS c FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id),
-s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (c > 0) AS dc FROM d)
-SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - dc + 0.5) / (dc + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score, CAST(CAST(a > 0 AS INTEGER) + CAST(c > 0 AS INTEGER) AS INTEGER) AS hits FROM d, s WHERE a > 0 OR c > 0""")
-def bm25f(spark, sf):
-    query = ["the", "und"]
-    may = F.array(*map(F.lit, query), *(F.lit(q + end) for q in query for end in ("s", "es")))  # what can be stemmed to a query's word
-    docs = document_words(spark, sf).select("doc_id", F.size("words").alias("dl"), F.transform(F.filter("words", lambda w: F.array_contains(may, w)), X.stem).alias("terms"))
-    return search.bm25f(docs, query).select("doc_id", F.round("score", 6).alias("score"), "hits")
-
-
 @query("SELECT DISTINCT term FROM (SELECT lower(p_name) AS name FROM part), unnest(string_split(name, ' ')) AS t(term) WHERE term LIKE 'b%' ORDER BY term LIMIT 48")
 def prefix_expand(spark, sf):
     t = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).filter(F.col("term").startswith("b")).distinct()
@@ -201,12 +191,14 @@ def phonetic_index(spark, sf):
     return w.select("word", X.phonetic_key(F.col("word")).alias("key"))
 
 
-@query("SELECT x.i, y.i AS other FROM p x JOIN p y ON x.variant = y.variant AND x.category = y.category AND x.part_type = y.part_type AND x.tier = y.tier AND x.brand = y.brand AND x.i <> y.i")
+@query("SELECT i, min(i) OVER w AS first, count(*) OVER w - 1 AS others FROM p WINDOW w AS (PARTITION BY variant, category, part_type, tier, brand)")
 def group_equivalents(spark, sf):
-    """The other members of each product's group."""
+    """Each product's group, named by its first member, and the number of its other members: a row for each product, not for
+    each pair. Joined with itself on first, where a group's members are wanted."""
     keys = ["variant", "category", "part_type", "tier", "brand"]
     p = products(spark, sf).select("i", *keys)
-    return p.join(p.withColumnRenamed("i", "other"), keys).filter("i <> other").select("i", "other")
+    groups = p.groupBy(*keys).agg(F.min("i").alias("first"), (F.count(F.lit(1)) - 1).alias("others"))
+    return p.join(groups, keys).select("i", "first", "others")
 
 
 _LINES = "SELECT l_orderkey AS cart, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents, CAST(l_quantity AS BIGINT) AS qty FROM lineitem JOIN part ON p_partkey = l_partkey"

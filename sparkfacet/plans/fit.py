@@ -132,12 +132,14 @@ def latest_generation(spark, sf):
     return vehicles.latest(g, u.select("year").distinct())
 
 
-@query("SELECT o_orderkey, o_orderkey % 5 AS gen, CAST(year(o_orderdate) AS BIGINT) AS year, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS engine FROM orders")
+@query("SELECT o_orderkey, o_orderkey % 7 AS gen, CAST(year(o_orderdate) AS BIGINT) AS year, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS engine, coalesce(r_name, '') AS make FROM orders LEFT JOIN region ON r_regionkey = o_orderkey % 7")
 def vehicle_specs(spark, sf):
-    """Specifications written as gen:year[:engine], read again."""
+    """Specifications written as gen:year[:engine], read again; the make is that of the generation, if there is one."""
     k = F.col("o_orderkey")
-    said = F.concat_ws(":", (k % 5).cast("string"), F.year("o_orderdate").cast("string"), F.when(k % 3 != 0, F.col("o_orderpriority")))
-    return table(spark, sf, "orders").select("o_orderkey", vehicles.spec(said).alias("s")).select("o_orderkey", F.col("s.gen").cast("long").alias("gen"), "s.year", "s.engine")
+    said = F.concat_ws(":", (k % 7).cast("string"), F.year("o_orderdate").cast("string"), F.when(k % 3 != 0, F.col("o_orderpriority")))
+    makes = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("gen"), F.col("r_name").alias("make"))
+    read = table(spark, sf, "orders").select("o_orderkey", vehicles.spec(said).alias("s")).select("o_orderkey", F.col("s.gen").cast("long").alias("gen"), "s.year", "s.engine")
+    return read.join(makes, "gen", "left").select("o_orderkey", "gen", "year", "engine", F.coalesce("make", F.lit("")).alias("make"))
 
 
 @query(f"""WITH {FITS}, m AS (SELECT split_part(key, ':', 2) AS gen, item FROM f WHERE key <> '*') SELECT key AS word, count(*) AS weight, 'key' AS kind FROM f GROUP BY key UNION ALL SELECT gen, count(*), 'generation' FROM m GROUP BY gen""")

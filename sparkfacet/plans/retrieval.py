@@ -113,6 +113,19 @@ def search_batch(spark, sf):
     return found.select("query", "doc", F.round("score", 6).alias("score"), "hits", "relaxed")
 
 
+_FIRST = _QW.replace("FROM benchmark)", "FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))")
+
+
+@query(f"WITH {DOCS_SQL}, {_FIRST}, {SEARCH_SQL} SELECT doc AS doc_id, round(score, 6) AS score, hits FROM found")
+def bm25f(spark, sf):
+    """One query, the first terms of the first benchmark text, against all documents."""
+    b = table(spark, sf, "benchmark")
+    first = b.join(F.broadcast(b.agg(F.min("item_id").alias("item_id"))), "item_id")  # one row
+    words = query_words(first.select(F.col("item_id").alias("query"), F.slice(_analyzer(F.col("text")), 1, 3).alias("words")))
+    rows, terms, size = search_tables(spark, sf, "documents", document_index(spark, sf))
+    return retrieval.search(rows, words, terms, size).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "hits")
+
+
 _NAMES = "qw AS MATERIALIZED (SELECT query, place, word, place = 1 AS last FROM (SELECT query, unnest([0, 1]) AS place, unnest([split_part(name, ' ', 2), left(split_part(name, ' ', 1), 3)]) AS word FROM (SELECT row_number() OVER (ORDER BY p_name) AS query, p_name AS name FROM (SELECT DISTINCT p_name FROM part))))"
 
 

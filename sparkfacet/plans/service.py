@@ -60,6 +60,23 @@ def plan_totals(spark, sf):
     return rows.groupBy("vehicle").agg(F.count(F.lit(1)).alias("tasks"), *(F.sum(F.col(f"{n}_cents") * qty).alias(f"{n}_cents") for n in ("cheapest", "value", "best")))
 
 
+_OF_VARIANT = _POOL.replace("part_type AS task", "part_type || ':' || (i % 2) AS task", 1)
+
+
+@query(f", {_OF_VARIANT}, {_TASKS}, {_KM}, d AS (SELECT vehicle, task || ':' || (vehicle % 2) AS task, CASE WHEN length(task) % 2 = 1 THEN 4 + 2 * (vehicle % 3) ELSE 1 END AS qty FROM k, t WHERE km % every = 0), c AS (SELECT i, CAST(round(price * 100) AS BIGINT) AS cents FROM p) SELECT vehicle, count(*) AS tasks, CAST(sum(qty) AS BIGINT) AS units, CAST(sum(a.cents * qty) AS BIGINT) AS cheapest_cents, CAST(sum(b.cents * qty) AS BIGINT) AS value_cents, CAST(sum(e.cents * qty) AS BIGINT) AS best_cents FROM d JOIN pk USING (task) JOIN pb USING (task) JOIN c a ON a.i = cheapest JOIN c b ON b.i = value JOIN c e ON e.i = best GROUP BY vehicle")
+def plan_variants(spark, sf):
+    """Plans whose products are of the variant that the vehicle asks for (here, by its number), and whose parts of some types
+    come one for each cylinder."""
+    cents = table(spark, sf, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    of_variant = _task_products(spark, sf).withColumn("task", F.concat_ws(":", "task", (F.col("i") % 2).cast("string")))
+    priced = service.picks(of_variant, ("desempeno", "oem"))
+    for name in ("cheapest", "value", "best"):
+        priced = priced.join(cents.select(F.col("p_partkey").alias(name), F.col("cents").alias(f"{name}_cents")), name)
+    vehicle = F.col("vehicle")
+    rows = _due(spark, sf).select("vehicle", F.when(F.length("task") % 2 == 1, 4 + 2 * (vehicle % 3)).otherwise(1).alias("qty"), F.concat_ws(":", "task", (vehicle % 2).cast("string")).alias("task")).join(priced, "task")
+    return rows.groupBy("vehicle").agg(F.count(F.lit(1)).alias("tasks"), F.sum("qty").alias("units"), *(F.sum(F.col(f"{n}_cents") * F.col("qty")).alias(f"{n}_cents") for n in ("cheapest", "value", "best")))
+
+
 _SHIPPED = f"""l AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey AS cart, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS q, s0, s1, s2 FROM lineitem JOIN p ON i = l_partkey), c AS (SELECT cart, {_SETS} AS warehouses FROM l GROUP BY cart),
 w AS (SELECT id, cart, line, q, coalesce(warehouses, '') AS warehouses, s0 + s1 + s2 < q AS back, unnest([{{'w': 0, 's': s0}}, {{'w': 1, 's': s1}}, {{'w': 2, 's': s2}}]) AS x FROM l JOIN c USING (cart)), r AS (SELECT id, cart, line, q, warehouses, back, x.w AS w, CASE WHEN back OR NOT contains(warehouses, CAST(x.w AS VARCHAR)) THEN 0 ELSE x.s END AS s FROM w),
 u AS MATERIALIZED (SELECT *, CAST(greatest(0, least(s, q - coalesce(sum(s) OVER (PARTITION BY id ORDER BY s DESC, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS units FROM r)"""
@@ -210,13 +227,14 @@ def market_median(spark, sf):
     return service.upper_median(products(spark, sf))
 
 
-@query("SELECT i, other, row_number() OVER (PARTITION BY i ORDER BY r, price, other) AS nth FROM (SELECT x.i, y.i AS other, y.tier_rank AS r, y.price FROM p x JOIN p y ON x.brand = y.brand AND x.variant = y.variant AND x.category = y.category AND x.i <> y.i)")
+@query("SELECT i, min(i) OVER g AS first, row_number() OVER (PARTITION BY brand, variant, category ORDER BY tier_rank, price, i) AS nth FROM p WINDOW g AS (PARTITION BY brand, variant, category)")
 def alternatives(spark, sf):
-    """The other products of a group by tier and price."""
-    p = products(spark, sf).select("i", "brand", "variant", "category", tier_rank(F.col("tier")).alias("r"), "price")
-    other = p.select(F.col("i").alias("other"), "brand", "variant", "category", "r", "price")
-    met = p.select("i", "brand", "variant", "category").join(other, ["brand", "variant", "category"]).filter("i <> other")
-    return met.select("i", "other", F.row_number().over(Window.partitionBy("i").orderBy("r", "price", "other")).cast("long").alias("nth"))
+    """Each product's group, named by its first member, and its place there by tier and price: a row for each product."""
+    keys = ["brand", "variant", "category"]
+    p = products(spark, sf).select("i", *keys, tier_rank(F.col("tier")).alias("r"), "price")
+    groups = p.groupBy(*keys).agg(F.min("i").alias("first"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("r", "price", "i"))
+    return p.withColumn("nth", nth.cast("long")).join(groups, keys).select("i", "first", "nth")
 
 
 @query("SELECT category, coalesce(NULL, variant, 'Todas') AS shelf, count(*) AS n, arg_min(i, i) AS first, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS rows FROM p GROUP BY ALL")
@@ -233,14 +251,16 @@ def catalogue_tree(spark, sf):
     return r.filter("category is not null").select("category", "part_type", "brand", "tier", "n", "stocked", level.alias("level"))
 
 
-@query("SELECT i, CAST(round_even((1 - price / (price + 5 * s1)) * 100, 0) AS BIGINT) AS discount, CAST(round_even(reviews * (rating / 5) + CASE WHEN stock_total > 0 THEN 40 ELSE 0 END + CASE WHEN tier = 'diario' THEN 25 ELSE 0 END, 0) AS BIGINT) AS popularity, brand || ' / ' || tier_rank || ' / ' || category AS card FROM p ")
+@query("SELECT i, CAST(round_even((1 - price / (price + 5 * s1)) * 100, 0) AS BIGINT) AS discount, CAST(round_even(reviews * (rating / 5) + CASE WHEN stock_total > 0 THEN 40 ELSE 0 END + CASE WHEN tier = 'diario' THEN 25 ELSE 0 END, 0) AS BIGINT) AS popularity, brand || ' / ' || tier_rank || ' / ' || category AS card, count(*) OVER (PARTITION BY brand) AS of_brand, count(*) OVER (PARTITION BY part_type) AS of_type, count(*) OVER (PARTITION BY category) AS of_category FROM p ")
 def product_cards(spark, sf):
-    """The wide projection: dimensions looked up, a discount in whole percent, a label."""
+    """The wide projection: brand, type, category and tier looked up, a discount in whole percent, popularity, a label."""
     p = products(spark, sf)
+    for c, name in (("brand", "of_brand"), ("part_type", "of_type"), ("category", "of_category")):
+        p = p.join(products(spark, sf).groupBy(c).agg(F.count(F.lit(1)).alias(name)), c)
     tiers = spark.range(len(TIERS)).select((F.col("id") + 1).alias("rank"), F.element_at(F.array(*map(F.lit, TIERS)), (F.col("id") + 1).cast("int")).alias("tier"))
     discount = F.bround((1 - F.col("price") / (F.col("price") + 5 * F.col("stock")[1])) * 100).cast("long")
     popularity = F.bround(F.col("reviews") * (F.col("rating") / 5) + F.when(F.col("stock_total") > 0, 40).otherwise(0) + F.when(F.col("tier") == "diario", 25).otherwise(0)).cast("long")
-    return p.join(F.broadcast(tiers), "tier").select("i", discount.alias("discount"), popularity.alias("popularity"), F.concat_ws(" / ", "brand", F.col("rank").cast("string"), "category").alias("card"))  # four tiers
+    return p.join(F.broadcast(tiers), "tier").select("i", discount.alias("discount"), popularity.alias("popularity"), F.concat_ws(" / ", "brand", F.col("rank").cast("string"), "category").alias("card"), "of_brand", "of_type", "of_category")  # four tiers
 
 
 _BITS = "SELECT tier, count(*) AS n, count(*) FILTER (brand < 'Brand#2') AS both FROM p GROUP BY tier"
@@ -279,7 +299,7 @@ def vin_decode(spark, sf):
     return vins.join(first, "c_custkey", "left").select("c_custkey", codes.vin_valid(vin).alias("valid"), "maker", F.coalesce(codes.vin_region(vin), F.lit("")).alias("region"), F.coalesce(codes.vin_year(vin, F.lit(2011)), F.lit(0)).cast("int").alias("year"), F.coalesce(codes.vin_error(typed), F.lit("")).alias("error"))
 
 
-@query("SELECT p_partkey, p_brand AS brand, p_type AS type, valid, CASE WHEN valid THEN p_brand || ' / ' || p_type ELSE '' END AS label FROM (SELECT *, p_partkey % 3 <> 0 AS valid FROM part)")
+@query("SELECT p_partkey, p_brand AS brand, p_type AS type, valid, CASE WHEN valid THEN p_brand || ' / ' || p_type || ' / ' || p_name ELSE '' END AS label FROM (SELECT *, p_partkey % 3 <> 0 AS valid FROM part)")
 def token_payloads(spark, sf):
     """Tokens read back: what they say, whether they are genuine (every third is forged), and the label made of it."""
     k = F.col("p_partkey")
@@ -287,7 +307,9 @@ def token_payloads(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", codes.issue(SECRET, body).alias("token"))
     rows = rows.withColumn("token", F.when(k % 3 == 0, F.concat(F.col("token"), F.lit("x"))).otherwise(F.col("token")))
     read = rows.select("p_partkey", codes.verify(SECRET, F.col("token")).alias("valid"), codes.payload_of(F.col("token"), "brand string, id long, type string").alias("p"), codes.short_code(F.col("token")).alias("code"))
-    return read.select("p_partkey", "p.brand", "p.type", "valid", F.when(F.col("valid") & (F.length("code") == 9), F.concat_ws(" / ", "p.brand", "p.type")).otherwise("").alias("label"))
+    names = table(spark, sf, "part").select(k.alias("id"), "p_name")
+    read = read.withColumn("id", F.col("p.id")).join(names, "id", "left")  # the product may be gone
+    return read.select("p_partkey", "p.brand", "p.type", "valid", F.when(F.col("valid") & (F.length("code") == 9), F.concat_ws(" / ", "p.brand", "p.type", "p_name")).otherwise("").alias("label"))
 
 
 @query(f""", {_ALL_FITS[5:]}, ty AS (SELECT DISTINCT p_type AS part_type FROM part), rl AS (SELECT x.part_type, y.part_type AS related, row_number() OVER (PARTITION BY x.part_type ORDER BY y.part_type) AS nth FROM ty x JOIN ty y ON x.part_type <> y.part_type), {_ADJ}, s AS (SELECT i, part_type, round({_VALUE}, 8) AS value FROM q),
