@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from sparkfacet.functions import text as X
 from sparkfacet.operators import language, ranking, retrieval, search, vehicles, workshop
-from sparkfacet.plans.catalog import _FOLD, _STEM, document_words, query
+from sparkfacet.plans.catalog import _FOLD, _STEM, ORACLES, document_words, query
 from sparkfacet.plans.fit import ALL, fits, garage, universe
 from sparkfacet.plans.retrieval import _NUM, DOCS_SQL, PRODUCTS_INDEX_SQL, SEARCH_SQL, STOP, document_index, fused_results, numbers, product_index, query_words, search_tables
 from sparkfacet.plans.store import stored
-from sparkfacet.sources.adapters import products, table
+from sparkfacet.sources.adapters import PRODUCTS_SQL, products, table
 
 _LIST = f"list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda w: w <> '')"
 
@@ -101,6 +101,9 @@ def _sound_sql(word: str) -> str:
     return f"lower({out})"
 
 
+ORACLES["phonetic_index"] = f"WITH {PRODUCTS_SQL} SELECT word, {_sound_sql('word')} AS key FROM (SELECT DISTINCT unnest([category, variant]) AS word FROM p)"
+
+
 @query(f"""WITH {DOCS_SQL}, b AS (SELECT item_id, list_filter({_LIST}, lambda x: regexp_full_match(x, '[a-z]{{6,}}'))[1] AS w FROM benchmark),
 q AS (SELECT * FROM (SELECT item_id * 5 AS query, w AS word, false AS last FROM b UNION ALL SELECT item_id * 5 + 1, left(w, 3), true FROM b UNION ALL SELECT item_id * 5 + 2, left(w, 2) || substr(w, 4), true FROM b UNION ALL SELECT item_id * 5 + 3, left(w, 3) || substr(w, 5, 1) || substr(w, 4, 1) || substr(w, 6), true FROM b UNION ALL SELECT item_id * 5 + 4, translate(w, 'sv', 'zb'), false FROM b) WHERE word IS NOT NULL),
 ex AS (SELECT query, word, term, 1.0::DOUBLE AS weight, 'exact' AS channel FROM q JOIN df ON term = word), px AS (SELECT word, term FROM (SELECT word, term, row_number() OVER (PARTITION BY word ORDER BY term) AS k FROM (SELECT DISTINCT word FROM q WHERE last AND length(word) >= 2) JOIN df ON starts_with(term, word)) WHERE k <= 48),

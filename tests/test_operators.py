@@ -20,7 +20,7 @@ def test_bool_list_specs(spark):
     assert got == ['[{"k":"k","v":"v"},{"k":"k","v":"w"}]', "[]"]
 
 
-@pytest.mark.parametrize("text, want", [("1998-2002 y 2005", [(1998, 2002), (2005, 2005)]), ("98-02", [(1998, 2002)]), ("desde 2001", [(2001, 2020)]), ("2001+", [(2001, 2020)]), ("hasta 1999", [(1980, 1999)]), ("motor 4 cil", []), ("2002 a 1999", [(1999, 2002)]), ("antes de 2001", [(1980, 2000)]), ("antes de 1980", []), ("1999-02", []), ("1999–03 y 97-98", [(1903, 1999), (1997, 1998)]), ("2001 en adelante", [(2001, 2020)]), ("45-50", []), ("39-40", []), ("a partir de 2015, 1.6", [(2015, 2020)]), (None, None)])
+@pytest.mark.parametrize("text, want", [("1998-2002 y 2005", [(1998, 2002), (2005, 2005)]), ("98-02", [(1998, 2002)]), ("desde 2001", [(2001, 2020)]), ("2001+", [(2001, 2020)]), ("hasta 1999", [(1980, 1999)]), ("motor 4 cil", []), ("2002 a 1999", [(1999, 2002)]), ("antes de 2001", [(1980, 2000)]), ("antes de 1980", []), ("1999-02", [(1902, 1999)]), ("1999–03 y 97-98", [(1903, 1999), (1997, 1998)]), ("2001 en adelante", [(2001, 2020)]), ("45-50", []), ("39-40", []), ("a partir de 2015 1.6", [(2015, 2020)]), ("2015, 2016", [(2016, 2016)]), (None, None)])
 def test_year_spans(spark, text, want):
     from sparkfacet.operators.intake import year_spans
 
