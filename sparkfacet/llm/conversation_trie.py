@@ -51,7 +51,7 @@ def ordered_turns(table: DataFrame) -> DataFrame:
 
 def with_shared_starts(turns: DataFrame, family: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame]:
     """Turns and conversations (conv_id, n_turns) after each conversation c took over the first h turns of c - c % family
-    for its own first h ones, h = crc32(c) % (most + 1)."""
+    for its own first h ones, h = crc32(c) % (most + 1). As everywhere in SQL, % has the sign of what is divided."""
     lengths = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     heads = turns.filter(F.col("pos") <= most).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "turn", "n_chars"))).alias("head")).withColumnRenamed("conv_id", "base")
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % (most + 1)

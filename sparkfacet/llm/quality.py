@@ -131,7 +131,8 @@ class Attention:
     def parts(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(encoded passages, their attention before it is normalised)."""
         w = self.w
-        h = np.tanh((features - self.middle) / self.width @ w["W"] + w["b"])
+        x = (features.astype(np.float64) - self.middle) / self.width  # in doubles, so that what shares a batch doesn't tell
+        h = np.tanh(x @ w["W"] + w["b"])
         return h, np.exp(np.clip(np.tanh(h @ w["V"]) / (1 + np.exp(-h @ w["U"])) @ w["w"], -30, 30))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -142,7 +143,7 @@ class Attention:
             weight += np.bincount(row, a, n)
             cuts = np.flatnonzero(np.diff(row, prepend=-1))
             total[row[cuts]] += np.add.reduceat(a[:, None] * h, cuts)
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(weight, 1e-30)[:, None] @ self.w["c"] + self.w["d"], -40, 40)))
+        return np.round(1 / (1 + np.exp(-np.clip(total / np.maximum(weight, 1e-30)[:, None] @ self.w["c"] + self.w["d"], -40, 40))), 9)
 
 
 def fit(features: np.ndarray, counts: np.ndarray, good: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 2e-3, penalty: float = 1e-4) -> Attention:

@@ -1,6 +1,7 @@
 """Attention over passages, the conversation trie and whitening, against plain versions and on odd rows."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -45,7 +46,7 @@ def rebuilt(rows):
             own[r["conv_id"]].append((r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or ""))
     own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
     h = {c: zlib.crc32(str(c).encode()) % 6 for c in own}
-    return {c: own.get(c - c % 100, [])[: h[c]] + own[c][h[c] :] for c in own}
+    return {c: own.get(c - int(math.fmod(c, 100)), [])[: h[c]] + own[c][h[c] :] for c in own}
 
 
 def as_dict(frame):
