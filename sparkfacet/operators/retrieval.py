@@ -95,7 +95,7 @@ def number_index(numbers: DataFrame) -> DataFrame:
     all others, then the kind of the lowest i, oem before xref."""
     order = F.struct((F.col("kind") != "pn").alias("pass"), F.when(F.col("kind") == "pn", 0).otherwise(F.col("i")).alias("i"), F.col("kind"))
     first = numbers.groupBy("key").agg(F.min_by("kind", order).alias("kind"))
-    return numbers.join(first, ["key", "kind"]).select("key", "kind", "i").distinct()
+    return numbers.join(first.hint("merge"), ["key", "kind"]).select("key", "kind", "i").distinct()  # exploded rows look few to the planner
 
 
 def partial_numbers(queries: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -119,7 +119,8 @@ def number_windows(texts: DataFrame, index: DataFrame, norm: Callable[[Column],
 
     places += [of(n) for n in range(most, 0, -1)]
     each = texts.withColumn("tokens", tokens).select("query", F.explode(F.concat(*places)).alias("w")).select("query", "w.*").filter((F.length("key") >= 4) & ~F.col("key").rlike("^(19|20)[0-9]{2}$"))
-    met = each.join(index.select("key", "kind").distinct(), "key")
+    # a text's fifteen windows count as one row in Spark's sizes, so that without the hint they would be broadcast
+    met = each.join(index.select("key", "kind").distinct().hint("merge"), "key")
     return met.groupBy("query").agg(F.min(F.struct("rank", "at", "key", "kind")).alias("first")).select("query", "first.key", "first.kind")
 
 
