@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfacet.functions.text import deletes, fold, stem, typo_budget
-from sparkfacet.operators.spelling import osa_distance
+from sparkfacet.operators.spelling import damerau_distance, osa_distance
 
 _MATCH = "array<struct<place: int, n: int, phrase: bigint>>"
 
@@ -202,7 +202,7 @@ def search_variants(words: DataFrame, vocabulary: DataFrame, deletions: DataFram
     lost = open_.select("word").distinct().withColumn("k", F.greatest(F.lit(1), typo_budget(F.col("word"))))
     pairs = lost.select("word", "k", F.explode(deletes(F.col("word"))).alias("part")).join(deletions, "part")
     pairs = pairs.filter((F.abs(F.length("word") - F.length("term")) <= F.col("k")) & (F.levenshtein("word", "term") <= 2 * F.col("k"))).select("word", "k", "term", "df").distinct()
-    pairs = pairs.withColumn("distance", osa_distance("word", "term")).filter("distance <= k")
+    pairs = pairs.withColumn("distance", damerau_distance("word", "term")).filter("distance <= k")
     nth = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.desc("df"), "term"))
     spelt = pairs.withColumn("nth", nth).filter(F.col("nth") <= most).select("word", "term", F.when(F.col("distance") == 1, ONE_EDIT).otherwise(MORE_EDITS).alias("weight"), F.lit("spelling").alias("channel"))
     alike = lost.select("word", key(F.col("word")).alias("sound")).join(sounds, "sound").join(spelt.select("word", "term"), ["word", "term"], "left_anti")
@@ -219,6 +219,6 @@ def lexicon_corrections(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     right = lexicon.select("entry", "nth", F.explode(deletes(F.col("entry"))).alias("part"))
     gender = F.col("word").rlike("[ao]$") & (F.length("word") == F.length("entry")) & (F.expr("left(word, length(word) - 1)") == F.expr("left(entry, length(entry) - 1)")) & (F.col("word") != F.col("entry"))
     near = left.join(right, "part").filter((F.abs(F.length("word") - F.length("entry")) <= F.col("k")) & (F.levenshtein("word", "entry") <= 2 * F.col("k")) & ~gender).select("word", "k", "entry", "nth").distinct()
-    near = near.withColumn("distance", osa_distance("word", "entry")).filter("distance <= k")
+    near = near.withColumn("distance", damerau_distance("word", "entry")).filter("distance <= k")
     best = near.groupBy("word").agg(F.min(F.struct("distance", "nth", "entry")).alias("b"))
     return best.select("word", "b.entry", "b.distance")

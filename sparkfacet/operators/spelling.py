@@ -28,6 +28,33 @@ def osa(a: str, b: str, most: int | None = None) -> int:
     return last[-1]
 
 
+def damerau(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and swaps, where letters may stand between those swapped, each at one more: what
+    DuckDB's damerau_levenshtein counts."""
+    far = len(a) + len(b)
+    rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
+    seen: dict[str, int] = {}  # the last row of each letter of a
+    for i, x in enumerate(a, 1):
+        row, at = [far, i], 0  # at: the last place in b, in this row, of a's letter
+        for j, y in enumerate(b, 1):
+            k = seen.get(y, 0)
+            swap = rows[k][at] + (i - k - 1) + 1 + (j - at - 1)
+            row.append(min(rows[i][j] + (x != y), row[j] + 1, rows[i][j + 1] + 1, swap))
+            if x == y:
+                at = j
+        rows.append(row)
+        seen[x] = i
+    return rows[-1][-1]
+
+
+def damerau_distance(a: str, b: str) -> Column:
+    @F.arrow_udf("int")
+    def distance(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else damerau(x, y) for x, y in zip(xs.to_pylist(), ys.to_pylist())], pa.int32())
+
+    return distance(F.col(a), F.col(b))
+
+
 def osa_distance(a: str, b: str, most: int = 2) -> Column:
     """Beyond most, the largest typo budget, some number beyond it."""
 
