@@ -174,16 +174,18 @@ def sound_index(vocabulary: DataFrame, key) -> DataFrame:
     return vocabulary.select(key(F.col("term")).alias("sound"), "term")
 
 
-def prefixed(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, term) of the first PREFIXES terms, in order, that each word (two letters or more) begins. Terms meet words on
-    their beginnings of as many letters as a word has; of each task's terms only so many go on."""
+def prefixed(words: DataFrame, vocabulary: DataFrame, most: int | None = PREFIXES) -> DataFrame:
+    """(word, term) of the first `most` terms, in order, that each word (two letters or more) begins; None: of all. Terms meet
+    words on their beginnings of as many letters as a word has; of each task's terms only so many go on."""
     sizes = [r[0] for r in words.select(F.length("word")).distinct().collect() if r[0] and r[0] >= 2]  # lengths of words: some tens
     if not sizes:
         return words.select("word", F.col("word").alias("term")).limit(0)
     begins = vocabulary.select("term", F.explode(F.filter(F.array(*(F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(sizes))), lambda x: x.isNotNull())).alias("word"))
     met = begins.join(words.select("word").distinct(), "word")
+    if most is None:
+        return met.select("word", "term")
     nth = F.row_number().over(Window.partitionBy("word").orderBy("term"))  # limited before the shuffle
-    return met.withColumn("nth", nth).filter(F.col("nth") <= PREFIXES).select("word", "term")
+    return met.withColumn("nth", nth).filter(F.col("nth") <= most).select("word", "term")
 
 
 def search_variants(words: DataFrame, vocabulary: DataFrame, deletions: DataFrame, sounds: DataFrame, key, most: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfacet.operators.language import EXACT, PREFIX, prefixed
+from sparkfacet.operators.language import EXACT, PREFIX, PREFIXES, prefixed
 
 K1, B = 1.2, 0.75
 
@@ -36,12 +36,12 @@ def statistics(index: DataFrame, n: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row is broadcast
 
 
-def variants(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def variants(words: DataFrame, vocabulary: DataFrame, prefixes: int | None = PREFIXES) -> DataFrame:
     """(query, place, term, weight) of words (query, place, word, last): the word itself, and for a query's last word the
-    first terms that it begins."""
+    first terms that it begins (prefixes: so many; None: all)."""
     exact = words.join(vocabulary, words["word"] == vocabulary["term"]).select("query", "place", "term", F.lit(EXACT).alias("weight"))
     begin = words.filter(F.col("last") & (F.length("word") >= 2))
-    more = begin.join(prefixed(begin.select("word").distinct(), vocabulary), "word").filter("term != word")
+    more = begin.join(prefixed(begin.select("word").distinct(), vocabulary, prefixes), "word").filter("term != word")
     return exact.unionByName(more.select("query", "place", "term", F.lit(PREFIX).alias("weight")))
 
 
@@ -49,7 +49,7 @@ def variants(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 MAX_TERMS = 200_000
 
 
-def search(index: DataFrame, words: DataFrame, terms: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame, words: DataFrame, terms: DataFrame | None = None, size: DataFrame | None = None, prefixes: int | None = PREFIXES) -> DataFrame:
     """(query, doc, score, hits, relaxed) for a batch of queries (query, place, word, last). A word counts with its best
     variant. Documents with all words are kept; if none has them, those with any, relaxed. Scores are divided by the query's highest.
 
@@ -60,7 +60,7 @@ def search(index: DataFrame, words: DataFrame, terms: DataFrame | None = None, s
         docs = lengths(index)
         size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
         terms, index = statistics(index, size.select("n")), index.join(docs, "doc")
-    found = variants(words, terms.select("term")).join(terms.select("term", "idf"), "term")
+    found = variants(words, terms.select("term"), prefixes).join(terms.select("term", "idf"), "term")
     few = found.limit(MAX_TERMS + 1).count() <= MAX_TERMS
     scored = index.join(F.broadcast(found) if few else found, "term").join(F.broadcast(size.select("avgdl")))  # one row
     part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
