@@ -82,14 +82,16 @@ def phonetic_key(word: Column) -> Column:
     return F.lower(out)
 
 
-def deletes(word: Column, prefix: int = 8) -> Column:
-    """The first letters and all strings that one or two deletions make of them."""
+def deletes(word: Column, prefix: int = 8, most: int = 2) -> Column:
+    """The first letters and all strings that one or two deletions (most: 1, only one) make of them."""
 
     def once(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
 
     head = F.substring(word, 1, prefix)
     one = F.when(F.length(head) > 0, once(head)).otherwise(F.array().cast("array<string>"))
+    if most == 1:
+        return F.array_sort(F.array_distinct(F.concat(F.array(head), one)))
     two = F.flatten(F.transform(one, lambda w: F.when(F.length(w) > 0, once(w)).otherwise(F.array().cast("array<string>"))))
     return F.array_sort(F.array_distinct(F.concat(F.array(head), one, two)))
 

@@ -65,18 +65,53 @@ def osa_distance(a: str, b: str, most: int = 2) -> Column:
     return distance(F.col(a), F.col(b))
 
 
+#: So many first letters of a word are keys' source; of long words no more keys than this makes (137).
+PREFIX = 16
+
+
+def _keys(word: Column, most: int) -> Column:
+    """Hashes of what deletions leave of a word; equal ones of unlike strings only bring pairs that are then refused."""
+    return F.transform(deletes(word, PREFIX, most), lambda x: F.xxhash64(x))
+
+
+def _swapped(a: Column, b: Column) -> Column:
+    """Whether one swap of neighbours makes b of a."""
+    return F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda k: F.concat(F.substring(a, F.lit(1), k - 1), F.substring(a, k + 1, F.lit(1)), F.substring(a, k, F.lit(1)), F.substring(a, k + 2, F.length(a))) == b)
+
+
+def _letters(word: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(word, "")), "")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("word").agg(F.min(F.struct("distance", (-F.col("df")).alias("less"), "term")).alias("best"))
+
+
 def corrections(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, term, distance): for each word, the term of vocabulary (term, df; unique) within the word's typo budget:
     the nearest, then the most frequent, then the first by name. Words without any are left out; a word that is a term is
     its own correction.
 
-    Both sides meet on strings that are left by deletions of their first letters, so only likely pairs are compared; the
-    built-in Levenshtein distance (at most twice the restricted one) sifts them before the tasks' Python sees them.
+    Words and terms meet on strings that deletions leave of them: first with one deletion at most, for the word itself and
+    terms one edit away. Only words that have none look two edits away, so the denser the vocabulary is, the fewer these are.
+    The built-in Levenshtein distance decides unless neighbours may be swapped beside another edit, which tasks' Python does.
     """
-    budget = typo_budget(F.col("word"))
-    asked = words.select("word", budget.alias("k")).distinct().select("word", "k", F.explode(F.when(F.col("k") > 0, deletes(F.col("word"))).otherwise(F.array(F.substring("word", 1, 8)))).alias("key"))
-    known = vocabulary.select("term", "df", F.explode(deletes(F.col("term"))).alias("key"))
-    pairs = asked.join(known, "key").filter((F.abs(F.length("word") - F.length("term")) <= F.col("k")) & ((F.col("word") == F.col("term")) | (F.levenshtein("word", "term") <= 2 * F.col("k"))))
-    pairs = pairs.select("word", "k", "term", "df").distinct().withColumn("distance", osa_distance("word", "term")).filter("distance <= k")
-    best = pairs.groupBy("word").agg(F.min(F.struct("distance", (-F.col("df")).alias("less"), "term")).alias("best"))
-    return best.select("word", "best.term", "best.distance")
+    asked = words.select("word", typo_budget(F.col("word")).alias("k")).distinct()
+    word, term, k = F.col("word"), F.col("term"), F.col("k")
+    exact = asked.join(vocabulary.select(term.alias("word"), term, "df"), "word").select("word", "term", "df", F.lit(0).alias("distance"))
+    left = asked.filter(k >= 1).select("word", F.explode(_keys(word, 1)).alias("key"))
+    right = vocabulary.select("term", "df", F.explode(_keys(term, 1)).alias("key"))
+    # exploded rows look few to the planner, so merging is asked for
+    met = left.join(right.hint("merge"), "key").filter(F.abs(F.length("word") - F.length("term")) <= 1)
+    near = F.levenshtein("word", "term", 2)
+    one = met.filter((near == 1) | ((near == 2) & (F.length("word") == F.length("term")) & _swapped(word, term))).select("word", "term", "df", F.lit(1).alias("distance"))
+    first = _best(exact.unionByName(one))
+    lost = asked.filter(k >= 2).join(first, "word", "left").filter("best is null")
+    left = lost.select("word", F.explode(_keys(word, 2)).alias("key"))
+    right = vocabulary.filter(F.length("term") >= 6).select("term", "df", F.explode(_keys(term, 2)).alias("key"))
+    met = left.join(right.hint("merge"), "key").filter(F.abs(F.length("word") - F.length("term")) <= 2).withColumn("far", F.levenshtein("word", "term", 4))
+    # a swap counts as two of these edits; other edits of two change at most two of the letters in order
+    met = met.filter((F.col("far") == 2) | ((F.col("far") > 2) & (F.levenshtein(_letters(word), _letters(term), 2) >= 0)))
+    two = met.withColumn("asked", F.when(F.col("far") > 2, word)).withColumn("swaps", osa_distance("asked", "term")).filter("swaps is null or swaps = 2")
+    second = _best(two.select("word", "term", "df", F.lit(2).alias("distance")))
+    return first.unionByName(second).select("word", "best.term", "best.distance")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from sparkfacet.functions import text as X
 from sparkfacet.operators import ranking, spelling, workshop
 from sparkfacet.plans.catalog import _FOLD, _WORDS, query
-from sparkfacet.plans.store import shared_folder
+from sparkfacet.plans.store import shared_folder, stored
 from sparkfacet.sources import csv
-from sparkfacet.sources.adapters import products, table
+from sparkfacet.sources.adapters import dealt, products, table
 from sparkfacet.streaming import windows
 
 
@@ -95,8 +95,11 @@ def service_distances(spark, sf):
 @query()
 def spell_corrections(spark, sf):
     """Rare words of the documents against the words that several of them have."""
-    w = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")).filter(F.col("term").rlike("^[a-z]{4,}$"))
-    df = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    def counts():
+        w = dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")).filter(F.col("term").rlike("^[a-z]{4,}$"))
+        return w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    df = stored(spark, sf, "plain-words", counts).repartition("term")  # a small file for much work
     return spelling.corrections(df.filter("df = 1").select(F.col("term").alias("word")), df.filter("df >= 5"))
 
 
