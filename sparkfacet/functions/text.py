@@ -23,30 +23,54 @@ POINT, JOINED = "\u0001", "\u0002"
 
 
 def raw_terms(text: Column) -> Column:
-    """The runs that index terms are made from, by term_of. What can be done once for each distinct run isn't done here."""
-    t = fold(text)
-    single = F.split(F.regexp_replace(t, "([a-z0-9])[.]([0-9]+)", f"$1{POINT}$2"), f"[^a-z0-9{POINT}]+")
+    """The runs that index terms are made from, by term_of."""
+    return _raw(fold(text))
+
+
+def _raw(t: Column) -> Column:
+    single = F.split(F.regexp_replace(t, "([a-z0-9])[.]([0-9]+)", f"$1{POINT}$2 "), f"[^a-z0-9{POINT}]+")
     rest = F.regexp_replace(t, "(?<![a-z0-9/-])[a-z0-9]+(?![a-z0-9/-])", " ")  # few words are joined
     return F.concat(single, F.transform(F.split(rest, "[^a-z0-9/-]+|[/-]{2,}"), lambda w: F.concat(F.lit(JOINED), w)))
 
 
-def term_of(raw: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Words, decimals whole (1.6), and words joined by - or / once more as one, stemmed; null for stop words and remains."""
+def _word_of(raw: Column) -> Column:
     joined = F.regexp_replace(raw, f"^{JOINED}[/-]?|[/-]$", "")
-    word = F.when(raw.startswith(JOINED), F.when(joined.rlike("[/-]"), F.translate(joined, "-/", ""))).otherwise(F.translate(raw, POINT, "."))
+    return F.when(raw.startswith(JOINED), F.when(joined.rlike("[/-]"), F.translate(joined, "-/", ""))).otherwise(F.translate(raw, POINT, "."))
+
+
+def kept(word: Column, stop: tuple[str, ...] = ()) -> Column:
+    """A word's stem; null for stop words and remains."""
     return F.when((word != "") & ~word.isin(*(stop or ("",))), stem(word))
 
 
+def term_of(raw: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Words, decimals whole (1.6), and words joined by - or / once more as one, stemmed; null for stop words and remains."""
+    return kept(_word_of(raw), stop)
+
+
 def index_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """The array of a short text's terms."""
     return F.array_compact(F.transform(raw_terms(text), lambda w: term_of(w, stop)))
 
 
+def term_runs(text: Column) -> Column:
+    """The folded text's runs of letters, digits, points, - and /: no term reaches beyond one, so that a run's terms can be
+    found once, however often it stands in a text."""
+    return F.split(fold(text), "[^a-z0-9./-]+")
+
+
+def run_words(run: Column) -> Column:
+    """The words in a run of term_runs, unstemmed; most runs are one word and need no pattern."""
+    plain = F.btrim(run, F.lit("./-"))
+    marks = F.contains(plain, F.lit(".")) | F.contains(plain, F.lit("-")) | F.contains(plain, F.lit("/"))
+    return F.when(~marks, F.array(plain)).otherwise(F.transform(_raw(plain), _word_of))
+
+
 def stem(word: Column) -> Column:
     """Plural endings off: -ces to -z, -es after r, l, n, d, j, -s unless -ss; words up to 3 letters or with digits stay."""
     n = F.length(word)
     return (
-        F.when((n <= 3) | word.rlike("[0-9]"), word)
+        F.when(~word.endswith("s") | (n <= 3) | word.rlike("[0-9]"), word)  # all endings have an s, and most words none
         .when(word.endswith("ces"), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("z")))
         .when((n > 4) & word.rlike("[rlndj]es$"), F.substring(word, F.lit(1), n - 2))
         .when(word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), n - 1))

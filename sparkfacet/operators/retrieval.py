@@ -12,16 +12,17 @@ from sparkfacet.operators.language import EXACT, PREFIX, PREFIXES, prefixed
 K1, B = 1.2, 0.75
 
 
-def postings(documents: DataFrame, boosts: dict[str, float], cut: Callable[[Column], Column], term: Callable[[Column], Column]) -> DataFrame:
+def postings(documents: DataFrame, boosts: dict[str, float], cut: Callable[[Column], Column], words: Callable[[Column], Column], term: Callable[[Column], Column], tasks: int) -> DataFrame:
     """(term, doc, tf) of documents (doc and a text column for each field): tf sums the boosts of the fields that a term
-    occurs in, once for each place. cut makes an array of raw runs, term a run's term (null: none): it is called once for
-    each distinct run of a document, after they are counted."""
-    out = None
-    for c, boost in boosts.items():
-        runs = documents.select("doc", F.explode(cut(F.col(c))).alias("raw")).groupBy("doc", "raw").agg(F.count(F.lit(1)).alias("n"))
-        runs = runs.select("doc", "raw", (F.col("n") * float(boost)).alias("w"))
-        out = runs if out is None else out.unionByName(runs)
-    terms = out.select("doc", term(F.col("raw")).alias("term"), "w").filter("term is not null")
+    occurs in, once for each place. cut makes an array of runs, words the array of a run's words, called once for each
+    distinct run of a document; term makes a word's term (null: none).
+
+    Documents are dealt to so many tasks by doc, and texts are all that is shuffled: a document's runs and terms are counted where it is."""
+    fields = F.array(*(F.struct(F.lit(float(boost)).alias("w"), cut(F.col(c)).alias("runs")) for c, boost in boosts.items()))
+    each = documents.repartition(tasks, "doc").select("doc", F.inline(fields)).select("doc", "w", F.explode("runs").alias("run"))
+    runs = each.filter("run != ''").groupBy("doc", "run").agg(F.sum("w").alias("w"))
+    said = runs.select("doc", F.explode(words(F.col("run"))).alias("word"), "w")
+    terms = said.select("doc", term(F.col("word")).alias("term"), "w").filter("term is not null")
     return terms.groupBy("term", "doc").agg(F.sum("w").alias("tf"))
 
 
