@@ -9,8 +9,10 @@ Labels come from what the features don't see. A card is positive if it passes Lu
 its parts are in range or not; e-mail addresses and valid phone numbers are positive; a loose or tight number is what the
 base span says that covers about the same place; a long run is positive if a word like token or key stands before it
 and negative if none does, and that word is no feature, so that a key without such a word is found by its form. Other
-proposals have no label. Training takes the proposals of at most max_docs documents, chosen by a hash of the id, and
-at most max_spans of these. Equal spans count once and lie in one of FOLDS parts; trees fitted on the others score each part, so
+proposals have no label. All documents and all their spans count in the fit: equal spans count once and lie in one of FOLDS
+parts, tasks sum histograms of gradients over them, and the driver gets sums only, whose size doesn't grow with the table
+(values of features as floats of 8 bits behind the point, gradients as whole multiples of 2**-30, so that sums are the same in
+any order, scores in steps of STEP for calibration and thresholds). Trees fitted on the others score each part, so
 that every span has a score it wasn't fitted to. On these scores calibration (Platt) and thresholds rest: each generator gets
 the lowest one with the asked precision over LEAST_HELD of its spans or more; one with fewer spans of its own gets that of
 all generators' spans together, so that small tables are treated like large ones. The trees that are used are fitted on all. Valid base spans always stay;
@@ -26,22 +28,28 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfacet.llm._arrow import slices, text_buffers
+from sparkfacet.llm._spark import written
 
 #: In the order of the results.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "number", "secret", "call")
-MAX_DOCS, MAX_SPANS, PRECISION = 8000, 40_000, 0.98
+PRECISION = 0.98
 #: A threshold is taken from so many spans at least: fewer may be right by chance. Parts of the spans for their scores.
 LEAST_HELD, FOLDS = 8, 3
+#: Scores lie within REACH and are counted in steps; spans in a block of the written table; rounds, depth, rate and bins of the trees; parts of 1 that gradients are counted in.
+STEP, REACH, BLOCK = 0.005, 40, 100_000
+ROUNDS, DEPTH, RATE, BINS, UNIT = 40, 3, 0.2, 32, 2.0**30
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -148,62 +156,34 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+def coded(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the features' values (none is below 0), few enough to be counted: values up to 256 that are whole keep apart."""
+    return (np.ascontiguousarray(x, np.float32).view(np.uint32) >> 15).astype(np.int32)
+
+
 @dataclass
 class Trees:
     """Boosted trees of a fixed depth: for each tree, feature and cut of each inner node and the value of each leaf."""
 
-    depth: int = 3
+    depth: int = DEPTH
     feature: list[np.ndarray] = field(default_factory=list)
     cut: list[np.ndarray] = field(default_factory=list)
     leaf: list[np.ndarray] = field(default_factory=list)
     start: float = 0.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        out, rows = np.full(len(x), self.start), np.arange(len(x))
+        out = np.full(len(x), self.start)
         for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
-            out += leaf[node - (2**self.depth - 1)]
+            out += leaf[leaves(x, feature, cut, self.depth)]
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32) -> Trees:
-    """Trees for the logistic loss, grown level by level on histograms of gradients."""
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1)
-    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    out = Trees(depth, start=float(np.log(p / (1 - p))))
-    score, rows = np.full(len(y), out.start), np.arange(len(y))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-score))
-        g, h = y - p, p * (1 - p)
-        node, inner = np.zeros(len(y), np.int64), 2**depth - 1
-        feature, cut, split = np.zeros(inner, np.int64), np.full(inner, np.inf), np.full(inner, bins + 1)
-        for level in range(depth):
-            first, many = 2**level - 1, 2**level
-            best = np.full(many, 1e-6)
-            for f, e in enumerate(edges):
-                if not len(e):
-                    continue
-                key = (node - first) * (bins + 1) + binned[:, f]
-                sg, sh = (np.bincount(key, w, many * (bins + 1)).reshape(many, -1) for w in (g, h))
-                lg, lh = sg.cumsum(1), sh.cumsum(1)
-                tg, th = lg[:, -1:], lh[:, -1:]
-                gain = lg**2 / (lh + 1) + (tg - lg) ** 2 / (th - lh + 1) - tg**2 / (th + 1)
-                gain[:, len(e) :] = 0
-                k = gain.argmax(1)
-                top = gain[np.arange(many), k]
-                for j in np.flatnonzero(top > best):
-                    best[j], feature[first + j], split[first + j], cut[first + j] = top[j], f, k[j], e[k[j]]
-            node = 2 * node + 1 + (binned[rows, feature[node]] > split[node])
-        leaf_of, leaves = node - inner, 2**depth
-        leaf = rate * np.bincount(leaf_of, g, leaves) / (np.bincount(leaf_of, h, leaves) + 1)
-        score += leaf[leaf_of]
-        out.feature.append(feature)
-        out.cut.append(cut)
-        out.leaf.append(leaf)
-    return out
+def leaves(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """Each row's place among the nodes of a level."""
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(levels):
+        node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
+    return node - (2**levels - 1)
 
 
 @dataclass
@@ -214,7 +194,7 @@ class Detector:
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.scores(x) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.scores(coded(x)) + self.shift, -40, 40)))
 
     def select(self, texts: list[str]) -> list[tuple[list[Span], list[tuple[str, int, int, float]]]]:
         """For each text its valid base spans, and all spans with their probability (1 for base spans)."""
@@ -248,58 +228,167 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def lowest(p: np.ndarray, truth: np.ndarray, precision: float) -> float | None:
-    """The lowest threshold with the precision over LEAST_HELD spans or more; None if there is none."""
-    order = np.argsort(-p, kind="stable")
-    q, right = p[order], np.cumsum(truth[order]) / np.arange(1, len(p) + 1)
-    last = np.append(q[1:] < q[:-1], True) if len(q) else np.zeros(0, bool)  # a threshold takes all of equal scores
-    good = np.flatnonzero((right >= precision) & last & (np.arange(1, len(q) + 1) >= LEAST_HELD))
-    return max(0.5, float(q[good[-1]])) if len(good) else None
+def lowest(p: np.ndarray, n: np.ndarray, right: np.ndarray, precision: float) -> float | None:
+    """The lowest threshold with the precision over LEAST_HELD spans or more; None if there is none. p: rising, of n spans each, right of them true."""
+    taken, true = n[::-1].cumsum()[::-1], right[::-1].cumsum()[::-1]
+    good = np.flatnonzero((n > 0) & (true >= precision * taken) & (taken >= LEAST_HELD))
+    return max(0.5, float(p[good[0]])) if len(good) else None
+
+
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # features (bins), labels, parts and kinds of some spans
+
+
+def summed(blocks: RDD, of: Callable[[Block], np.ndarray]) -> np.ndarray:
+    """The sum of what is counted in each block."""
+    def count(rows: Iterable[tuple]) -> Iterator[np.ndarray]:
+        total = None
+        for x, y, fold, kind in rows:
+            y = np.frombuffer(y, np.uint8)
+            more = of((np.frombuffer(x, np.uint8).reshape(len(y), -1), y, np.frombuffer(fold, np.uint8), np.frombuffer(kind, np.uint8)))
+            total = more if total is None else total + more
+        if total is not None:
+            yield total
+
+    return blocks.mapPartitions(count).treeReduce(np.add)
+
+
+def gradients(block: Block, models: list[Trees], features: np.ndarray, cuts: np.ndarray, level: int, part_of: int) -> np.ndarray:
+    """(model, node, feature, bin, 2): sums of gradients and weights at a level of each model's new tree; model k leaves part k out."""
+    x, y, fold, _ = block
+    many, out = 2**level, []
+    for k, model in enumerate(models):
+        use = fold != k if k < part_of else slice(None)
+        rows, p = x[use], 1 / (1 + np.exp(-model.scores(x[use])))
+        node = leaves(rows, features[k], cuts[k], level)
+        g, h = np.rint((y[use] - p) * UNIT), np.rint(p * (1 - p) * UNIT)
+        out.append([[np.bincount(node * BINS + rows[:, f], w, many * BINS).reshape(many, BINS) for f in range(x.shape[1])] for w in (g, h)])
+    return np.array(out).transpose(0, 3, 2, 4, 1).astype(np.int64)
+
+
+def grown(blocks: RDD, counts: np.ndarray, edges: list[np.ndarray]) -> list[Trees]:
+    """A model without each part and one of all (cuts: places in edges), level by level; counts (part, label): of spans."""
+    models = []
+    for of in (*(np.delete(counts, k, 0) for k in range(len(counts))), counts):
+        p = np.clip(of[:, 1].sum() / of.sum(), 1e-3, 1 - 1e-3)
+        models.append(Trees(start=float(np.log(p / (1 - p)))))
+    inner, parts = 2**DEPTH - 1, len(counts)
+    for _ in range(ROUNDS):
+        feature, cut = np.zeros((len(models), inner), np.int64), np.full((len(models), inner), BINS)
+        for level in range(DEPTH):
+            sums = summed(blocks, partial(gradients, models=models, features=feature, cuts=cut, level=level, part_of=parts)) / UNIT
+            left = sums.cumsum(3)
+            lg, lh, tg, th = left[..., 0], left[..., 1], left[..., -1:, 0], left[..., -1:, 1]
+            gain = lg**2 / (lh + 1) + (tg - lg) ** 2 / (th - lh + 1) - tg**2 / (th + 1)
+            for f, e in enumerate(edges):
+                gain[:, :, f, len(e) :] = 0
+            best = gain.reshape(*gain.shape[:2], -1).argmax(2)
+            for k, j in np.ndindex(best.shape):
+                f, c = divmod(int(best[k, j]), BINS)
+                if gain[k, j, f, c] > 1e-6:
+                    feature[k, 2**level - 1 + j], cut[k, 2**level - 1 + j] = f, c
+        for k, model in enumerate(models):
+            at, last = np.arange(2 ** (DEPTH - 1)), slice(2 ** (DEPTH - 1) - 1, inner)
+            f, c = feature[k, last], np.minimum(cut[k, last], BINS - 1)  # BINS: no cut, all stay on the left
+            l, t = left[k, at, f, c], left[k, at, 0, -1]
+            both = np.stack([l, t - l], 1).reshape(-1, 2)
+            model.feature.append(feature[k])
+            model.cut.append(cut[k])
+            model.leaf.append(RATE * both[:, 0] / (both[:, 1] + 1))
+    return models
+
+
+def held(block: Block, models: list[Trees]) -> np.ndarray:
+    """(kind, label, step): spans by their scores of the model that was fitted without them."""
+    x, y, fold, kind = block
+    steps = int(2 * REACH / STEP) + 1
+    score = np.zeros(len(y))
+    for k, model in enumerate(models[:-1]):
+        score[fold == k] = model.scores(x[fold == k])
+    at = np.floor((np.clip(score, -REACH, REACH) + REACH) / STEP).astype(np.int64)
+    return np.bincount((kind.astype(np.int64) * 2 + y) * steps + at, minlength=len(KINDS) * 2 * steps).reshape(len(KINDS), 2, steps)
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, precision: float = PRECISION) -> Detector:
-    """fold: the part of each row."""
-    parts = np.unique(fold)
-    if len(parts) < 2 or any(len(np.unique(y[fold != k])) < 2 for k in parts):
+def fit(blocks: RDD, counts: np.ndarray, edges: list[np.ndarray], precision: float = PRECISION) -> Detector:
+    """counts (part, label): of the spans in blocks; edges: upper ends of the features' bins."""
+    if (counts.sum(1) > 0).sum() < 2 or any((np.delete(counts, k, 0).sum(0) == 0).any() for k in range(len(counts))):
         return Detector(None)
-    score = np.zeros(len(y))
-    for k in parts:
-        score[fold == k] = boost(x[fold != k], y[fold != k]).scores(x[fold == k])
-    out = Detector(boost(x, y))
+    models = grown(blocks, counts, edges)
+    seen = summed(blocks, partial(held, models=models))
+    all_ = models[-1]
+    all_.cut = [np.array([edges[f][c] if c < BINS else np.inf for f, c in zip(fs, cs)]) for fs, cs in zip(all_.feature, all_.cut)]
+    out, score = Detector(all_), np.arange(seen.shape[2]) * STEP - REACH
+    n, y = seen.sum((0, 1)), seen[:, 1].sum(0)
     for _ in range(50):  # Newton steps of Platt's two parameters, slightly penalised
         p = 1 / (1 + np.exp(-np.clip(out.slope * score + out.shift, -40, 40)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * score).sum() + 1e-2 * (out.slope - 1), (p - y).sum()])
+        w, r = n * (p * (1 - p) + 1e-6), n * p - y
+        g = np.array([(r * score).sum() + 1e-2 * (out.slope - 1), r.sum()])
         m = np.array([[(w * score * score).sum() + 1e-2, (w * score).sum()], [(w * score).sum(), w.sum() + 1e-2]])
         step = np.linalg.solve(m, g)
         out.slope, out.shift = out.slope - step[0], out.shift - step[1]
     p = 1 / (1 + np.exp(-np.clip(out.slope * score + out.shift, -40, 40)))
-    together = lowest(p, y, precision)
+    if out.slope <= 0:  # scores say nothing
+        return Detector(None)
+    together = lowest(p, n, y, precision)
     for k, kind in enumerate(KINDS):
-        own = x[:, 0] == k
-        least = lowest(p[own], y[own], precision) if own.sum() >= LEAST_HELD else together
+        own = seen[k].sum(0)
+        least = lowest(p, own, seen[k, 1], precision) if own.sum() >= LEAST_HELD else together
         out.thresholds[kind] = 2.0 if least is None else least
     return out
 
 
-def fit_detector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_spans: int = MAX_SPANS) -> Detector:
-    sample = docs.select(id_col).filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col, F.lit("pii")), id_col).limit(max_docs)
+def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(lot, x, y) of every labelled span of every document, once each: the span's hash, its coded features and its label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = candidates(text or "")
-                known = [(s, y) for s, y in zip(found, labels(text or "", found)) if y is not None]
-                rows = [[*features(text, s), float(y)] for s, y in known]
-                yield pa.RecordBatch.from_arrays([pa.array([f"{s[0]}:{text[s[1] : s[2]]}" for s, _ in known], pa.string()), pa.array(rows, pa.list_(pa.float64()))], names=["span", "x"])
-
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col).mapInArrow(run, "span string, x array<double>")
-    lot = F.xxhash64("span", F.lit("fold"))
-    once = rows.groupBy(lot.alias("lot")).agg(F.min("x").alias("x"))  # a span counts once, and so lies on one side, however many copies there are
-    spans = once.orderBy(F.xxhash64("lot"), "x").limit(max_spans).select("x", F.pmod("lot", F.lit(FOLDS)).alias("fold")).toArrow()
-    x = spans.column("x").to_pylist()
-    table = np.array(x, float) if x else np.zeros((0, 23))
-    return fit(table[:, :-1], table[:, -1], spans.column("fold").to_numpy())
+            _, offsets = text_buffers(batch.column(0))
+            for a, b in slices(offsets):
+                named, rows = [], []
+                for text in batch.column(0)[a:b].to_pylist():
+                    found = candidates(text or "")
+                    known = [(s, y) for s, y in zip(found, labels(text or "", found)) if y is not None]
+                    named += [f"{s[0]}:{text[s[1] : s[2]]}" for s, _ in known]
+                    rows += [[*features(text, s), float(y)] for s, y in known]
+                codes = coded(np.array(rows, float))
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.string()), pa.array(codes.tolist(), pa.list_(pa.int32()))], names=["span", "x"])
+
+    rows = docs.select(text_col).mapInArrow(run, "span string, x array<int>")
+    once = rows.groupBy(F.xxhash64("span", F.lit("fold")).alias("lot")).agg(F.min("x").alias("x"))  # a span counts once, and so lies on one side, however many copies there are
+    return once.select("lot", F.slice("x", 1, F.size("x") - 1).alias("x"), (F.element_at("x", -1) > 0).cast("int").alias("y"))
+
+
+def fit_detector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Detector:
+    """Fitted on all labelled spans of all documents (of those with an id)."""
+    spans = written(labelled(docs.filter(F.col(id_col).isNotNull()), text_col).withColumn("fold", F.pmod("lot", F.lit(FOLDS)).cast("int")))
+    counts = np.zeros((FOLDS, 2), np.int64)
+    for r in spans.groupBy("fold", "y").count().collect():  # six rows at most
+        counts[r.fold, r.y] = r["count"]
+    values: dict[int, list[tuple[int, int]]] = {}
+    for r in spans.select(F.posexplode("x").alias("f", "code")).groupBy("f", "code").count().orderBy("f", "code").collect():  # a feature has some hundreds of codes
+        values.setdefault(r.f, []).append((r.code, r["count"]))
+    edges = []
+    for f in sorted(values):
+        code, n = np.array(values[f]).T
+        below = n.cumsum()
+        ends = code[np.searchsorted(below, np.arange(1, BINS) / BINS * below[-1])]
+        edges.append(np.unique(ends[ends < code[-1]]))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(len(batch), -1)
+            bins = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1).astype(np.uint8)
+            kind = np.searchsorted(coded(np.arange(len(KINDS))), x[:, 0]).astype(np.uint8)
+            y, fold = (batch.column(k).to_numpy().astype(np.uint8) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (bins, y, fold, kind)], names=["x", "y", "fold", "kind"])
+
+    total = int(counts.sum())
+    tasks = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, total // 20_000), total // BLOCK)
+    table = written(spans.select("x", "y", "fold").coalesce(tasks).mapInArrow(packed, "x binary, y binary, fold binary, kind binary"))
+    blocks = table.rdd.map(tuple).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit(blocks, counts, edges)
+    finally:
+        blocks.unpersist()
 
 
 def with_spans(docs: DataFrame, model: Detector, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
