@@ -18,6 +18,16 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), COMBINING, "")
 
 
+def _blanked(text: Column, kept: str) -> Column:
+    """fold(text) with a blank for each character other than the ASCII ones kept: to be split at blanks, which is several times
+    faster than at a pattern."""
+    other = "".join(c for c in map(chr, range(128)) if c not in kept)
+    plain = F.translate(F.lower(text), ACCENTED + other, PLAIN + " " * len(other))
+    return F.regexp_replace(F.regexp_replace(plain, COMBINING, ""), "[^\\u0000-\\u007f]", " ")
+
+
+_ALNUM = "abcdefghijklmnopqrstuvwxyz0123456789"
+
 #: Marks inside raw terms: a decimal point, and the start of a term that was joined by - or /.
 POINT, JOINED = "\u0001", "\u0002"
 
@@ -56,7 +66,7 @@ def index_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
 def term_runs(text: Column) -> Column:
     """The folded text's runs of letters, digits, points, - and /: no term reaches beyond one, so that a run's terms can be
     found once, however often it stands in a text."""
-    return F.split(fold(text), "[^a-z0-9./-]+")
+    return F.split(_blanked(text, _ALNUM + "./-"), " ")
 
 
 def run_words(run: Column) -> Column:
@@ -79,8 +89,8 @@ def stem(word: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of a-z and digits of the folded text. (Splitting is linear; extracting all matches isn't.)"""
-    return F.array_remove(F.split(fold(text), "[^a-z0-9]+"), "")
+    """Runs of a-z and digits of the folded text."""
+    return F.array_remove(F.split(_blanked(text, _ALNUM), " "), "")
 
 
 def norm_pn(text: Column) -> Column:

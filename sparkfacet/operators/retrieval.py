@@ -50,23 +50,24 @@ def variants(words: DataFrame, vocabulary: DataFrame, prefixes: int | None = PRE
 MAX_TERMS = 200_000
 
 
-def search(index: DataFrame, words: DataFrame, terms: DataFrame | None = None, size: DataFrame | None = None, prefixes: int | None = PREFIXES) -> DataFrame:
+def search(index: DataFrame, words: DataFrame, terms: DataFrame | None = None, size: DataFrame | None = None, prefixes: int | None = PREFIXES, lengths: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, hits, relaxed) for a batch of queries (query, place, word, last). A word counts with its best
     variant. Documents with all words are kept; if none has them, those with any, relaxed. Scores are divided by the query's highest.
 
-    index: term, doc, tf; with dl (the document's length), terms (term, idf) and size (one row: avgdl) from written tables
-    nothing is summed over the index. The terms of a batch, few against the index, are broadcast if there are MAX_TERMS at
-    most, so that only their postings leave the scan; one shuffle then brings a query's document together."""
+    index: term, doc, tf; with lengths (doc, dl), terms (term, idf) and size (one row: avgdl) from written tables nothing is
+    summed over the index. The terms of a batch, few against the index, are broadcast if there are MAX_TERMS at most, else
+    held by tasks, so that postings are never sorted; what they match is dealt out by doc, once, for lengths and scores."""
     if terms is None:
-        docs = lengths(index)
-        size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        terms, index = statistics(index, size.select("n")), index.join(docs, "doc")
+        lengths = index.groupBy("doc").agg(F.sum("tf").alias("dl"))
+        size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        terms = statistics(index, size.select("n"))
     found = variants(words, terms.select("term"), prefixes).join(terms.select("term", "idf"), "term")
     few = found.limit(MAX_TERMS + 1).count() <= MAX_TERMS
-    scored = index.join(F.broadcast(found) if few else found, "term").join(F.broadcast(size.select("avgdl")))  # one row
+    met = index.join(F.broadcast(found) if few else found.hint("shuffle_hash"), "term")
+    scored = met.join(lengths.hint("shuffle_hash"), "doc").join(F.broadcast(size.select("avgdl")))  # one row
     part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    best = scored.select("query", "doc", "place", part.alias("s")).repartition("query", "doc").groupBy("query", "doc", "place").agg(F.max("s").alias("s"))
-    hits = best.groupBy("query", "doc").agg(F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda a, x: a + x).alias("raw"), F.count(F.lit(1)).alias("hits"))
+    best = scored.select("query", "doc", "place", part.alias("s")).groupBy("query", "doc", "place").agg(F.max("s").alias("s"))
+    hits = best.groupBy("query", "doc").agg(F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda a, x: a + x).alias("raw"), F.count(F.lit(1)).alias("hits")).repartition("query", "doc")  # used twice, computed once
     asked = words.groupBy("query").agg(F.count_distinct("place").alias("asked"))
     # of each query the most words that a document has, and the highest score of those with as many and of all
     tops = hits.groupBy("query", "hits").agg(F.max("raw").alias("raw")).groupBy("query").agg(F.max(F.struct("hits", "raw")).alias("most"), F.max("raw").alias("any")).join(asked, "query")

@@ -205,8 +205,8 @@ def text_and_number(spark, sf):
     part = table(spark, sf, "part").select((F.col("p_partkey") - 1).alias("n_nationkey"), F.split("p_name", " ")[1].alias("w"))
     words = query_words(table(spark, sf, "nation").join(part, "n_nationkey").select(k.alias("query"), F.array("w").alias("words")))
     asked = table(spark, sf, "nation").select(k.alias("query"), F.array(F.concat(F.lit("PN"), 1 + k % 9, F.lit("0"))).alias("parts"))
-    rows, terms, size = search_tables(spark, sf, "products", product_index(spark, sf))
-    text = retrieval.search(rows, words, terms, size).select("query", F.col("doc").alias("i"), "score")
+    rows, dl, terms, size = search_tables(spark, sf, "products", product_index(spark, sf))
+    text = retrieval.search(rows, words, terms, size, lengths=dl).select("query", F.col("doc").alias("i"), "score")
     return retrieval.in_both(text, retrieval.partial_numbers(asked, numbers(spark, sf)).withColumnRenamed("weight", "score")).select("query", "i", F.round("score", 6).alias("score"))
 
 
@@ -263,8 +263,8 @@ def full_search(spark, sf):
     request = search.Request({"tier": ("diario", "oem")}, price_max=1500.0)
     first = table(spark, sf, "part").agg(F.min_by("p_name", "p_partkey").alias("name"))
     words = query_words(first.select(F.lit(1).alias("query"), F.array(F.split("name", " ")[1]).alias("words")))
-    rows, terms, size = search_tables(spark, sf, "products", product_index(spark, sf))
-    found = retrieval.search(rows, words, terms, size).select(F.col("doc").alias("i"), F.round("score", 6).alias("score"))
+    rows, dl, terms, size = search_tables(spark, sf, "products", product_index(spark, sf))
+    found = retrieval.search(rows, words, terms, size, lengths=dl).select(F.col("doc").alias("i"), F.round("score", 6).alias("score"))
     pool = products(spark, sf).filter("stock_total > 5").join(found, "i")
     row = lambda section, name, value, n: (F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"), n.cast("long").alias("n"))
     facets = search.facets(pool, request).select(*row("facet", F.col("dim"), F.col("value"), F.col("n")))
