@@ -81,15 +81,17 @@ def year_spans(text: Column, oldest: int, newest: int) -> Column:
 
 def application_configs(rows: DataFrame, universe: DataFrame) -> DataFrame:
     """(item, gen, year, engine) of rows (item, text), where text names one generation ('gen 3'), spans of years and perhaps
-    engines by name (all if none is named). Names meet the universe by generation."""
+    engines by name (all if none is named). Distinct texts are read, and meet the universe by generation."""
     ends = universe.agg(F.min("year").alias("a"), F.max("year").alias("b")).first()
     g = F.regexp_extract("text", r"gen ([0-9]+)", 1).try_cast("int")
     body = F.regexp_replace("text", r"gen [0-9]+", " ")
-    parsed = rows.select("item", g.alias("gen"), "text", F.explode(year_spans(body, ends["a"] or 0, ends["b"] or 0)).alias("s"))
+    each = rows.select("text").distinct().repartition(rows.sparkSession.sparkContext.defaultParallelism)  # small to Spark, slow to read
+    parsed = each.select("text", g.alias("gen"), F.explode(year_spans(body, ends["a"] or 0, ends["b"] or 0)).alias("s"))
     met = parsed.join(universe, "gen").filter(F.col("year").between(F.col("s.first"), F.col("s.last")))
     named = F.col("text").contains(F.concat(F.lit("("), F.col("engine"), F.lit(")")))
     anywhere = F.col("text").contains("(")
-    return met.filter(~anywhere | named).select("item", "gen", "year", "engine").distinct()
+    said = met.filter(~anywhere | named).select("text", "gen", "year", "engine").distinct()
+    return rows.select("item", "text").join(said, "text").select("item", "gen", "year", "engine").distinct()
 
 
 def resolve_brands(names: DataFrame, brands: DataFrame) -> DataFrame:
