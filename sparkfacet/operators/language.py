@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfacet.functions.text import deletes, fold, stem, typo_budget
-from sparkfacet.operators.spelling import damerau_distance, osa_distance
+from sparkfacet.operators.spelling import damerau_distance, osa_distance, sorted_letters
 
 _MATCH = "array<struct<place: int, n: int, phrase: bigint>>"
 
@@ -33,18 +35,39 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return each.select("id", F.explode(walked).alias("m")).select("id", "m.*")
 
 
-def near_words(words: DataFrame, known: DataFrame) -> DataFrame:
-    """(word, known, distance) of the pairs that are equal or within the typo budget of the known word. Both frames: one
-    column of distinct words. Near pairs meet on strings left by deletions of their first letters."""
-    same = words.select("word").join(known.select(F.col("known").alias("word")), "word").select("word", F.col("word").alias("known"), F.lit(0).alias("distance"))
-    left = words.select("word", F.explode(deletes(F.col("word"))).alias("part"))
-    right = known.withColumn("k", typo_budget(F.col("known"))).filter("k > 0").select("known", "k", F.explode(deletes(F.col("known"))).alias("part"))
-    near = left.join(right, "part").filter((F.abs(F.length("word") - F.length("known")) <= F.col("k")) & (F.col("word") != F.col("known")) & (F.levenshtein("word", "known") <= 2 * F.col("k")))
-    near = near.select("word", "known", "k").distinct().withColumn("distance", osa_distance("word", "known")).filter("distance <= k")
-    return same.unionByName(near.select("word", "known", "distance"))
+def _left_over() -> Column:
+    """What deletes has of a word whose first eight letters are head, some of it more than once: written out, as that is
+    compiled and functions of arrays aren't."""
+    cut = lambda *at: F.concat(*(F.substring("head", a + 1, b - a - 1) for a, b in zip((0, *at), (*at, 9)) if b - a > 1))
+    return F.array(cut(), *(cut(i) for i in range(1, 9)), *(cut(i, j) for i in range(1, 9) for j in range(i + 1, 9)))
 
 
-def symptoms_found(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+def near_words(words: DataFrame, known: DataFrame) -> DataFrame:
+    """words with known, for each pair that is equal or within the typo budget of the known word. words: word and any other
+    columns, distinct; known: distinct words. Pairs meet on strings left by deletions of their first letters, known words
+    without a budget only themselves; all in one pass over the words. The built-in distance decides unless swaps may, as in
+    spelling.corrections."""
+    left = words.withColumn("head", F.substring("word", 1, 8)).select(*words.columns, F.explode(_left_over()).alias("part"))
+    k = typo_budget(F.col("known"))
+    right = known.select("known", k.alias("k"), F.explode(F.when(k > 0, deletes(F.col("known"))).otherwise(F.array("known"))).alias("part"))
+    met = left.join(right, "part").filter(F.abs(F.length("word") - F.length("known")) <= F.col("k")).withColumn("far", F.levenshtein("word", "known", 4))
+    maybe = (F.col("far") >= 0) & (F.col("far") <= 2 * F.col("k"))
+    swaps = (F.col("far") <= F.col("k")) | (F.levenshtein(sorted_letters(F.col("word")), sorted_letters(F.col("known")), 2) >= 0)
+    met = met.filter(maybe).select(*words.columns, "known", "k", "far").distinct().filter(swaps)
+    swapped = met.withColumn("asked", F.when(F.col("far") > F.col("k"), F.col("word"))).withColumn("distance", osa_distance("asked", "known"))
+    return swapped.filter("distance is null or distance <= k").select(*words.columns, "known")
+
+
+def symptom_words(texts: DataFrame, phrases: DataFrame, content: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(word, known): the words of texts that a word of some phrase may take. content: what a word of a text counts as (null:
+    nothing), found once for each distinct word; itself if none is given."""
+    raw = texts.select(F.explode("words").alias("raw")).distinct()
+    words = raw.withColumn("word", content(F.col("raw")) if content else F.col("raw")).filter("word is not null")
+    pairs = near_words(words, phrases.select(F.explode("words").alias("known")).distinct())
+    return pairs.select(F.col("raw").alias("word"), "known")
+
+
+def symptoms_found(texts: DataFrame, phrases: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(id, symptom, place, words, score): the symptoms that each text describes, the best first.
 
     texts: id, words (array of content words); phrases: symptom, nth (long, unique), words. A phrase takes for each of its
@@ -52,23 +75,31 @@ def symptoms_found(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     hasn't taken yet. It counts with all its words, or all but one of three and more. Its score is the number of words taken
     and their share. The best score is found first, then of equals the first phrase; each symptom once, and only if it brings
     a word that no symptom found before has. What a phrase takes doesn't depend on the others, so one pass over a text's
-    phrases in order of score does it."""
-    parts = phrases.select("symptom", "nth", F.size("words").alias("size"), F.posexplode("words").alias("k", "known"))
-    tokens = texts.select("id", F.posexplode("words").alias("at", "word"))
-    pairs = near_words(tokens.select("word").distinct(), parts.select("known").distinct())
-    most = phrases.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
+    phrases in order of score does it.
+
+    pairs: symptom_words of these texts, if it is there already; words that aren't in it count as nothing. A table of known
+    size can be sent to all tasks, so that texts' words needn't be moved to it. Of phrases no two words of which may take the
+    same word, each takes its first one, a minimum; lists of places are kept for other phrases only."""
+    parts = phrases.select("nth", F.posexplode("words").alias("k", "known"))
+    pairs = symptom_words(texts, phrases) if pairs is None else pairs
+    shared = pairs.join(parts, "known").groupBy("nth", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("nth").distinct()
+    plain, others = parts.join(shared, "nth", "left_anti"), parts.join(shared, "nth", "left_semi")
+    met = lambda pairs: texts.select("id", F.posexplode("words").alias("at", "word")).join(pairs, "word").select("id", "known", "at")
+    most = max(phrases.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0], 1)
+    firsts = [F.min(F.when(F.col("k") == k, F.col("at"))).alias(f"at{k}") for k in range(most)]
+    taken = met(pairs).join(plain, "known").groupBy("id", "nth").agg(*firsts).select("id", "nth", F.array_compact(F.array(*(f"at{k}" for k in range(most)))).alias("used"))
     # of a text's words that a phrase's word may take, as many as a phrase has words are enough
-    places = tokens.join(pairs, "word").groupBy("id", "known").agg(F.slice(F.array_sort(F.collect_list("at")), 1, max(most, 1)).alias("ats"))
-    lists = places.join(parts, "known").groupBy("id", "symptom", "nth", "size").agg(F.array_sort(F.collect_list(F.struct("k", "ats"))).alias("parts"))
+    places = met(pairs.join(others, "known", "left_semi")).groupBy("id", "known").agg(F.slice(F.array_sort(F.collect_list("at")), 1, most).alias("ats"))
+    lists = places.join(others, "known").groupBy("id", "nth").agg(F.array_sort(F.collect_list(F.struct("k", "ats"))).alias("parts"))
 
     def take(used: Column, x: Column) -> Column:
         first = F.get(F.filter(x.ats, lambda at: ~F.array_contains(used, at)), F.lit(0))
         return F.when(first.isNull(), used).otherwise(F.array_append(used, first))
 
-    taken = lists.withColumn("used", F.aggregate("parts", F.array().cast("array<int>"), take))
-    n = F.size("used")
-    need = F.when(F.col("size") >= 3, F.col("size") - 1).otherwise(F.col("size"))
-    scored = taken.filter(n >= need).withColumn("score", n + n / F.col("size"))
+    taken = taken.unionByName(lists.select("id", "nth", F.aggregate("parts", F.array().cast("array<int>"), take).alias("used")))
+    n, size = F.size("used"), F.col("size")
+    fit = taken.join(phrases.select("nth", "symptom", F.size("words").alias("size")), "nth").filter(n >= F.when(size >= 3, size - 1).otherwise(size))
+    scored = fit.withColumn("score", n + n / size)
     each = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "nth", "symptom", "used"))).alias("found"))
     kind = scored.schema["symptom"].dataType.simpleString()
 

@@ -79,7 +79,7 @@ def _swapped(a: Column, b: Column) -> Column:
     return F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda k: F.concat(F.substring(a, F.lit(1), k - 1), F.substring(a, k + 1, F.lit(1)), F.substring(a, k, F.lit(1)), F.substring(a, k + 2, F.length(a))) == b)
 
 
-def _letters(word: Column) -> Column:
+def sorted_letters(word: Column) -> Column:
     return F.array_join(F.array_sort(F.split(word, "")), "")
 
 
@@ -111,7 +111,7 @@ def corrections(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     right = vocabulary.filter(F.length("term") >= 6).select("term", "df", F.explode(_keys(term, 2)).alias("key"))
     met = left.join(right.hint("merge"), "key").filter(F.abs(F.length("word") - F.length("term")) <= 2).withColumn("far", F.levenshtein("word", "term", 4))
     # a swap counts as two of these edits; other edits of two change at most two of the letters in order
-    met = met.filter((F.col("far") == 2) | ((F.col("far") > 2) & (F.levenshtein(_letters(word), _letters(term), 2) >= 0)))
+    met = met.filter((F.col("far") == 2) | ((F.col("far") > 2) & (F.levenshtein(sorted_letters(word), sorted_letters(term), 2) >= 0)))
     two = met.withColumn("asked", F.when(F.col("far") > 2, word)).withColumn("swaps", osa_distance("asked", "term")).filter("swaps is null or swaps = 2")
     second = _best(two.select("word", "term", "df", F.lit(2).alias("distance")))
     return first.unionByName(second).select("word", "best.term", "best.distance")

@@ -53,8 +53,9 @@ def symptom_phrases(spark, sf):
 @query()
 def symptoms_found(spark, sf):
     """Symptoms that each document describes; tested against a plain version."""
-    texts = document_words(spark, sf).select(F.col("doc_id").alias("id"), content_words(F.col("words")).alias("words"))
-    return language.symptoms_found(texts, symptom_phrases(spark, sf)).select(F.col("id").alias("doc_id"), "symptom", "place", "words", F.round("score", 6).alias("score"))
+    texts, phrases = document_words(spark, sf).select(F.col("doc_id").alias("id"), "words"), symptom_phrases(spark, sf)
+    pairs = stored(spark, sf, "symptom-words", lambda: language.symptom_words(texts, phrases, lambda w: X.kept(w, STOP)))
+    return language.symptoms_found(texts, phrases, pairs).select(F.col("id").alias("doc_id"), "symptom", "place", "words", F.round("score", 6).alias("score"))
 
 
 def symptom_causes_of(spark, sf):
