@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,21 +136,36 @@ def _number_parts(text: Column) -> tuple[Column, Column, Column]:
     for thousands: it stands several times, or once before three digits that a number other than 0 comes before."""
     s = F.replace(F.regexp_replace(text, "[^0-9,.-]", ""), F.lit("-"), F.lit(""))
     parts = F.split(s, F.when(s.contains(","), ",").otherwise("[.]"))
+    return s, parts, _thousands(parts)
+
+
+def _thousands(parts: Column) -> Column:
     groups = F.size(parts) - 1
-    return s, parts, (groups > 1) | ((groups == 1) & (F.length(F.get(parts, F.lit(1))) == 3) & ~F.get(parts, F.lit(0)).isin("", "0"))
+    return (groups > 1) | ((groups == 1) & (F.length(F.get(parts, F.lit(1))) == 3) & ~F.get(parts, F.lit(0)).isin("", "0"))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def parse_number(text: Column) -> Column:
     """A number written with , or . for decimals or thousands: of both, the last is decimal; one alone is for thousands if it
     stands several times, or once before three digits (but 0,500 is a half). A minus in front counts, other signs don't."""
-    s, parts, thousands = _number_parts(text)
-    last_comma = F.instr(F.reverse(s), ",") < F.instr(F.reverse(s), ".")
-    both = F.when(last_comma, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), F.lit("")))
-    head = F.get(parts, F.lit(0))
-    one = F.when(thousands, F.array_join(parts, "")).when(F.size(parts) > 1, F.concat(F.when(head == "", "0").otherwise(head), F.lit("."), F.get(parts, F.lit(1)))).otherwise(s)
-    value = F.when(s.contains(",") & s.contains("."), both).otherwise(one).try_cast("double")
-    sign = F.when(F.startswith(F.regexp_replace(text, "[^0-9,.-]", ""), F.lit("-")), -1.0).otherwise(1.0)
-    return F.when(s.rlike("[0-9]"), value * sign)
+
+    def value(clean: Column, s: Column, parts: Column, thousands: Column) -> Column:
+        last_comma = F.instr(F.reverse(s), ",") < F.instr(F.reverse(s), ".")
+        both = F.when(last_comma, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), F.lit("")))
+        head = F.get(parts, F.lit(0))
+        one = F.when(thousands, F.array_join(parts, "")).when(F.size(parts) > 1, F.concat(F.when(head == "", "0").otherwise(head), F.lit("."), F.get(parts, F.lit(1)))).otherwise(s)
+        number = F.when(s.contains(",") & s.contains("."), both).otherwise(one).try_cast("double")
+        return F.when(s.rlike("[0-9]"), number * F.when(F.startswith(clean, F.lit("-")), -1.0).otherwise(1.0))
+
+    def cut(clean: Column) -> Column:
+        s = F.replace(clean, F.lit("-"), F.lit(""))
+        return _once(s, lambda s: _once(F.split(s, F.when(s.contains(","), ",").otherwise("[.]")), lambda parts: value(clean, s, parts, _thousands(parts))))
+
+    return _once(F.regexp_replace(text, "[^0-9,.-]", ""), cut)
 
 
 def thousands_note(text: Column) -> Column:
@@ -212,6 +228,9 @@ def slug(text: Column) -> Column:
 
 def warranty_years(text: Column) -> Column:
     """10 for life, n / 12 for n months, n for n years, 1 if nothing is said."""
-    t = fold(text)
-    n = F.regexp_extract(t, "([0-9]+)", 1).try_cast("double")
-    return F.when(t.contains("vida"), F.lit(10.0)).when(n.isNotNull() & t.rlike("[0-9] *mes"), n / 12).otherwise(F.coalesce(n, F.lit(1.0)))
+
+    def years(t: Column) -> Column:
+        n = F.regexp_extract(t, "([0-9]+)", 1).try_cast("double")
+        return F.when(t.contains("vida"), F.lit(10.0)).when(n.isNotNull() & t.rlike("[0-9] *mes"), n / 12).otherwise(F.coalesce(n, F.lit(1.0)))
+
+    return _once(fold(text), years)

@@ -6,7 +6,9 @@ all steps are gathered in one array for each row: struct<level, column, message,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfacet.functions.text import fold, norm_pn, words
@@ -82,15 +84,24 @@ def import_run(rows: DataFrame, brands: DataFrame, types: DataFrame, names: Data
 
     brands: brand, tiers (array; null or empty: any); types: type. Of rows that passed every step and have one brand and part
     number, the first stays and the others are errors that name it."""
-    values = intake.take_in(rows)
+    return without_repeats(understood(rows, brands, types, names, universe, sizes))
+
+
+def understood(rows: DataFrame, brands: DataFrame, types: DataFrame, names: DataFrame, universe: DataFrame, sizes: DataFrame, write: Callable[[str, DataFrame], DataFrame] = lambda name, frame: frame) -> DataFrame:
+    """import_run's rows before repeated numbers are looked for, with passed (no error so far) in place of kept.
+
+    Each row meets what its brand, type, title and application were found to mean, and no rows meet each other. write: writes
+    such a frame of distinct values, by its name, and reads it again: small ones are then known to be small and sent to
+    the rows, which needn't be dealt out by keys that are few and uneven."""
     said = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("part_number", "brand", "type", "tier", "application")}
-    text = rows.select("row", *(x.alias(f"{c}_text") for c, x in said.items()))
-    resolved = intake.resolve_brands(text.filter("brand_text != ''").select(F.col("brand_text").alias("name")).distinct(), brands.select("brand"))
-    typed = intake.resolve_types(rows.select("row", said["type"].alias("said"), F.coalesce("title", F.lit("")).alias("title")), types)
+    text = rows.withColumns({f"{c}_text": x for c, x in said.items()})
+    values = intake.take_in(text, *(f"{c}_text" for c in said))
+    brands = write("brands", brands.select("brand", "tiers"))
+    resolved = write("brand-names", intake.resolve_brands(text.filter("brand_text != ''").select(F.col("brand_text").alias("name")).distinct(), brands.select("brand")))
+    typed = intake.resolve_types(values.withColumns({"said": F.col("type_text"), "title": F.coalesce("title", F.lit(""))}), types, write).withColumnRenamed("type", "part_type")
     configs, notes = applications(text.select(F.col("application_text").alias("text")).distinct(), names, universe, sizes)
-    counted = notes.join(configs.groupBy("text").agg(F.count(F.lit(1)).alias("configs")), "text", "left").withColumnRenamed("text", "application_text")
-    joined = values.withColumnRenamed("issues", "read").join(text, "row").join(resolved.select(F.col("name").alias("brand_text"), "brand", "how"), "brand_text", "left").join(typed.select("row", F.col("type").alias("part_type"), "sure"), "row").join(counted, "application_text", "left")
-    joined = joined.join(brands.select("brand", "tiers"), "brand", "left")
+    counted = write("applications", notes.join(configs.groupBy("text").agg(F.count(F.lit(1)).alias("configs")), "text", "left").withColumnRenamed("text", "application_text"))
+    joined = typed.withColumnRenamed("issues", "read").join(resolved.select(F.col("name").alias("brand_text"), "brand", "how"), "brand_text", "left").join(counted, "application_text", "left").join(brands, "brand", "left")
     own = F.array(*map(F.lit, TIERS))
     asked = F.array_join(words(F.col("tier_text")), "")
     usual = F.when(F.coalesce(F.size("tiers"), F.lit(0)) <= 0, "diario").when(F.array_contains("tiers", "diario"), "diario").otherwise(F.get(F.array_intersect(own, "tiers"), F.lit(0)))
@@ -107,24 +118,32 @@ def import_run(rows: DataFrame, brands: DataFrame, types: DataFrame, names: Data
         F.when(F.col("error").isNotNull(), F.struct(F.lit("error").alias("level"), F.lit("application").alias("column"), F.col("error").alias("message"), F.col("application_text").alias("value"))),
         F.when(F.col("note").isNotNull(), F.struct(F.lit("warning").alias("level"), F.lit("application").alias("column"), F.col("note").alias("message"), F.col("application_text").alias("value"))),
     ))
-    done = joined.withColumns({"pn": pn, "tier": F.when(known_tier, asked).otherwise(usual), "issues": F.concat("read", steps).cast(ISSUE)})
-    passed = ~F.exists("issues", lambda x: x.level == "error")
-    firsts = done.filter(passed).groupBy("brand", "pn").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # only repeated numbers meet their first row; one with very many rows is split by adaptive execution
-    again = done.filter(passed).select("row", "brand", "pn").join(firsts, ["brand", "pn"]).filter("row != first").select("row", "first")
-    out = done.join(again, "row", "left")
-    issues = F.when(F.col("first").isNotNull(), F.array_append("issues", issue("error", "part_number", "duplicate", F.col("first")))).otherwise(F.col("issues"))
-    kept = ~F.exists(issues, lambda x: x.level == "error")
-    return out.select("row", kept.alias("kept"), "brand", "part_type", "tier", "pn", "price", "list_price", "stock", "warranty", "closeout", "universal", F.coalesce("configs", F.lit(0)).alias("configs"), issues.alias("issues"))
+    told = joined.withColumn("issues", F.concat("read", steps).cast(ISSUE))
+    tier = F.when(known_tier, asked).otherwise(usual)
+    values = ("price", "list_price", "stock", "warranty", "closeout", "universal")
+    return told.select("row", (~F.exists("issues", lambda x: x.level == "error")).alias("passed"), "brand", "part_type", tier.alias("tier"), pn.alias("pn"), *values, F.coalesce("configs", F.lit(0)).alias("configs"), "issues")
+
+
+def without_repeats(done: DataFrame) -> DataFrame:
+    """import_run's result from understood rows. Only repeated numbers have a first row to meet; one with very many rows is
+    split by adaptive execution."""
+    firsts = done.filter("passed").groupBy("brand", "pn").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = F.coalesce(F.col("passed") & (F.col("row") != F.col("first")), F.lit(False))
+    issues = F.when(again, F.array_append("issues", issue("error", "part_number", "duplicate", F.col("first")))).otherwise(F.col("issues"))
+    out = done.join(firsts, ["brand", "pn"], "left")
+    return out.select("row", (F.col("passed") & ~again).alias("kept"), "brand", "part_type", "tier", "pn", "price", "list_price", "stock", "warranty", "closeout", "universal", "configs", issues.alias("issues"))
 
 
 def import_summary(done: DataFrame, most: int = 12) -> DataFrame:
     """(section, name, level, n) of an import: rows, imported, universal, rows left out, errors, warnings, the most frequent
     issues (column: message), and products of each type. One pass counts rows, one issues."""
-    flags = done.agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("imported"), F.count_if(F.col("kept") & F.col("universal")).alias("universal"), F.count_if(~F.col("kept")).alias("left_out"))
-    totals = flags.select(F.explode(F.create_map(*(x for c in flags.columns for x in (F.lit(c), F.col(c))))).alias("name", "n")).select(F.lit("total").alias("section"), "name", F.lit("").alias("level"), "n")
+    kinds = done.groupBy("part_type").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("imported"), F.count_if(F.col("kept") & F.col("universal")).alias("universal"), F.count_if(~F.col("kept")).alias("left_out"))
+    names = kinds.columns[1:]
+    said = lambda section, name, n: F.struct(F.lit(section).alias("section"), name.alias("name"), F.lit("").alias("level"), n.alias("n"))
+    told = kinds.select(F.explode(F.array(*(said("total", F.lit(c), F.col(c)) for c in names), said("part_type", F.col("part_type"), F.col("imported")))).alias("x"))
+    none = done.sparkSession.range(1).select(F.explode(F.array(*(said("total", F.lit(c), F.lit(0).cast("long")) for c in names))).alias("x"))  # an empty import has totals too
+    rows = told.unionByName(none).select("x.*").groupBy("section", "name", "level").agg(F.sum("n").alias("n")).filter("section = 'total' or n > 0")
     each = done.select(F.explode("issues").alias("x")).select("x.*").groupBy("level", "column", "message").agg(F.count(F.lit(1)).alias("n"))
     levels = each.groupBy("level").agg(F.sum("n").alias("n")).select(F.lit("level").alias("section"), F.col("level").alias("name"), "level", "n")
     top = each.orderBy(F.desc("n"), "level", "column", "message").limit(most).select(F.lit("issue").alias("section"), F.concat_ws(": ", "column", "message").alias("name"), "level", "n")
-    types = done.filter("kept").groupBy("part_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("part_type").alias("section"), F.col("part_type").alias("name"), F.lit("").alias("level"), "n")
-    return totals.unionByName(levels).unionByName(top).unionByName(types)
+    return rows.unionByName(levels).unionByName(top)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,19 +115,29 @@ def resolve_brands(names: DataFrame, brands: DataFrame) -> DataFrame:
     return asked.join(found, "name", "left").select("name", F.coalesce("brand", slug).alias("brand"), F.coalesce("how", F.lit("new")).alias("how"))
 
 
-def resolve_types(rows: DataFrame, types: DataFrame) -> DataFrame:
-    """(row, type, sure) of rows (row, said, title; unique): the type (types: type) that the type column names (sure), else the
-    longest one whose words stand together in the title, of equals the first by name (a guess), else null. Runs of a title's
-    words meet the types by equality, whatever their number."""
+def type_keys(types: DataFrame) -> DataFrame:
+    """(key, type, n): the words that name a type, the first type by name of those with equal ones, and their number."""
     known = types.select("type", F.array_join(words(F.col("type")), " ").alias("key"), F.size(words(F.col("type"))).alias("n")).filter("key != ''")
-    named = rows.select("row", F.array_join(words(F.col("said")), " ").alias("key")).filter("key != ''").join(known, "key").groupBy("row").agg(F.min("type").alias("named"))
-    longest = known.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    w = words(F.col("title"))
+    return known.groupBy("key", "n").agg(F.min("type").alias("type"))
+
+
+def title_types(titles: DataFrame, keys: DataFrame) -> DataFrame:
+    """(title, type) of titles (title; distinct): the longest type whose words stand together in the title, of equals the first
+    by name; titles without any are left out. Runs of a title's words meet the types by equality, whatever their number."""
+    longest = keys.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda k: F.array_join(F.slice("w", k, n), " "))))
-    inside = rows.select("row", w.alias("w")).select("row", F.explode(F.array_distinct(runs)).alias("key")).join(known, "key")
-    guessed = inside.groupBy("row").agg(F.min(F.struct((-F.col("n")).alias("less"), "type")).alias("g"))
-    joined = rows.select("row").join(named, "row", "left").join(guessed, "row", "left")
-    return joined.select("row", F.coalesce("named", "g.type").alias("type"), F.col("named").isNotNull().alias("sure"))
+    inside = titles.select("title", words(F.col("title")).alias("w")).select("title", F.explode(F.array_distinct(runs)).alias("key")).join(keys, "key")
+    return inside.groupBy("title").agg(F.min(F.struct((-F.col("n")).alias("less"), "type")).alias("g")).select("title", "g.type")
+
+
+def resolve_types(rows: DataFrame, types: DataFrame, write: Callable[[str, DataFrame], DataFrame] = lambda name, frame: frame) -> DataFrame:
+    """rows (said and title, and any others) with type and sure: the type (types: type) that the type column names (sure), else
+    that of the title (a guess), else null. Distinct titles are read. write: as in imports.understood."""
+    keys = write("types", type_keys(types))
+    guesses = write("titles", title_types(rows.select("title").distinct(), keys))
+    said = rows.withColumn("key", F.array_join(words(F.col("said")), " ")).join(keys.select("key", F.col("type").alias("named")), "key", "left")
+    joined = said.join(guesses.withColumnRenamed("type", "guess"), "title", "left")
+    return joined.select(*rows.columns, F.coalesce("named", "guess").alias("type"), F.col("named").isNotNull().alias("sure"))
 
 
 def map_headers(headers: list[str], synonyms: dict[str, tuple[str, ...]], warehouses: tuple[str, ...] = ()) -> dict[str, str]:
@@ -156,12 +167,14 @@ def map_headers(headers: list[str], synonyms: dict[str, tuple[str, ...]], wareho
     return out
 
 
-def take_in(rows: DataFrame) -> DataFrame:
+def take_in(rows: DataFrame, *kept: str) -> DataFrame:
     """Rows (row, title, price, list_price, stock: array of text, warranty, closeout, extras) read, with issues: an array of
-    struct<level, column, message, value>. Rows with an error aren't products; warnings leave a default."""
-    price, was = parse_number(F.col("price")), parse_number(F.col("list_price"))
-    levels = F.transform("stock", lambda s: F.greatest(F.lit(0), F.coalesce(parse_number(s).cast("int"), F.lit(0))))
-    closeout = parse_bool(F.col("closeout"))
+    struct<level, column, message, value>. Rows with an error aren't products; warnings leave a default. kept: columns that
+    stay as they are."""
+    # each value is read once, and then named as often as it is needed
+    read = rows.withColumns({"_price": parse_number(F.col("price")), "_was": parse_number(F.col("list_price")), "_stock": F.transform("stock", parse_number), "_closeout": parse_bool(F.col("closeout"))})
+    price, was, closeout = F.col("_price"), F.col("_was"), F.col("_closeout")
+    levels = F.transform("_stock", lambda n: F.greatest(F.lit(0), F.coalesce(n.cast("int"), F.lit(0))))
 
     def issue(bad: Column, level: str, column: str, message: str) -> Column:
         return F.when(bad, F.struct(F.lit(level).alias("level"), F.lit(column).alias("column"), F.lit(message).alias("message"), F.col(column).cast("string").alias("value")))
@@ -171,9 +184,9 @@ def take_in(rows: DataFrame) -> DataFrame:
         issue(price.isNull() | (price <= 0), "error", "price", "no price"),
         issue(was.isNotNull() & (was < price), "warning", "list_price", "below the price"),
         issue(closeout.isNull(), "warning", "closeout", "neither yes nor no"),
-        issue(F.exists("stock", lambda s: (F.trim(s) != "") & parse_number(s).isNull()), "warning", "stock", "no number"),
+        issue(F.exists(F.zip_with("stock", "_stock", lambda s, n: (F.trim(s) != "") & n.isNull()), lambda odd: odd), "warning", "stock", "no number"),
     ))
-    return rows.select("row", "title", price.alias("price"), F.when(was >= price, was).alias("list_price"), levels.alias("stock"), F.round(warranty_years(F.col("warranty")), 6).alias("warranty"), F.coalesce(closeout, F.lit(False)).alias("closeout"), split_list(F.col("extras")).alias("extras"), issues.alias("issues"))
+    return read.select("row", "title", price.alias("price"), F.when(was >= price, was).alias("list_price"), levels.alias("stock"), F.round(warranty_years(F.col("warranty")), 6).alias("warranty"), F.coalesce(closeout, F.lit(False)).alias("closeout"), split_list(F.col("extras")).alias("extras"), issues.alias("issues"), *kept)
 
 
 def issue_summary(taken: DataFrame, most: int = 12) -> DataFrame:
