@@ -67,6 +67,10 @@ def symptom_words(texts: DataFrame, phrases: DataFrame, content: Callable[[Colum
     return pairs.select(F.col("raw").alias("word"), "known")
 
 
+#: So many pairs of words (some 20 MB in memory) are sent to all tasks.
+PAIRS = 200_000
+
+
 def symptoms_found(texts: DataFrame, phrases: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(id, symptom, place, words, score): the symptoms that each text describes, the best first.
 
@@ -77,14 +81,16 @@ def symptoms_found(texts: DataFrame, phrases: DataFrame, pairs: DataFrame | None
     a word that no symptom found before has. What a phrase takes doesn't depend on the others, so one pass over a text's
     phrases in order of score does it.
 
-    pairs: symptom_words of these texts, if it is there already; words that aren't in it count as nothing. A table of known
-    size can be sent to all tasks, so that texts' words needn't be moved to it. Of phrases no two words of which may take the
-    same word, each takes its first one, a minimum; lists of places are kept for other phrases only."""
+    pairs: symptom_words of these texts, if they are written already; words that aren't in it count as nothing. Up to PAIRS of
+    them are sent to all tasks, so that texts' words needn't be moved; more are met as Spark chooses. Of phrases no two words of
+    which may take the same word, each takes its first one, a minimum; lists of places are kept for other phrases only."""
     parts = phrases.select("nth", F.posexplode("words").alias("k", "known"))
+    few = pairs is not None and pairs.count() <= PAIRS
     pairs = symptom_words(texts, phrases) if pairs is None else pairs
+    sent = F.broadcast if few else lambda frame: frame
     shared = pairs.join(parts, "known").groupBy("nth", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("nth").distinct()
     plain, others = parts.join(shared, "nth", "left_anti"), parts.join(shared, "nth", "left_semi")
-    met = lambda pairs: texts.select("id", F.posexplode("words").alias("at", "word")).join(pairs, "word").select("id", "known", "at")
+    met = lambda pairs: texts.select("id", F.posexplode("words").alias("at", "word")).join(sent(pairs), "word").select("id", "known", "at")
     most = max(phrases.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0], 1)
     firsts = [F.min(F.when(F.col("k") == k, F.col("at"))).alias(f"at{k}") for k in range(most)]
     taken = met(pairs).join(plain, "known").groupBy("id", "nth").agg(*firsts).select("id", "nth", F.array_compact(F.array(*(f"at{k}" for k in range(most)))).alias("used"))
