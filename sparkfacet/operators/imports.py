@@ -25,10 +25,13 @@ def issue(level: str, column: str, message: str, value: Column) -> Column:
     return F.struct(F.lit(level).alias("level"), F.lit(column).alias("column"), F.lit(message).alias("message"), value.cast("string").alias("value"))
 
 
-def applications(texts: DataFrame, names: DataFrame, universe: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def applications(texts: DataFrame, names: DataFrame, universe: DataFrame, sizes: DataFrame, by: str = "text", write: Callable[[str, DataFrame], DataFrame] = lambda name, frame: frame) -> tuple[DataFrame, DataFrame]:
     """(configurations, notes) of texts (text; distinct). configurations: text, gen, year, engine (the universal text has
     none); notes: text, universal, error (null if some application of the text was read), note.
 
+    by: a column of texts that names them in place of text, in the results and wherever they are dealt out (long texts then
+    move no more than once). write: as in understood, for what is read of the texts; plans then begin at what was written.
+
     names: name (as written), kind (gen or engine), gen, engine: what may be named, several rows for one of several
     generations; sizes: engine, sized (litres). A text holds applications between ; | line ends and commas that no digit follows. Of
     each, spans of years are read and masked, then sizes, then names, the longest first. Generations that aren't named are
@@ -36,9 +39,9 @@ def applications(texts: DataFrame, names: DataFrame, universe: DataFrame, sizes:
     that disagrees. A generation, or an engine with years, must be named; engines alone stand for themselves everywhere."""
     ends = universe.agg(F.coalesce(F.min("year"), F.lit(0)).alias("a"), F.coalesce(F.max("year"), F.lit(0)).alias("b")).first()
     clean = F.trim(F.regexp_replace(fold(F.coalesce("text", F.lit(""))), r"[ \t]+", " "))
-    asked = texts.select("text", clean.alias("t"))
+    asked = texts.select(by, clean.alias("t"))
     free = F.col("t").isin(*UNIVERSAL_WORDS)
-    parts = asked.filter(~free & (F.col("t") != "")).select("text", F.posexplode(F.filter(F.transform(F.split("t", r"[;|\n]+|,(?!\s*[0-9])"), lambda x: F.trim(x)), lambda x: x != "")).alias("nth", "part"))
+    parts = write("parts", asked.filter(~free & (F.col("t") != "")).select(by, F.posexplode(F.filter(F.transform(F.split("t", r"[;|\n]+|,(?!\s*[0-9])"), lambda x: F.trim(x)), lambda x: x != "")).alias("nth", "part")))
     # engines are masked first, as their names may hold digits; then years, then sizes
     ids = parts.select("part").distinct().withColumn("id", F.xxhash64("part"))
     lexicon = names.select("name", "kind").distinct().withColumns({"phrase": F.xxhash64("name", "kind"), "words": words(F.col("name")), "rank": F.when(F.col("kind") == "engine", 0).otherwise(1)})
@@ -50,7 +53,7 @@ def applications(texts: DataFrame, names: DataFrame, universe: DataFrame, sizes:
     spans = intake.year_spans(F.col("part"), ends["a"], ends["b"])
     years_said = F.regexp_like("part", F.lit(r"(?<![0-9.,])(19|20)[0-9]{2}(?![0-9.,])|(?<![\w.,])[0-9]{2}\s*[-–—]\s*[0-9]{2}(?![\w.,])"))
     empty = F.array().cast("array<string>")
-    read = ids.join(of, "id", "left").select("part", F.coalesce("engines", empty).alias("engines"), F.coalesce("gens", empty).alias("gens"), spans.alias("spans"), years_said.alias("dated"), litres.alias("litres"))
+    read = write("read", ids.join(of, "id", "left").select("part", F.coalesce("engines", empty).alias("engines"), F.coalesce("gens", empty).alias("gens"), spans.alias("spans"), years_said.alias("dated"), litres.alias("litres")))
     fine = read.filter((F.size("gens") > 0) | (F.size("engines") > 0))
     # each application's generations (all if only engines are named) and the configurations that agree
     gens = names.filter("kind = 'gen'").select(F.col("name").alias("g"), "gen").distinct()
@@ -64,18 +67,18 @@ def applications(texts: DataFrame, names: DataFrame, universe: DataFrame, sizes:
     in_years = ~F.col("dated") | F.exists("spans", lambda s: F.col("year").between(s.first, s.last))
     own_engine = (F.size("engines") == 0) | F.arrays_overlap("engines", F.coalesce("called", empty))
     own_size = F.col("litres").isNull() | (F.size("engines") > 0) | (F.abs(F.coalesce("sized", F.lit(-1.0)) - F.col("litres")) < 0.05)
-    met = met.filter(in_years & own_engine & own_size).select("part", "gen", "year", "engine").distinct()
+    met = write("met", met.filter(in_years & own_engine & own_size).select("part", "gen", "year", "engine").distinct())
     some = met.groupBy("part").agg(F.count(F.lit(1)).alias("configs"))
     disagrees = fine.filter(F.col("litres").isNotNull() & (F.size("engines") > 0)).select("part", "litres", F.explode("engines").alias("g")).join(engines, "g").join(sizes, "engine").filter(F.abs(F.col("sized") - F.col("litres")) >= 0.05).select("part").distinct().withColumn("note", F.lit("size disagrees"))
     state = read.select("part", ((F.size("gens") > 0) | (F.size("engines") > 0)).alias("known")).join(some, "part", "left").join(disagrees, "part", "left")
     error = F.when(~F.col("known"), "no vehicle").when(F.col("configs").isNull(), "not in the catalogue")
     told = parts.join(state.select("part", error.alias("error"), "note"), "part")
-    each = told.groupBy("text").agg(F.count_if(F.col("error").isNull()).alias("read"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("nth"))).alias("first_error"), F.max("note").alias("note"), F.count("error").alias("errors"))
-    notes = asked.join(each, "text", "left").select(
-        "text", free.alias("universal"), F.when(F.col("t") == "", "missing").when(~free & (F.coalesce("read", F.lit(0)) == 0), F.coalesce("first_error", F.lit("no vehicle"))).alias("error"),
+    each = told.groupBy(by).agg(F.count_if(F.col("error").isNull()).alias("read"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("nth"))).alias("first_error"), F.max("note").alias("note"), F.count("error").alias("errors"))
+    notes = asked.join(each, by, "left").select(
+        by, free.alias("universal"), F.when(F.col("t") == "", "missing").when(~free & (F.coalesce("read", F.lit(0)) == 0), F.coalesce("first_error", F.lit("no vehicle"))).alias("error"),
         F.when(F.coalesce("read", F.lit(0)) > 0, F.coalesce("note", F.when(F.col("errors") > 0, F.lit("some applications left out")))).alias("note"),
     )
-    return parts.join(met, "part").select("text", "gen", "year", "engine").distinct(), notes
+    return parts.join(met, "part").select(by, "gen", "year", "engine").distinct(), notes
 
 
 def import_run(rows: DataFrame, brands: DataFrame, types: DataFrame, names: DataFrame, universe: DataFrame, sizes: DataFrame) -> DataFrame:
